@@ -48,10 +48,15 @@ def lower_ascii(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The runs of non-blank characters of a text; a null or blank text has none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{BLANKS}]+|[{BLANKS}]+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{BLANKS}]+"))
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(F.length(trimmed) > 0, F.split(trimmed, f"[{BLANKS}]+")).otherwise(F.array().cast("array<string>"))
 
 
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; a null id has fold -1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(-1))
+
+
+def fence(value: Column) -> Column:
+    """The same value, which the optimizer will not copy into a filter further up (that would compute a costly expression again and again)."""
+    return F.when(F.spark_partition_id() >= 0, value)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import BLANKS, table, words
+from ledgerlens.llm.common import BLANKS, fence, table, words
 
 SYMBOLS = "#*$%&|<>"
 #: A window position takes the low 20 bits of a sort key; longer texts use the exact keys.
@@ -84,12 +84,12 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     made = {
         "n_words": n,
         "word_chars": F.length(F.regexp_replace(t, f"[{BLANKS}]+", "")),
-        "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+        "n_symbols": F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")),
         "n_lines": F.size("__l"),
         "n_dup_lines": F.size("__l") - F.size(F.array_distinct("__l")),
         "n_repeat_words": F.when(F.size("__f") == 0, F.lit(0)).otherwise(_covered(F.col("__f"))),
     }
-    return out.select(*[F.col(f"`{c}`") for c in kept], *[c.cast("long").alias(p + name) for name, c in made.items()])
+    return out.select(*[F.col(f"`{c}`") for c in kept], *[fence(c.cast("long")).alias(p + name) for name, c in made.items()])
 
 
 def bits(rules: tuple[Rule, ...] = RULES) -> Column:
