@@ -105,7 +105,7 @@ class Grams:
     keys: np.ndarray  # distinct, ascending
     local: np.ndarray  # training count inside the block
     at: np.ndarray  # by position: index into keys, -1 where a text is too young
-    first: np.ndarray  # by key: a position where it ends
+    end: np.ndarray  # by key: a position where it ends
 
 
 def grams(texts: list[str], train: np.ndarray, order: int) -> tuple[list[Grams], np.ndarray]:
@@ -122,10 +122,14 @@ def grams(texts: list[str], train: np.ndarray, order: int) -> tuple[list[Grams],
     out = []
     for j in range(1, order + 1):
         where = np.flatnonzero(age >= j - 1)
-        keys, first, inverse = np.unique(combine([h[where - k] for k in range(j - 1, -1, -1)], j), return_index=True, return_inverse=True)
+        hashed = combine([h[where - k] for k in range(j - 1, -1, -1)], j)
+        by = np.argsort(hashed)
+        hashed, where = hashed[by], where[by]
+        new = np.concatenate([[True], hashed[1:] != hashed[:-1]])[: len(hashed)]
+        number = np.cumsum(new) - 1
         at = np.full(len(h), -1, dtype=np.int64)
-        at[where] = inverse
-        out.append(Grams(keys, np.bincount(inverse[trained[where]], minlength=len(keys)), at, where[first]))
+        at[where] = number
+        out.append(Grams(hashed[new], np.bincount(number[trained[where]], minlength=int(new.sum())), at, where[new]))
     return out, bounds
 
 
@@ -156,6 +160,7 @@ def answers(asked: DataFrame, order: int, n: int) -> DataFrame:
     """part, block, extra (what other blocks add to its counts); and a row without block: known, tokens of order 1."""
 
     def total(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
         keys = [unpack_sorted(x) for x in rows.column("keys").to_pylist()]
         counts = [unpack(x, np.int32) for x in rows.column("counts").to_pylist()]
         found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -178,50 +183,52 @@ def answers(asked: DataFrame, order: int, n: int) -> DataFrame:
 
 
 class Automaton:
-    """The part of the automaton that a block's texts can reach."""
+    """The part of the automaton that a block's texts can reach.
+
+    An arc is known by the n-gram it completes. So the arcs for the word at a
+    position, out of the states of each depth that the words before it name,
+    lie side by side by position: weight (MISSING where there is no arc) and
+    goal.
+    """
+
+    MISSING = 1.0
 
     def __init__(self, found: list[Grams], totals: list[np.ndarray], tokens: int, known: int, prior: float, discount: float):
-        first = totals[0]
+        first, top = totals[0], len(totals) - 1
         p = np.where(first > 0, (first - discount) / max(tokens, 1), discount * known / tokens if tokens else 1.0)
-        self.width = len(first)
-        size = [len(t) for t in totals]
-        state = np.concatenate([[1], 1 + np.cumsum(size)]).astype(np.int64)  # where the states of an order begin
-        count = 1 + sum(size[:-1]) if len(size) > 1 else 1
-        fail, lower = np.zeros(count), np.zeros(count, dtype=np.int64)
-        token = np.arange(self.width)
-        source, label, weight, goal = [np.zeros(self.width, dtype=np.int64)], [token], [np.log10(p)], [np.where(first > 0, state[0] + token, 0) if len(size) > 1 else np.zeros(self.width, dtype=np.int64)]
-        for j in range(1, len(totals)):
-            g, c = found[j], totals[j]
-            context = found[j - 1].at[g.first - 1] if len(c) else np.zeros(0, dtype=np.int64)
-            suffix = found[j - 1].at[g.first]
-            below = totals[j - 1]
+        begin = 1 + np.concatenate([[0], np.cumsum([len(t) for t in totals])]).astype(np.int64)  # of the states of each length; 0 is the root
+        fail, lower = [np.zeros(1)], [np.zeros(1, dtype=np.int64)]
+        weight = [np.log10(p)]
+        goal = [np.where((first > 0) & (top > 0), begin[0] + np.arange(len(first)), 0)]
+        depth = [np.where((first > 0) & (top > 0), 1, 0)]
+        arcs = [found[0].at]
+        for j in range(1, top + 1):
+            g, c, below = found[j], totals[j], totals[j - 1]
+            context, suffix = found[j - 1].at[g.end - 1], found[j - 1].at[g.end]
             p = (c + prior * p[suffix]) / (below[context] + prior)
-            # the states of order j (n-grams of length j): their failure arcs
-            own = slice(state[j - 1], state[j - 1] + size[j - 1])
-            fail[own] = np.log10(prior / (below + prior))
-            lower[own] = 0 if j == 1 else state[j - 2] + found[j - 2].at[found[j - 1].first]
-            there = np.flatnonzero(c > 0)
-            source.append(state[j - 1] + context[there])
-            label.append(found[0].at[g.first[there]])
-            weight.append(np.log10(p[there]))
-            goal.append(state[j] + there if j + 1 < len(totals) else state[j - 1] + suffix[there])
-        key = np.concatenate(source) * self.width + np.concatenate(label)
-        self.arcs = dict(zip(key.tolist(), range(len(key)), strict=True))
-        self.weight, self.goal = np.concatenate(weight).tolist(), np.concatenate(goal).tolist()
-        self.fail, self.lower = fail.tolist(), lower.tolist()
-
-    def traverse(self, tokens: list[int]) -> float:
-        """log10 of the tokens' probability."""
-        arc, weight, goal, fail, lower, width = self.arcs.get, self.weight, self.goal, self.fail, self.lower, self.width
-        total, state = 0.0, 0
-        for w in tokens:
-            k = arc(state * width + w)
-            while k is None:
+            fail.append(np.log10(prior / (below + prior)))
+            lower.append(np.zeros(len(below), dtype=np.int64) if j == 1 else begin[j - 2] + found[j - 2].at[found[j - 1].end])
+            weight.append(np.log10(p))
+            goal.append(begin[j] + np.arange(len(c)) if j < top else begin[j - 1] + suffix)
+            depth.append(np.full(len(c), min(j + 1, top)))
+            arcs.append(np.where((g.at >= 0) & (c[g.at] > 0), g.at, -1) if len(c) else g.at)
+        self.fail, self.lower = np.concatenate(fail).tolist(), np.concatenate(lower).tolist()
+        self.weight = [np.where(a >= 0, w[a], self.MISSING).tolist() if len(w) else [self.MISSING] * len(a) for a, w in zip(arcs, weight, strict=True)]
+        self.goal, self.depth = ([(x[a] if len(x) else a).tolist() for a, x in zip(arcs, part, strict=True)] for part in (goal, depth))
+
+    def traverse(self, start: int, end: int) -> float:
+        """log10 of the probability of the text at these positions."""
+        weight, goal, deep, fail, lower, missing = self.weight, self.goal, self.depth, self.fail, self.lower, self.MISSING
+        total, state, depth = 0.0, 0, 0
+        for at in range(start, end):
+            w = weight[depth][at]
+            while w == missing:
                 total += fail[state]
                 state = lower[state]
-                k = arc(state * width + w)
-            total += weight[k]
-            state = goal[k]
+                depth -= 1
+                w = weight[depth][at]
+            total += w
+            state, depth = goal[depth][at], deep[depth][at]
         return total
 
 
@@ -251,12 +258,12 @@ def score(docs: DataFrame, train, order: int = ORDER, prior: float = PRIOR, disc
                 path = found[0].at
                 base = np.log10((full[0] + 0.5) / (tokens + 0.5 * (known + 1)))[path]
                 seen = (full[0] > 0)[path].astype(np.int64)
-                label, edge = path.tolist(), bounds.tolist()
+                edge = bounds.tolist()
                 del found, full
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, batch.schema.field("ids").type.value_type), pa.array(train_, pa.bool_()), pa.array(np.diff(bounds), pa.int64()), pa.array(np.add.reduceat(seen, bounds[:-1]), pa.int64()),
-                        pa.array(np.full(len(ids), tokens), pa.int64()), pa.array(np.add.reduceat(base, bounds[:-1]), pa.float64()), pa.array([auto.traverse(label[a:b]) for a, b in zip(edge, edge[1:], strict=False)], pa.float64()),
+                        pa.array(np.full(len(ids), tokens), pa.int64()), pa.array(np.add.reduceat(base, bounds[:-1]), pa.float64()), pa.array([auto.traverse(a, b) for a, b in zip(edge, edge[1:], strict=False)], pa.float64()),
                     ],
                     ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
