@@ -13,6 +13,7 @@ that rule; a null id stays null; extra input columns are ignored by ``ledger``.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,11 +93,12 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in kept], *[fence(c.cast("long")).alias(p + name) for name, c in made.items()])
 
 
-def bits(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The failure bits of a row that holds the measures."""
+def bits(rules: tuple[Rule, ...] = RULES, prefix: str = "") -> Column:
+    """The failure bits of a row that holds the measures under ``prefix``."""
     total = F.lit(0).cast("long")
     for k, rule in enumerate(rules):
-        total = total.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+        fails = re.sub(rf"\b({'|'.join(MEASURES)})\b", rf"{prefix}\1", rule.fails)
+        total = total.bitwiseOR(F.when(F.expr(fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
     return total
 
 
@@ -111,6 +113,12 @@ def apply_policy(ledger: DataFrame, policy: int) -> DataFrame:
     return ledger.withColumn("kept", F.col("bits").bitwiseAND(F.lit(policy).cast("long")) == 0)
 
 
+def keep(docs: DataFrame, policy: int, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with their own columns; new names begin with ``__q_``."""
+    measured = measure(docs, "text", "__q_").withColumn("__q_bits", bits(rules, "__q_"))
+    return measured.filter(F.col("__q_bits").bitwiseAND(F.lit(policy).cast("long")) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def ablation(ledger: DataFrame, policy: int, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each rule of the policy: documents that fail it, that fail it alone, and that the policy without it rejects."""
     masks = ledger.groupBy("bits").agg(F.count("*").alias("n"))
