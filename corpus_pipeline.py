@@ -20,9 +20,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model, column="__score").filter(F.col("__score") >= quality_classifier.CUT).select(*COLUMNS)
+    # what the rules reject is what the classifier must have seen, so it learns from the table
+    model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs.select(*COLUMNS), model, column="__score").filter(F.col("__score") >= quality_classifier.CUT).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     part = lambda y, third: [t for k, (i, (z, t)) in enumerate(x for x in found if x[1][0] == y) if (k % 3 == 2) is third]
     good, bad = dictionary(part(1, False) or [""]), dictionary(part(0, False) or [""])
     scorer = Scorer(Model(good, bad, (0.0,), (0.0,)))
-    x = [[scorer.difference(t) for t in part(y, True)] for y in (0, 1)]
+    x = [[scorer.difference(t) for t in part(y, True)] if good and bad else [] for y in (0, 1)]
     if not x[0] or not x[1]:
         return Model(b"", b"", (0.0,), (counts[1] / (counts[0] + counts[1]),))
     weight = np.repeat([counts[y] / len(x[y]) for y in (0, 1)], [len(x[0]), len(x[1])])
