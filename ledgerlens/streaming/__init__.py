@@ -1,0 +1 @@
+"""streaming of the statement engine."""
