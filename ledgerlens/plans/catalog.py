@@ -318,12 +318,12 @@ def footer_cut(s, d):
 
 
 @query("""
-WITH l AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS pos, CASE l_returnflag WHEN 'A' THEN 'row' WHEN 'R' THEN 'bad' ELSE 'cont' END AS kind, l_linestatus AS text FROM lineitem),
+WITH l AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS pos, CASE min(l_returnflag) WHEN 'A' THEN 'row' WHEN 'R' THEN 'bad' ELSE 'cont' END AS kind, min(l_linestatus) AS text FROM lineitem GROUP BY 1, 2),
 o AS (SELECT *, max(CASE WHEN kind <> 'cont' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS head FROM l)
 SELECT o.doc_id, head AS pos, string_agg(o.text, ' ' ORDER BY o.pos) AS text FROM o JOIN l ON l.doc_id = o.doc_id AND l.pos = head AND l.kind = 'row' GROUP BY o.doc_id, head""")
 def continuation_join(s, d):
     f = F.col("l_returnflag")
-    li = load(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("pos"), F.when(f == "A", "row").when(f == "R", "bad").otherwise("cont").alias("kind"), F.col("l_linestatus").alias("text"))
+    li = load(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus")).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("pos"), F.when(f == "A", "row").when(f == "R", "bad").otherwise("cont").alias("kind"), F.col("l_linestatus").alias("text"))
     return geometry.join_continuations(li)
 
 
