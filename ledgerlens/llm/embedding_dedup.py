@@ -8,10 +8,15 @@
    (forward and reverse, NEIGHBOURS of each) and keeps the nearest, until a
    round changes little.
 4. Edges at the threshold are kept and give components. A node whose list is
-   full of links is saturated: its list is enlarged to its whole component, in
-   blocks of at most about BLOCK nodes a side, so counts of links are complete
-   there. The same blocks serve the small components.
-5. Audit: AUDIT nodes, the first by hash, are compared with all rows in one
+   full of links is saturated: more of its links may be missing. The saturated
+   nodes of each component make blocks of about BLOCK nodes with a centre and
+   a radius (an angle); all blocks of a label whose centres are not too far
+   apart for a link are compared exactly, and components that link become one.
+   A link whose two ends are saturated is so never lost to the lists' length,
+   and one with an end that is not saturated is in that end's list.
+5. Links are counted inside each component, all nodes with all, in blocks of
+   at most about BLOCK nodes a side.
+6. Audit: AUDIT nodes, the first by hash, are compared with all rows in one
    pass. Below RECALL the search goes on with new projections, ATTEMPTS times
    at most; the recall found is returned with the result.
 
@@ -41,6 +46,8 @@ THRESHOLD = 0.98
 NEIGHBOURS, TREES, LEAF, SIGNS = 6, 8, 128, 14
 ROUNDS, LITTLE = 4, 0.01
 BLOCK = 256
+#: Numbers of the centres on each side that meet in one row, and the slack of the angle bound.
+CENTRES, SLACK = 1 << 17, 1e-6
 AUDIT, RECALL, ATTEMPTS = 512, 0.99, 3
 
 
@@ -142,6 +149,78 @@ def neighbour_graph(nodes: DataFrame, seed: int) -> DataFrame:
     return graph
 
 
+def saturated(graph: DataFrame, threshold: float) -> DataFrame:
+    """(node): the nodes whose whole list links."""
+    return graph.filter(F.col("sim") >= threshold).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") >= NEIGHBOURS).select("node")
+
+
+def bridges(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of components that a link between two of ``nodes`` joins; a node without a root is its own component. Exact."""
+    rows = nodes.select("node", "label", "dim", "vec").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = rows.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("parts"))
+    placed = rows.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")))
+    grouped = placed.groupBy("label", "dim", "component", "part").agg(F.flatten(F.collect_list("vec")).alias("v")).select(F.xxhash64("component", "part", "label", "dim").alias("block"), "label", "dim", "component", "v")
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + SLACK
+    kinds = {f.name: f.dataType.simpleString() for f in grouped.schema.fields}
+
+    def unit(v: pa.Scalar, dim: int) -> np.ndarray:
+        x = v.values.to_numpy().astype(np.float64).reshape(-1, dim)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centres, radii = [], []
+            for v, dim in zip(batch.column("v"), batch.column("dim").to_pylist(), strict=True):
+                x = unit(v, dim)
+                c = x.sum(axis=0)
+                c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else x[0]
+                centres.append(c)
+                radii.append(float(np.arccos(np.clip((x @ c).min(), -1, 1))) if len(x) > 1 else 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64())], [*batch.schema.names, "centre", "radius"])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("block", "label", "dim", "component", "v")) + ", centre array<double>, radius double"
+    blocks = materialize(grouped.mapInArrow(centred, schema), "centres")
+    share = F.greatest(F.lit(1), F.floor(F.lit(CENTRES) / F.col("dim")))
+    sizes = blocks.groupBy("label", "dim").agg(F.count("*").alias("n")).select(F.col("label").alias("l"), F.col("dim").alias("d"), F.ceil(F.col("n") / share).cast("long").alias("parts"))
+    dealt = blocks.join(F.broadcast(sizes), (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d"))).withColumn("part", F.pmod(F.xxhash64("block", F.lit(9)), F.col("parts")))
+    side = materialize(dealt.groupBy("label", "dim", "part", "parts").agg(*[F.collect_list(x).alias(y) for x, y in (("block", "k"), ("component", "c"), ("radius", "r"))], F.flatten(F.collect_list("centre")).alias("x")), "sides")
+    wide = side.withColumn("other", F.explode(F.sequence("part", F.col("parts") - 1)))
+    far = side.select(F.col("label").alias("l"), F.col("dim").alias("d"), F.col("part").alias("p"), *[F.col(c).alias(f"{c}2") for c in "kcrx"])
+    met = wide.join(far, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")) & (F.col("other") == F.col("p"))).select("dim", "k", "c", "r", "x", "k2", "c2", "r2", "x2", (F.col("part") == F.col("other")).alias("same"))
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at = {c: batch.column(c)[row] for c in batch.schema.names}
+                k, c, r, k2, c2, r2 = (at[n].values.to_numpy() for n in ("k", "c", "r", "k2", "c2", "r2"))
+                sims = at["x"].values.to_numpy().reshape(len(k), -1) @ at["x2"].values.to_numpy().reshape(len(k2), -1).T
+                i, j = np.nonzero(sims >= np.cos(min(np.pi, reach + r.max() + r2.max())))
+                fit = (c[i] != c2[j]) & (np.arccos(np.clip(sims[i, j], -1, 1)) <= reach + r[i] + r2[j])
+                if at["same"].as_py():
+                    fit &= i < j
+                yield pa.RecordBatch.from_arrays([pa.array(k[i[fit]]), pa.array(k2[j[fit]])], ["k", "k2"])
+
+    pairs = materialize(met.mapInArrow(allowed, "k long, k2 long"), "allowed")
+    one = blocks.select(F.col("block").alias("k"), "dim", F.col("component").alias("a"), "v")
+    two = blocks.select(F.col("block").alias("k2"), F.col("component").alias("b"), F.col("v").alias("v2"))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_pylist()
+            keep = [bool((unit(v, d) @ unit(v2, d).T >= threshold).any()) for v, v2, d in zip(batch.column("v"), batch.column("v2"), dims, strict=True)]
+            part = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"])
+
+    return pairs.join(one, "k").join(two, "k2").select("a", "b", "dim", "v", "v2").mapInArrow(linked, "a long, b long").distinct()
+
+
+def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``roots`` (node, component) after the components of ``pairs`` (a, b) became one."""
+    merged = components(pairs).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    own = merged.select(F.col("old").alias("node"), F.col("old").alias("component")).join(roots.select("node"), "node", "left_anti")
+    return materialize(roots.unionByName(own).join(merged, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")), "roots")
+
+
 def count_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """(node, linked): for each node, the vectors of other nodes in its component that it links with, copies counted."""
     sizes = roots.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("parts"))
@@ -198,9 +277,11 @@ def deduplicate(embeddings: DataFrame, threshold: float = THRESHOLD, vec_id: str
     nodes = nodes_of(vectors)
     edges, recall = None, 0.0
     for attempt in range(ATTEMPTS):
-        found = neighbour_graph(nodes, 17 + attempt).filter(F.col("sim") >= threshold).select("a", "b")
+        graph = neighbour_graph(nodes, 17 + attempt)
+        found = graph.filter(F.col("sim") >= threshold).select("a", "b")
         edges = materialize(found if edges is None else found.unionByName(edges).distinct(), "links")
         roots = materialize(components(edges), "roots")
+        roots = joined(roots, bridges(nodes.join(saturated(graph, threshold), "node", "left_semi"), roots, threshold))
         linked = materialize(count_links(nodes, roots, threshold), "linked")
         recall = audit(nodes, linked, threshold)
         if recall >= RECALL:

@@ -199,6 +199,41 @@ def test_embeddings(spark):
     assert all(got[k]["n_links"] == 0 and got[k]["component_id"] == k for k in (900, 901, 902, 903, 904, 905))
 
 
+def linked_halves(groups, size, dim=64, seed=3):
+    """Vectors of two tight halves a group; across the halves all cosines are near 0.985, inside them near 0.999."""
+    r = np.random.default_rng(seed)
+    out = []
+    for _ in range(groups):
+        base, turn = np.linalg.qr(r.standard_normal((dim, 2)))[0].T
+        for angle in (0.0, np.arccos(0.986)):
+            x = base * np.cos(angle) + turn * np.sin(angle) + 0.02 * r.standard_normal((size, dim)) / np.sqrt(dim)
+            out += (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).tolist()
+    return out
+
+
+def brute_links(vecs):
+    x = np.array(vecs, dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    root = np.arange(len(vecs))
+    while True:
+        least = np.where(near, root[None, :], len(vecs)).min(axis=1)
+        new = np.minimum(root, least)
+        if (new == root).all():
+            return near.sum(axis=1), root
+        root = new
+
+
+def test_embeddings_of_linked_groups_with_full_lists(spark):
+    vecs = linked_halves(3, 40)
+    n, root = brute_links(vecs)
+    assert len(set(root.tolist())) == 3 and n.min() > 40
+    rows = [(k, v, 1) for k, v in enumerate(vecs)]
+    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in collected(embedding_dedup.deduplicate(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")))}
+    assert got == {k: (n[k], root[k], root[k] == k) for k in range(len(vecs))}
+
+
 def test_classifier_on_held_out_rows(spark):
     r = random.Random(4)
     good = lambda: " ".join(r.choice(["river", "stone", "of", "the", "walks", "slowly"]) for _ in range(60))
