@@ -234,6 +234,21 @@ def test_embeddings_of_linked_groups_with_full_lists(spark):
     assert got == {k: (n[k], root[k], root[k] == k) for k in range(len(vecs))}
 
 
+def test_embeddings_are_compared_exactly_when_the_audit_fails(spark, monkeypatch):
+    """A first graph without any list: all links, of pairs too, come from the exact comparison."""
+    r = np.random.default_rng(9)
+    x = r.standard_normal((60, 16))
+    vecs = np.concatenate([x, x + 0.01 * r.standard_normal(x.shape)]).astype(np.float32).tolist() + linked_halves(1, 20, dim=16)
+    n, root = brute_links(vecs)
+    empty = spark.createDataFrame([], "a long, b long, sim double")
+    monkeypatch.setattr(embedding_dedup, "neighbour_graph", lambda nodes, seed: empty)
+    rows = [(k, v, 1) for k, v in enumerate(vecs)]
+    got = collected(embedding_dedup.deduplicate(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")))
+    assert {x["vec_id"]: (x["n_links"], x["component_id"]) for x in got} == {k: (n[k], root[k]) for k in range(len(vecs))}
+    assert {x["audited_recall"] for x in got} == {1.0}
+    assert embedding_dedup.signs(10) == 14 and embedding_dedup.signs(3_000_000) == 22
+
+
 def test_classifier_on_held_out_rows(spark):
     r = random.Random(4)
     good = lambda: " ".join(r.choice(["river", "stone", "of", "the", "walks", "slowly"]) for _ in range(60))
