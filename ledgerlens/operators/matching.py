@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,16 +57,52 @@ def transfers(txns: DataFrame, days: int = 3, fee: int = 10_000, scale: int = 10
     return found.select(F.col("l_key").alias("debit_key"), F.col("r_key").alias("credit_key"), short.alias("fee"), F.abs(F.datediff("r_date", "l_date")).cast("bigint").alias("gap"))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` by way of the shared folder; a local session without the setting uses its own."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(folder or '/tmp/checkpoints').rstrip('/')}/matching-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, in order, whose debit and credit are both still free."""
+    debits, credits = set(), set()
+    for batch in batches:
+        keep = []
+        for d, c in zip(batch.column("debit_key").to_pylist(), batch.column("credit_key").to_pylist(), strict=True):
+            free = d not in debits and c not in credits
+            keep.append(free)
+            if free:
+                debits.add(d)
+                credits.add(c)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def match_one_to_one(candidates: DataFrame, rounds: int = 20) -> DataFrame:
-    """Greedy one-to-one matching by (fee, gap, keys): rounds of mutually best pairs, to the same result as one sorted pass."""
-    left, done = candidates, None
+    """Greedy one-to-one matching by (fee, gap, keys): rounds of mutually best pairs, to the same result as one sorted pass.
+
+    Ties and chains settle few pairs a round. When a round takes less than a tenth of the candidates, or after ``rounds``, the
+    rest is one sorted pass in one task, which streams its rows and holds the keys it matched.
+    """
+    done = None
     order = [F.col("fee"), F.col("gap"), F.col("debit_key"), F.col("credit_key")]
+    left = _written(candidates)
+    size = left.count()
     for _ in range(rounds):
+        if not size:
+            break
         ranked = left.withColumn("d", F.row_number().over(Window.partitionBy("debit_key").orderBy(*order))).withColumn("c", F.row_number().over(Window.partitionBy("credit_key").orderBy(*order)))
-        best = ranked.filter("d = 1 AND c = 1").drop("d", "c")
+        best = _written(ranked.filter("d = 1 AND c = 1").drop("d", "c"))
         done = best if done is None else done.unionByName(best)
-        left = left.join(best.select("debit_key"), "debit_key", "left_anti").join(best.select("credit_key"), "credit_key", "left_anti")
-        if left.limit(1).count() == 0:
+        left = _written(left.join(best.select("debit_key"), "debit_key", "left_anti").join(best.select("credit_key"), "credit_key", "left_anti").select(*candidates.columns))
+        last, size = size, left.count()
+        if size > 0.9 * last:
             break
-        left = left.checkpoint() if left.sparkSession.conf.get("spark.checkpoint.dir", None) else left
-    return done
+    if not size:
+        return left if done is None else done
+    rest = left.repartition(1).sortWithinPartitions(*order).mapInArrow(_sorted_pass, left.schema)
+    return rest if done is None else done.unionByName(rest)

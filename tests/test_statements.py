@@ -79,6 +79,22 @@ def test_greedy_matching_is_one_to_one(spark):
     assert sorted((r.debit_key, r.credit_key) for r in matching.match_one_to_one(c).collect()) == [(1, 10), (2, 11)]
 
 
+def test_greedy_matching_leaves_no_pair_of_ties_or_chains(spark):
+    ties = [(d, 100 + c, 0, 0) for d in range(30) for c in range(30)]
+    chain = [(1000 + k // 2, 2000 + (k + 1) // 2, k, 0) for k in range(80)]
+    rows = ties + chain[::-1]
+    want, used = [], (set(), set())
+    for d, c, _, _ in sorted(rows, key=lambda x: (x[2], x[3], x[0], x[1])):
+        if d not in used[0] and c not in used[1]:
+            want.append((d, c))
+            used[0].add(d)
+            used[1].add(c)
+    df = spark.createDataFrame(rows, "debit_key bigint, credit_key bigint, fee bigint, gap bigint")
+    assert len(want) == 70
+    assert sorted((r.debit_key, r.credit_key) for r in matching.match_one_to_one(df).collect()) == sorted(want)
+    assert matching.match_one_to_one(df.filter("false")).count() == 0
+
+
 def test_status_precedence(spark):
     c = spark.createDataFrame([("a", "gap", "warn"), ("a", "overlap", "fail"), ("b", "gap", "warn"), ("c", "continuity", "warn")], "account_id string, kind string, status string")
     assert {r.account_id: r.account_status for r in merge.account_status(c).collect()} == {"a": "failed", "b": "incomplete", "c": "complete"}
