@@ -93,6 +93,14 @@ def test_near_dedup(docs):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in collected(near_dedup.deduplicate(docs))) == want
 
 
+def test_keep_one_keeps_one_row_of_a_group_with_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, b), (5, a), (5, b + " more"), (None, c), (None, c + " more"), (7, a + " more"), (None, a + " again"), (8, "")]
+    got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((x["doc_id"], x["text"]) for x in got if x["doc_id"] is not None) == [(3, b), (5, a), (8, "")]
+    assert len([x for x in got if x["doc_id"] is None]) == 1 and all(x["text"] in (c, c + " more") for x in got if x["doc_id"] is None)
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]
