@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize
+from ledgerlens.llm.common import materialize, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
-        now = materialize(small.distinct(), "edges")
+        before, now = now, materialize(small.distinct(), "edges")
+        release(before)
         last, mark = mark, _mark(now)
         if last == mark:
             break

@@ -101,6 +101,29 @@ def test_keep_one_keeps_one_row_of_a_group_with_repeated_and_null_ids(spark):
     assert len([x for x in got if x["doc_id"] is None]) == 1 and all(x["text"] in (c, c + " more") for x in got if x["doc_id"] is None)
 
 
+def test_near_dedup_of_large_sets_hubs_and_shared_passages(spark):
+    """Sets of hundreds of shingles: copies around the threshold, a hub with many branches, a passage that unlike texts share."""
+    r = random.Random(8)
+    prose = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    passage, hub, rows = prose(120), prose(300), []
+    for base in [hub, *[prose(r.randrange(150, 900)) for _ in range(12)]]:
+        for _ in range(60 if base is hub else 8):
+            w = list(base)
+            for _ in range(r.randrange(1, max(2, len(w) // 18))):  # each change costs up to five shingles
+                w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+            rows.append(" ".join(w))
+    rows += [" ".join(prose(40) + passage + prose(r.randrange(10, 200))) for _ in range(80)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, rows)]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    assert len(set(root[:60])) not in (1, 60) and len(set(root)) < len(rows) - 100
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in collected(near_dedup.deduplicate(df))} == {k: (len(s), root[k], root[k] == k) for k, s in enumerate(sets)}
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]
