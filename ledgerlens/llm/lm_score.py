@@ -4,16 +4,20 @@ States are n-grams, the empty one being the root. An arc carries
 log10 p(word | state) = (c(state word) + PRIOR p(word | shorter state)) / (c(state) + PRIOR);
 a state without an arc for the next word falls through its failure arc, of
 weight PRIOR / (c(state) + PRIOR), to the shorter state. At the root a known
-word has (c - DISCOUNT) / N and the class of unknown words DISCOUNT V / N, so
-that each state's probabilities sum to one. One left-to-right traversal of a
-text carries the state and adds up the weights passed.
+word has (c - DISCOUNT) / N and the unknown words share DISCOUNT V / N evenly,
+as many as the counts say are unseen (Chao's estimate from the words seen once
+and twice), so that each state's probabilities sum to one. One left-to-right
+traversal of a text carries the state and adds up the weights passed.
 
 The counts cover every training text and grow with them, so no task holds the
-automaton. Texts are packed into blocks; a block asks for the n-grams it has,
-with its own counts, in slices of the hash range. The slices are grouped and
-summed (each block occurs once in a slice, however frequent an n-gram is), and
-every block gets back the totals in its own order: the part of the automaton
-that its texts can reach. n-grams are known by 64-bit hashes.
+automaton. Texts are packed into blocks; for one order after the other, a block
+asks for the n-grams it has, with its own counts, in slices of the hash range.
+The slices are grouped and summed (each block occurs once in a slice, however
+frequent an n-gram is), and every block gets back the totals in its own order:
+the part of the automaton that its texts can reach. A slice's rows are dropped
+before the next order asks. Blocks times slices are the rows that meet: one for
+each BLOCK_CHARS by SLICE_CHARS, so few against the documents up to some TB.
+n-grams are known by 64-bit hashes.
 
 Defined cases: a null or empty text is the end token alone; a null id trains
 and is not held out; repeated ids or rows count as often as they come; without
@@ -27,6 +31,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +42,9 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import fold, materialize, table
 from ledgerlens.llm.tokens import combine, word_hashes
 
-ORDER, PRIOR, DISCOUNT = 2, 64.0, 0.5
+ORDER, PRIOR, DISCOUNT = 3, 64.0, 0.5
 HELD_OUT_FOLD = 1
-BLOCK_CHARS, SLICE_CHARS = 6_000_000, 1_000_000
+BLOCK_CHARS, SLICE_CHARS = 6_000_000, 16_000_000
 #: The end token's hash.
 END = np.uint64(0x5DEECE66D1234567)
 
@@ -108,8 +113,8 @@ class Grams:
     end: np.ndarray  # by key: a position where it ends
 
 
-def grams(texts: list[str], train: np.ndarray, order: int) -> tuple[list[Grams], np.ndarray]:
-    """The n-grams of orders 1 to ``order``, and the texts' offsets; every text ends with END."""
+def grams(texts: list[str], train: np.ndarray, orders: range) -> tuple[list[Grams], np.ndarray]:
+    """The n-grams of each order, and the texts' offsets; every text ends with END."""
     words, offsets = word_hashes(texts)
     n = np.diff(offsets) + 1
     bounds = np.concatenate([[0], np.cumsum(n)])
@@ -120,7 +125,7 @@ def grams(texts: list[str], train: np.ndarray, order: int) -> tuple[list[Grams],
     age = np.arange(len(h)) - np.repeat(bounds[:-1], n)
     trained = np.repeat(train, n)
     out = []
-    for j in range(1, order + 1):
+    for j in orders:
         where = np.flatnonzero(age >= j - 1)
         hashed = combine([h[where - k] for k in range(j - 1, -1, -1)], j)
         by = np.argsort(hashed)
@@ -140,24 +145,24 @@ def slices(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def requests(packed: DataFrame, order: int, n: int) -> DataFrame:
-    """part, block, keys, counts: what each block has in each slice of each order."""
+    """part, block, keys, counts: what each block has in each slice of one order."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 block, train, data = (batch.column(c)[k].as_py() for c in ("block", "train", "texts"))
-                for j, g in enumerate(grams(texts_of(data, len(train)), np.array(train), order)[0]):
-                    cuts = slices(g.keys, n)
-                    full = np.flatnonzero(np.diff(cuts))
-                    part = [g.keys[cuts[x] : cuts[x + 1]] for x in full]
-                    count = [g.local[cuts[x] : cuts[x + 1]].astype(np.int32) for x in full]
-                    yield pa.RecordBatch.from_arrays([pa.array(j * n + full, pa.int64()), pa.array(np.full(len(full), block), pa.int64()), pa.array([pack_sorted(p) for p in part], pa.binary()), pa.array([pack(c) for c in count], pa.binary())], ["part", "block", "keys", "counts"])
+                g = grams(texts_of(data, len(train)), np.array(train), range(order, order + 1))[0][0]
+                cuts = slices(g.keys, n)
+                full = np.flatnonzero(np.diff(cuts))
+                part = [g.keys[cuts[x] : cuts[x + 1]] for x in full]
+                count = [g.local[cuts[x] : cuts[x + 1]].astype(np.int32) for x in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(np.full(len(full), block), pa.int64()), pa.array([pack_sorted(p) for p in part], pa.binary()), pa.array([pack(c) for c in count], pa.binary())], ["part", "block", "keys", "counts"])
 
     return packed.select("block", "train", "texts").mapInArrow(rows, "part long, block long, keys binary, counts binary")
 
 
-def answers(asked: DataFrame, order: int, n: int) -> DataFrame:
-    """part, block, extra (what other blocks add to its counts); and a row without block: known, tokens of order 1."""
+def answers(asked: DataFrame, order: int) -> DataFrame:
+    """order, part, block, extra (what other blocks add to its counts); and for each part a row without block: what its n-grams count together."""
 
     def total(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
@@ -165,21 +170,21 @@ def answers(asked: DataFrame, order: int, n: int) -> DataFrame:
         counts = [unpack(x, np.int32) for x in rows.column("counts").to_pylist()]
         found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
-        part = rows.column("part")[0].as_py()
         at = np.cumsum([0] + [len(k) for k in keys])
         extra = [pack((sums[inverse[a:b]] - c).astype(np.int64)) for a, b, c in zip(at, at[1:], counts, strict=False)]
-        first = part < n
+        none = [None] * len(extra)
+        seen = {"known": (sums > 0).sum(), "once": (sums == 1).sum(), "twice": (sums == 2).sum(), "tokens": sums.sum()}
         return pa.table(
-            {
-                "part": pa.array([part] * (len(extra) + first), pa.int64()),
-                "block": pa.array(rows.column("block").to_pylist() + [None] * first, pa.int64()),
-                "extra": pa.array(extra + [None] * first, pa.binary()),
-                "known": pa.array([None] * len(extra) + [int((sums > 0).sum())] * first, pa.int64()),
-                "tokens": pa.array([None] * len(extra) + [int(sums.sum())] * first, pa.int64()),
-            }
-        )
+            {"order": pa.array([order] * (len(extra) + 1), pa.int32()), "part": pa.array([rows.column("part")[0].as_py()] * (len(extra) + 1), pa.int64()), "block": pa.array(rows.column("block").to_pylist() + [None], pa.int64()), "extra": pa.array([*extra, None], pa.binary())}
+            | {k: pa.array([*none, int(v)], pa.int64()) for k, v in seen.items()}
+        )
 
-    return materialize(asked.groupBy("part").applyInArrow(total, "part long, block long, extra binary, known long, tokens long"), "answers")
+    return materialize(asked.groupBy("part").applyInArrow(total, "order int, part long, block long, extra binary, known long, once long, twice long, tokens long"), "answers")
+
+
+def unseen_words(once: int, twice: int) -> float:
+    """Chao's estimate of how many words the training texts lack, one at least."""
+    return max(1.0, once * once / (2 * twice) if twice else once * (once - 1) / 2)
 
 
 class Automaton:
@@ -193,9 +198,9 @@ class Automaton:
 
     MISSING = 1.0
 
-    def __init__(self, found: list[Grams], totals: list[np.ndarray], tokens: int, known: int, prior: float, discount: float):
+    def __init__(self, found: list[Grams], totals: list[np.ndarray], tokens: int, known: int, unseen: float, prior: float, discount: float):
         first, top = totals[0], len(totals) - 1
-        p = np.where(first > 0, (first - discount) / max(tokens, 1), discount * known / tokens if tokens else 1.0)
+        p = np.where(first > 0, (first - discount) / max(tokens, 1), discount * known / tokens / unseen if tokens else 1.0)
         begin = 1 + np.concatenate([[0], np.cumsum([len(t) for t in totals])]).astype(np.int64)  # of the states of each length; 0 is the root
         fail, lower = [np.zeros(1)], [np.zeros(1, dtype=np.int64)]
         weight = [np.log10(p)]
@@ -238,23 +243,23 @@ def score(docs: DataFrame, train, order: int = ORDER, prior: float = PRIOR, disc
     packed = blocks(bare)
     chars = packed.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
     n = 1 + chars // SLICE_CHARS
-    totals = answers(requests(packed, order, n), order, n)
-    sums = totals.filter("block IS NULL").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("known"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
-    known, tokens = sums["known"], sums["tokens"]
-    back = totals.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "extra")).alias("extra"))
+    totals = [answers(requests(packed, j, n), j) for j in range(1, order + 1)]
+    sums = totals[0].filter("block IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "once", "twice", "tokens")]).first()
+    known, tokens, unseen = sums["known"], sums["tokens"], unseen_words(sums["once"], sums["twice"])
+    back = reduce(DataFrame.unionByName, totals).filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("order", "part", "extra")).alias("extra"))
     kind = bare.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, train_, data, extra = (batch.column(c)[k].as_py() for c in ("ids", "train", "texts", "extra"))
-                found, bounds = grams(texts_of(data, len(train_)), np.array(train_), order)
-                more = {x["part"]: x["extra"] for x in sorted(extra, key=lambda x: x["part"])}
+                found, bounds = grams(texts_of(data, len(train_)), np.array(train_), range(1, order + 1))
+                more = sorted((x["order"], x["part"], x["extra"]) for x in extra)
                 full = []
                 for j, g in enumerate(found):
-                    mine = [unpack(v, np.int64) for p, v in more.items() if p // n == j]
+                    mine = [unpack(v, np.int64) for o, _, v in more if o == j + 1]
                     full.append(g.local + np.concatenate(mine) if mine else g.local)
-                auto = Automaton(found, full, tokens, known, prior, discount)
+                auto = Automaton(found, full, tokens, known, unseen, prior, discount)
                 path = found[0].at
                 base = np.log10((full[0] + 0.5) / (tokens + 0.5 * (known + 1)))[path]
                 seen = (full[0] > 0)[path].astype(np.int64)
