@@ -44,7 +44,7 @@ from ledgerlens.llm.tokens import combine, word_hashes
 
 ORDER, PRIOR, DISCOUNT = 3, 64.0, 0.5
 HELD_OUT_FOLD = 1
-BLOCK_CHARS, SLICE_CHARS = 6_000_000, 16_000_000
+BLOCK_CHARS, SLICE_CHARS = 3_000_000, 16_000_000
 #: The end token's hash.
 END = np.uint64(0x5DEECE66D1234567)
 
