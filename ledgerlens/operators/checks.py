@@ -50,10 +50,13 @@ def figures(txns: DataFrame, docs: DataFrame) -> DataFrame:
     totals = (F.col("s_credit").isNull() | (F.col("s_credit") == zero("credit"))) & (F.col("s_debit").isNull() | (F.col("s_debit") == zero("debit")))
     d = d.withColumn("printed_totals", F.when(F.col("s_credit").isNull() & F.col("s_debit").isNull(), None).otherwise(ok(totals)))
     passed = reduce(Column.__or__, [F.coalesce(F.col(k) == "pass", F.lit(False)) for k in KINDS[:3]])
-    d = d.withColumn("nothing_verified", ok(passed)).withColumn("running_balance", F.coalesce("running_balance", F.lit("warn")))
+    # a check that passed says so itself; only the lack of any proof is a row of its own
+    d = d.withColumn("nothing_verified", F.when(~passed, "fail")).withColumn("running_balance", F.coalesce("running_balance", F.lit("warn")))
+    if "running" in docs.columns:  # a layout without a balance column has no chain to prove
+        d = d.withColumn("running_balance", F.when(F.col("running"), F.col("running_balance")))
     d = d.withColumn("unresolved_rows", ok(F.coalesce(F.col("unresolved"), F.lit(0)) == 0))
     inside = (F.col("first_day") >= F.col("s_start")) & (F.col("last_day") <= F.col("s_end"))
-    return d.withColumn("date_range", F.when(F.col("s_start").isNull() | F.col("n").isNull(), "warn").otherwise(ok(inside)))
+    return d.withColumn("date_range", F.when(F.col("s_start").isNull() | F.col("s_end").isNull() | F.col("n").isNull(), "warn").otherwise(ok(inside)))
 
 
 def all_checks(txns: DataFrame, docs: DataFrame) -> DataFrame:
@@ -64,3 +67,9 @@ def all_checks(txns: DataFrame, docs: DataFrame) -> DataFrame:
 
 def usable(checks: DataFrame) -> DataFrame:
     return checks.groupBy("doc_id").agg((~F.bool_or(F.col("status") == "fail")).alias("usable"))
+
+
+def outside_period(txns: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, outside, first_outside (date), first_pos of the rows outside the printed period, in printed order."""
+    rows = txns.join(docs.select("doc_id", "s_start", "s_end"), "doc_id").filter(~F.col("date").between(F.col("s_start"), F.col("s_end")))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("outside"), F.min_by("date", "pos").alias("first_outside"), F.min("pos").alias("first_pos"))

@@ -6,20 +6,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def find_labels(header: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, role, align, x0, x1: where a label's words stand next to each other in the header; the first place counts.
+
+    header: doc_id, word_no (from 1, without holes), text, x0, x1. labels: role, align, label.
+    """
+    words = labels.select("role", "align", F.split(F.lower(F.trim("label")), r"\s+").alias("parts"))
+    asked = words.select("role", "align", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part"))
+    met = header.join(asked, F.lower(F.trim("text")) == F.col("part")).withColumn("begin", F.col("word_no") - F.col("k"))
+    whole = met.groupBy("doc_id", "role", "align", "n", "begin").agg(F.count("*").alias("c"), F.min_by("x0", "k").alias("x0"), F.max_by("x1", "k").alias("x1")).filter("c = n")
+    return whole.groupBy("doc_id", "role", "align").agg(F.min(F.struct("begin", "x0", "x1")).alias("b")).select("doc_id", "role", "align", "b.x0", "b.x1")
+
+
 def build_bands(header: DataFrame) -> DataFrame:
-    """Adds ``end``: where the next label of the document begins (null for the last)."""
-    return header.withColumn("end", F.lead("x0").over(Window.partitionBy("doc_id").orderBy("x0")))
+    """doc_id, role, align, x0, x1: a text column's band reaches from its label to the next label (the last one without end)."""
+    end = F.coalesce(F.lead("x0").over(Window.partitionBy("doc_id").orderBy("x0")), F.lit(float("inf")))
+    return header.withColumn("x1", F.when(F.col("align") == "left", end).otherwise(F.col("x1")))
 
 
 def assign(words: DataFrame, bands: DataFrame, tolerance: float = 6.0) -> DataFrame:
-    """doc_id, word_no, role: the numeric band with the nearest right edge within tolerance (a tie: null), else the first text band that holds the word's left edge."""
+    """doc_id, word_no, role: the numeric band whose edge is nearest, within tolerance (a tie: null), else the first text band that holds the word's left edge.
+
+    A right band is matched by right edges, a center band by middles. The join
+    is by document: words times the few bands of its header.
+    """
     both = words.join(bands, "doc_id")
-    far = F.abs(F.col("w_x1") - F.col("x1"))
-    number = (F.col("align") == "right") & (far <= tolerance)
-    text = (F.col("align") == "left") & (F.col("w_x0") >= F.col("x0") - tolerance) & (F.col("w_x0") < F.coalesce("x1", F.lit(float("inf"))))
-    best = both.groupBy("doc_id", "word_no").agg(F.min(F.when(number, far)).alias("d"), F.min_by(F.when(number, F.col("role")), F.when(number, far)).alias("numeric"), F.min_by(F.when(text, F.col("role")), F.when(text, F.col("x0"))).alias("textual"), F.sort_array(F.collect_list(F.when(number, far))).alias("all"))
-    tie = F.coalesce(F.abs(F.get("all", F.lit(1)) - F.get("all", F.lit(0))) < 1e-9, F.lit(False))
-    return best.select("doc_id", "word_no", F.when(F.col("d").isNotNull(), F.when(~tie, F.col("numeric"))).otherwise(F.col("textual")).alias("role"))
+    centre = F.col("align") == "center"
+    edge = F.when(centre, (F.col("w_x0") + F.col("w_x1")) / 2).otherwise(F.col("w_x1"))
+    far = F.abs(edge - F.when(centre, (F.col("x0") + F.col("x1")) / 2).otherwise(F.col("x1")))
+    number = (F.col("align") != "left") & (far <= tolerance)
+    text = (F.col("align") == "left") & (F.col("w_x0") >= F.col("x0") - tolerance) & (F.col("w_x0") < F.col("x1"))
+    near = F.array_sort(F.collect_list(F.when(number, F.struct(far.alias("d"), F.col("role").alias("role")))))  # as many as the header has columns
+    best = both.groupBy("doc_id", "word_no").agg(near.alias("near"), F.min(F.when(text, F.struct("x0", "role"))).alias("textual"))
+    tie = F.coalesce(F.abs(F.get("near", F.lit(1))["d"] - F.get("near", F.lit(0))["d"]) < 1e-9, F.lit(False))
+    return best.select("doc_id", "word_no", F.when(F.size("near") > 0, F.when(~tie, F.get("near", F.lit(0))["role"])).otherwise(F.col("textual.role")).alias("role"))
 
 
 def footer_cut(lines: DataFrame) -> DataFrame:
@@ -41,7 +61,7 @@ def group_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
 
     An ordered fold over a page's words, which no window frame expresses.
     """
-    page = words.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct(F.round("top", 1).alias("t"), "x0", "word_no", "top"))).alias("w"))
+    page = words.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct(F.bround("top", 1).alias("t"), "x0", "word_no", "top"))).alias("w"))
     empty = F.struct(F.array().cast("array<double>").alias("anchors"), F.array().cast("array<struct<word_no:bigint,line:bigint>>").alias("out"))
 
     def place(acc, x):

@@ -31,7 +31,12 @@ def resolve_accounts(docs: DataFrame, accounts: DataFrame) -> DataFrame:
     """doc_id, account_id: a printed identifier decides alone (one hit or null); else exactly one hit in the body text."""
     ids = accounts.select("account_id", F.explode("identifiers").alias("i")).select("account_id", squash(F.col("i")).alias("i")).filter("i <> ''")
     hay = docs.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("tier"), squash(F.col("printed")).alias("hay")), F.struct(F.lit(2).alias("tier"), squash(F.col("body")).alias("hay")))).alias("h")).select("doc_id", "h.*").filter("hay <> ''")
-    hits = hay.join(ids, F.contains("hay", F.col("i"))).groupBy("doc_id").agg(*[f for k in (1, 2) for f in (F.countDistinct(F.when(F.col("tier") == k, F.col("account_id"))).alias(f"n{k}"), F.min(F.when(F.col("tier") == k, F.col("account_id"))).alias(f"a{k}"))])
+    # identifiers have a few lengths; a text's runs of these lengths meet them by equality
+    lengths = sorted(r["n"] for r in ids.select(F.length("i").alias("n")).distinct().collect())
+    cuts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("hay") - n + 1, F.lit(1))), lambda k: F.substring(F.col("hay"), k, F.lit(n)))
+    runs = [cuts(n) for n in lengths]
+    cut = hay.withColumn("run", F.explode(F.array_distinct(F.flatten(F.array(*runs))) if runs else F.array().cast("array<string>")))
+    hits = cut.join(ids, F.col("run") == F.col("i")).groupBy("doc_id").agg(*[f for k in (1, 2) for f in (F.countDistinct(F.when(F.col("tier") == k, F.col("account_id"))).alias(f"n{k}"), F.min(F.when(F.col("tier") == k, F.col("account_id"))).alias(f"a{k}"))])
     named = F.coalesce(squash(F.col("printed")), F.lit("")) != ""
     pick = F.when(named & (F.coalesce("n1", F.lit(0)) > 0), F.when(F.col("n1") == 1, F.col("a1"))).otherwise(F.when(F.col("n2") == 1, F.col("a2")))
     return docs.join(hits, "doc_id", "left").select("doc_id", pick.alias("account_id"))

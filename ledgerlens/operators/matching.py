@@ -40,9 +40,74 @@ def _side(txns: DataFrame, prefix: str) -> DataFrame:
 
 
 def reversals(txns: DataFrame, days: int = 30) -> DataFrame:
-    """key, original: for each row the nearest earlier row of the account with the opposite amount within ``days``."""
-    near = _near(_side(txns, "l"), _side(txns, "r"), ["account_id"], days, F.col("l_amount") == -F.col("r_amount")).filter("r_date <= l_date AND r_key <> l_key")
-    return near.groupBy(F.col("l_key").alias("key")).agg(F.max_by("r_key", F.struct("r_date", "r_key")).alias("original"))
+    """key, original: for each credit the nearest earlier debit of the account with the same amount within ``days``; each debit is taken back once.
+
+    Of several credits for one debit the first in printed order has it.
+    """
+    credit, debit = _side(txns.filter("amount > 0"), "l"), _side(txns.filter("amount < 0"), "r")
+    near = _near(credit, debit, ["account_id"], days, F.col("l_amount") == -F.col("r_amount")).filter("r_date <= l_date AND r_key <> l_key")
+    best = near.groupBy(F.col("l_key").alias("key")).agg(F.max(F.struct("r_date", "r_key", "l_date")).alias("o")).select("key", F.col("o.r_key").alias("original"), "o.l_date")
+    return best.groupBy("original").agg(F.min(F.struct("l_date", "key")).alias("k")).select("k.key", "original")
+
+
+def nearest_pairs(left: DataFrame, right: DataFrame, days: int, far: Column) -> DataFrame:
+    """l_key, r_key, far: rows of one account within ``days`` that are each other's nearest by ``far`` (over l_* and r_* columns; ties by key).
+
+    Null distances don't pair. Both sides rank their candidates, which are few: those of some days of one account.
+    """
+    near = _near(_side(left, "l"), _side(right, "r"), ["account_id"], days, F.lit(True)).withColumn("far", far).filter("far IS NOT NULL")
+    rank = lambda side, other: F.row_number().over(Window.partitionBy(f"{side}_key").orderBy("far", f"{other}_key"))
+    return near.withColumn("a", rank("l", "r")).withColumn("b", rank("r", "l")).filter("a = 1 AND b = 1").select("l_key", "r_key", "far")
+
+
+def profit_tax(profits: DataFrame, taxes: DataFrame, days: int = 5, percent: int = 20, tolerance: float = 0.02) -> DataFrame:
+    """profit_key, tax_key, status: each profit with the tax debit that is nearest to its rate; ``warn`` where the rate is off, ``unpaired`` where one side is alone."""
+    far = F.abs(-F.col("r_amount") * 100 - percent * F.col("l_amount"))
+    pairs = nearest_pairs(profits, taxes, days, far)
+    off = F.col("far") > F.lit(tolerance) * 100 * F.col("gross")
+    paired = pairs.join(profits.select(F.col("key").alias("l_key"), F.col("amount").alias("gross")), "l_key").select(F.col("l_key").alias("profit_key"), F.col("r_key").alias("tax_key"), F.when(off, "warn").otherwise("ok").alias("status"))
+    alone = lambda rows, c: rows.select(F.col("key").alias(c)).join(paired.select(c), c, "left_anti")
+    none = F.lit(None).cast("bigint")
+    lone_profit = alone(profits, "profit_key").select("profit_key", none.alias("tax_key"), F.lit("unpaired").alias("status"))
+    lone_tax = alone(taxes, "tax_key").select(none.alias("profit_key"), "tax_key", F.lit("unpaired").alias("status"))
+    return paired.unionByName(lone_profit).unionByName(lone_tax)
+
+
+def export_tax(exports: DataFrame, debits: DataFrame, days: int = 3, tolerance: int = 100) -> DataFrame:
+    """export_key, tax_key, deducted, expected, shortfall: the debit within tolerance of 1 % of an export credit, else of 0.25 %; without one nothing was deducted."""
+    size = -F.col("r_amount")
+    one, quarter = F.abs(size * 100 - F.col("l_amount")), F.abs(size * 400 - F.col("l_amount"))
+    far = F.when(one <= 100 * tolerance, one * 4).when(quarter <= 400 * tolerance, quarter + 1600 * tolerance)
+    pairs = nearest_pairs(exports, debits, days, far)
+    tax = debits.select(F.col("key").alias("r_key"), (-F.col("amount")).alias("deducted"))
+    expected = F.expr("amount div 100")
+    out = exports.join(pairs.join(tax, "r_key"), exports["key"] == pairs["l_key"], "left").withColumn("deducted", F.coalesce("deducted", F.lit(0)))
+    return out.select(F.col("key").alias("export_key"), F.col("r_key").alias("tax_key"), "deducted", expected.alias("expected"), F.greatest(expected - F.col("deducted"), F.lit(0)).alias("shortfall"))
+
+
+def named_in(texts: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
+    """(key, account_id): which accounts' hints stand in a text as whole words, by equal runs of up to ``longest`` words.
+
+    texts: key, text. names: account_id, hint.
+    """
+    words = F.filter(F.split(F.upper("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    run = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda k: F.array_join(F.slice("w", k, n), " "))).otherwise(F.array().cast("array<string>"))
+    runs = F.flatten(F.array(*[run(n) for n in range(1, longest + 1)]))
+    said = texts.select("key", words.alias("w")).select("key", F.explode(F.array_distinct(runs)).alias("run")).filter("run IS NOT NULL")
+    asked = names.select("account_id", F.array_join(F.filter(F.split(F.upper("hint"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ").alias("run")).filter("run <> ''").distinct()
+    return said.join(asked, "run").select("key", "account_id").distinct()
+
+
+def own_accounts(txns: DataFrame, accounts: DataFrame) -> DataFrame:
+    """key, category: rows that name an own account without statements: a foreign one's credits are exports, all else is an unmatched own transfer.
+
+    accounts: account_id, kind, statement_expected, hints. A row that names both kinds is taken as foreign.
+    """
+    names = accounts.filter("NOT statement_expected").select("account_id", "kind", F.explode("hints").alias("hint"))
+    hits = named_in(txns.select("key", F.col("description").alias("text")), names).join(names.select("account_id", "kind").distinct(), "account_id")
+    foreign = hits.groupBy("key").agg(F.bool_or(F.col("kind") == "foreign").alias("foreign"))
+    category = F.when(F.col("foreign") & (F.col("amount") > 0), "export_proceeds").otherwise("own_transfer_unmatched")
+    return txns.join(foreign, "key").select("key", category.alias("category"))
 
 
 def transfers(txns: DataFrame, days: int = 3, fee: int = 10_000, scale: int = 100_000) -> DataFrame:
@@ -106,3 +171,81 @@ def match_one_to_one(candidates: DataFrame, rounds: int = 20) -> DataFrame:
         return left if done is None else done
     rest = left.repartition(1).sortWithinPartitions(*order).mapInArrow(_sorted_pass, left.schema)
     return rest if done is None else done.unionByName(rest)
+
+
+def tiers(candidates: DataFrame, txns: DataFrame, accounts: DataFrame) -> DataFrame:
+    """candidates (debit_key, credit_key, fee, gap) plus debit_account, credit_account, signals, tier.
+
+    Signals: a description names the other account by a hint, the owner, or the
+    other account's institution. strong: exact, at most a day apart, with a signal.
+    accounts: account_id, hints, owner, institution.
+    """
+    side = lambda p: txns.select(F.col("key").alias(f"{p}_key"), F.col("account_id").alias(f"{p}_account"))
+    both = candidates.join(side("debit"), "debit_key").join(side("credit"), "credit_key")
+    used = both.select(F.explode(F.array("debit_key", "credit_key")).alias("key")).distinct()
+    texts = txns.join(used, "key", "left_semi").select("key", F.col("description").alias("text"))
+    names = accounts.select("account_id", F.explode(F.concat(F.transform("hints", lambda h: F.struct(F.lit(1).alias("e"), h.alias("hint"))), F.array(F.struct(F.lit(2).alias("e"), F.col("owner").alias("hint")), F.struct(F.lit(3).alias("e"), F.col("institution").alias("hint"))))).alias("n")).select("account_id", "n.e", "n.hint")
+    hits = [named_in(texts, names.filter(F.col("e") == e)).withColumn("e", F.lit(e)) for e in (1, 2, 3)]
+    said = hits[0].unionByName(hits[1]).unionByName(hits[2])
+    asked = both.select("debit_key", "credit_key", F.explode(F.array(F.struct(F.col("debit_key").alias("key"), F.col("credit_account").alias("account_id")), F.struct(F.col("credit_key").alias("key"), F.col("debit_account").alias("account_id")))).alias("q")).select("debit_key", "credit_key", "q.*")
+    found = asked.join(said, ["key", "account_id"]).groupBy("debit_key", "credit_key").agg(F.countDistinct("e").alias("signals"))
+    out = both.join(found, ["debit_key", "credit_key"], "left").withColumn("signals", F.coalesce("signals", F.lit(0)))
+    return out.withColumn("tier", F.when((F.col("fee") == 0) & (F.col("gap") <= 1) & (F.col("signals") > 0), "strong").otherwise("possible"))
+
+
+def match_tiers(candidates: DataFrame) -> DataFrame:
+    """debit_key, credit_key, status (matched, ambiguous_pair) of the candidates of ``tiers``; each transaction is matched once at most.
+
+    Levels (tier, exact or not, days, signals) are settled one after the other,
+    a few dozen at most. On a level, transactions whose candidates lead to
+    different accounts are all flagged and stay out; what is left joins one
+    account with one other, and each such pair of accounts is settled in
+    printed order by a task of its own.
+    """
+    # one number for (tier, exact or not, days, signals), the best first
+    level = (((F.col("tier") != "strong").cast("bigint") * 2 + (F.col("fee") > 0).cast("bigint")) * 100_000 + F.col("gap")) * 100 + 99 - F.col("signals")
+    left = _written(candidates.withColumn("level", level))
+    out = None
+    for row in sorted(r["level"] for r in left.select("level").distinct().collect()):
+        here = left.filter(F.col("level") == row)
+        mixed = lambda a, b: here.groupBy(f"{a}_key").agg(F.countDistinct(f"{b}_account").alias("n")).filter("n > 1").select(f"{a}_key")
+        by_debit, by_credit = here.join(mixed("debit", "credit"), "debit_key", "left_semi"), here.join(mixed("credit", "debit"), "credit_key", "left_semi")
+        bad = by_debit.unionByName(by_credit).select("debit_key", "credit_key").distinct()
+        rest = here.join(bad.select("debit_key").distinct(), "debit_key", "left_anti").join(bad.select("credit_key").distinct(), "credit_key", "left_anti")
+        done = rest.select("debit_account", "credit_account", "debit_key", "credit_key").groupBy("debit_account", "credit_account").applyInArrow(_in_order, "debit_key long, credit_key long")
+        found = _written(bad.withColumn("status", F.lit("ambiguous_pair")).unionByName(done.withColumn("status", F.lit("matched"))))
+        out = found if out is None else out.unionByName(found)
+        left = _written(left.join(found.select("debit_key").distinct(), "debit_key", "left_anti").join(found.select("credit_key").distinct(), "credit_key", "left_anti"))
+    return candidates.select("debit_key", "credit_key", F.lit("").alias("status")).filter("false") if out is None else out
+
+
+def _in_order(rows: pa.Table) -> pa.Table:
+    """Of one pair of accounts: the candidates, in printed order, whose debit and credit are both still free."""
+    sorted_rows = rows.select(["debit_key", "credit_key"]).sort_by([("debit_key", "ascending"), ("credit_key", "ascending")])
+    return pa.Table.from_batches(_sorted_pass(iter(sorted_rows.combine_chunks().to_batches())), sorted_rows.schema)
+
+
+def income_conflicts(matches: DataFrame, categories: DataFrame, income: tuple[str, ...] = ("export_proceeds", "profit_on_debt", "salary_net")) -> DataFrame:
+    """key, category, outcome of matched transactions: a pair of which one side was proposed as income is a conflict, others are internal transfers."""
+    pairs = matches.filter("status = 'matched'").select("debit_key", "credit_key")
+    keys = pairs.select("debit_key", "credit_key", F.explode(F.array("debit_key", "credit_key")).alias("key")).join(categories, "key", "left")
+    clash = keys.groupBy("debit_key", "credit_key").agg(F.coalesce(F.bool_or(F.col("category").isin(*income)), F.lit(False)).alias("clash"))
+    judged = keys.join(clash, ["debit_key", "credit_key"])
+    return judged.select("key", F.when(F.col("clash"), F.col("category")).otherwise("internal_transfer").alias("category"), F.when(F.col("clash"), "conflict").otherwise("proposed").alias("outcome"))
+
+
+def decide(proposals: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decided, orphans): proposals (key, category, outcome) with the owner's decisions (key, category) put over them; decisions without a proposal are orphans."""
+    d = decisions.select("key", F.col("category").alias("decided"))
+    out = proposals.join(d, "key", "left").select("key", F.coalesce("decided", "category").alias("category"), F.when(F.col("decided").isNotNull(), "decided").otherwise(F.col("outcome")).alias("outcome"))
+    return out, d.join(proposals, "key", "left_anti").select("key", F.col("decided").alias("category"))
+
+
+# What the owner is asked first.
+QUEUE = ("conflict", "strong", "possible", "income", "unclassified_credit", "unpaired", "missing")
+
+
+def review_queue(items: DataFrame) -> DataFrame:
+    """items (kind, key, amount) plus ``place``: the queue's order by kind, then the larger amount, then the key."""
+    place = F.array_position(F.array(*map(F.lit, QUEUE)), F.col("kind"))
+    return items.withColumn("place", place.cast("int"))

@@ -28,17 +28,59 @@ def claim_overlaps(txns: DataFrame, ranked: DataFrame) -> DataFrame:
     return own.join(claims, ["doc_id", "pos"], "left")
 
 
-def gaps(docs: DataFrame, start: str, end: str) -> DataFrame:
-    """account_id, gap_start, gap_end: days of the window that no statement covers."""
-    d = docs.filter("doc_start IS NOT NULL AND doc_end IS NOT NULL")
+def overlap_checks(claimed: DataFrame, ranked: DataFrame) -> DataFrame:
+    """doc_id, claimed_by, lo, hi, existing, incoming, status: whether two statements tell the same of the days that both cover.
+
+    claimed: rows of ``claim_overlaps``. The rows that a statement loses to an
+    earlier one, in printed order, are held against the rows kept so far for
+    these days; a row is its date, amount, balance and description. Both sides
+    are numbered and joined by number, so no list of rows is built.
+    """
+    pair = ranked.select(F.col("account_id").alias("e_account"), F.col("doc_rank").alias("claimed_by"), F.col("doc_start").alias("e_start"), F.col("doc_end").alias("e_end"))
+    lost = claimed.filter("claimed_by IS NOT NULL").select("doc_id", "claimed_by", "account_id", "doc_rank", "doc_start", "doc_end").distinct()
+    windows = lost.join(pair, (F.col("account_id") == F.col("e_account")) & lost["claimed_by"].eqNullSafe(pair["claimed_by"])).select(
+        "doc_id", lost["claimed_by"], "account_id", "doc_rank", F.greatest("doc_start", "e_start").alias("lo"), F.least("doc_end", "e_end").alias("hi")
+    )
+    key = F.struct("date", "amount", "balance_after", F.upper(F.trim("description")).alias("description")).alias("key")
+    incoming = claimed.filter("claimed_by IS NOT NULL").select("doc_id", "claimed_by", F.lit(0).cast("bigint").alias("o_rank"), "pos", key, F.lit("in").alias("side"))
+    kept = claimed.filter("claimed_by IS NULL").select(F.col("account_id").alias("k_account"), F.col("doc_rank").alias("o_rank"), "pos", "date", key)
+    inside = (F.col("account_id") == F.col("k_account")) & (F.col("o_rank") < F.col("doc_rank")) & F.col("date").between(F.col("lo"), F.col("hi"))
+    existing = windows.join(kept, inside).select("doc_id", "claimed_by", "o_rank", "pos", "key", F.lit("kept").alias("side"))
+    number = Window.partitionBy("doc_id", "claimed_by", "side").orderBy("o_rank", "pos")
+    both = incoming.unionByName(existing).withColumn("k", F.row_number().over(number))
+    by_row = both.groupBy("doc_id", "claimed_by", "k").agg(F.count("*").alias("n"), F.min("key").eqNullSafe(F.max("key")).alias("same"), F.count_if(F.col("side") == "in").alias("i"))
+    found = by_row.groupBy("doc_id", "claimed_by").agg(F.bool_and((F.col("n") == 2) & F.col("same")).alias("same"), F.sum("i").alias("incoming"), F.sum(F.col("n") - F.col("i")).alias("existing"))
+    status = F.when(F.col("same"), "pass").otherwise("fail")
+    return windows.join(found, ["doc_id", "claimed_by"]).select("doc_id", "account_id", "claimed_by", "lo", "hi", "existing", "incoming", status.alias("status"))
+
+
+def gaps(docs: DataFrame, start: str, end: str, accounts: DataFrame | None = None) -> DataFrame:
+    """account_id, gap_start, gap_end: days of the window that no statement covers.
+
+    With accounts (account_id, opened_on, closed_on) the window of each is cut to the days it was open.
+    """
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    d = docs.filter("doc_start IS NOT NULL AND doc_end IS NOT NULL").select("account_id", "doc_start", "doc_end", "doc_id")
+    if accounts is not None:
+        d = d.join(accounts.select("account_id", "opened_on", "closed_on"), "account_id", "left")
+        first, last = F.greatest(first, F.coalesce("opened_on", first)), F.least(last, F.coalesce("closed_on", last))
+    d = d.select("account_id", "doc_start", "doc_end", "doc_id", first.alias("w_start"), last.alias("w_end"))
     w = Window.partitionBy("account_id").orderBy("doc_start", "doc_end", "doc_id")
-    tail = d.select("account_id").distinct().select("account_id", F.date_add(F.lit(end).cast("date"), 1).alias("doc_start"), F.date_add(F.lit(end).cast("date"), 1).alias("doc_end"), F.lit("~").alias("doc_id"))
-    rows = d.select("account_id", "doc_start", "doc_end", "doc_id").unionByName(tail)
+    tail = d.groupBy("account_id").agg(F.first("w_start").alias("w_start"), F.first("w_end").alias("w_end")).select("account_id", F.date_add("w_end", 1).alias("doc_start"), F.date_add("w_end", 1).alias("doc_end"), F.lit("~").alias("doc_id"), "w_start", "w_end")
+    rows = d.withColumn("doc_id", F.col("doc_id").cast("string")).unionByName(tail)
     sofar = F.date_add(F.max("doc_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), 1)
-    rows = rows.withColumn("gap_start", F.greatest(F.lit(start).cast("date"), sofar)).withColumn("gap_end", F.least(F.date_sub("doc_start", 1), F.lit(end).cast("date")))
+    rows = rows.withColumn("gap_start", F.greatest("w_start", sofar)).withColumn("gap_end", F.least(F.date_sub("doc_start", 1), F.col("w_end")))
     return rows.filter("gap_start <= gap_end").select("account_id", "gap_start", "gap_end")
 
 
+def gap_checks(docs: DataFrame, start: str, end: str, accounts: DataFrame | None = None) -> DataFrame:
+    """account_id, kind, status, gap_days: warn where days of the year lack a statement, or where no statement has a period."""
+    lost = gaps(docs, start, end, accounts).groupBy("account_id").agg(F.sum(F.datediff("gap_end", "gap_start") + 1).alias("gap_days"))
+    known = docs.groupBy("account_id").agg(F.bool_or(F.col("doc_start").isNotNull() & F.col("doc_end").isNotNull()).alias("dated"))
+    out = known.join(lost, "account_id", "left")
+    return out.select("account_id", F.lit("gap").alias("kind"), F.when(F.col("dated") & F.col("gap_days").isNull(), "pass").otherwise("warn").alias("status"), F.coalesce("gap_days", F.lit(0)).alias("gap_days"))
+
+
 def balance_continuity(docs: DataFrame) -> DataFrame:
     """account_id, doc_id, next_start, status: a closing balance against the next statement's opening, where no day lies between."""
     w = Window.partitionBy("account_id").orderBy("doc_start", "doc_end", "doc_id")
@@ -48,19 +90,77 @@ def balance_continuity(docs: DataFrame) -> DataFrame:
     return d.select("account_id", "doc_id", "next_start", F.when(same.isNull(), "warn").when(same, "pass").otherwise("fail").alias("status"))
 
 
-def boundaries(txns: DataFrame, start: str, end: str) -> DataFrame:
-    """account_id, opening, closing, net, n of the year, from balances in printed order.
+def boundaries(rows: DataFrame, docs: DataFrame, accounts: DataFrame, start: str, end: str) -> DataFrame:
+    """account_id, opening, opening_source, closing, closing_source, net, n: the balances at both ends of the year.
+
+    rows: kept rows of all statements (account_id, doc_rank, pos, date, amount,
+    balance_after), taken in printed order: statement by statement, then
+    position. docs: account_id, file_seq, s_opening, s_closing, doc_start,
+    doc_end, running. accounts: account_id, anchor (the owner's opening balance,
+    null where none is known).
 
-    A year without rows takes both from the last row before it.
+    With a balance column the year's first and last rows give both ends; a year
+    without rows has the last balance before it, else the first printed opening;
+    an account without any rows has its printed figures. Without a balance
+    column, or where one end stays open, the other end and the year's rows give
+    it, at last the anchor. Sources: printed, computed, anchor, unknown.
     """
-    inside = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    before = F.col("date") < F.lit(start).cast("date")
-    at = F.struct("date", "pos")
-    agg = txns.groupBy("account_id").agg(
-        F.min_by(F.when(inside, F.col("balance_after") - F.col("amount")), F.when(inside, at)).alias("first_open"), F.max_by(F.when(inside, F.col("balance_after")), F.when(inside, at)).alias("last_close"),
-        F.max_by(F.when(before, F.col("balance_after")), F.when(before, at)).alias("dormant"), F.coalesce(F.sum(F.when(inside, F.col("amount"))), F.lit(0)).alias("net"), F.count_if(inside).cast("bigint").alias("n"),
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    inside, before = F.col("date").between(first, last), F.col("date") < first
+    at = F.struct("doc_rank", "pos")
+    of_rows = rows.groupBy("account_id").agg(
+        F.min_by(F.struct((F.col("balance_after") - F.col("amount")).alias("b")), F.when(inside, at)).alias("open"), F.max_by(F.struct(F.col("balance_after").alias("b")), F.when(inside, at)).alias("close"),
+        F.max_by(F.struct(F.col("balance_after").alias("b")), F.when(before, at)).alias("earlier"), F.count_if(before).alias("n_before"),
+        F.coalesce(F.sum(F.when(inside, F.col("amount"))), F.lit(0)).alias("net"), F.count_if(inside).cast("bigint").alias("n"), F.count("*").alias("n_all"),
     )
-    return agg.select("account_id", F.when(F.col("n") > 0, F.col("first_open")).otherwise(F.col("dormant")).alias("opening"), F.when(F.col("n") > 0, F.col("last_close")).otherwise(F.col("dormant")).alias("closing"), "net", "n")
+    seq = F.col("file_seq")
+    of_docs = docs.groupBy("account_id").agg(
+        F.min_by("s_opening", F.when(F.col("s_opening").isNotNull(), seq)).alias("p_open"), F.max_by("s_closing", F.when(F.col("s_closing").isNotNull(), seq)).alias("p_close"),
+        F.coalesce(F.bool_or(F.col("doc_start") == first), F.lit(False)).alias("from_first"), F.coalesce(F.bool_or(F.col("doc_end") == last), F.lit(False)).alias("to_last"), F.coalesce(F.bool_or("running"), F.lit(False)).alias("running"),
+    )
+    a = of_docs.join(of_rows, "account_id", "left").join(accounts.select("account_id", "anchor"), "account_id", "left").fillna(0, ["net", "n", "n_all", "n_before"])
+    live, some = F.col("n") > 0, F.col("n_all") > 0
+    dormant = F.when(F.col("n_before") > 0, F.col("earlier.b")).otherwise(F.col("p_open"))
+    opening = F.when(live, F.col("open.b")).when(some, dormant).otherwise(F.col("p_open"))
+    closing = F.when(live, F.col("close.b")).when(some, dormant).otherwise(F.coalesce("p_close", "p_open"))
+    a = a.withColumn("opening", F.when(F.col("running"), opening)).withColumn("closing", F.when(F.col("running"), closing))
+    kind = lambda value, at_edge, printed: F.when(value.isNull(), "unknown").when(live, F.when(at_edge & printed.isNotNull(), "printed").otherwise("computed")).when(some, "computed").otherwise("printed")
+    a = a.withColumn("opening_source", kind(F.col("opening"), F.col("from_first"), F.col("p_open"))).withColumn("closing_source", kind(F.col("closing"), F.col("to_last"), F.col("p_close")))
+    # one known end and the year's rows give the other; else the anchor gives both
+    o, c, net, anchor = F.col("opening"), F.col("closing"), F.col("net"), F.col("anchor")
+    open_none, both_none = o.isNull() & c.isNotNull(), o.isNull() & c.isNull()
+    return a.select(
+        "account_id", F.when(open_none, c - net).when(both_none, anchor).otherwise(o).alias("opening"),
+        F.when(open_none, "computed").when(both_none & anchor.isNotNull(), "anchor").otherwise(F.col("opening_source")).alias("opening_source"),
+        F.when(c.isNull() & o.isNotNull(), o + net).when(both_none, anchor + net).otherwise(c).alias("closing"),
+        F.when((c.isNull() & o.isNotNull()) | (both_none & anchor.isNotNull()), "computed").otherwise(F.col("closing_source")).alias("closing_source"), "net", "n",
+    )
+
+
+def ledgers(rows: DataFrame, docs: DataFrame, accounts: DataFrame, statement_checks: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """(ledgers, checks) of accounts: statements proved, merged, joined at their seams, and cut to the year.
+
+    rows: doc_id, pos, date, amount, balance_after, description. docs: doc_id,
+    account_id, container, file_seq, doc_start, doc_end, s_opening, s_closing,
+    running. accounts: account_id, opened_on, closed_on, anchor, prior_closing.
+    statement_checks: doc_id, kind, status. A failed check empties its account.
+    """
+    ranked = rank_statements(docs)
+    claimed = claim_overlaps(rows, ranked)
+    kept = claimed.filter("claimed_by IS NULL")
+    found = statement_checks.join(docs.select("doc_id", "account_id"), "doc_id").select("account_id", "kind", "status")
+    for kind, part in (("overlap", overlap_checks(claimed, ranked)), ("continuity", balance_continuity(docs)), ("gap", gap_checks(docs, start, end, accounts))):
+        found = found.unionByName(part.select("account_id", F.lit(kind).alias("kind"), "status"))
+    ends = boundaries(kept, docs, accounts, start, end).join(accounts.select("account_id", "prior_closing"), "account_id", "left")
+    failed = found.groupBy("account_id").agg(F.bool_or(F.col("status") == "fail").alias("failed"))
+    ends = ends.join(failed, "account_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+    open_end = (F.col("opening_source") == "unknown") | (F.col("closing_source") == "unknown")
+    late = F.filter(F.array(F.when(open_end, "anchor_missing"), F.when(F.col("opening") != F.col("prior_closing"), "prior_year_mismatch")), lambda x: x.isNotNull())
+    found = found.unionByName(ends.filter("NOT failed").select("account_id", F.explode(late).alias("kind"), F.lit("warn").alias("status")))
+    cut = lambda c: F.when(F.col("account_status") != "failed", F.col(c)).alias(c)
+    source = lambda c: F.when(F.col("account_status") == "failed", "unknown").otherwise(F.col(c)).alias(c)
+    out = ends.join(account_status(found), "account_id").select("account_id", "account_status", cut("opening"), source("opening_source"), cut("closing"), source("closing_source"), cut("net"), cut("n"))
+    return out, found
 
 
 def account_status(account_checks: DataFrame) -> DataFrame:

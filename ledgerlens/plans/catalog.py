@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import money, text
-from ledgerlens.operators import checks, geometry, layout, matching, merge
+from ledgerlens.operators import checks, geometry, layout, masking, matching, merge, tabular
+from ledgerlens.operators import profiles as layouts
+from ledgerlens.sources import statements
 from ledgerlens.plans import views
 from ledgerlens.plans.views import YEAR_END, YEAR_START, load
 
@@ -41,13 +44,16 @@ def _docs(s, d):
 @query(r"""
 WITH o AS (SELECT o_orderkey AS key, CAST(round(o_totalprice * 100) AS BIGINT) AS u FROM orders),
 v AS (SELECT key, u, (u // 100) || '.' || lpad(CAST(u % 100 AS VARCHAR), 2, '0') AS t FROM o)
-SELECT key, CASE key % 5 WHEN 0 THEN t WHEN 1 THEN '-' || t WHEN 2 THEN '(' || t || ')' WHEN 3 THEN t || '-' ELSE 'x' || t END AS raw,
-       CASE key % 5 WHEN 0 THEN u WHEN 4 THEN NULL ELSE -u END AS units FROM v""")
+SELECT key, CASE key % 13 WHEN 0 THEN t WHEN 1 THEN '-' || t WHEN 2 THEN '(' || t || ')' WHEN 3 THEN t || '-' WHEN 4 THEN 'x' || t WHEN 5 THEN 'PKR ' || t WHEN 6 THEN 'Rs. ' || t WHEN 7 THEN 'rs' || t WHEN 8 THEN '12,34,' || lpad(CAST(key % 1000 AS VARCHAR), 3, '0')
+       WHEN 9 THEN '−' || t WHEN 10 THEN '1' || chr(160) || '234.5' WHEN 11 THEN '１２，３４５．６７' ELSE '-(' || t || ')' END AS raw,
+       CASE key % 13 WHEN 1 THEN -u WHEN 2 THEN -u WHEN 3 THEN -u WHEN 4 THEN NULL WHEN 8 THEN (1234000 + key % 1000) * 100 WHEN 9 THEN -u WHEN 10 THEN 123450 WHEN 11 THEN 1234567 WHEN 12 THEN NULL ELSE u END AS units FROM v""")
 def parse_paisa(s, d):
     u = F.round(F.col("o_totalprice") * 100).cast("bigint")
     t = F.concat(F.expr("cast(round(o_totalprice * 100) as bigint) div 100").cast("string"), F.lit("."), F.lpad((u % 100).cast("string"), 2, "0"))
-    k = F.col("o_orderkey") % 5
-    raw = F.when(k == 0, t).when(k == 1, F.concat(F.lit("-"), t)).when(k == 2, F.concat(F.lit("("), t, F.lit(")"))).when(k == 3, F.concat(t, F.lit("-"))).otherwise(F.concat(F.lit("x"), t))
+    k = F.col("o_orderkey") % 13
+    put = lambda *c: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in c])
+    forms = [t, put("-", t), put("(", t, ")"), put(t, "-"), put("x", t), put("PKR ", t), put("Rs. ", t), put("rs", t), put("12,34,", F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0")), put("\u2212", t), F.lit("1\u00a0234.5"), F.lit("１２，３４５．６７")]
+    raw = reduce(lambda made, x: made.when(k == x[0], x[1]), list(enumerate(forms))[1:], F.when(k == 0, forms[0])).otherwise(put("-(", t, ")"))
     return load(s, d, "orders").select(F.col("o_orderkey").alias("key"), raw.alias("raw")).withColumn("units", money.parse(F.col("raw")))
 
 
@@ -214,16 +220,40 @@ def balance_continuity(s, d):
 
 
 BOUNDARIES = f"""
-, i AS (SELECT *, date BETWEEN DATE '{YEAR_START}' AND DATE '{YEAR_END}' AS inside, date < DATE '{YEAR_START}' AS before FROM true_rows),
+, y AS (SELECT DATE '{YEAR_START}' AS y1, DATE '{YEAR_END}' AS y2),
+i AS (SELECT k.*, date BETWEEN y1 AND y2 AS inside, date < y1 AS before FROM kept k, y),
+br AS (
+  SELECT account_id, count(*) FILTER (inside) AS n, coalesce(sum(amount) FILTER (inside), 0) AS net, count(*) AS n_all, count(*) FILTER (before) AS n_before,
+         arg_min_null(bal - amount, pos) FILTER (inside) AS o, arg_max_null(bal, pos) FILTER (inside) AS c, arg_max_null(bal, pos) FILTER (before) AS earlier FROM i GROUP BY account_id),
+bd AS (SELECT account_id, arg_min(s_opening, doc_id) AS po, arg_max(s_closing, doc_id) AS pc, bool_or(s_start = y1) AS f1, bool_or(s_end = y2) AS l1, bool_or(running) AS running, max(anchor) AS anchor FROM stated, y GROUP BY account_id),
+b0 AS (
+  SELECT *, CASE WHEN running THEN CASE WHEN n > 0 THEN o WHEN n_all > 0 THEN CASE WHEN n_before > 0 THEN earlier ELSE po END ELSE po END END AS o0,
+         CASE WHEN running THEN CASE WHEN n > 0 THEN c WHEN n_all > 0 THEN CASE WHEN n_before > 0 THEN earlier ELSE po END ELSE coalesce(pc, po) END END AS c0 FROM bd JOIN br USING (account_id)),
 b AS (
-  SELECT account_id, count(*) FILTER (inside) AS n, coalesce(sum(amount) FILTER (inside), 0) AS net, min_by(balance_after - amount, pos) FILTER (inside) AS o, max_by(balance_after, pos) FILTER (inside) AS c, max_by(balance_after, pos) FILTER (before) AS dormant
-  FROM i GROUP BY account_id)
-SELECT account_id, CASE WHEN n > 0 THEN o ELSE dormant END AS opening, CASE WHEN n > 0 THEN c ELSE dormant END AS closing, CAST(net AS BIGINT) AS net, CAST(n AS BIGINT) AS n"""
+  SELECT account_id, CASE WHEN o0 IS NULL AND c0 IS NOT NULL THEN c0 - net WHEN o0 IS NULL AND c0 IS NULL THEN anchor ELSE o0 END AS opening,
+         CASE WHEN o0 IS NULL AND c0 IS NOT NULL THEN 'computed' WHEN o0 IS NULL AND c0 IS NULL AND anchor IS NOT NULL THEN 'anchor' WHEN o0 IS NULL THEN 'unknown' WHEN n > 0 AND f1 AND po IS NOT NULL THEN 'printed' WHEN n_all > 0 THEN 'computed' ELSE 'printed' END AS opening_source,
+         CASE WHEN c0 IS NULL AND o0 IS NOT NULL THEN o0 + net WHEN o0 IS NULL AND c0 IS NULL THEN anchor + net ELSE c0 END AS closing,
+         CASE WHEN c0 IS NULL AND o0 IS NOT NULL THEN 'computed' WHEN o0 IS NULL AND c0 IS NULL AND anchor IS NOT NULL THEN 'computed' WHEN c0 IS NULL THEN 'unknown' WHEN n > 0 AND l1 AND pc IS NOT NULL THEN 'printed' WHEN n_all > 0 THEN 'computed' ELSE 'printed' END AS closing_source,
+         CAST(net AS BIGINT) AS net, CAST(n AS BIGINT) AS n FROM b0)
+"""
+#: Statements and rows of accounts of which every fourth prints no balances; some owners know their opening balance.
+STATED = ", stated AS (SELECT *, account_id % 4 <> 0 AS running, CASE WHEN account_id % 8 = 0 THEN 5000 WHEN account_id % 9 = 0 THEN 7000 END AS anchor FROM docs), kept AS (SELECT *, CASE WHEN account_id % 4 <> 0 THEN balance_after END AS bal FROM true_rows)"
+
+
+def _stated(s, d):
+    """(rows, docs, accounts) as STATED has them."""
+    rows = views.txns(s, d).withColumn("balance_after", F.when(F.col("account_id") % 4 != 0, F.col("balance_after"))).withColumn("doc_rank", F.lit(1))
+    docs = views.docs(views.txns(s, d)).withColumn("running", F.col("account_id") % 4 != 0).withColumn("doc_start", F.col("s_start")).withColumn("doc_end", F.col("s_end"))
+    docs = docs.withColumn("file_seq", F.row_number().over(Window.partitionBy("account_id").orderBy("doc_id"))).withColumn("container", F.lit("csv"))
+    anchor = F.when(F.col("account_id") % 8 == 0, 5000).when(F.col("account_id") % 9 == 0, 7000).cast("bigint")
+    none = F.lit(None).cast("date")
+    accounts = docs.select("account_id").distinct().select("account_id", anchor.alias("anchor"), none.alias("opened_on"), none.alias("closed_on"), F.lit(None).cast("bigint").alias("prior_closing"))
+    return rows, docs, accounts
 
 
-@query(BASE + BOUNDARIES + " FROM b")
+@query(BASE + STATED + BOUNDARIES + " SELECT * FROM b")
 def boundary_balances(s, d):
-    return merge.boundaries(views.txns(s, d), YEAR_START, YEAR_END)
+    return merge.boundaries(*_stated(s, d), YEAR_START, YEAR_END)
 
 
 STATUS = f"""
@@ -244,12 +274,116 @@ def account_status(s, d):
     return _status(s, d)
 
 
-@query(BASE + STATUS + BOUNDARIES.replace("SELECT account_id, CASE WHEN n > 0", "SELECT account_id, account_status, CASE WHEN account_status = 'failed' THEN NULL WHEN n > 0", 1).replace("END AS opening, CASE WHEN n > 0", "END AS opening, CASE WHEN account_status = 'failed' THEN NULL WHEN n > 0") + " FROM b JOIN st USING (account_id)")
+LEDGER = STATUS.replace("ac AS (", "nx AS (SELECT account_id, doc_id, s_end, s_closing, lead(s_start) OVER w AS next_start, lead(s_opening) OVER w AS next_opening FROM docs WINDOW w AS (PARTITION BY account_id ORDER BY s_start, s_end, doc_id)),\nac AS (SELECT account_id, 'continuity' AS kind, CASE WHEN s_closing = next_opening THEN 'pass' WHEN s_closing <> next_opening THEN 'fail' ELSE 'warn' END AS status FROM nx WHERE next_start = s_end + 1 UNION ALL ", 1)
+KEPT = ", stated AS (SELECT *, true AS running, CAST(NULL AS BIGINT) AS anchor FROM docs), kept AS (SELECT *, balance_after AS bal FROM txns)"
+
+
+@query(BASE + LEDGER + KEPT + BOUNDARIES + """
+SELECT account_id, CASE WHEN account_status = 'complete' AND 'unknown' IN (opening_source, closing_source) THEN 'incomplete' ELSE account_status END AS account_status,
+       CASE WHEN account_status <> 'failed' THEN opening END AS opening, CASE WHEN account_status = 'failed' THEN 'unknown' ELSE opening_source END AS opening_source,
+       CASE WHEN account_status <> 'failed' THEN closing END AS closing, CASE WHEN account_status = 'failed' THEN 'unknown' ELSE closing_source END AS closing_source,
+       CASE WHEN account_status <> 'failed' THEN net END AS net, CASE WHEN account_status <> 'failed' THEN n END AS n FROM b JOIN st USING (account_id)""")
 def account_ledger(s, d):
-    """The whole chain: rows, proofs, merge, boundaries; a failed account gives no figures."""
-    good = F.col("account_status") != "failed"
-    out = merge.boundaries(views.txns(s, d), YEAR_START, YEAR_END).join(_status(s, d), "account_id")
-    return out.select("account_id", "account_status", F.when(good, F.col("opening")).alias("opening"), F.when(good, F.col("closing")).alias("closing"), "net", "n")
+    """The whole chain: rows, proofs, merge, seams, boundaries; a failed account gives no figures."""
+    rows, docs, accounts = _stated(s, d)
+    docs, rows = docs.withColumn("running", F.lit(True)), _txns(s, d).drop("account_id")
+    accounts = accounts.withColumn("anchor", F.lit(None).cast("bigint"))
+    return merge.ledgers(rows, docs, accounts, checks.all_checks(rows, docs), YEAR_START, YEAR_END)[0]
+
+
+def _twice(s, d):
+    rows = views.twice_printed(views.txns(s, d))
+    return merge.claim_overlaps(rows.drop("account_id"), _ranked(s, d)), _ranked(s, d)
+
+
+@query(BASE + "," + views.TWICE + """
+, w AS (SELECT DISTINCT t.doc_id, t.account_id, t.claimed_by, t.doc_rank, greatest(t.doc_start, e.doc_start) AS lo, least(t.doc_end, e.doc_end) AS hi FROM twc t JOIN ranked e ON e.account_id = t.account_id AND e.doc_rank = t.claimed_by),
+n AS (SELECT doc_id, claimed_by, list((date, amount, balance_after, description) ORDER BY pos) AS rows FROM twc WHERE claimed_by IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT w.doc_id, w.claimed_by, list((k.date, k.amount, k.balance_after, k.description) ORDER BY k.doc_rank, k.pos) AS rows FROM w JOIN twc k ON k.account_id = w.account_id AND k.claimed_by IS NULL AND k.doc_rank < w.doc_rank AND k.date BETWEEN w.lo AND w.hi GROUP BY 1, 2)
+SELECT w.doc_id, w.account_id, w.claimed_by, w.lo, w.hi, coalesce(len(o.rows), 0) AS existing, len(n.rows) AS incoming, CASE WHEN n.rows = o.rows THEN 'pass' ELSE 'fail' END AS status
+FROM w JOIN n USING (doc_id, claimed_by) LEFT JOIN o USING (doc_id, claimed_by)""")
+def overlap_agreement(s, d):
+    return merge.overlap_checks(*_twice(s, d))
+
+
+@query(BASE + "," + views.TWICE + "SELECT key, doc_id, pos FROM twc WHERE claimed_by IS NULL")
+def overlap_dedupe(s, d):
+    return _twice(s, d)[0].filter("claimed_by IS NULL").select("key", "doc_id", "pos")
+
+
+@query(BASE + f"""
+, a AS (SELECT account_id, greatest(DATE '{YEAR_START}', CASE WHEN account_id % 6 = 0 THEN DATE '1995-10-01' ELSE DATE '{YEAR_START}' END) AS w1, least(DATE '{YEAR_END}', CASE WHEN account_id % 10 = 0 THEN DATE '1996-03-31' ELSE DATE '{YEAR_END}' END) AS w2 FROM docs GROUP BY 1),
+e AS (SELECT a.account_id, unnest(generate_series(w1, w2, INTERVAL 1 DAY)) AS day FROM a),
+l AS (SELECT account_id, count(*) AS gap_days FROM e WHERE NOT EXISTS (SELECT 1 FROM docs x WHERE x.account_id = e.account_id AND e.day BETWEEN x.s_start AND x.s_end) GROUP BY 1)
+SELECT account_id, 'gap' AS kind, CASE WHEN gap_days IS NULL THEN 'pass' ELSE 'warn' END AS status, coalesce(gap_days, 0) AS gap_days FROM a LEFT JOIN l USING (account_id)""")
+def gap_checks(s, d):
+    stmt = _docs(s, d).select("account_id", "doc_id", F.col("s_start").alias("doc_start"), F.col("s_end").alias("doc_end"))
+    day = lambda k, v: F.when(F.col("account_id") % k == 0, F.lit(v).cast("date"))
+    accounts = stmt.select("account_id").distinct().select("account_id", day(6, "1995-10-01").alias("opened_on"), day(10, "1996-03-31").alias("closed_on"))
+    return merge.gap_checks(stmt, YEAR_START, YEAR_END, accounts)
+
+
+@query(BASE + "SELECT doc_id, count(*) AS outside, min_by(date, pos) AS first_outside, min(pos) AS first_pos FROM txns JOIN (SELECT doc_id, s_start + CAST(account_id % 40 AS INTEGER) AS a, s_end - CAST(account_id % 50 AS INTEGER) AS z FROM docs) USING (doc_id) WHERE date NOT BETWEEN a AND z GROUP BY doc_id")
+def outside_period(s, d):
+    short = _docs(s, d).withColumn("s_start", F.date_add("s_start", (F.col("account_id") % 40).cast("int"))).withColumn("s_end", F.date_sub("s_end", (F.col("account_id") % 50).cast("int")))
+    return checks.outside_period(_txns(s, d), short)
+
+
+# sheets -----------------------------------------------------------------------------------------
+
+SHEETS = BASE + "," + views.SHEETS
+
+
+def _heads(s, d):
+    rows, docs = views.sheets(s, d)
+    return rows, tabular.headers(rows, docs, views.profiles(s))
+
+
+@query(BASE + """SELECT doc_id, CAST(5 AS BIGINT) AS header_row, CASE account_id % 3 WHEN 0 THEN 'balance=4,credit=2,date=0,debit=1,description=3' WHEN 1 THEN 'amount=2,balance=3,date=0,description=1' ELSE 'amount=4,balance=2,date=0,description=1' END AS columns FROM docs""")
+def map_columns(s, d):
+    found = F.array_join(F.array_sort(F.transform(F.map_entries("mapping"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string")))), ",")
+    return tabular.map_columns(_heads(s, d)[1]).select("doc_id", "header_row", found.alias("columns"))
+
+
+@query(BASE + "SELECT doc_id, s_opening, s_closing, CAST(NULL AS BIGINT) AS s_credit, CAST(NULL AS BIGINT) AS s_debit, s_start, s_end, CAST(account_id AS VARCHAR) AS s_account FROM docs")
+def summary_extract(s, d):
+    return tabular.read_summary(*_heads(s, d))
+
+
+@query(SHEETS + "SELECT doc_id, row_no AS pos, 'row:' || row_no AS locator, date, amount, balance_after, description, CASE account_id % 3 WHEN 0 THEN 'column' WHEN 1 THEN 'suffix' ELSE 'suffix' END AS sign_source FROM sh WHERE reason IS NULL".replace("WHEN 1 THEN 'suffix' ELSE 'suffix'", "WHEN 1 THEN 'suffix' ELSE 'signed'"))
+def parse_tabular(s, d):
+    txns = tabular.parse(*views.sheets(s, d), views.profiles(s))[1]
+    return txns.select("doc_id", "pos", "locator", "date", "amount", "balance_after", "description", "sign_source")
+
+
+@query(SHEETS + "SELECT doc_id, row_no, reason FROM sh WHERE reason IS NOT NULL")
+def unresolved_reasons(s, d):
+    return tabular.parse(*views.sheets(s, d), views.profiles(s))[2].select("doc_id", "row_no", "reason")
+
+
+@query(SHEETS + ", u AS (SELECT doc_id, count(*) AS n, arg_min(reason || ' at row:' || row_no, row_no) AS f FROM sh WHERE reason IS NOT NULL GROUP BY 1) SELECT doc_id, 'ok' AS status, s_start AS doc_start, s_end AS doc_end, coalesce(n, 0) AS unresolved, f AS first_unresolved FROM docs LEFT JOIN u USING (doc_id)")
+def parsed_documents(s, d):
+    docs = tabular.parse(*views.sheets(s, d), views.profiles(s))[0]
+    return docs.select("doc_id", "status", "doc_start", "doc_end", "unresolved", F.concat(F.col("first_unresolved.reason"), F.lit(" at "), F.col("first_unresolved.locator")).alias("first_unresolved"))
+
+
+@query(BASE + "SELECT doc_id, 'Statement of account,' || account_id || chr(10) || CASE WHEN s_opening IS NULL THEN 'Welcome' ELSE 'Opening Balance,' || (CASE WHEN s_opening < 0 THEN '-' ELSE '' END) || 'PKR ' || ltrim(regexp_replace(lpad(CAST(abs(s_opening) // 100 AS VARCHAR), 12, '#'), '(...)(...)(...)(...)', '\\1,\\2,\\3,\\4'), '#,') || '.' || lpad(CAST(abs(s_opening) % 100 AS VARCHAR), 2, '0') END AS head FROM docs")
+def head_text(s, d):
+    return statements.head_text(views.sheets(s, d)[0], 2)
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_size AS z FROM part),
+c AS (SELECT 'p' || k AS layout_id, unnest([CASE WHEN z % 5 = 0 THEN 'no header labels to detect it by' END, CASE WHEN z % 7 = 0 THEN 'unknown sign mode' END, CASE WHEN z % 11 = 0 THEN 'only two decimals are supported' END, CASE WHEN z % 3 = 0 THEN 'no column for balance' END, CASE WHEN z % 13 = 0 THEN 'valid_to lies before valid_from' END]) AS problem FROM p)
+SELECT * FROM c WHERE problem IS NOT NULL UNION ALL SELECT 'p' || k, 'the id is used twice' FROM p WHERE k % 50 = 0""")
+def profile_problems(s, d):
+    base = views.profiles(s).filter("layout_id = 'signed.v1'").drop("layout_id")
+    p = load(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("layout_id"), F.col("p_size").alias("z"), (F.col("p_partkey") % 50 == 0).alias("twice")).crossJoin(F.broadcast(base))
+    p = p.withColumn("tokens", F.when(F.col("z") % 5 == 0, F.array().cast("array<string>")).otherwise(F.col("tokens"))).withColumn("sign", F.when(F.col("z") % 7 == 0, "both").otherwise(F.col("sign"))).withColumn("decimals", F.when(F.col("z") % 11 == 0, 3).otherwise(2))
+    p = p.withColumn("labels", F.when(F.col("z") % 3 == 0, F.map_filter("labels", lambda k, _: k != "balance")).otherwise(F.col("labels"))).withColumn("valid_from", F.lit("2020-01-02").cast("date")).withColumn("valid_to", F.when(F.col("z") % 13 == 0, F.lit("2020-01-01").cast("date")))
+    made = layouts.problems(p.drop("z", "twice"))
+    again = layouts.problems(p.filter("twice").drop("z", "twice").unionByName(p.filter("twice").drop("z", "twice"))).filter("problem LIKE 'the id%'")
+    return made.unionByName(again)
 
 
 @query("SELECT CAST(c_custkey AS BIGINT) AS account_id FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -333,6 +467,22 @@ def line_grouping(s, d):
     return geometry.group_lines(words)
 
 
+@query("""
+WITH w AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS word_no, CAST(l_linenumber * 23 + l_partkey % 7 AS DOUBLE) AS x0, CAST(l_linenumber * 23 + l_partkey % 7 + 8 + l_suppkey % 5 AS DOUBLE) AS x1 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)),
+b AS (SELECT * FROM (VALUES ('date', 0.0, 40.0, 'left'), ('text', 40.0, 100.0, 'left'), ('debit', 100.0, 120.0, 'right'), ('credit', 110.0, 132.0, 'right'), ('balance', 140.0, 180.0, 'center')) v(role, x0, x1, align)),
+n AS (SELECT doc_id, word_no, role, abs(CASE WHEN align = 'center' THEN (w.x0 + w.x1) / 2 - (b.x0 + b.x1) / 2 ELSE w.x1 - b.x1 END) AS far FROM w, b WHERE align <> 'left'),
+m AS (SELECT doc_id, word_no, list(far ORDER BY far, role) AS f, arg_min(role, (far, role)) AS role FROM n WHERE far <= 6 GROUP BY 1, 2),
+t AS (SELECT doc_id, word_no, arg_min(role, b.x0) AS role FROM w, b WHERE align = 'left' AND w.x0 >= b.x0 - 6 AND w.x0 < b.x1 GROUP BY 1, 2)
+SELECT w.doc_id, w.word_no, CASE WHEN m.role IS NULL THEN t.role WHEN len(f) > 1 AND f[2] - f[1] < 1e-9 THEN NULL ELSE m.role END AS role FROM w LEFT JOIN m USING (doc_id, word_no) LEFT JOIN t USING (doc_id, word_no)""")
+def band_assign(s, d):
+    at = F.col("l_linenumber") * 23 + F.col("l_partkey") % 7
+    li = load(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    words = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("word_no"), at.cast("double").alias("w_x0"), (at + 8 + F.col("l_suppkey") % 5).cast("double").alias("w_x1"))
+    header = [("date", 0.0, 20.0, "left"), ("text", 40.0, 60.0, "left"), ("debit", 100.0, 120.0, "right"), ("credit", 110.0, 132.0, "right"), ("balance", 140.0, 180.0, "center")]
+    docs = words.select("doc_id").distinct().crossJoin(F.broadcast(s.createDataFrame(header, "role string, x0 double, x1 double, align string")))
+    return geometry.assign(words, geometry.build_bands(docs))
+
+
 # masks and reports ------------------------------------------------------------------------------
 
 
@@ -352,6 +502,40 @@ def mask_candidates(s, d):
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(200)
 
 
+ALLOWED = ("DEBIT", "CREDIT", "DR", "PAID", "BUILDING")
+
+
+def _allowed():
+    return F.array(*map(F.lit, ALLOWED))
+
+
+@query(r"""
+SELECT c_custkey AS key, 'Debit/Credit ' || regexp_replace(regexp_replace(c_name, '[0-9]', '9', 'g'), 'Customer', 'Xxxxxxxx') || ' paid 99,999.99 Dr. xxx/' || regexp_replace(CAST(c_custkey AS VARCHAR), '[0-9]', '9', 'g') || ' ' || CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment ELSE regexp_replace(c_mktsegment, '[A-Z]', 'X', 'g') END AS masked FROM customer""")
+def mask_text(s, d):
+    said = F.concat(F.lit("Debit/Credit "), "c_name", F.lit(" paid 12,345.00 Dr. abc/"), F.col("c_custkey").cast("string"), F.lit(" "), "c_mktsegment")
+    return load(s, d, "customer").select(F.col("c_custkey").alias("key"), masking.mask_text(said, _allowed()).alias("masked"))
+
+
+@query(r"SELECT word, n FROM (SELECT 'CUSTOMER' AS word, count(*) AS n FROM customer UNION ALL SELECT c_mktsegment, count(*) FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1) ORDER BY n DESC, word LIMIT 200")
+def mask_unknown(s, d):
+    said = load(s, d, "customer").select(F.concat_ws(" ", "c_name", "c_mktsegment").alias("t"))
+    return masking.candidates(said, "t", _allowed())
+
+
+@query(r"""
+WITH c AS (SELECT o_orderpriority AS col, o_orderkey AS row_no, regexp_replace(CAST(o_custkey * (o_orderkey % 3 + 1) AS VARCHAR), '[0-9]', '9', 'g') || 'Dr' AS shape FROM orders), g AS (SELECT col, shape, count(*) AS n, min(row_no) AS f FROM c GROUP BY 1, 2)
+SELECT col, shape, n FROM g QUALIFY row_number() OVER (PARTITION BY col ORDER BY n DESC, f) <= 4""")
+def column_shapes(s, d):
+    cell = F.concat((F.col("o_custkey") * (F.col("o_orderkey") % 3 + 1)).cast("string"), F.lit("Dr"))
+    return masking.shape_histogram(load(s, d, "orders").select(F.col("o_orderpriority").alias("col"), F.col("o_orderkey").alias("row_no"), cell.alias("cell")), _allowed())
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS row_no FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) WHERE l_linenumber <= 2 OR l_linenumber > m - 2")
+def row_edges(s, d):
+    rows = load(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row_no"))
+    return masking.edges(rows, 2).select("doc_id", "row_no")
+
+
 @query(BASE + STATUS + " SELECT account_status, count(*) AS n FROM st GROUP BY 1")
 def summarize_run(s, d):
     return _status(s, d).groupBy("account_status").agg(F.count("*").alias("n"))
@@ -371,18 +555,102 @@ def classify_rules(s, d):
     return matching.classify(_txns(s, d), RULES).select("key", "n_hits", "category", "outcome")
 
 
-def _coarse(s, d):
-    """Rows with amounts rounded so that equal ones come up."""
-    t = views.txns(s, d).select("account_id", "key", "date", (F.col("amount") / 1_000_000).cast("bigint").alias("amount"))
-    return t.filter("amount <> 0")
+def _taken_back(s, d):
+    """Rows of which every tenth debit comes back as a credit some days later, some twice."""
+    t = views.txns(s, d).select("account_id", "key", "date", "amount")
+    back = t.filter("amount < 0 AND key % 10 = 0").withColumn("n", F.explode(F.when(F.col("key") % 20 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    more = back.select("account_id", (F.col("key") + F.col("n") * 1_000_000_000_000).alias("key"), F.date_add("date", (F.col("key") % 29).cast("int") + F.col("n")).alias("date"), (-F.col("amount")).alias("amount"))
+    return t.unionByName(more)
 
 
-COARSE = ", t AS (SELECT account_id, key, date, CAST(trunc(amount / 1000000) AS BIGINT) AS amount FROM true_rows WHERE abs(amount) >= 1000000)"
+TAKEN_BACK = """, t AS (SELECT account_id, key, date, amount FROM true_rows UNION ALL
+  SELECT account_id, key + n * 1000000000000, CAST(date + CAST(key % 29 + n AS INTEGER) AS DATE), -amount FROM true_rows, (VALUES (1), (2)) v(n) WHERE amount < 0 AND key % 10 = 0 AND (n = 1 OR key % 20 = 0)),
+nr AS (SELECT a.key, a.date, max_by(b.key, (b.date, b.key)) AS original FROM t a JOIN t b ON a.account_id = b.account_id AND a.amount > 0 AND a.amount = -b.amount AND b.date <= a.date AND b.date >= a.date - 30 AND a.key <> b.key GROUP BY 1, 2)
+"""
 
 
-@query(BASE + COARSE + "SELECT a.key, max_by(b.key, (b.date, b.key)) AS original FROM t a JOIN t b ON a.account_id = b.account_id AND a.amount = -b.amount AND b.date <= a.date AND b.date >= a.date - 30 AND a.key <> b.key GROUP BY a.key")
+@query(BASE + TAKEN_BACK + "SELECT arg_min(key, (date, key)) AS key, original FROM nr GROUP BY original")
 def pair_reversals(s, d):
-    return matching.reversals(_coarse(s, d))
+    return matching.reversals(_taken_back(s, d))
+
+
+def _kinds(s, d):
+    t = views.txns(s, d).select("account_id", "key", "date", "amount", "description")
+    return t.filter("description LIKE '1%' AND amount > 0"), t.filter("description LIKE '5%' AND amount < 0"), t
+
+
+MUTUAL = """rk AS (SELECT *, row_number() OVER (PARTITION BY l_key ORDER BY far, r_key) AS a, row_number() OVER (PARTITION BY r_key ORDER BY far, l_key) AS b FROM nb WHERE far IS NOT NULL), pr AS (SELECT * FROM rk WHERE a = 1 AND b = 1)"""
+
+
+@query(BASE + """
+, p AS (SELECT * FROM true_rows WHERE description LIKE '1%' AND amount > 0), w AS (SELECT * FROM true_rows WHERE description LIKE '5%' AND amount < 0),
+nb AS (SELECT p.key AS l_key, w.key AS r_key, p.amount AS gross, abs(-w.amount * 100 - 20 * p.amount) AS far FROM p JOIN w ON p.account_id = w.account_id AND abs(date_diff('day', p.date, w.date)) <= 60), """ + MUTUAL + """
+SELECT l_key AS profit_key, r_key AS tax_key, CASE WHEN far > 0.02 * 100 * gross THEN 'warn' ELSE 'ok' END AS status FROM pr
+UNION ALL SELECT key, NULL, 'unpaired' FROM p WHERE key NOT IN (SELECT l_key FROM pr) UNION ALL SELECT NULL, key, 'unpaired' FROM w WHERE key NOT IN (SELECT r_key FROM pr)""")
+def profit_tax_pairs(s, d):
+    profits, taxes, _ = _kinds(s, d)
+    return matching.profit_tax(profits, taxes, days=60)
+
+
+@query(BASE + """
+, p AS (SELECT * FROM true_rows WHERE description LIKE '1%' AND amount > 0),
+w AS (SELECT account_id, key + 1000000000000 AS key, date + CAST(key % 5 AS INTEGER) AS date, -(CASE WHEN key % 2 = 0 THEN amount // 100 ELSE amount // 400 END + key % 130) AS amount FROM p WHERE key % 3 <> 0),
+nb AS (SELECT p.key AS l_key, w.key AS r_key, CASE WHEN abs(-w.amount * 100 - p.amount) <= 10000 THEN abs(-w.amount * 100 - p.amount) * 4 WHEN abs(-w.amount * 400 - p.amount) <= 40000 THEN abs(-w.amount * 400 - p.amount) + 160000 END AS far FROM p JOIN w ON p.account_id = w.account_id AND abs(date_diff('day', p.date, w.date)) <= 3), """ + MUTUAL + """
+SELECT p.key AS export_key, r_key AS tax_key, coalesce(-w.amount, 0) AS deducted, p.amount // 100 AS expected, greatest(p.amount // 100 - coalesce(-w.amount, 0), 0) AS shortfall FROM p LEFT JOIN pr ON pr.l_key = p.key LEFT JOIN w ON w.key = r_key""")
+def export_tax_pairs(s, d):
+    exports = _kinds(s, d)[0]
+    size = F.when(F.col("key") % 2 == 0, F.expr("amount div 100")).otherwise(F.expr("amount div 400")) + F.col("key") % 130
+    tax = exports.filter("key % 3 <> 0").select("account_id", (F.col("key") + 1_000_000_000_000).alias("key"), F.date_add("date", (F.col("key") % 5).cast("int")).alias("date"), (-size).alias("amount"))
+    return matching.export_tax(exports, tax)
+
+
+OWN = [("w1", "wallet", False, ["urgent"]), ("f1", "foreign", False, ["5 low", "HIGH"]), ("b1", "bank", True, ["MEDIUM"])]
+
+
+@query(BASE + "SELECT key, CASE WHEN amount > 0 AND (description LIKE '%HIGH%' OR description LIKE '5%') THEN 'export_proceeds' ELSE 'own_transfer_unmatched' END AS category FROM true_rows WHERE description LIKE '%URGENT%' OR description LIKE '%HIGH%' OR description LIKE '5%LOW'")
+def own_account_rows(s, d):
+    return matching.own_accounts(views.txns(s, d), s.createDataFrame(OWN, "account_id string, kind string, statement_expected boolean, hints array<string>"))
+
+
+def _evidence(s, d):
+    """Transfers whose descriptions name accounts: hints are the account's number, the owner's name is on every seventh."""
+    t = views.txns(s, d)
+    said = F.concat_ws(" ", "description", F.when(F.col("key") % 7 == 0, "Ali Khan"), F.when(F.col("key") % 2 == 0, F.concat(F.lit("bank "), (F.col("account_id") % 10).cast("string"))))
+    accounts = t.select("account_id").distinct().select("account_id", F.array(F.concat(F.lit("acc-"), F.col("account_id").cast("string"))).alias("hints"), F.lit("ALI KHAN").alias("owner"), F.concat(F.lit("Bank "), (F.col("account_id") % 10).cast("string")).alias("institution"))
+    t = t.withColumn("description", said)
+    return matching.tiers(matching.transfers(t), t, accounts)
+
+
+@query(BASE + """
+, t AS (SELECT *, key % 7 = 0 AS own, CASE WHEN key % 2 = 0 THEN account_id % 10 END AS bank FROM true_rows),
+c AS (SELECT a.key AS debit_key, b.key AS credit_key, a.account_id AS debit_account, b.account_id AS credit_account, -a.amount - b.amount AS fee, CAST(abs(date_diff('day', a.date, b.date)) AS BIGINT) AS gap,
+        CAST((a.own OR b.own)::INT + (coalesce(a.bank = b.account_id % 10, false) OR coalesce(b.bank = a.account_id % 10, false))::INT AS BIGINT) AS signals
+      FROM t a JOIN t b ON a.amount < 0 AND b.amount > 0 AND a.account_id <> b.account_id AND abs(date_diff('day', a.date, b.date)) <= 3 AND -a.amount - b.amount BETWEEN 0 AND 10000)
+SELECT *, CASE WHEN fee = 0 AND gap <= 1 AND signals > 0 THEN 'strong' ELSE 'possible' END AS tier FROM c""")
+def transfer_tiers(s, d):
+    return _evidence(s, d)
+
+
+@query()
+def transfer_pairs(s, d):
+    return matching.match_tiers(_evidence(s, d))
+
+
+@query(BASE + """
+, p AS (SELECT key, CASE WHEN amount > 0 THEN 'income' ELSE 'other_debit' END AS category, 'proposed' AS outcome FROM true_rows), x AS (SELECT key + CASE WHEN key % 11 = 0 THEN 5000000000000 ELSE 0 END AS key, 'own' AS category FROM true_rows WHERE key % 5 = 0)
+SELECT p.key, coalesce(x.category, p.category) AS category, CASE WHEN x.key IS NOT NULL THEN 'decided' ELSE outcome END AS outcome FROM p LEFT JOIN x USING (key) UNION ALL SELECT key, category, 'orphan' FROM x WHERE key NOT IN (SELECT key FROM p)""")
+def apply_decisions(s, d):
+    t = views.txns(s, d)
+    proposals = t.select("key", F.when(F.col("amount") > 0, "income").otherwise("other_debit").alias("category"), F.lit("proposed").alias("outcome"))
+    mine = t.filter("key % 5 = 0").select((F.col("key") + F.when(F.col("key") % 11 == 0, 5_000_000_000_000).otherwise(0)).alias("key"), F.lit("own").alias("category"))
+    decided, orphans = matching.decide(proposals, mine)
+    return decided.unionByName(orphans.withColumn("outcome", F.lit("orphan")))
+
+
+@query(BASE + "SELECT key, kind, CAST(CASE kind WHEN 'conflict' THEN 1 WHEN 'unclassified_credit' THEN 5 ELSE 6 END AS INTEGER) AS place FROM (SELECT key, CASE WHEN amount > 0 AND key % 3 = 0 THEN 'conflict' WHEN amount > 0 THEN 'unclassified_credit' ELSE 'unpaired' END AS kind FROM true_rows)")
+def review_queue(s, d):
+    kind = F.when((F.col("amount") > 0) & (F.col("key") % 3 == 0), "conflict").when(F.col("amount") > 0, "unclassified_credit").otherwise("unpaired")
+    return matching.review_queue(views.txns(s, d).select(kind.alias("kind"), "key", "amount")).select("key", "kind", "place")
 
 
 @query(BASE + """SELECT a.key AS debit_key, b.key AS credit_key, -a.amount - b.amount AS fee, CAST(abs(date_diff('day', a.date, b.date)) AS BIGINT) AS gap

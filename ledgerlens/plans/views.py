@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import money
+from ledgerlens.operators.profiles import PROFILE, profile
+
+FIGURES = {
+    "opening": r"(?i)Opening Balance,(?P<value>[^\n]+)", "closing": r"(?i)Closing Balance,(?P<value>[^\n]+)", "period_from": r"Period,(?P<value>[^,\n]+)", "period_to": r"Period,[^,\n]+,to,(?P<value>[^,\n]+)", "account_id": r"Statement of account,(?P<value>\d+)",
+}
 YEAR_START, YEAR_END = "1995-07-01", "1996-06-30"
 
 
@@ -46,6 +52,59 @@ def sliding(stmt: DataFrame) -> DataFrame:
     return stmt.select("account_id", "doc_id", F.col("s_start").alias("doc_start"), F.date_add("s_end", 20).alias("doc_end"), F.when(F.col("account_id") % 3 == 0, "pdf").otherwise("csv").alias("container"), F.row_number().over(w).cast("bigint").alias("file_seq"))
 
 
+PROFILES = [
+    profile("columns.v1", "csv", ["Date", "Debit", "Credit"], {"date": "Date", "description": ["Narration", "Particulars"], "debit": "Debit", "credit": "Credit", "balance": "Balance"}, ["d/M/yyyy"], "columns", skip=("^Total,",), patterns=FIGURES),
+    profile("suffix.v1", "csv", ["Date", "Particulars", "Amount"], {"date": "Date", "description": "Particulars", "amount": "Amount", "balance": "Balance"}, ["yyyy-MM-dd", "d MMM yyyy"], "suffix", credit_tokens=("Cr.", "Cr"), debit_tokens=("Dr",), skip=("^Total,",), patterns=FIGURES),
+    profile("signed.v1", "csv", ["booking date", "amount"], {"date": "Booking Date", "description": "Description", "amount": "Amount", "balance": "Balance", "reference": "Ref"}, ["d MMM yyyy"], "signed", summary=("^Total,",), patterns=FIGURES),
+]
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, docs): the statements as ragged sheets of three layouts; some dates and amounts can't be read."""
+    t = txns(spark, sf_dir)
+    d = docs(t).withColumn("kind", F.col("account_id") % 3)
+    layout = F.when(F.col("kind") == 0, "columns.v1").when(F.col("kind") == 1, "suffix.v1").otherwise("signed.v1")
+    day = lambda c: F.date_format(c, "dd/MM/yyyy")
+    cells = lambda *c: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in c])
+    head = F.when(F.col("kind") == 0, cells("Date", " Debit ", "CREDIT", "Particulars", "Balance")).when(F.col("kind") == 1, cells("Date", "Particulars", "Amount", "Balance")).otherwise(cells("Booking Date", "Description", "Balance", "Amount", "Amount "))
+    formats = lambda c: F.when(F.col("kind") == 0, day(c)).when(F.col("kind") == 1, F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "d MMM yyyy"))
+    top = F.array(
+        cells("Statement of account", F.col("account_id").cast("string")), F.when(F.col("s_opening").isNull(), cells("Welcome")).otherwise(cells("Opening Balance", F.concat(F.when(F.col("s_opening") < 0, "-").otherwise(""), F.lit("PKR "), money.render(F.abs("s_opening"))))),
+        cells("Closing Balance", money.render(F.col("s_closing"))), cells("Period", formats(F.col("s_start")), "to", formats(F.col("s_end"))), head,
+    )
+    above = d.select("doc_id", F.posexplode(top).alias("k", "cells")).select("doc_id", (F.col("k") + 1).cast("bigint").alias("row_no"), "cells")
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    t = t.withColumn("row_no", (F.row_number().over(w) + 5).cast("bigint")).withColumn("kind", F.col("account_id") % 3)
+    when = F.when(F.col("key") % 89 == 0, "n/a").when(F.col("key") % 83 == 0, "31/31/1995").otherwise(formats("date"))
+    size, balance = money.render(F.abs("amount")), money.render(F.col("balance_after"))
+    size = F.when(F.col("key") % 79 == 0, "12.345").otherwise(size)
+    sign = F.col("amount") < 0
+    body = (
+        F.when(F.col("kind") == 0, F.when(F.col("key") % 73 == 0, cells(when, size, size, F.col("description"), balance)).otherwise(cells(when, F.when(sign, size).otherwise("-"), F.when(sign, "").otherwise(size), F.col("description"), balance)))
+        .when(F.col("kind") == 1, cells(when, F.col("description"), F.concat(size, F.when(F.col("key") % 71 == 0, "").when(sign, "Dr").otherwise(" Cr.")), balance))
+        .otherwise(cells(when, F.col("description"), balance, "unused", F.concat(F.when(sign, "-").otherwise(""), size)))
+    )
+    end = d.select("doc_id", F.lit(1_000_000).cast("bigint").alias("row_no"), cells("Total", "1.00").alias("cells"))
+    blank = d.select("doc_id", F.lit(999_999).cast("bigint").alias("row_no"), cells(" ", "").alias("cells"))
+    rows = above.unionByName(t.select("doc_id", "row_no", body.alias("cells"))).unionByName(end).unionByName(blank)
+    return rows, d.select("doc_id", "account_id", layout.alias("layout_id"))
+
+
+def profiles(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PROFILES, PROFILE)
+
+
+def twice_printed(true: DataFrame) -> DataFrame:
+    """doc_id, account_id, key, pos, ...: rows of the first 20 days of a half-year are also printed by the half-year before, if it has a statement; some copies have another amount."""
+    here = true.select("account_id", "doc_id").distinct()
+    start = F.make_date(F.year("date"), F.when(F.month("date") <= 6, 1).otherwise(7), F.lit(1))
+    before = F.date_sub(start, 1)
+    name = F.concat(F.col("account_id").cast("string"), F.lit("-"), F.year(before).cast("string"), F.lit("H"), F.when(F.month(before) <= 6, "1").otherwise("2"))
+    copies = true.filter(F.datediff("date", start) < 20).withColumn("doc_id", name).join(here, ["account_id", "doc_id"], "left_semi")
+    copies = copies.withColumn("amount", F.when(F.col("key") % 7 == 0, F.col("amount") + 1).otherwise(F.col("amount")))
+    return true.unionByName(copies.select(*true.columns))
+
+
 SQL = """
 t0 AS (
   SELECT CAST(o_custkey AS BIGINT) AS account_id, CAST(o_orderkey AS BIGINT) AS key, CAST(o_orderdate AS DATE) AS date,
@@ -79,13 +138,35 @@ c1 AS (
   SELECT *, CASE WHEN s_opening IS NULL OR s_closing IS NULL THEN 'warn' WHEN s_opening + coalesce(net, 0) = s_closing THEN 'pass' ELSE 'fail' END AS opening_closing,
          CASE WHEN s_credit = coalesce(credit, 0) AND s_debit = coalesce(debit, 0) THEN 'pass' ELSE 'fail' END AS printed_totals,
          CASE WHEN unresolved = 0 THEN 'pass' ELSE 'fail' END AS unresolved_rows,
-         CASE WHEN n IS NULL THEN 'warn' WHEN first_day >= s_start AND last_day <= s_end THEN 'pass' ELSE 'fail' END AS date_range FROM f),
-c2 AS (SELECT *, CASE WHEN 'pass' IN (running_balance, opening_closing, printed_totals) THEN 'pass' ELSE 'fail' END AS nothing_verified FROM c1),
+         CASE WHEN n IS NULL OR s_start IS NULL OR s_end IS NULL THEN 'warn' WHEN first_day >= s_start AND last_day <= s_end THEN 'pass' ELSE 'fail' END AS date_range FROM f),
+c2 AS (SELECT *, CASE WHEN 'pass' NOT IN (running_balance, opening_closing, printed_totals) THEN 'fail' END AS nothing_verified FROM c1),
 checks AS (
   SELECT doc_id, CAST(1 AS BIGINT) AS check_seq, 'running_balance' AS kind, running_balance AS status FROM c2 UNION ALL SELECT doc_id, 2, 'opening_closing', opening_closing FROM c2
-  UNION ALL SELECT doc_id, 3, 'printed_totals', printed_totals FROM c2 UNION ALL SELECT doc_id, 4, 'nothing_verified', nothing_verified FROM c2
+  UNION ALL SELECT doc_id, 3, 'printed_totals', printed_totals FROM c2 UNION ALL SELECT doc_id, 4, 'nothing_verified', nothing_verified FROM c2 WHERE nothing_verified IS NOT NULL
   UNION ALL SELECT doc_id, 5, 'unresolved_rows', unresolved_rows FROM c2 UNION ALL SELECT doc_id, 6, 'date_range', date_range FROM c2),
 claims AS (
   SELECT x.doc_id, pos, min(e.doc_rank) AS claimed_by FROM true_rows x JOIN ranked r USING (doc_id, account_id)
   JOIN ranked e ON e.account_id = x.account_id AND e.doc_rank < r.doc_rank AND x.date BETWEEN e.doc_start AND e.doc_end AND x.date BETWEEN r.doc_start AND r.doc_end GROUP BY x.doc_id, pos)
 """
+
+#: The rows of ``sheets`` and why each can't be read (null: it can).
+SHEETS = """
+sh AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) + 5 AS BIGINT) AS row_no,
+         CASE WHEN key % 89 = 0 THEN 'row has no date' WHEN key % 83 = 0 THEN 'unreadable date' WHEN account_id % 3 = 0 AND key % 73 = 0 THEN 'row has amounts in both columns'
+              WHEN account_id % 3 = 1 AND key % 71 = 0 THEN 'amount has no direction token' WHEN key % 79 = 0 THEN 'unreadable amount' END AS reason
+  FROM true_rows)
+"""
+#: The rows of ``twice_printed`` under sliding periods, and which earlier statement claims each.
+TWICE = """
+tw AS (
+  SELECT account_id, doc_id, key, pos, date, amount, balance_after, description FROM true_rows UNION ALL
+  SELECT account_id, prev, key, pos, date, amount + CASE WHEN key % 7 = 0 THEN 1 ELSE 0 END, balance_after, description FROM (
+    SELECT *, account_id || '-' || year(b) || 'H' || (CASE WHEN month(b) <= 6 THEN 1 ELSE 2 END) AS prev FROM (
+      SELECT *, CAST(make_date(year(date), CASE WHEN month(date) <= 6 THEN 1 ELSE 7 END, 1) - INTERVAL 1 DAY AS DATE) AS b FROM true_rows) WHERE date_diff('day', b, date) <= 20) c
+  WHERE prev IN (SELECT doc_id FROM docs)),
+twc AS (
+  SELECT x.*, r.doc_rank, r.doc_start, r.doc_end, cl.claimed_by FROM tw x JOIN ranked r USING (doc_id, account_id) LEFT JOIN (
+    SELECT x.doc_id, x.pos, min(e.doc_rank) AS claimed_by FROM tw x JOIN ranked r USING (doc_id, account_id)
+    JOIN ranked e ON e.account_id = x.account_id AND e.doc_rank < r.doc_rank AND x.date BETWEEN e.doc_start AND e.doc_end AND x.date BETWEEN r.doc_start AND r.doc_end GROUP BY 1, 2) cl ON cl.doc_id = x.doc_id AND cl.pos = x.pos)
+"""

@@ -1 +1 @@
-"""sources of the statement engine."""
+"""Readers of statement files."""
