@@ -190,10 +190,11 @@ def unseen_words(once: int, twice: int) -> float:
 class Automaton:
     """The part of the automaton that a block's texts can reach.
 
-    An arc is known by the n-gram it completes. So the arcs for the word at a
-    position, out of the states of each depth that the words before it name,
-    lie side by side by position: weight (MISSING where there is no arc) and
-    goal.
+    The state of depth d before a position is the n-gram of the d words before
+    it, so position and depth name a state, and its failure arc leads to the
+    next depth below at the same position. ``weight[d][at]`` is the arc out of
+    it for the word there (MISSING where there is none), ``fail[d][at]`` its
+    failure arc, ``deep[d]`` the depth that an arc out of depth d leads to.
     """
 
     MISSING = 1.0
@@ -201,39 +202,31 @@ class Automaton:
     def __init__(self, found: list[Grams], totals: list[np.ndarray], tokens: int, known: int, unseen: float, prior: float, discount: float):
         first, top = totals[0], len(totals) - 1
         p = np.where(first > 0, (first - discount) / max(tokens, 1), discount * known / tokens / unseen if tokens else 1.0)
-        begin = 1 + np.concatenate([[0], np.cumsum([len(t) for t in totals])]).astype(np.int64)  # of the states of each length; 0 is the root
-        fail, lower = [np.zeros(1)], [np.zeros(1, dtype=np.int64)]
-        weight = [np.log10(p)]
-        goal = [np.where((first > 0) & (top > 0), begin[0] + np.arange(len(first)), 0)]
-        depth = [np.where((first > 0) & (top > 0), 1, 0)]
-        arcs = [found[0].at]
+        self.weight, self.fail = [np.log10(p)[found[0].at]], [np.zeros(0)]
+        self.known = ((first > 0) & (top > 0))[found[0].at]
         for j in range(1, top + 1):
             g, c, below = found[j], totals[j], totals[j - 1]
             context, suffix = found[j - 1].at[g.end - 1], found[j - 1].at[g.end]
             p = (c + prior * p[suffix]) / (below[context] + prior)
-            fail.append(np.log10(prior / (below + prior)))
-            lower.append(np.zeros(len(below), dtype=np.int64) if j == 1 else begin[j - 2] + found[j - 2].at[found[j - 1].end])
-            weight.append(np.log10(p))
-            goal.append(begin[j] + np.arange(len(c)) if j < top else begin[j - 1] + suffix)
-            depth.append(np.full(len(c), min(j + 1, top)))
-            arcs.append(np.where((g.at >= 0) & (c[g.at] > 0), g.at, -1) if len(c) else g.at)
-        self.fail, self.lower = np.concatenate(fail).tolist(), np.concatenate(lower).tolist()
-        self.weight = [np.where(a >= 0, w[a], self.MISSING).tolist() if len(w) else [self.MISSING] * len(a) for a, w in zip(arcs, weight, strict=True)]
-        self.goal, self.depth = ([(x[a] if len(x) else a).tolist() for a, x in zip(arcs, part, strict=True)] for part in (goal, depth))
+            arc = (g.at >= 0) & (c[g.at] > 0) if len(c) else np.zeros(len(g.at), dtype=bool)
+            self.weight.append(np.where(arc, np.log10(p)[g.at], self.MISSING) if len(c) else np.full(len(g.at), self.MISSING))
+            before = np.concatenate([[-1], found[j - 1].at[:-1]])
+            self.fail.append(np.log10(prior / (below[before] + prior)))
+        self.deep = [1, *(min(j + 1, top) for j in range(1, top + 1))]
 
     def traverse(self, start: int, end: int) -> float:
         """log10 of the probability of the text at these positions."""
-        weight, goal, deep, fail, lower, missing = self.weight, self.goal, self.depth, self.fail, self.lower, self.MISSING
-        total, state, depth = 0.0, 0, 0
-        for at in range(start, end):
+        weight, fail = [w[start:end].tolist() for w in self.weight], [f[start:end].tolist() for f in self.fail]
+        deep, missing, known = self.deep, self.MISSING, self.known[start:end].tolist()
+        total, depth = 0.0, 0
+        for at in range(end - start):
             w = weight[depth][at]
             while w == missing:
-                total += fail[state]
-                state = lower[state]
+                total += fail[depth][at]
                 depth -= 1
                 w = weight[depth][at]
             total += w
-            state, depth = goal[depth][at], deep[depth][at]
+            depth = deep[depth] if depth or known[at] else 0
         return total
 
 
