@@ -49,10 +49,22 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+def check_format(spec: dict) -> None:
+    """Refuse tokenizer files that ask for anything else than what is built here."""
+    steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    splits = [x.get("type") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    model = spec["model"]
+    odd = [k for k in ("unk_token", "dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+    lax = [t["content"] for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]
+    if steps != ["NFC", "Replace", "Lowercase"] or splits != ["Split", "ByteLevel"] or spec.get("decoder") or spec.get("post_processor") or model["type"] != "BPE" or model.get("end_of_word_suffix") != WORD_END or odd or lax:
+        raise ValueError("not a byte-level BPE with word ends, NFC, lower case and no decoder")
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_format(spec)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -215,27 +227,19 @@ def split_words(text: str) -> list[str]:
     return [w for w in SPACE.split(text) if w] if ODD.search(text) else text.split()
 
 
-def encode_texts(vocab: Vocabulary, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
-    """(ids, decoded text) of each text."""
+def encode_texts(vocab: Vocabulary, texts: list[str]) -> Iterator[np.ndarray]:
+    """The ids of each text."""
     number = Numbers()
     rows = [np.fromiter(map(number.__getitem__, split_words(t)), dtype=np.int64) for t in texts]
     ids, offsets = encode_words(vocab, list(number))
-    tokens = list(map(vocab.strings.__getitem__, ids.tolist()))
-    ends = offsets.tolist()
-    spoken = [" ".join(tokens[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
     begin, length = offsets[:-1], np.diff(offsets)
     for row in rows:
-        out, _ = gather(ids, begin[row], length[row])
-        yield out, decode(spoken, row)
-
-
-def decode(spoken: list[str], row: np.ndarray) -> str:
-    """Tokens joined by spaces: the format's file names no decoder, so the word ends stay."""
-    return " ".join(map(spoken.__getitem__, row.tolist()))
+        yield gather(ids, begin[row], length[row])[0]
 
 
 def decode_ids(vocab: Vocabulary, ids: list[int]) -> str:
-    return " ".join(vocab.strings[i] for i in ids if 0 <= i < vocab.size and vocab.strings[i])
+    """Tokens joined by spaces: the format's file names no decoder, so the word ends stay. Ids outside the vocabulary give nothing."""
+    return " ".join([t for i in ids if 0 <= i < vocab.size and (t := vocab.strings[i])])
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
@@ -250,36 +254,54 @@ def runs(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (array of int), decoded: every text encoded, and decoded again."""
+    """doc_id, ids (array of int): every text encoded."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for run in runs(batches, "text", CHUNK_CHARS):
-            texts = [t or "" for t in run.column("text").to_pylist()]
-            ids, decoded = zip(*encode_texts(vocab, texts), strict=True)
+            ids = list(encode_texts(vocab, [t or "" for t in run.column("text").to_pylist()]))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            values = pa.array(np.concatenate(ids).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([run.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([run.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))], ["doc_id", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, f"doc_id {kind}, ids array<int>")
+
+
+def decode(encoded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """doc_id, decoded: the texts of ids; null ids (whole or single ones) give nothing."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = [decode_ids(vocab, [i for i in x or [] if i is not None]) for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "decoded"])
+
+    kind = encoded.schema[doc_id].dataType.simpleString()
+    return encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(rows, f"doc_id {kind}, decoded string")
 
 
-def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: ``encode`` with the ids and texts digested where they are made."""
+def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for): texts encoded, their ids decoded, both digested where they are made."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for run in runs(batches, "text", CHUNK_CHARS):
-            n, a, b = [], [], []
-            for ids, decoded in encode_texts(vocab, [t or "" for t in run.column("text").to_pylist()]):
+            n, a, b, held = [], [], [], []
+            for ids in encode_texts(vocab, [t or "" for t in run.column("text").to_pylist()]):
                 n.append(len(ids))
                 a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                b.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([run.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                b.append(hashlib.sha256(decode_ids(vocab, ids.tolist()).encode()).hexdigest())
+                held += [ids.astype(np.int32)] * with_ids
+            out = [run.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            if with_ids:
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(held))))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, schema)
 
 
 def default_path() -> str:
