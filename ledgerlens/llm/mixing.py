@@ -10,10 +10,10 @@ where its rows lie and never sorted in one place.
 
 Defined cases: a null source is a source of its own, after all others; a null
 or empty text has size 0 and is taken whenever its place in the order is; rows
-with equal (or null) ids fall on the same side of the cut; weights that are
+with equal ids (null ids: equal texts) fall on the same side of the cut; weights that are
 null, negative or missing count as 0; with no words or no weight nothing is
 taken; an empty table gives an empty result; other columns pass through ``repeat``
-untouched, its own working columns start with two underscores.
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,24 +31,26 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{BLANKS}]+")), F.lit(0)).cast("long")
 
 
-def place(doc_id: Column, seed: int) -> Column:
-    """A document's place in the seeded order, 0 to 2**32 - 1."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+def place(doc_id: Column, text: Column, seed: int) -> Column:
+    """A document's place in the seeded order, 0 to 2**32 - 1; without an id the text tells it apart."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def source_rank(sizes: DataFrame) -> DataFrame:
     """``__source, __null`` with ``rank``: 0, 1, ... by code point, null last.
 
-    Sources are counted within the code point of their first character, then
-    ranked there, so that no task needs the whole list of sources.
+    A range sort; each range counts its own sources, and what lies before a
+    range is a sum over as many rows as there are ranges. No task needs the
+    whole list of sources.
     """
-    first = F.when(F.col("__null"), F.lit(1 << 22)).otherwise(F.coalesce(F.ascii("__source"), F.lit(0)))
-    names = sizes.select("__source", "__null").withColumn("__first", first)
-    groups = names.groupBy("__first").agg(F.count("*").alias("__count"))
-    before = groups.withColumn("__before", F.sum("__count").over(Window.orderBy("__first")) - F.col("__count"))
-    inside = names.withColumn("__inside", F.row_number().over(Window.partitionBy("__first").orderBy("__source")))
-    return inside.join(before, "__first").select("__source", "__null", (F.col("__before") + F.col("__inside") - 1).cast("long").alias("rank"))
+    ordered = sizes.select("__source", "__null").repartitionByRange("__null", "__source").sortWithinPartitions("__null", "__source")
+    placed = materialize(ordered.withColumn("__at", F.monotonically_increasing_id()), "ranks")
+    part, low = F.shiftright("__at", 33), F.lit((1 << 33) - 1)
+    ranges = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__count"))
+    before = ranges.select("__part", (F.sum("__count").over(Window.orderBy("__part")) - F.col("__count")).alias("__before"))
+    joined = placed.withColumn("__part", part).join(before, "__part")
+    return joined.select("__source", "__null", (F.col("__before") + F.col("__at").bitwiseAND(low)).cast("long").alias("rank"))
 
 
 def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFrame:
@@ -113,7 +115,7 @@ def plan(measured: DataFrame, pattern: tuple[float, ...], share: float, max_epoc
 
 def sizes(docs: DataFrame, seed: int, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The written table that the rounds read instead of the texts."""
-    return materialize(_keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")), "source").select("doc_id", "__source", "__null", n_words(F.col("text")).alias("size"), place(F.col("doc_id"), seed).alias("__place")), "sizes")
+    return materialize(_keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")), "source").select("doc_id", "__source", "__null", n_words(F.col("text")).alias("size"), place(F.col("doc_id"), F.col("text"), seed).alias("__place")), "sizes")
 
 
 def times() -> Column:
@@ -134,8 +136,9 @@ def ledger(docs: DataFrame, pattern: tuple[float, ...] = PATTERN, share: float =
 def repeat(docs: DataFrame, pattern: tuple[float, ...] = PATTERN, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
     rates = plan(sizes(docs, seed), pattern, share, max_epochs)
-    rows = _keyed(docs, "source").withColumn("__place", place(F.col("doc_id"), seed)).join(rates, ["__source", "__null"]).withColumn("__times", fence(times()))
-    return rows.filter("__times > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("__own"), place(F.col("doc_id"), F.col("text"), seed).alias("__place"))
+    rows = _keyed(wrapped, "__own").join(rates, ["__source", "__null"]).withColumn("__times", fence(times()))
+    return rows.filter("__times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))).alias("__k")).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +149,7 @@ OP4_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS sn,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS place
+         CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))), 1, 8) AS BIGINT) AS place
   FROM documents),
 src AS (
   SELECT s, sn, CAST(sum(size) AS BIGINT) AS source_size,
