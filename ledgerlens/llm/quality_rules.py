@@ -114,9 +114,10 @@ def apply_policy(ledger: DataFrame, policy: int) -> DataFrame:
 
 
 def keep(docs: DataFrame, policy: int, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with their own columns; new names begin with ``__q_``."""
-    measured = measure(docs, "text", "__q_").withColumn("__q_bits", bits(rules, "__q_"))
-    return measured.filter(F.col("__q_bits").bitwiseAND(F.lit(policy).cast("long")) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that the policy keeps, with their own columns, whatever their names."""
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("__text"))
+    measured = measure(wrapped, "__text").withColumn("bits", bits(rules))
+    return measured.filter(F.col("bits").bitwiseAND(F.lit(policy).cast("long")) == 0).select("row.*")
 
 
 def ablation(ledger: DataFrame, policy: int, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -133,7 +134,7 @@ def ablation(ledger: DataFrame, policy: int, rules: tuple[Rule, ...] = RULES) ->
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = apply_policy(ledger(table(spark, sf_dir, "documents")), POLICIES["full-1"])
     base = F.col("bits").bitwiseAND(F.lit(POLICIES["base-1"]).cast("long")) != 0
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "bits")
 
 
 OP9_SQL = r"""
@@ -159,6 +160,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 30 * n_words
             OR (n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines)
-            OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 16 * n_words))) AS kept
+            OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 16 * n_words))) AS kept,
+       CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 30 * n_words)::INT
+            + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines)::INT + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 16 * n_words))::INT AS BIGINT) AS bits
 FROM m
 """
