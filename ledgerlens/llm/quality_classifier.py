@@ -3,8 +3,8 @@
 ``fit`` trains one dictionary on good and one on bad labelled texts and fits a
 rising curve (isotonic regression) to the normalised compressed-size difference
 on labelled texts that no dictionary has seen. The sample is bounded: PER_CLASS texts of each
-label, the first in an order by hash of the id, of at most SAMPLE_CHARS
-characters each. ``score`` compresses every whole text piece by piece under
+label, the first in an order by hash of the id among those of at most
+SAMPLE_CHARS characters (longer texts never teach). ``score`` compresses every whole text piece by piece under
 both dictionaries; the sizes are summed, so a long text counts by all of it.
 
 Defined cases: a null or empty text has no difference and scores as the fit
@@ -91,17 +91,19 @@ def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[fl
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Learns from labelled rows outside the held-out fold."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").filter(fold(F.col("doc_id")) != HELD_OUT_FOLD)
-    agreed = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most")
+    agreed = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most")
     counts = {r["y"]: r["n"] for r in agreed.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows at most
     if len(counts) < 2:
         share = 1.0 if not counts or 1 in counts else 0.0
         return Model(b"", b"", (0.0,), (share,))
-    order = F.xxhash64("doc_id", F.lit(11))
-    chosen = [agreed.filter(F.col("y") == y).orderBy(order, "doc_id").limit(PER_CLASS).select("doc_id", "y").collect() for y in (0, 1)]
-    ids = docs.sparkSession.createDataFrame([tuple(r) for part in chosen for r in part], "doc_id long, y int")
     size = F.length(text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter((size > 0) & (size <= SAMPLE_CHARS)).join(F.broadcast(ids), "doc_id")
-    found = sorted({r["doc_id"]: (r["y"], r["text"]) for r in rows.collect()}.items())
+    short = docs.filter((size > 0) & (size <= SAMPLE_CHARS)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # of rows that repeat an id the text with the least hash teaches, whatever order they come in
+    named = short.select("doc_id", F.xxhash64("text").alias("h")).join(agreed, "doc_id").groupBy("doc_id", "y").agg(F.min("h").alias("h"))
+    first = [named.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(PER_CLASS) for y in (0, 1)]
+    chosen = F.broadcast(first[0].unionByName(first[1]))  # twice PER_CLASS rows at most
+    rows = short.withColumn("h", F.xxhash64("text")).join(chosen, ["doc_id", "h"]).select("doc_id", "y", "text")
+    found = sorted({str(r["doc_id"]): (r["y"], r["text"]) for r in rows.collect()}.items())
     part = lambda y, third: [t for k, (i, (z, t)) in enumerate(x for x in found if x[1][0] == y) if (k % 3 == 2) is third]
     good, bad = dictionary(part(1, False) or [""]), dictionary(part(0, False) or [""])
     scorer = Scorer(Model(good, bad, (0.0,), (0.0,)))
