@@ -23,7 +23,7 @@ ignored. A role's line feeds are escaped, so a role can't end its line early.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import table
@@ -59,37 +59,32 @@ def unescape_role(role: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """conv_id, msg, role, text: a row for each message that is left."""
+    """conv_id, msg, role, text: a row for each message that is left.
+
+    What the last event that starts the text over and the deltas after it say;
+    no list grows event by event, so a message of very many deltas is linear.
+    """
     kind = F.coalesce("kind", F.lit("delta"))
     e = events.select("conv_id", "msg", F.struct("seq", kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "role").alias("e"))
     log = e.groupBy("conv_id", "msg").agg(F.sort_array(F.collect_list("e")).alias("log"))
-    add = lambda acc, x: F.struct(
-        F.coalesce(x["role"], acc["role"]).alias("role"),
-        F.when(x["kind"] == "delta", F.concat(acc["parts"], F.array(x["text"]))).when(x["kind"] == "delete", F.array().cast("array<string>")).otherwise(F.array(x["text"])).alias("parts"),
-        (x["kind"] == "delete").alias("gone"),
-    )
-    empty = F.struct(F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("parts"), F.lit(False).alias("gone"))
-    one = F.size("log") == 1
-    folded = log.withColumn("m", F.when(one, add(empty, F.get("log", F.lit(0)))).otherwise(F.aggregate("log", empty, add)))
-    return folded.filter("NOT m.gone").select("conv_id", "msg", F.coalesce("m.role", F.lit("")).alias("role"), F.array_join("m.parts", "").alias("text"))
+    begin = F.coalesce(F.array_max(F.transform("log", lambda x, i: F.when(x["kind"] != "delta", i))), F.lit(0))
+    parts = F.transform(F.slice("log", begin + 1, F.size("log")), lambda x: F.when(x["kind"] == "delete", "").otherwise(x["text"]))
+    role = F.try_element_at(F.filter(F.transform("log", lambda x: x["role"]), lambda r: r.isNotNull()), F.lit(-1))
+    left = log.filter(F.element_at("log", -1)["kind"] != "delete")
+    return left.select("conv_id", "msg", F.coalesce(role, F.lit("")).alias("role"), F.array_join(parts, "").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
     """conv_id, formatted (string), loss (array of start, end): a row for each conversation."""
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
-    body = escape(F.col("text"))
-    turns = messages.select("conv_id", F.struct("msg", F.concat(head, body, F.lit(f"{END}\n")).alias("turn"), F.length(head).alias("head"), F.length(body).alias("body"), (F.col("role") == TRAINED).alias("trained")).alias("t"))
-    convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    start = lambda acc, x: acc["at"] + x["head"]
-    walk = F.aggregate(
-        "t",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["turn"])).alias("at"),
-            F.when(x["trained"], F.concat(acc["loss"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + x["body"]).alias("end"))))).otherwise(acc["loss"]).alias("loss"),
-        ),
-    )
-    return convs.select("conv_id", F.array_join(F.transform("t", lambda x: x["turn"]), "").alias("formatted"), walk["loss"].alias("loss"))
+    turns = messages.select("conv_id", "msg", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == TRAINED).alias("trained"))
+    turns = turns.withColumn("turn", F.concat("head", "body", F.lit(f"{END}\n")))
+    # where each turn begins, by a running sum over the conversation, whose rows meet here anyway
+    upto = F.sum(F.length("turn")).over(Window.partitionBy("conv_id").orderBy("msg").rowsBetween(Window.unboundedPreceding, 0))
+    start = upto - F.length("turn") + F.length("head")
+    placed = turns.withColumn("span", F.when(F.col("trained"), F.struct(start.cast("int").alias("start"), (start + F.length("body")).cast("int").alias("end"))))
+    convs = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("msg", "turn", "span"))).alias("t"))
+    return convs.select("conv_id", F.array_join(F.transform("t", lambda x: x["turn"]), "").alias("formatted"), F.filter(F.transform("t", lambda x: x["span"]), lambda x: x.isNotNull()).alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -105,12 +100,25 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of a conversation table: a ``message`` event for each row, rows of a conversation by turn.
+    """A log that a chat client could have left of a conversation table, rows of a conversation by turn.
 
-    Rows that share a turn are messages of their own, by role and text.
+    Assistant texts come as a draft, its regeneration and three deltas; other
+    texts as a message and a delta, every third (by hash) as a draft and an
+    edit. Rows that share a turn are messages of their own, by role and text.
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return conversations.select("conv_id", row.alias("msg")).groupBy("conv_id", "msg").agg(F.count("*").alias("n")).select("conv_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"), "msg").select("conv_id", F.struct("msg.turn", "msg.role", "msg.text", "k").alias("msg"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), F.col("msg.role").alias("role"), F.col("msg.text").alias("text"))
+    rows = conversations.select("conv_id", row.alias("msg")).groupBy("conv_id", "msg").agg(F.count("*").alias("n"))
+    each = rows.select("conv_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"), "msg.turn", "msg.role", "msg.text")
+    text, size, third = F.col("text"), F.length("text"), F.length("text") / 3
+    cut = lambda a, b: F.substring(text, a + 1, F.greatest(b - a, F.lit(0)))
+    one, two = third.cast("int"), (2 * third).cast("int")
+    event = lambda seq, kind, said, role=None: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), (role if role is not None else F.lit(None).cast("string")).alias("role"), said.alias("text"))
+    none, draft, role = F.lit(None).cast("string"), F.concat(F.lit("draft of "), F.length("text").cast("string")), F.col("role")
+    streamed = F.array(event(1, "message", draft, role), event(2, "regenerate", none), event(3, "delta", cut(F.lit(0), one)), event(4, "delta", cut(one, two)), event(5, "delta", cut(two, size)))
+    edited = F.array(event(1, "message", draft, F.lit("unknown")), event(2, "delta", F.lit("...")), event(3, "edit", text, role))
+    plain = F.array(event(1, "message", cut(F.lit(0), one), role), event(2, "delta", cut(one, size)))
+    log = F.when(role == TRAINED, streamed).when(F.pmod(F.xxhash64("text"), F.lit(3)) == 0, edited).otherwise(plain)
+    return each.select("conv_id", F.struct("turn", "role", "text", "k").alias("msg"), F.explode(log).alias("e")).select("conv_id", "msg", "e.seq", "e.kind", "e.role", "e.text")
 
 
 #: The conversation that the query op3 adds, to show that texts can't forge turns.
