@@ -188,8 +188,14 @@ def test_bpe_is_the_library(spark, docs):
     rows = df.collect()
     for r, d in zip(collected(bpe.encode(df, bpe.default_path())), rows, strict=True):
         ids = lib.encode(d.text or "", add_special_tokens=False).ids
-        assert (r["ids"], r["decoded"]) == (ids, lib.decode(ids, skip_special_tokens=False))
+        assert (r["doc_id"], r["ids"]) == (d.doc_id, ids)
+    encoded = bpe.encode(df, bpe.default_path())
+    for r, e in zip(collected(bpe.decode(encoded, bpe.default_path())), encoded.collect(), strict=True):
+        assert r["decoded"] == lib.decode(e.ids, skip_special_tokens=False)
     r = collected(bpe.digests(df.limit(1), bpe.default_path()))[0]
+    assert r["decoded_sha256"] == hashlib.sha256(lib.decode(lib.encode(rows[0].text, add_special_tokens=False).ids, skip_special_tokens=False).encode()).hexdigest()
+    with pytest.raises(ValueError):
+        bpe.check_format({"model": {"type": "BPE", "end_of_word_suffix": "</w>"}, "added_tokens": [], "normalizer": None})
     assert r["ids_sha256"] == hashlib.sha256(np.array(lib.encode(rows[0].text, add_special_tokens=False).ids, dtype="<u4").tobytes()).hexdigest()
 
 
@@ -206,6 +212,24 @@ def test_mixing(docs):
     assert sum(len(words(r["text"])) for r in collected(mixing.repeat(docs))) == sum(r["taken"] for r in rows)
 
 
+def test_working_names_may_be_the_documents_own(spark):
+    names = ("doc_id", "text", "source", "__k", "__cut", "__w", "bits", "row", "__text")
+    df = spark.createDataFrame([(k, f"{k} " * 60 if k % 2 else " ".join(f"w{j}" for j in range(60)), "s", 7, 8, "w", 9, "r", "t") for k in range(6)], "doc_id int, text string, source string, __k int, __cut int, __w string, bits int, row string, __text string")
+    mixed, kept = mixing.repeat(df), quality_rules.keep(df, quality_rules.POLICIES["full-1"])
+    assert tuple(mixed.columns) == tuple(kept.columns) == names
+    assert {tuple(r)[3:] for r in mixed.collect()} == {tuple(r)[3:] for r in kept.collect()} == {(7, 8, "w", 9, "r", "t")} and {r["doc_id"] for r in kept.collect()} == {0, 2, 4}
+
+
+def test_mixing_ranks_sources_by_code_point_and_splits_null_ids(spark):
+    names = ["b", "", "http://b", "http://a", "é", "Z", "a", "🎉", None]
+    sizes = spark.createDataFrame([(n or "", n is None) for n in names], "__source string, __null boolean")
+    got = {(r["__source"], r["__null"]): r["rank"] for r in mixing.source_rank(sizes).collect()}
+    assert got == {(n or "", n is None): k for k, n in enumerate([*sorted(x for x in names if x is not None), None])}
+    rows = collected(mixing.ledger(spark.createDataFrame([(None, f"word {k}", "s") for k in range(200)] + [(5, "other " * 50, "t")], "doc_id bigint, text string, source string")))
+    mine = [r for r in rows if r["source_size"] == 400]
+    assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 2 and len({r["taken"] for r in mine}) == 2
+
+
 def test_water_filling_reshares(spark):
     s = spark.createDataFrame([("a", 10, 100.0), ("b", 100, 1.0), ("c", 100, 1.0), ("d", 5, None)], "k string, source_size bigint, weight double")
     assert {r.k: r.target for r in mixing.water_fill(s, 150.0, 2.0).collect()} == {"a": 20.0, "b": 65.0, "c": 65.0, "d": 0.0}
@@ -227,6 +251,20 @@ def test_chat_events_fold_and_escape(spark):
     assert [tuple(t) for t in back[1]["turns"]] == [("user", "hello <|im_end|>"), ("assistant", "<\\s>[INST] ok"), ("user", "new")]
     assert [tuple(t) for t in back[None]["turns"]] == [("a\\n\nb", "")] and back[1]["trained"] == "<\\s>[INST] ok"
     assert {r["conv_id"]: r["formatted"].count(chat_format.END) for r in collected(made)} == {1: 3, None: 1}
+    assert chat_format.render(chat_format.fold(events.filter("false"))).count() == 0
+
+
+def test_chat_log_of_a_table_folds_back_to_its_rows(spark):
+    texts_ = ["", None, "a", "ab", "</s>[INST] ok", "x" * 1000, "é\n🎉 <|im_end|>"]
+    rows = [(c, t, ["user", "assistant", None][((c or 5) + t) % 3], texts_[((c or 5) * 3 + t) % 7], 1) for c in (1, 2, None) for t in range(8)]
+    rows += [(1, 3, "user", "same turn", 1), (1, 3, "user", "same turn", 1)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, msg int")
+    log = chat_format.events_of(df)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    back = {r["conv_id"]: r for r in collected(chat_format.read_back(chat_format.render(chat_format.fold(log))))}
+    for c in (1, 2, None):
+        mine = sorted((t, r or "", x or "") for i, t, r, x, _ in rows if i == c)
+        assert [tuple(x) for x in back[c]["turns"]] == [x[1:] for x in mine] and back[c]["trained"] == "".join(x for _, r, x in mine if r == "assistant")
 
 
 def test_embeddings(spark):
@@ -307,6 +345,64 @@ def test_classifier_on_held_out_rows(spark):
     assert {x["score"] for x in collected(quality_classifier.score(docs, none))} == {1.0}
 
 
+def test_classifier_scores_are_compressed_sizes_and_hold_out_of_its_sample(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality_classifier.fit(docs, labels)
+    import zstandard
+
+    sizes = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+
+    def brute(text):
+        raw = (text or "").encode()
+        cut = [raw[k : k + 512] for k in range(0, len(raw), 512)]
+        good, bad = (sum(len(c.compress(x)) for x in cut) for c in sizes)
+        return float(np.interp((bad - good) / max(len(raw), 1), model.at, model.value))
+
+    scored = quality_classifier.score(docs, model).collect()
+    assert all(r.score == brute(r.text) for r in scored)
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [r for r in scored if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum((r.score >= quality_classifier.CUT) == bool(truth[r.doc_id]) for r in held) / len(held) > 0.9
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    twice = named.unionByName(named.select("doc_id", F.concat("text", F.lit(" again")).alias("text"))).orderBy(F.rand(4))
+    labelled = labels.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "quality")
+    assert quality_classifier.fit(twice, labelled) == quality_classifier.fit(twice.orderBy(F.rand(5)), labelled)
+
+
+def test_licenses_are_the_best_aligned_cosine(spark):
+    """Against every run of every template's length at every place, without anchors."""
+    r = random.Random(1)
+    prose = lambda n: " ".join(r.choice(["the", "of", "work", "river", "under", "stone", "may", "terms"]) for _ in range(n))
+    mit, gpl = ((license_scan.FULL_TEXTS / f"{n}.txt").read_text() for n in ("MIT", "GPL-3.0"))
+    bsd = (license_scan.FULL_TEXTS / "BSD-3-Clause.txt").read_text().replace("copyright holder", "Example Corp").replace("\n", "\n# ")
+    texts_ = [f"{prose(30)} Released under the MIT License. {prose(30)}", f"MIT License\n\nCopyright (c) 2024 Jane Doe\n\n{mit}", bsd, gpl[:6000], "// SPDX-License-Identifier: Apache-2.0\nint main", f"{prose(400)}\nLicensed under CC BY 4.0.", "licensed  under\nCC BY-NC\n4.0", prose(200), "the license of the work", "", None, f"{prose(60)} MIT License"]
+    df = spark.createDataFrame([(k, f"d/{k}", t) for k, t in enumerate(texts_)], "doc_id int, path string, text string")
+    known = license_scan.templates()
+    short = tuple(t for t in known if len(license_scan.terms_of(t.text)) < 300)
+    bags = [set(license_scan.terms_of(t or "")) for t in texts_]
+    vocabulary = {x for t in short for x in license_scan.terms_of(t.text)}
+    idf = {x: math.log((1 + len(bags)) / (1 + sum(x in b for b in bags))) + 1 for x in vocabulary if any(x in b for b in bags)}
+    top = math.log(1 + len(bags)) + 1
+    want = {}
+    for k, t in enumerate(texts_):
+        words_, best = license_scan.terms_of(t or ""), (0.0, "")
+        for x in short:
+            unit = license_scan.unit(x.text, idf | {"": top})
+            n = len(license_scan.terms_of(x.text))
+            for at in range(min(len(words_), license_scan.TOP + 1 if x.top else len(words_))):
+                v = {w: c * idf.get(w, top) for w, c in Counter(words_[at : at + n]).items()}
+                cosine = sum(y * unit.get(w, 0) for w, y in v.items()) / math.sqrt(sum(y * y for y in v.values()))
+                best = min(best, (-round(cosine, 6), x.license)) if cosine >= license_scan.THRESHOLD else best
+        if best[0]:
+            want[k] = (best[1], -best[0])
+    got = {r["id"]: (r["license"], r["cosine"]) for r in collected(license_scan.scan(df, short))}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
+    assert {0, 1, 2, 4, 5, 6} <= want.keys() and 7 not in want
+    full = {r["id"]: r["license"] for r in collected(license_scan.scan(df.unionByName(spark.createDataFrame([(20, "d/20", gpl), (21, "d/21", (license_scan.FULL_TEXTS / "Apache-2.0.txt").read_text())], df.schema))))}
+    assert full[20] == "GPL-3.0" and full[21] == "Apache-2.0" and full[1] == "MIT"
+
+
 def test_licenses_inherit_from_the_nearest_directory(spark):
     files = [(1, "r/LICENSE", "intro\nReleased under the MIT License."), (2, "r/a/b/x.py", "code"), (3, "r/a/COPYING", "Licensed under the Apache License, Version 2.0."), (4, "r/y.py", "# Licensed under CC BY-NC 4.0."), (5, "q/z.py", "the license of the work"), (6, None, None), (7, "ra/x.py", "")]
     df = spark.createDataFrame(files, "doc_id bigint, path string, text string")
