@@ -1,4 +1,4 @@
-"""From raw documents to token counts: rules, classifier, near-duplicates, mixing, encoding.
+"""From raw documents to token ids: rules, classifier, near-duplicates, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one
 before kept; ``run`` writes each stage's rows and reads them back.
@@ -34,7 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, bpe.default_path())
+    # the ids are what a model trains on; their digest and the decoded text's come along as proof
+    return bpe.digests(docs, bpe.default_path(), with_ids=True)
 
 
 STAGES = [("quality rules", rules), ("quality classifier", classifier), ("MinHash near-dedup", near_duplicates), ("mixing sources", mix), ("BPE encoding", encode)]
