@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def find_labels(header: DataFrame, labels: DataFrame) -> DataFrame:
+def find_labels(header: DataFrame, labels: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, role, align, x0, x1: where a label's words stand next to each other in the header; the first place counts.
 
-    header: doc_id, word_no (from 1, without holes), text, x0, x1. labels: role, align, label.
+    header: doc_id, word_no (from 1, without holes), text, x0, x1. labels: role,
+    align, label. on: columns of both that must agree, such as the layout.
     """
-    words = labels.select("role", "align", F.split(F.lower(F.trim("label")), r"\s+").alias("parts"))
-    asked = words.select("role", "align", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part"))
-    met = header.join(asked, F.lower(F.trim("text")) == F.col("part")).withColumn("begin", F.col("word_no") - F.col("k"))
+    words = labels.select(*on, "role", "align", F.split(F.lower(F.trim("label")), r"\s+").alias("parts"))
+    asked = words.select(*[F.col(c).alias(f"on_{c}") for c in on], "role", "align", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part"))
+    same = reduce(Column.__and__, [F.col(c) == F.col(f"on_{c}") for c in on], F.lower(F.trim("text")) == F.col("part"))
+    met = header.join(asked, same).withColumn("begin", F.col("word_no") - F.col("k"))
     whole = met.groupBy("doc_id", "role", "align", "n", "begin").agg(F.count("*").alias("c"), F.min_by("x0", "k").alias("x0"), F.max_by("x1", "k").alias("x1")).filter("c = n")
     return whole.groupBy("doc_id", "role", "align").agg(F.min(F.struct("begin", "x0", "x1")).alias("b")).select("doc_id", "role", "align", "b.x0", "b.x1")
 

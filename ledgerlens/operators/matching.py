@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.stored import written
+
 
 def classify(txns: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFrame:
     """Adds n_hits, category and outcome: one category proposed, several conflict, none other_debit or other_credit.
@@ -122,17 +123,6 @@ def transfers(txns: DataFrame, days: int = 3, fee: int = 10_000, scale: int = 10
     return found.select(F.col("l_key").alias("debit_key"), F.col("r_key").alias("credit_key"), short.alias("fee"), F.abs(F.datediff("r_date", "l_date")).cast("bigint").alias("gap"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` by way of the shared folder; a local session without the setting uses its own."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{(folder or '/tmp/checkpoints').rstrip('/')}/matching-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows, in order, whose debit and credit are both still free."""
     debits, credits = set(), set()
@@ -155,15 +145,15 @@ def match_one_to_one(candidates: DataFrame, rounds: int = 20) -> DataFrame:
     """
     done = None
     order = [F.col("fee"), F.col("gap"), F.col("debit_key"), F.col("credit_key")]
-    left = _written(candidates)
+    left = written(candidates)
     size = left.count()
     for _ in range(rounds):
         if not size:
             break
         ranked = left.withColumn("d", F.row_number().over(Window.partitionBy("debit_key").orderBy(*order))).withColumn("c", F.row_number().over(Window.partitionBy("credit_key").orderBy(*order)))
-        best = _written(ranked.filter("d = 1 AND c = 1").drop("d", "c"))
+        best = written(ranked.filter("d = 1 AND c = 1").drop("d", "c"))
         done = best if done is None else done.unionByName(best)
-        left = _written(left.join(best.select("debit_key"), "debit_key", "left_anti").join(best.select("credit_key"), "credit_key", "left_anti").select(*candidates.columns))
+        left = written(left.join(best.select("debit_key"), "debit_key", "left_anti").join(best.select("credit_key"), "credit_key", "left_anti").select(*candidates.columns))
         last, size = size, left.count()
         if size > 0.9 * last:
             break
@@ -204,7 +194,7 @@ def match_tiers(candidates: DataFrame) -> DataFrame:
     """
     # one number for (tier, exact or not, days, signals), the best first
     level = (((F.col("tier") != "strong").cast("bigint") * 2 + (F.col("fee") > 0).cast("bigint")) * 100_000 + F.col("gap")) * 100 + 99 - F.col("signals")
-    left = _written(candidates.withColumn("level", level))
+    left = written(candidates.withColumn("level", level))
     out = None
     for row in sorted(r["level"] for r in left.select("level").distinct().collect()):
         here = left.filter(F.col("level") == row)
@@ -213,9 +203,9 @@ def match_tiers(candidates: DataFrame) -> DataFrame:
         bad = by_debit.unionByName(by_credit).select("debit_key", "credit_key").distinct()
         rest = here.join(bad.select("debit_key").distinct(), "debit_key", "left_anti").join(bad.select("credit_key").distinct(), "credit_key", "left_anti")
         done = rest.select("debit_account", "credit_account", "debit_key", "credit_key").groupBy("debit_account", "credit_account").applyInArrow(_in_order, "debit_key long, credit_key long")
-        found = _written(bad.withColumn("status", F.lit("ambiguous_pair")).unionByName(done.withColumn("status", F.lit("matched"))))
+        found = written(bad.withColumn("status", F.lit("ambiguous_pair")).unionByName(done.withColumn("status", F.lit("matched"))))
         out = found if out is None else out.unionByName(found)
-        left = _written(left.join(found.select("debit_key").distinct(), "debit_key", "left_anti").join(found.select("credit_key").distinct(), "credit_key", "left_anti"))
+        left = written(left.join(found.select("debit_key").distinct(), "debit_key", "left_anti").join(found.select("credit_key").distinct(), "credit_key", "left_anti"))
     return candidates.select("debit_key", "credit_key", F.lit("").alias("status")).filter("false") if out is None else out
 
 

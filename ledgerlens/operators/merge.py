@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.stored import written
+
 
 def rank_statements(docs: DataFrame) -> DataFrame:
     """Adds ``doc_rank``: earlier start, then sheets before pages, then the longer period, then file order."""
@@ -146,14 +148,15 @@ def ledgers(rows: DataFrame, docs: DataFrame, accounts: DataFrame, statement_che
     statement_checks: doc_id, kind, status. A failed check empties its account.
     """
     ranked = rank_statements(docs)
-    claimed = claim_overlaps(rows, ranked)
+    claimed = written(claim_overlaps(rows, ranked))  # read by the overlap checks, on both sides, and by the boundaries
     kept = claimed.filter("claimed_by IS NULL")
     found = statement_checks.join(docs.select("doc_id", "account_id"), "doc_id").select("account_id", "kind", "status")
     for kind, part in (("overlap", overlap_checks(claimed, ranked)), ("continuity", balance_continuity(docs)), ("gap", gap_checks(docs, start, end, accounts))):
         found = found.unionByName(part.select("account_id", F.lit(kind).alias("kind"), "status"))
+    found = written(found)
     ends = boundaries(kept, docs, accounts, start, end).join(accounts.select("account_id", "prior_closing"), "account_id", "left")
     failed = found.groupBy("account_id").agg(F.bool_or(F.col("status") == "fail").alias("failed"))
-    ends = ends.join(failed, "account_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+    ends = written(ends).join(failed, "account_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
     open_end = (F.col("opening_source") == "unknown") | (F.col("closing_source") == "unknown")
     late = F.filter(F.array(F.when(open_end, "anchor_missing"), F.when(F.col("opening") != F.col("prior_closing"), "prior_year_mismatch")), lambda x: x.isNotNull())
     found = found.unionByName(ends.filter("NOT failed").select("account_id", F.explode(late).alias("kind"), F.lit("warn").alias("status")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import money, text
 from ledgerlens.operators import checks
+from ledgerlens.operators.profiles import ROLES
 
 HEAD_ROWS = 30
 #: Reasons of unresolved rows.
@@ -86,9 +87,13 @@ def read_rows(rows: DataFrame, mapped: DataFrame) -> DataFrame:
     body = rows.join(good, "doc_id").filter(F.col("row_no") > F.col("header_row")).withColumn("raw", F.array_join("cells", ","))
     furniture = reduce(Column.__or__, [F.coalesce(F.regexp_like("raw", F.col(p)), F.lit(False)) for p in ("skip", "summary")])
     body = body.filter(F.exists("cells", lambda c: F.trim(c) != "")).filter(~furniture)
-    names = ("debit", "credit", "amount", "balance", "date")
-    body = body.withColumns({f"c_{r}": cell(r) for r in names})
-    debit, credit, amount, balance, day = (F.col(f"c_{r}") for r in names)
+    body = body.withColumns({f"c_{r}": cell(r) for r in ROLES}).withColumn("locator", F.concat(F.lit("row:"), F.col("row_no").cast("string")))
+    return interpret(body)
+
+
+def interpret(body: DataFrame) -> DataFrame:
+    """The rows (doc_id, row_no, locator, raw, c_<role>, and their profile's formats) as ``read_rows`` gives them."""
+    debit, credit, amount, balance, day = (F.col(f"c_{r}") for r in ("debit", "credit", "amount", "balance", "date"))
     no_d, no_c, none = money.is_empty(debit), money.is_empty(credit), money.is_empty(amount)
     read = body.withColumn("date", first_date(day, F.col("dates"))).withColumn("by_suffix", F.when((F.col("sign") == "suffix") & ~none, suffix_amount(amount, F.col("credit_tokens"), F.col("debit_tokens"))))
     columns = F.when(no_c, -money.parse(debit)).otherwise(money.parse(credit))
@@ -103,8 +108,8 @@ def read_rows(rows: DataFrame, mapped: DataFrame) -> DataFrame:
     )
     source = F.when(F.col("sign") == "columns", "column").otherwise(F.col("sign"))
     return read.select(
-        "doc_id", "row_no", F.concat(F.lit("row:"), F.col("row_no").cast("string")).alias("locator"), "raw", "date", first_date(cell("value_date"), F.col("dates")).alias("value_date"), "amount", "balance_after",
-        cell("description").alias("description"), F.nullif(cell("reference"), F.lit("")).alias("reference"), source.alias("sign_source"), reason.alias("reason"),
+        "doc_id", "row_no", "locator", "raw", "date", first_date(F.col("c_value_date"), F.col("dates")).alias("value_date"), "amount", "balance_after",
+        F.col("c_description").alias("description"), F.nullif(F.col("c_reference"), F.lit("")).alias("reference"), source.alias("sign_source"), reason.alias("reason"),
     )
 
 
@@ -134,7 +139,14 @@ def parse(rows: DataFrame, docs: DataFrame, profiles: DataFrame) -> tuple[DataFr
     and last row's date in printed order.
     """
     heads = headers(rows, docs, profiles)
-    read = read_rows(rows, map_columns(heads))
+    mapped = map_columns(heads)
+    state = F.when(F.col("header_row").isNull(), "no_header").when(F.size("lacking") > 0, "no_column").otherwise("ok")
+    stated = mapped.select("doc_id", "layout_id", "account_id", "container", "running", state.alias("status")).join(read_summary(rows, heads), "doc_id", "left")
+    return assemble(read_rows(rows, mapped), docs, stated)
+
+
+def assemble(read: DataFrame, docs: DataFrame, stated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, txns, unresolved) from interpreted rows and from documents with status and printed figures."""
     fine = read.filter("reason IS NULL").withColumn("pos", F.col("row_no")).join(docs.select("doc_id", "account_id"), "doc_id")
     norm = fine.withColumn("norm", text.normalize_description(F.col("description")))
     counted = checks.occurrence(norm, "doc_id", "date", "amount", "balance_after", "norm")
@@ -143,8 +155,7 @@ def parse(rows: DataFrame, docs: DataFrame, profiles: DataFrame) -> tuple[DataFr
     unresolved = read.filter("reason IS NOT NULL").select("doc_id", "row_no", "locator", "raw", "reason")
     period = fine.groupBy("doc_id").agg(F.min_by("date", "pos").alias("first_day"), F.max_by("date", "pos").alias("last_day"))
     lost = unresolved.groupBy("doc_id").agg(F.count("*").alias("unresolved"), F.min_by(F.struct("reason", "locator"), "row_no").alias("first_unresolved"))
-    state = F.when(F.col("header_row").isNull(), "no_header").when(F.size("lacking") > 0, "no_column").otherwise("ok")
-    documents = map_columns(heads).select("doc_id", "layout_id", "account_id", "container", "running", state.alias("status")).join(read_summary(rows, heads), "doc_id", "left").join(period, "doc_id", "left").join(lost, "doc_id", "left")
+    documents = stated.join(period, "doc_id", "left").join(lost, "doc_id", "left")
     documents = documents.withColumn("doc_start", F.coalesce("s_start", "first_day")).withColumn("doc_end", F.coalesce("s_end", "last_day")).withColumn("unresolved", F.coalesce("unresolved", F.lit(0))).drop("first_day", "last_day")
     return documents, txns, unresolved
 

@@ -203,3 +203,51 @@ def test_matched_income_is_a_conflict(spark):
     kinds = table(spark, [(2, "export_proceeds"), (4, "other_credit")], "key bigint, category string")
     got = {r["key"]: (r["category"], r["outcome"]) for r in matching.income_conflicts(pairs, kinds).collect()}
     assert got == {1: (None, "conflict"), 2: ("export_proceeds", "conflict"), 3: ("internal_transfer", "proposed"), 4: ("internal_transfer", "proposed")}
+
+
+def positioned(doc, page, lines):
+    """Words of lines: (top, [(text, x0, x1), ...])."""
+    return [(doc, page, n, text, float(x0), float(x1), top) for n, (top, text, x0, x1) in enumerate((top, *w) for top, ws in lines for w in ws)]
+
+
+def test_pages_to_transactions(spark):
+    p = profiles.profile("pages.v1", "pdf", ["Date", "Debit"], {"date": "Date", "description": "Details", "debit": "Debit", "credit": "Credit", "balance": "Balance"}, ["d/M/yyyy"], "columns", skip=("^Page ",), footer=("^End of statement",), patterns={"opening": r"Opening (?P<value>\S+)"})
+    head = (20.0, [("Date", 0, 20), ("Details", 60, 90), ("Debit", 180, 200), ("Credit", 240, 262), ("Balance", 300, 330)])
+    one = [(5.0, [("Opening", 0, 30), ("1,000.00", 35, 70)]), head, (40.0, [("1/7/2025", 0, 40), ("Shop", 60, 80), ("one", 84, 95), ("50.00", 175, 200), ("950.00", 300, 330)]), (50.0, [("carried", 61, 90)]), (60.0, [("2/7/2025", 0, 40), ("Odd", 60, 80), ("9.00", 210, 225.5), ("x", 20, 22)]), (70.0, [("lost", 60, 80), ("5.00", 241, 262)]), (90.0, [("Page", 0, 10), ("1", 12, 14)])]
+    two = [(10.0, [("more", 60, 80)]), (22.0, [("3/7/2025", 0, 40), ("Pay", 60, 80), ("100.00", 236, 261), ("1,050.00", 298, 331)]), (30.0, [("to", 60, 70), ("you", 72, 80)]), (40.0, [("31/31/2025", 0, 40), ("Bad", 60, 80), ("1.00", 180, 200)]), (60.0, [("End", 0, 20), ("of", 22, 30), ("statement", 32, 60)]), (70.0, [("hidden", 60, 90)])]
+    words = positioned(1, 1, one) + positioned(1, 2, two) + positioned(2, 1, [(10.0, [("(cid:12)", 0, 10)])]) + positioned(3, 1, [(10.0, [("cover", 0, 10)])]) + positioned(4, 1, [(20.0, head[1][:1] + head[1][2:])])
+    df = table(spark, words, "doc_id bigint, page int, word_no int, text string, x0 double, x1 double, top double")
+    docs = table(spark, [(k, "pages.v1", "acc") for k in (1, 2, 3, 4)], "doc_id bigint, layout_id string, account_id string")
+    from ledgerlens.operators import pages
+
+    documents, txns, lost = pages.parse(df, docs, table(spark, [p], profiles.PROFILE))
+    assert [(r["locator"], r["date"], r["amount"], r["balance_after"], r["description"]) for r in txns.orderBy("pos").collect()] == [("page:1,y:40", DAY(2025, 7, 1), -5000, 95000, "Shop one carried"), ("page:2,y:22", DAY(2025, 7, 3), 10000, 105000, "Pay to you")]
+    assert {(r["locator"], r["reason"]) for r in lost.collect()} == {("page:1,y:60", pages.LOOSE), ("page:1,y:70", pages.UNDATED), ("page:2,y:40", tabular.BAD_DATE), ("page:2,y:60", pages.LOST_TAIL)}
+    assert {r["doc_id"]: (r["status"], r["s_opening"], r["unresolved"]) for r in documents.collect()} == {1: ("ok", 100000, 4), 2: ("not_text", None, 0), 3: ("no_header", None, 0), 4: ("no_column", None, 0)}
+
+
+def test_a_folder_of_files_becomes_ledgers(spark, tmp_path):
+    from ledgerlens.plans import loading
+
+    def sheet(account, opening, rows, period):
+        balance, out = opening, [f"Account,{account}", f"Opening,{opening}.00", f"Period,{period[0]},{period[1]}", "Date,What,Amount,Balance"]
+        for day, amount in rows:
+            balance += amount
+            out.append(f"{day},x,{amount}.00,{balance}.00")
+        return "\n".join([*out[:2], f"Closing,{balance}.00", *out[2:]]) + "\n"
+
+    year = ("1/7/2025", "30/6/2026")
+    good = sheet("PK11", 100, [("1/8/2025", 5), ("2/9/2025", -7)], year)
+    made = {"1.csv": good, "2.csv": good, "3.csv": sheet("PK22", 10, [("1/8/2025", 1)], year).replace("1.00,11.00", "2.00,11.00"), "4.csv": sheet("nobody", 10, [("1/8/2025", 1)], year), "5.csv": "just,text\n", "6.csv": sheet("nobody", 7, [("1/8/2025", 1)], year)}
+    for name, content in made.items():
+        (tmp_path / name).write_text(content)
+    p = profiles.profile("bank.v1", "csv", ["Date", "Amount"], {"date": "Date", "description": "What", "amount": "Amount", "balance": "Balance"}, ["d/M/yyyy"], "signed", patterns={"opening": r"Opening,(?P<value>[^\n]*)", "closing": r"Closing,(?P<value>[^\n]*)", "account_id": r"Account,(?P<value>[^\n]*)", "period_from": r"Period,(?P<value>[^,\n]*)", "period_to": r"Period,[^,\n]*,(?P<value>[^\n]*)"})
+    accounts = table(spark, [("a", ["PK 11"], True, None, None, None, None), ("b", ["PK22"], True, None, None, None, None), ("c", ["PK33"], True, None, None, None, None), ("d", ["PK44"], False, None, None, None, None)], "account_id string, identifiers array<string>, statement_expected boolean, opened_on date, closed_on date, anchor bigint, prior_closing bigint")
+    files = statements.files(spark, str(tmp_path))
+    run = loading.load_files(files, statements.csv_rows(files), table(spark, [p], profiles.PROFILE), accounts, "2025-07-01", "2026-06-30", table(spark, [("6.csv", "d"), ("4.csv", "unknown"), ("gone.csv", "a")], "name string, account_id string"))
+    assert {r["name"]: (r["outcome"], r["account_id"], r["n_txns"]) for r in run.outcomes.collect()} == {"1.csv": ("ok", "a", 2), "2.csv": ("duplicate", None, 0), "3.csv": ("ok", "b", 1), "4.csv": ("unassigned", None, 0), "5.csv": ("unknown_layout", None, 0), "6.csv": ("ok", "d", 1)}
+    assert {r["account_id"]: (r["account_status"], r["opening"], r["closing"], r["opening_source"]) for r in run.ledgers.collect()} == {"a": ("complete", 10000, 9800, "printed"), "b": ("failed", None, None, "unknown"), "d": ("complete", 700, 800, "printed")}
+    assert [r[0] for r in run.missing.collect()] == ["c"]
+    assert {(r["what"], r["name"]): r["n"] for r in loading.run_summary(run).collect()} == {("file", "ok"): 3, ("file", "duplicate"): 1, ("file", "unassigned"): 1, ("file", "unknown_layout"): 1, ("account", "complete"): 2, ("account", "failed"): 1, ("account", "missing"): 1}
+    years = table(spark, [("TY1", DAY(2025, 7, 1), DAY(2026, 6, 30)), ("TY2", DAY(2025, 1, 1), DAY(2025, 12, 31))], "name string, period_start date, period_end date")
+    assert {r["problem"] for r in loading.year_problems(years).collect()} == {"period_start must be 1 July", "period_end must be 30 June", "a tax year spans exactly one 1 July to 30 June"}
