@@ -41,7 +41,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(~blank & before)
     ends = np.flatnonzero(blank & ~before)
     hashes = np.empty(len(starts), dtype=np.uint64)
-    step = 1 << 21  # positions whose powers are held at once
+    step = 1 << 19  # positions whose powers are held at once
     power, inverse = _powers(_M, step + 1), _powers(_INVERSE, step + 1)
     at = 0
     while at < len(starts):

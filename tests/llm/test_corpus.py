@@ -281,6 +281,37 @@ def test_embeddings(spark):
     assert all(got[k]["n_links"] == 0 and got[k]["component_id"] == k for k in (900, 901, 902, 903, 904, 905))
 
 
+def test_embeddings_of_several_labels_ids_and_odd_rows(spark):
+    """Links, components and kept rows against brute force: labels keep equal vectors apart; ids repeat or are null; vectors have holes."""
+    r = np.random.default_rng(4)
+    base = r.standard_normal((12, 16))
+    rows = []
+    for k in range(150):
+        v = base[k % 12] + r.choice([0.0, 0.05, 0.2]) * r.standard_normal(16) / 4
+        rows.append((k, np.float32(v).tolist(), [0, 1, 7, None][k % 4]))
+    rows += [(20, np.float32(base[3]).tolist(), 1), (None, np.float32(base[3]).tolist(), 1), (None, np.float32(base[5]).tolist(), 1), (300, [1.0, None] + [0.5] * 14, 1), (301, [float("inf")] + [0.5] * 15, 1), (302, [0.0] * 16, 1)]
+    df = spark.createDataFrame([(*x, "n", 1.5) for x in rows], "vec_id bigint, embedding array<float>, label int, node string, sim double")
+    fine = [x is not None and all(c is not None and np.isfinite(c) for c in x) and any(x) for _, x, _ in rows]
+    root = list(range(len(rows)))
+    links = [0] * len(rows)
+    for i, (_, a, la) in enumerate(rows):
+        for j, (_, b, lb) in enumerate(rows):
+            if i != j and la is not None and la == lb and fine[i] and fine[j]:
+                x, y = np.array(a, dtype=np.float64), np.array(b, dtype=np.float64)
+                if x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98:
+                    links[i] += 1
+                    if root[i] != root[j]:
+                        root = [min(root[i], root[j]) if z in (root[i], root[j]) else z for z in root]
+    want = []
+    for k, (i, _, _) in enumerate(rows):
+        least = min((rows[j][0] for j in range(len(rows)) if root[j] == root[k] and rows[j][0] is not None), default=None)
+        want.append((str(i), links[k], str(least)))
+    got = embedding_dedup.deduplicate(df)
+    assert sorted((str(x["vec_id"]), x["n_links"], str(x["component_id"])) for x in collected(got)) == sorted(want)
+    assert all(x["kept"] == (x["vec_id"] == x["component_id"]) for x in collected(got))
+    assert embedding_dedup.deduplicate(df.filter("false")).count() == 0
+
+
 def linked_halves(groups, size, dim=64, seed=3):
     """Vectors of two tight halves a group; across the halves all cosines are near 0.985, inside them near 0.999."""
     r = np.random.default_rng(seed)
@@ -415,4 +446,6 @@ def test_empty_tables(spark, docs):
     assert quality_rules.ledger(none).count() == mixing.ledger(none).count() == near_dedup.deduplicate(none).count() == 0
     assert lm_score.score(none, F.lit(True)).count() == bpe.digests(none, bpe.default_path()).count() == 0
     pages = spark.createDataFrame([], "page_id bigint, url string")
+    assert license_scan.scan(none.withColumn("path", F.lit("a/b"))).count() == 0
+    assert quality_classifier.score(none.select("doc_id", "text"), quality_classifier.fit(docs.select("doc_id", "text"), spark.createDataFrame([], "doc_id bigint, quality int"))).count() == 0
     assert url_filters.judge(pages, spark.createDataFrame([], "host string, path string, verdict string")).count() == 0
