@@ -461,7 +461,14 @@ def continuation_join(s, d):
     return geometry.join_continuations(li)
 
 
-@query()
+@query("""
+WITH RECURSIVE w AS (
+  SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS word_no, CAST(l_quantity % 12 AS DOUBLE) AS top, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity % 12, l_linenumber) AS k FROM lineitem),
+g AS (
+  SELECT doc_id, word_no, k, [top] AS anchors, CAST(1 AS BIGINT) AS line FROM w WHERE k = 1 UNION ALL
+  SELECT doc_id, word_no, k, CASE WHEN p > 0 THEN anchors ELSE list_append(anchors, top) END, CASE WHEN p > 0 THEN p ELSE len(anchors) + 1 END
+  FROM (SELECT w.doc_id, w.word_no, w.k, w.top, g.anchors, coalesce(list_position(list_transform(g.anchors, lambda a: abs(a - w.top) <= 3), true), 0) AS p FROM g JOIN w ON w.doc_id = g.doc_id AND w.k = g.k + 1))
+SELECT doc_id, 1 AS page, word_no, line FROM g""")
 def line_grouping(s, d):
     words = load(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").cast("bigint").alias("word_no"), (F.col("l_quantity") % 12).cast("double").alias("top"), F.col("l_linenumber").cast("double").alias("x0"))
     return geometry.group_lines(words)
@@ -659,7 +666,15 @@ def transfer_candidates(s, d):
     return matching.transfers(views.txns(s, d))
 
 
-@query()
+@query(BASE.replace("WITH", "WITH RECURSIVE", 1) + """
+, c AS (SELECT *, row_number() OVER (ORDER BY fee, gap, debit_key, credit_key) AS k FROM (
+  SELECT a.key AS debit_key, b.key AS credit_key, -a.amount - b.amount AS fee, CAST(abs(date_diff('day', a.date, b.date)) AS BIGINT) AS gap
+  FROM true_rows a JOIN true_rows b ON a.amount < 0 AND b.amount > 0 AND a.account_id <> b.account_id AND abs(date_diff('day', a.date, b.date)) <= 3 AND -a.amount - b.amount BETWEEN 0 AND 10000)),
+m(k, ok, used_d, used_c) AS (
+  SELECT CAST(0 AS BIGINT), false, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) UNION ALL
+  SELECT k, ok, CASE WHEN ok THEN list_append(used_d, debit_key) ELSE used_d END, CASE WHEN ok THEN list_append(used_c, credit_key) ELSE used_c END
+  FROM (SELECT c.k, debit_key, credit_key, used_d, used_c, NOT list_contains(used_d, debit_key) AND NOT list_contains(used_c, credit_key) AS ok FROM m JOIN c ON c.k = m.k + 1))
+SELECT debit_key, credit_key, fee, gap FROM c JOIN m USING (k) WHERE ok""")
 def transfer_match(s, d):
     return matching.match_one_to_one(matching.transfers(views.txns(s, d)))
 
