@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import money
+
 KINDS = ("running_balance", "opening_closing", "printed_totals", "nothing_verified", "unresolved_rows", "date_range")
 
 
@@ -22,14 +24,18 @@ def occurrence(txns: DataFrame, *keys: str) -> DataFrame:
 
 
 def running_balance(txns: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, breaks, first_break (position), status: each balance against the one before plus the amount."""
+    """doc_id, breaks, first_break (position), status, at_break (expected, printed), last_balance: each balance against the one before plus the amount."""
     w = Window.partitionBy("doc_id").orderBy("pos")
     rows = txns.filter("balance_after IS NOT NULL").join(docs.select("doc_id", "s_opening"), "doc_id")
     before = F.coalesce(F.lag("balance_after").over(w), F.col("s_opening"))
     rows = rows.withColumn("bad", F.coalesce(before + F.col("amount") != F.col("balance_after"), F.lit(False)))
-    found = rows.groupBy("doc_id").agg(F.count_if("bad").cast("bigint").alias("breaks"), F.min(F.when(F.col("bad"), F.col("pos"))).alias("first_break"), F.max("s_opening").alias("anchor"))
+    rows = rows.withColumn("expected", before + F.col("amount"))
+    found = rows.groupBy("doc_id").agg(
+        F.count_if("bad").cast("bigint").alias("breaks"), F.min(F.when(F.col("bad"), F.col("pos"))).alias("first_break"), F.max("s_opening").alias("anchor"),
+        F.min_by(F.struct("expected", F.col("balance_after").alias("printed")), F.when(F.col("bad"), F.col("pos"))).alias("at_break"), F.max_by("balance_after", "pos").alias("last_balance"),
+    )
     status = F.when(F.col("breaks") > 0, "fail").when(F.col("anchor").isNull(), "warn").otherwise("pass")
-    return found.select("doc_id", "breaks", "first_break", status.alias("status"))
+    return found.select("doc_id", "breaks", "first_break", status.alias("status"), "at_break", "last_balance")
 
 
 def sums(txns: DataFrame) -> DataFrame:
@@ -42,7 +48,7 @@ def sums(txns: DataFrame) -> DataFrame:
 
 def figures(txns: DataFrame, docs: DataFrame) -> DataFrame:
     """One row for each document with its sums, and with what each check says of it (null: no row)."""
-    d = docs.join(sums(txns), "doc_id", "left").join(running_balance(txns, docs).select("doc_id", F.col("status").alias("running_balance")), "doc_id", "left")
+    d = docs.join(sums(txns), "doc_id", "left").join(running_balance(txns, docs).select("doc_id", F.col("status").alias("running_balance"), "first_break", "at_break", "last_balance"), "doc_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     both = F.col("s_opening").isNotNull() & F.col("s_closing").isNotNull()
     ok = lambda c: F.when(c, "pass").otherwise("fail")
@@ -73,3 +79,30 @@ def outside_period(txns: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, outside, first_outside (date), first_pos of the rows outside the printed period, in printed order."""
     rows = txns.join(docs.select("doc_id", "s_start", "s_end"), "doc_id").filter(~F.col("date").between(F.col("s_start"), F.col("s_end")))
     return rows.groupBy("doc_id").agg(F.count("*").alias("outside"), F.min_by("date", "pos").alias("first_outside"), F.min("pos").alias("first_pos"))
+
+
+def described(txns: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, kind, status, expected, actual, locator: the checks with what they compared, as text, and where they broke.
+
+    Of several faults the first in printed order is told. ``first_unresolved``
+    (reason, locator) of docs, if there, tells where the first unread row is.
+    """
+    d = figures(txns, docs).join(outside_period(txns, docs), "doc_id", "left")
+    shown, at = money.render, lambda pos: F.concat(F.lit("row:"), pos.cast("string"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    # a total that is not printed, or printed as zero, is told by what was read
+    printed = lambda c, read: F.when(zero(c) != 0, F.col(c)).otherwise(zero(read))
+    both = lambda credit, debit: F.concat(F.lit("credits "), shown(credit), F.lit(" / debits "), shown(debit))
+    period = F.concat(F.col("s_start").cast("string"), F.lit(".."), F.col("s_end").cast("string"))
+    lost = "first_unresolved" in docs.columns
+    none, broke, dated = F.lit(None).cast("string"), F.col("running_balance") == "fail", F.col("date_range") != "warn"
+    told = {
+        "running_balance": (F.when(broke, shown(F.col("at_break.expected"))).otherwise(F.coalesce(shown(F.col("last_balance")), F.lit("a balance column"))), F.when(broke, shown(F.col("at_break.printed"))).otherwise(F.coalesce(shown(F.col("last_balance")), F.lit("none"))), F.when(broke, at(F.col("first_break")))),
+        "opening_closing": (F.when(F.col("opening_closing") == "warn", "printed opening and closing").otherwise(shown(F.col("s_closing"))), F.when(F.col("opening_closing") == "warn", "not both printed").otherwise(shown(F.col("s_opening") + zero("net"))), none),
+        "printed_totals": (both(printed("s_credit", "credit"), printed("s_debit", "debit")), both(zero("credit"), zero("debit")), none),
+        "nothing_verified": (F.lit("running_balance, opening_closing or printed_totals to pass"), F.lit("none of them did"), none),
+        "unresolved_rows": (F.lit("0"), zero("unresolved").cast("string"), F.col("first_unresolved.locator") if lost else none),
+        "date_range": (F.when(dated, period).otherwise("a printed period"), F.when(F.col("date_range") == "fail", F.col("first_outside").cast("string")).when(dated, period).otherwise("not printed"), F.when(F.col("date_range") == "fail", at(F.col("first_pos")))),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("status"), *[c.alias(n) for c, n in zip(told[k], ("expected", "actual", "locator"), strict=True)]) for k in KINDS])
+    return d.select("doc_id", F.inline(rows)).filter("status IS NOT NULL")

@@ -141,7 +141,30 @@ def running_sum(s, d):
 
 @query(BASE + "SELECT * FROM rb")
 def running_balance(s, d):
-    return checks.running_balance(_txns(s, d), _docs(s, d))
+    return checks.running_balance(_txns(s, d), _docs(s, d)).select("doc_id", "breaks", "first_break", "status")
+
+
+def _shown(x: str) -> str:
+    """SQL for an amount as text."""
+    return rf"((CASE WHEN {x} < 0 THEN '-' ELSE '' END) || ltrim(regexp_replace(lpad(CAST(abs({x}) // 100 AS VARCHAR), 12, '#'), '(...)(...)(...)(...)', '\1,\2,\3,\4'), '#,') || '.' || lpad(CAST(abs({x}) % 100 AS VARCHAR), 2, '0'))"
+
+
+def _both(credit: str, debit: str) -> str:
+    return f"'credits ' || {_shown(credit)} || ' / debits ' || {_shown(debit)}"
+
+
+@query(BASE + f"""
+, br AS (SELECT doc_id, arg_min(coalesce(p, s_opening) + amount, pos) FILTER (bad) AS e, arg_min(balance_after, pos) FILTER (bad) AS a, min(pos) FILTER (bad) AS brk, arg_max(balance_after, pos) AS l FROM (SELECT *, lag(balance_after) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM bal) GROUP BY 1),
+o AS (SELECT doc_id, min_by(date, pos) AS d, min(pos) AS opos FROM txns JOIN docs USING (doc_id) WHERE date NOT BETWEEN s_start AND s_end GROUP BY 1),
+x AS (SELECT c2.*, coalesce(c2.credit, 0) AS cr, coalesce(c2.debit, 0) AS de, coalesce(c2.net, 0) AS ne, br.e, br.a, br.brk, br.l, o.d AS od, o.opos, s_start || '..' || s_end AS per FROM c2 LEFT JOIN br USING (doc_id) LEFT JOIN o USING (doc_id))
+SELECT doc_id, 'running_balance' AS kind, running_balance AS status, CASE WHEN running_balance = 'fail' THEN {_shown('e')} ELSE coalesce({_shown('l')}, 'a balance column') END AS expected, CASE WHEN running_balance = 'fail' THEN {_shown('a')} ELSE coalesce({_shown('l')}, 'none') END AS actual, CASE WHEN running_balance = 'fail' THEN 'row:' || brk END AS locator FROM x
+UNION ALL SELECT doc_id, 'opening_closing', opening_closing, CASE WHEN opening_closing = 'warn' THEN 'printed opening and closing' ELSE {_shown('s_closing')} END, CASE WHEN opening_closing = 'warn' THEN 'not both printed' ELSE {_shown('(s_opening + ne)')} END, NULL FROM x
+UNION ALL SELECT doc_id, 'printed_totals', printed_totals, {_both('(CASE WHEN s_credit <> 0 THEN s_credit ELSE cr END)', '(CASE WHEN s_debit <> 0 THEN s_debit ELSE de END)')}, {_both('cr', 'de')}, NULL FROM x
+UNION ALL SELECT doc_id, 'nothing_verified', nothing_verified, 'running_balance, opening_closing or printed_totals to pass', 'none of them did', NULL FROM x WHERE nothing_verified IS NOT NULL
+UNION ALL SELECT doc_id, 'unresolved_rows', unresolved_rows, '0', CAST(unresolved AS VARCHAR), NULL FROM x
+UNION ALL SELECT doc_id, 'date_range', date_range, CASE WHEN date_range = 'warn' THEN 'a printed period' ELSE per END, CASE date_range WHEN 'warn' THEN 'not printed' WHEN 'fail' THEN CAST(od AS VARCHAR) ELSE per END, CASE WHEN date_range = 'fail' THEN 'row:' || opos END FROM x""")
+def described_checks(s, d):
+    return checks.described(_txns(s, d), _docs(s, d))
 
 
 @query(BASE + "SELECT * FROM checks")
