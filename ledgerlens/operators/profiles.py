@@ -49,6 +49,8 @@ def problems(profiles: DataFrame) -> DataFrame:
         (~F.coalesce(F.col("sign").isin(*SIGNS), F.lit(False)), F.lit("unknown sign mode")),
         ((F.col("sign") == "suffix") & ((F.size("credit_tokens") == 0) | (F.size("debit_tokens") == 0)), F.lit("sign by suffix without tokens")),
         (F.coalesce(F.size("dates"), F.lit(0)) < 1, F.lit("no date formats")),
+        (F.exists("dates", lambda f: ~F.contains(f, F.lit("y"))), F.lit("a date format has no year")),
+        (F.col("footer").isNotNull() & (F.col("container") != "pdf"), F.lit("a footer on a layout without pages")),
         (F.col("decimals") != 2, F.lit("only two decimals are supported")),
         (F.size(lacking) > 0, F.concat(F.lit("no column for "), F.array_join(lacking, ", "))),
         (F.size(unknown) > 0, F.concat(F.lit("unknown role "), F.array_join(unknown, ", "))),
@@ -62,10 +64,10 @@ def problems(profiles: DataFrame) -> DataFrame:
 
 
 def usable(profiles: DataFrame, selftest: DataFrame | None = None) -> DataFrame:
-    """The profiles without problems whose self-test (layout_id, ok), if there is one, passed."""
+    """The profiles without problems. With self-test results (layout_id, ok) each needs one case at least, and all passed."""
     bad = problems(profiles).select("layout_id")
     if selftest is not None:
-        bad = bad.unionByName(selftest.filter("NOT ok").select("layout_id"))
+        bad = bad.unionByName(selftest.filter("NOT ok").select("layout_id")).unionByName(profiles.select("layout_id").join(selftest, "layout_id", "left_anti"))
     return profiles.join(bad.distinct(), "layout_id", "left_anti")
 
 

@@ -168,3 +168,15 @@ def selftest(cases: DataFrame, profiles: DataFrame) -> DataFrame:
     read = read_rows(rows, map_columns(heads, require_balance=False)).select("doc_id", "date", "amount", "reason")
     same = F.col("reason").isNull() & F.col("date").eqNullSafe(F.col("want_date")) & F.col("amount").eqNullSafe(F.col("want_amount"))
     return keyed.join(read, "doc_id", "left").select("layout_id", "case_no", F.coalesce(same, F.lit(False)).alias("ok"))
+
+
+def summary_selftest(samples: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(layout_id, figure, problem) of profiles against sample texts (layout_id, sample, want: figure to captured text); none for a good profile.
+
+    A pattern that finds nothing is dead; an expectation needs a pattern, and what it captures has to be exactly that.
+    """
+    both = samples.join(profiles.select("layout_id", "patterns"), "layout_id")
+    figures = both.withColumn("figure", F.explode(F.array_union(F.map_keys("patterns"), F.map_keys("want")))).withColumn("p", F.try_element_at("patterns", F.col("figure"))).withColumn("w", F.try_element_at("want", F.col("figure")))
+    found = F.when(F.regexp_like("sample", F.col("p.pattern")), F.trim(F.call_function("regexp_extract", F.col("sample"), F.col("p.pattern"), F.col("p.at"))))
+    problem = F.when(F.col("p").isNull(), "expected but not declared").when(found.isNull(), "pattern finds nothing").when(F.col("w").isNotNull() & (found != F.col("w")), "captures something else")
+    return figures.select("layout_id", "figure", problem.alias("problem")).filter("problem IS NOT NULL")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import money, text
-from ledgerlens.operators import checks, geometry, layout, masking, matching, merge, tabular
+from ledgerlens.operators import checks, geometry, layout, masking, matching, merge, pages, summary, tabular
 from ledgerlens.operators import profiles as layouts
 from ledgerlens.sources import statements
 from ledgerlens.plans import views
@@ -513,6 +513,15 @@ def band_assign(s, d):
     return geometry.assign(words, geometry.build_bands(docs))
 
 
+@query(BASE + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k FROM true_rows WHERE account_id % 3 = 0)
+SELECT doc_id, 'page:' || (k // 30 + 1) || ',y:' || (100 + (k % 30) * 12) AS locator, date, amount, balance_after, description || CASE WHEN key % 5 = 0 THEN ' more' ELSE '' END AS description FROM r""")
+def parse_pages(s, d):
+    words, docs = views.page_words(s, d)
+    txns = pages.parse(words, docs, s.createDataFrame([views.PAGES], layouts.PROFILE))[1]
+    return txns.select("doc_id", "locator", "date", "amount", "balance_after", "description")
+
+
 # masks and reports ------------------------------------------------------------------------------
 
 
@@ -560,6 +569,15 @@ def column_shapes(s, d):
     return masking.shape_histogram(load(s, d, "orders").select(F.col("o_orderpriority").alias("col"), F.col("o_orderkey").alias("row_no"), cell.alias("cell")), _allowed())
 
 
+@query(r"""
+WITH r AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no, count(*) OVER (PARTITION BY o_custkey) AS m, o_orderpriority || ',' || CAST(o_orderdate AS DATE) || ',' || o_orderkey AS raw FROM orders)
+SELECT doc_id, row_no, regexp_replace(regexp_replace(raw, '[0-9]', '9', 'g'), '[A-Z]', 'X', 'g') AS masked FROM r WHERE row_no <= 3 OR row_no > m - 3""")
+def masked_dump(s, d):
+    raw = F.concat_ws(",", "o_orderpriority", F.col("o_orderdate").cast("date").cast("string"), F.col("o_orderkey").cast("string"))
+    rows = load(s, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("row_no"), raw.alias("raw"))
+    return masking.edges(rows, 3).select("doc_id", "row_no", masking.mask_text(F.col("raw"), _allowed()).alias("masked"))
+
+
 @query("SELECT l_orderkey AS doc_id, l_linenumber AS row_no FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) WHERE l_linenumber <= 2 OR l_linenumber > m - 2")
 def row_edges(s, d):
     rows = load(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row_no"))
@@ -585,6 +603,34 @@ def classify_rules(s, d):
     return matching.classify(_txns(s, d), RULES).select("key", "n_hits", "category", "outcome")
 
 
+BANK_RULES = (
+    matching.Rule("salary", "URGENT", "credit", least=10_000_000), matching.Rule("fees", "LOW", "debit", institution="bank 1"), matching.Rule("rent", "LOW|HIGH", "debit", most=20_000_000), matching.Rule("gift", "MEDIUM"),
+)
+
+
+@query(BASE + """
+, h AS (SELECT key, amount, description LIKE '%URGENT%' AND amount > 0 AND abs(amount) >= 10000000 AS a, description LIKE '%LOW%' AND amount < 0 AND account_id % 3 = 1 AS b, regexp_matches(description, 'LOW|HIGH') AND amount < 0 AND abs(amount) <= 20000000 AS c, description LIKE '%MEDIUM%' AS e FROM true_rows),
+k AS (SELECT *, CAST(a::INT + b::INT + c::INT + e::INT AS BIGINT) AS n_hits FROM h)
+SELECT key, n_hits, CASE WHEN n_hits = 1 THEN CASE WHEN a THEN 'salary' WHEN b THEN 'fees' WHEN c THEN 'rent' ELSE 'gift' END WHEN n_hits = 0 THEN CASE WHEN amount < 0 THEN 'other_debit' WHEN amount >= 15000000 THEN 'unclassified_credit' ELSE 'other_credit' END END AS category,
+       CASE WHEN n_hits = 1 THEN 'proposed' WHEN n_hits > 1 THEN 'conflict' ELSE 'default' END AS outcome FROM k""")
+def classify_bank_rules(s, d):
+    t = views.txns(s, d).withColumn("institution", F.concat(F.lit("bank "), (F.col("account_id") % 3).cast("string")))
+    return matching.classify_rows(t, BANK_RULES, 15_000_000).select("key", "n_hits", "category", "outcome")
+
+
+KINDS_OF = {"1": "export_proceeds", "2": "tax_on_exports", "3": "profit_on_debt", "4": "tax_on_profit", "5": "tax_on_cards"}
+
+
+@query(BASE + """
+, v AS (SELECT coalesce(sum(amount) FILTER (description LIKE '1%'), 0) AS e, coalesce(-sum(amount) FILTER (description LIKE '2%'), 0) AS et, coalesce(sum(amount) FILTER (description LIKE '3%'), 0) AS p, coalesce(-sum(amount) FILTER (description LIKE '4%'), 0) AS pt, -sum(amount) FILTER (description LIKE '5%') AS ca FROM true_rows)
+SELECT '64060285' AS code, 1 AS col, CAST(e AS BIGINT) AS units, 'statements' AS source, false AS differs FROM v UNION ALL SELECT '64060285', 2, et, 'statements', false FROM v UNION ALL SELECT '500312', 1, p, 'statements', false FROM v
+UNION ALL SELECT CASE WHEN p > 500000000 THEN '64040002' ELSE '64040052' END, 2, pt, 'statements', false FROM v UNION ALL SELECT '64151905', 2, 1234, 'certificate_236Y', ca <> 1234 FROM v UNION ALL SELECT '64100101', 2, 0, 'statements', false FROM v""")
+def tax_cells(s, d):
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS_OF.items() for x in kv]), F.substring("description", 1, 1))
+    other = s.createDataFrame([("certificate_236Y", 1000), ("certificate_236Y", 234)], "source string, units bigint")
+    return summary.cells(views.txns(s, d).select(kind.alias("category"), "amount"), other, 500_000_000)
+
+
 def _taken_back(s, d):
     """Rows of which every tenth debit comes back as a credit some days later, some twice."""
     t = views.txns(s, d).select("account_id", "key", "date", "amount")

@@ -35,6 +35,18 @@ def year_problems(years: DataFrame) -> DataFrame:
     return years.select("name", F.explode(found).alias("problem"))
 
 
+def registry_problems(accounts: DataFrame) -> DataFrame:
+    """(account_id, problem) of accounts (account_id, kind, identifiers, opened_on, closed_on) that can't be used."""
+    rules = [
+        (~F.exists("identifiers", lambda i: F.trim(i) != "") | F.col("identifiers").isNull(), "an account needs an IBAN, an account number or a wallet number"),
+        (~F.coalesce(F.col("kind").isin("bank", "wallet", "foreign"), F.lit(False)), "unknown kind"),
+        (F.col("closed_on") < F.col("opened_on"), "closed before it was opened"),
+    ]
+    found = F.filter(F.array(*[F.when(bad, said) for bad, said in rules]), lambda x: x.isNotNull())
+    twice = accounts.groupBy("account_id").agg(F.count("*").alias("n")).filter("n > 1").select("account_id", F.lit("the id is used twice").alias("problem"))
+    return accounts.select("account_id", F.explode(found).alias("problem")).unionByName(twice)
+
+
 def load_files(files: DataFrame, rows: DataFrame, profiles: DataFrame, accounts: DataFrame, start: str, end: str, assigned: DataFrame | None = None) -> Run:
     """files: ``statements.files``; rows: their sheets' rows; accounts: account_id, identifiers, statement_expected, opened_on, closed_on, anchor, prior_closing.
 

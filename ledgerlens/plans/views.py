@@ -90,6 +90,32 @@ def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows, d.select("doc_id", "account_id", layout.alias("layout_id"))
 
 
+PAGES = profile("pages.v1", "pdf", ["Date", "Debit"], {"date": "Date", "description": "Details", "debit": "Debit", "credit": "Credit", "balance": "Balance"}, ["d/M/yyyy"], "columns", skip=("^Page ",), footer=("^End of page",), patterns={"opening": r"Opening (?P<value>\S+)"})
+
+
+def page_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(words, docs): the statements of every third account as positioned words, thirty rows a page; every fifth row has a second line."""
+    t = txns(spark, sf_dir).filter("account_id % 3 = 0")
+    word = lambda text, x0, x1, top: F.struct((text if isinstance(text, Column) else F.lit(text)).alias("text"), F.lit(x0).cast("double").alias("x0") if not isinstance(x0, Column) else x0.cast("double").alias("x0"), F.lit(x1).cast("double").alias("x1") if not isinstance(x1, Column) else x1.cast("double").alias("x1"), top.cast("double").alias("top"))
+    k = F.col("k")
+    rows = t.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).withColumn("page", F.floor(k / 30).cast("int") + 1)
+    top, size, sign = F.lit(100) + (k % 30) * 12, money.render(F.abs("amount")), F.col("amount") < 0
+    said = F.transform(F.split("description", " "), lambda w, i: F.struct(w.alias("text"), (60 + 40 * i).cast("double").alias("x0"), (95 + 40 * i).cast("double").alias("x1"), top.cast("double").alias("top")))
+    day = word(F.date_format("date", "dd/MM/yyyy"), 0, 40, top)
+    amount = F.when(sign, word(size, 165, 200, top)).otherwise(word(size, 230, 262, top))
+    more = F.when(F.col("key") % 5 == 0, F.array(word("more", 60, 80, top + 5))).otherwise(F.array(word("Page", 0, 20, top + 5)))
+    body = rows.select("doc_id", "page", F.explode(F.concat(F.array(day), said, F.array(amount, word(money.render(F.col("balance_after")), 290, 330, top)), more)).alias("w"))
+    at = lambda y: F.lit(y)
+    head = F.array(word("Opening", 0, 30, at(10)), word(money.render(F.col("s_opening")), 40, 80, at(10)), *[word(n, a, b, at(50)) for n, a, b in (("Date", 0, 20), ("Details", 60, 90), ("Debit", 180, 200), ("Credit", 240, 262), ("Balance", 300, 330))])
+    d = docs(t)
+    top_words = d.filter("s_opening IS NOT NULL").select("doc_id", F.lit(1).alias("page"), F.explode(head).alias("w"))
+    bare = d.filter("s_opening IS NULL").select("doc_id", F.lit(1).alias("page"), F.explode(F.slice(head, 3, 5)).alias("w"))
+    foot = rows.select("doc_id", "page").distinct().select("doc_id", "page", F.explode(F.array(word("End", 0, 10, at(900)), word("of", 12, 20, at(900)), word("page", 22, 40, at(900)))).alias("w"))
+    words = body.unionByName(top_words).unionByName(bare).unionByName(foot).select("doc_id", "page", "w.*")
+    number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("top", "x0", "text"))
+    return words.withColumn("word_no", number), d.select("doc_id", "account_id", F.lit("pages.v1").alias("layout_id"))
+
+
 def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROFILES, PROFILE)
 

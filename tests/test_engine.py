@@ -251,3 +251,20 @@ def test_a_folder_of_files_becomes_ledgers(spark, tmp_path):
     assert {(r["what"], r["name"]): r["n"] for r in loading.run_summary(run).collect()} == {("file", "ok"): 3, ("file", "duplicate"): 1, ("file", "unassigned"): 1, ("file", "unknown_layout"): 1, ("account", "complete"): 2, ("account", "failed"): 1, ("account", "missing"): 1}
     years = table(spark, [("TY1", DAY(2025, 7, 1), DAY(2026, 6, 30)), ("TY2", DAY(2025, 1, 1), DAY(2025, 12, 31))], "name string, period_start date, period_end date")
     assert {r["problem"] for r in loading.year_problems(years).collect()} == {"period_start must be 1 July", "period_end must be 30 June", "a tax year spans exactly one 1 July to 30 June"}
+
+
+def test_summary_selftest_registry_and_cells(spark):
+    from ledgerlens.operators import summary
+    from ledgerlens.plans import loading
+
+    p = table(spark, [PROFILE], profiles.PROFILE)
+    samples = table(spark, [("bank.v1", "Opening,12.00\nother", {"opening": "13.00", "period_from": "x"})], "layout_id string, sample string, want map<string,string>")
+    assert {(r["figure"], r["problem"]) for r in tabular.summary_selftest(samples, p).collect()} == {("opening", "captures something else"), ("closing", "pattern finds nothing"), ("period_from", "expected but not declared")}
+    accounts = table(spark, [("a", "bank", ["1"], None, None), ("a", "wallet", ["2"], None, None), ("b", "safe", [" "], DAY(2025, 1, 2), DAY(2025, 1, 1))], "account_id string, kind string, identifiers array<string>, opened_on date, closed_on date")
+    assert sorted((r["account_id"], r["problem"][:12]) for r in loading.registry_problems(accounts).collect()) == [("a", "the id is us"), ("b", "an account n"), ("b", "closed befor"), ("b", "unknown kind")]
+    rows = table(spark, [("profit_on_debt", 700), ("tax_on_profit", -140), ("tax_on_cards", -9)], "category string, amount bigint")
+    blank = table(spark, [], "source string, units bigint")
+    got = {(r["code"], r["col"]): (r["units"], r["source"], r["differs"]) for r in summary.cells(rows, blank, 600).collect()}
+    assert got[summary.PROFIT_TAX_ABOVE, 2] == (140, "statements", False) and got[summary.CARD_TAX, 2] == (9, "statements", False)
+    none = {(r["code"], r["col"]): (r["units"], r["source"]) for r in summary.cells(rows.filter("category <> 'tax_on_cards'"), blank, 800).collect()}
+    assert none[summary.CARD_TAX, 2] == (None, None) and none[summary.PROFIT_TAX, 2] == (140, "statements")
