@@ -6,7 +6,8 @@
    sort), and each run of LEAF rows is compared within itself.
 3. Rounds of NN-descent: every node meets the neighbours of its neighbours
    (forward and reverse, NEIGHBOURS of each) and keeps the nearest, until a
-   round changes little, however many that takes.
+   round changes little, however many that takes. Only nodes with a neighbour
+   that is new since the last round take part, and only pairs with a new one.
 4. Edges at the threshold are kept and give components. A node whose list is
    full of links is saturated: more of its links may be missing. The saturated
    nodes of each component make blocks of about BLOCK nodes with a centre and
@@ -43,11 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize, table
+from ledgerlens.llm.common import materialize, release, table
 from ledgerlens.llm.graph import components
 
 THRESHOLD = 0.98
 NEIGHBOURS, TREES, LEAF, SIGNS = 6, 8, 128, 14
+#: A node's edges are dealt to so many parts that are cut to lists before they meet.
+PARTS = 32
 LITTLE = 0.01
 BLOCK = 256
 #: Numbers of the centres on each side that meet in one row, and the slack of the angle bound.
@@ -69,10 +72,24 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     return materialize(fine.groupBy("label", "vec").agg(F.count("*").alias("copies"), F.min("id").alias("id")).select(F.xxhash64("label", "vec").alias("node"), "label", F.size("vec").alias("dim"), "vec", "copies", "id"), "nodes")
 
 
-def _nearest(edges: DataFrame, k: int) -> DataFrame:
-    """The k best (a, b, sim) of each a; at most a few lists' worth of rows meet for one a."""
-    best = edges.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("sim", "b")), asc=False), 1, k).alias("n"))
-    return best.select("a", F.explode("n").alias("n")).select("a", F.col("n.b").alias("b"), F.col("n.sim").alias("sim"))
+def _nearest(edges: DataFrame, k: int, *more: str, hubs: bool = False) -> DataFrame:
+    """The k best (a, b, sim, and ``more`` columns) of each a.
+
+    hubs: a may have very many edges; then those of a part of them are cut to k
+    before they meet, so that no more than PARTS lists come together.
+    """
+    names = ("sim", "b", *more)
+    best = lambda rows, *by: rows.groupBy("a", *by).agg(F.slice(F.sort_array(F.collect_set(F.struct(*names)), asc=False), 1, k).alias("n"))
+    if hubs:
+        part = F.pmod(F.xxhash64("b", F.lit(21)), F.lit(PARTS)).alias("part")
+        edges = best(edges.select("a", *names, part), "part").select("a", F.explode("n").alias("n")).select("a", "n.*")
+    out = best(edges).select("a", F.explode("n").alias("n"))
+    return out.select("a", F.col("n.b").alias("b"), F.col("n.sim").alias("sim"), *[F.col(f"n.{c}").alias(c) for c in more])
+
+
+def _same(sims: np.ndarray) -> np.ndarray:
+    """Cosines cut after 14 digits, so that a pair has one value wherever it is computed."""
+    return np.floor(sims * 1e14) / 1e14
 
 
 def signs(size: int) -> int:
@@ -107,7 +124,7 @@ def first_graph(nodes: DataFrame, seed: int, bits: int) -> DataFrame:
                         break
 
     def near(node: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        sims = x @ x.T
+        sims = _same(x @ x.T)
         np.fill_diagonal(sims, -2)
         k = min(NEIGHBOURS, len(node) - 1)
         best = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(node), 0), dtype=np.int64)
@@ -120,42 +137,42 @@ def first_graph(nodes: DataFrame, seed: int, bits: int) -> DataFrame:
 
 
 def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """New (a, b, sim) that beat a's list: pairs among the neighbours, forward and reverse, of each node."""
+    """New (a, b, sim) that beat a's list: pairs among the neighbours, forward and reverse, of each node, one of them new. graph: a, b, sim, new."""
     worst = graph.groupBy("a").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst")).select(F.col("a").alias("w"), "worst")
-    reverse = _nearest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"), NEIGHBOURS)
-    near = graph.unionByName(reverse).select(F.col("a").alias("centre"), F.col("b").alias("member")).distinct()
+    reverse = _nearest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "new"), NEIGHBOURS, "new", hubs=True)
+    near = graph.unionByName(reverse).groupBy(F.col("a").alias("centre"), F.col("b").alias("member")).agg(F.bool_or("new").alias("new"))
+    near = near.join(near.filter("new").select("centre").distinct(), "centre", "left_semi")
     seen = near.join(nodes.select("node", "vec"), F.col("member") == F.col("node")).join(worst, F.col("member") == F.col("w"), "left")
-    met = seen.groupBy("centre").agg(F.collect_list("member").alias("m"), F.collect_list(F.coalesce("worst", F.lit(-2.0))).alias("w"), F.flatten(F.collect_list("vec")).alias("v"))
+    met = seen.groupBy("centre").agg(F.collect_list("member").alias("m"), F.collect_list(F.coalesce("worst", F.lit(-2.0))).alias("w"), F.collect_list("new").alias("f"), F.flatten(F.collect_list("vec")).alias("v"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], []]
-            for m, w, v in zip(batch.column("m"), batch.column("w"), batch.column("v"), strict=True):
-                node, worst = m.values.to_numpy(), w.values.to_numpy()
+            for m, w, f, v in zip(batch.column("m"), batch.column("w"), batch.column("f"), batch.column("v"), strict=True):
+                node, worst, new = m.values.to_numpy(), w.values.to_numpy(), f.values.to_numpy(zero_copy_only=False)
                 x = v.values.to_numpy().astype(np.float64).reshape(len(node), -1)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                sims = x @ x.T
+                sims = _same(x @ x.T)
                 np.fill_diagonal(sims, -3)
-                a, b = np.nonzero(sims > worst[:, None])
-                for held, new in zip(out, (node[a], node[b], sims[a, b]), strict=True):
-                    held.append(new)
+                a, b = np.nonzero((sims > worst[:, None]) & (new[:, None] | new[None, :]))
+                for held, more in zip(out, (node[a], node[b], sims[a, b]), strict=True):
+                    held.append(more)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) if x else pa.array([], t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "sim"])
 
-    return met.select("m", "w", "v").mapInArrow(pairs, "a long, b long, sim double")
+    return met.select("m", "w", "f", "v").mapInArrow(pairs, "a long, b long, sim double")
 
 
 def neighbour_graph(nodes: DataFrame, seed: int) -> DataFrame:
     """(a, b, sim): the NN-descent graph."""
     size = nodes.count()
-    graph = materialize(_nearest(first_graph(nodes, seed, signs(size)), NEIGHBOURS), "graph")
+    graph = materialize(_nearest(first_graph(nodes, seed, signs(size)), NEIGHBOURS).withColumn("new", F.lit(True)), "graph")
     while True:  # lists only get nearer, so this ends
-        better = _nearest(graph.unionByName(descend(graph, nodes)), NEIGHBOURS)
-        better = materialize(better.join(graph.select("a", "b", F.lit(True).alias("old")), ["a", "b"], "left"), "graph")
-        changed = better.filter("old IS NULL").count()
-        graph = better.drop("old")
-        if changed <= LITTLE * NEIGHBOURS * size:
-            break
-    return graph
+        better = _nearest(graph.drop("new").unionByName(descend(graph, nodes)), NEIGHBOURS)
+        old = graph.select("a", "b", F.lit(True).alias("old"))
+        before, graph = graph, materialize(better.join(old, ["a", "b"], "left").select("a", "b", "sim", F.col("old").isNull().alias("new")), "graph")
+        release(before)
+        if graph.filter("new").count() <= LITTLE * NEIGHBOURS * size:
+            return graph
 
 
 def saturated(graph: DataFrame, threshold: float) -> DataFrame:
