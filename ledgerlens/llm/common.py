@@ -14,6 +14,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOCAL_DIR = "/tmp/checkpoints"
 #: Spark's setting that drops a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting of how many rows go to Python at once; whole texts may be long, so few.
+AT_ONCE, ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 #: Rows of a few numbers each that may be broadcast: about 40 MB.
 BROADCAST_ROWS = 1_000_000
 
@@ -40,12 +42,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
+    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), AT_ONCE: spark.conf.get(AT_ONCE, "10000")}
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(AT_ONCE, ROWS_AT_ONCE)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.written = path
     return out
