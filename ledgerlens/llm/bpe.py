@@ -32,9 +32,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import table
+from ledgerlens.llm.common import few_rows, table
 
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 2_000_000
 #: What the file format calls for beyond the vocabulary.
 WORD_END = "</w>"
 #: White space as the tokenizer's patterns see it; str.split() also splits at \x1c to \x1f.
@@ -311,4 +311,5 @@ def default_path() -> str:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows(spark)
     return digests(table(spark, sf_dir, "documents"), default_path())

@@ -55,6 +55,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def few_rows(spark: SparkSession) -> None:
+    """For queries that send whole texts to Python outside of ``materialize``: from now on a session sends few rows at once."""
+    spark.conf.set(AT_ONCE, ROWS_AT_ONCE)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more."""
     for df in tables:

