@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import bpe, mixing, near_dedup, quality_classifier, quality_rules
-from ledgerlens.llm.common import materialize, table
+from ledgerlens.llm.common import few_rows, materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,6 +20,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    few_rows(spark)
     # what the rules reject is what the classifier must have seen, so it learns from the table
     model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_classifier.score(docs.select(*COLUMNS), model, column="__score").filter(F.col("__score") >= quality_classifier.CUT).select(*COLUMNS)
@@ -34,6 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    few_rows(spark)
     # the ids are what a model trains on; their digest and the decoded text's come along as proof
     return bpe.digests(docs, bpe.default_path(), with_ids=True)
 
