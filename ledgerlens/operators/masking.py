@@ -77,3 +77,10 @@ def edges(rows: DataFrame, count: int) -> DataFrame:
     """The first and last ``count`` rows of each document (doc_id, row_no)."""
     size = rows.groupBy("doc_id").agg(F.max("row_no").alias("n_rows"))
     return rows.join(size, "doc_id").filter((F.col("row_no") <= count) | (F.col("row_no") > F.col("n_rows") - count))
+
+
+def masked_lines(words: DataFrame, allowed: Column, hide_magnitude: bool = False) -> DataFrame:
+    """doc_id, page, y, line: positioned words (doc_id, page, text, x0, top) masked and put together by rounded height, left to right; a word shows where it begins."""
+    shown = F.concat(F.round("x0", 0).cast("int").cast("string"), F.lit(":"), mask_text(F.col("text"), allowed, hide_magnitude))
+    made = F.array_sort(F.collect_list(F.struct("x0", shown.alias("w"))))  # the words of one line
+    return words.groupBy("doc_id", "page", F.bround("top", 0).cast("int").alias("y")).agg(made.alias("w")).select("doc_id", "page", "y", F.array_join(F.transform("w", lambda x: x["w"]), " ").alias("line"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import money, text
@@ -170,6 +170,16 @@ def selftest(cases: DataFrame, profiles: DataFrame) -> DataFrame:
     return keyed.join(read, "doc_id", "left").select("layout_id", "case_no", F.coalesce(same, F.lit(False)).alias("ok"))
 
 
+def row_samples(rows: DataFrame, heads: DataFrame, count: int = 5) -> DataFrame:
+    """doc_id, row_no, sample (header label to cell): the first rows under each header that are no blanks, as cases for a self-test."""
+    below = rows.join(heads.filter("header_row IS NOT NULL").select("doc_id", "header_row", "header"), "doc_id").filter(F.col("row_no") > F.col("header_row")).filter(F.exists("cells", lambda c: F.trim(c) != ""))
+    first = below.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("row_no"))).filter(F.col("k") <= count)
+    # of equal labels the last cell counts, as in ``map_columns``
+    pairs = F.reverse(F.arrays_zip(F.transform("header", F.trim).alias("h"), F.slice("cells", 1, F.size("header")).alias("c")))
+    once = F.filter(pairs, lambda x, i: (x["h"].isNotNull()) & (F.array_position(F.transform(pairs, lambda y: y["h"]), x["h"]) == i + 1))
+    return first.select("doc_id", "row_no", F.map_from_entries(F.transform(once, lambda x: F.struct(x["h"], F.coalesce(x["c"], F.lit(""))))).alias("sample"))
+
+
 def summary_selftest(samples: DataFrame, profiles: DataFrame) -> DataFrame:
     """(layout_id, figure, problem) of profiles against sample texts (layout_id, sample, want: figure to captured text); none for a good profile.
 

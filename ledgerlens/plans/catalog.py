@@ -578,6 +578,28 @@ def masked_dump(s, d):
     return masking.edges(rows, 3).select("doc_id", "row_no", masking.mask_text(F.col("raw"), _allowed()).alias("masked"))
 
 
+@query(BASE + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k FROM true_rows WHERE account_id % 3 = 0),
+w AS (SELECT doc_id, k // 30 + 1 AS page, 100 + (k % 30) * 12 AS y, unnest(string_split(description, ' ')) AS t, unnest(range(len(string_split(description, ' ')))) AS i FROM r)
+SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(y AS INTEGER) AS y, string_agg((60 + 40 * i) || ':' || regexp_replace(regexp_replace(t, '[0-9]', '9', 'g'), '[A-Z]', 'X', 'g'), ' ' ORDER BY i) AS line FROM w GROUP BY doc_id, page, y""")
+def masked_lines(s, d):
+    words = views.page_words(s, d)[0].filter("x0 >= 60 AND x0 < 160 AND text <> 'Details' AND top % 12 = 4 AND text <> 'more'")
+    return masking.masked_lines(words, _allowed())
+
+
+@query(SHEETS + """
+SELECT doc_id, row_no, description AS told FROM sh WHERE row_no <= 7 AND account_id % 3 < 2""")
+def row_samples(s, d):
+    rows, heads = _heads(s, d)
+    got = tabular.row_samples(rows, heads, 2).filter("row_no < 999999").join(heads.select("doc_id", "layout_id"), "doc_id").filter("layout_id <> 'signed.v1'")
+    return got.select("doc_id", "row_no", F.element_at("sample", "Particulars").alias("told"))
+
+
+@query(BASE + "SELECT doc_id, CAST(5 AS INTEGER) - CASE WHEN account_id % 3 = 1 THEN 1 ELSE 0 END AS width FROM docs")
+def row_widths(s, d):
+    return views.sheets(s, d)[0].groupBy("doc_id").agg(F.max(F.size("cells")).alias("width"))
+
+
 @query("SELECT l_orderkey AS doc_id, l_linenumber AS row_no FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) WHERE l_linenumber <= 2 OR l_linenumber > m - 2")
 def row_edges(s, d):
     rows = load(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row_no"))
