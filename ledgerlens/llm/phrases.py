@@ -37,8 +37,8 @@ from ledgerlens.llm.tokens import combine
 STOP = "."
 ENDS = r"[.,;:!?\n\x0b\x0c\r]"
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: Words of a block, and bytes of texts that are split at once.
-BLOCK, AT_ONCE = 1 << 20, 8 << 20
+#: Words of a block, bytes of texts that are split at once, and counts that are sent at once.
+BLOCK, AT_ONCE, SENT = 1 << 19, 3 << 20, 1 << 16
 #: A filter has 16 bits for each key it holds, but no more than this.
 BITS = 1 << 28
 #: Phrases that may be broadcast (a phrase is some 40 bytes).
@@ -156,6 +156,12 @@ def _prepared(block: tuple, frequent: np.ndarray | None, pairs: np.ndarray | Non
     return first, keys, left
 
 
+def _sent(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    rows = pa.record_batch(columns)
+    for at in range(0, len(rows), SENT):
+        yield rows.slice(at, SENT)
+
+
 def _counter(k: int, frequent: Broadcast | None) -> Callable:
     """Counts of words (k = 1) or of pairs of frequent words (k = 2) of each block, by hash."""
 
@@ -165,7 +171,7 @@ def _counter(k: int, frequent: Broadcast | None) -> Callable:
             _, lang, _, langs, own = block
             at, n = intervals(*suffixes(first, k, own), left, k)
             key = keys[at] if k == 1 else combine([keys[at], keys[at + 1]], 2)
-            yield pa.record_batch({"lang": pa.array(langs).take(pa.array(lang[at])), "key": pa.array(key.view(np.int64)), "n": pa.array(n, pa.int64())})
+            yield from _sent({"lang": pa.array(langs).take(pa.array(lang[at])), "key": pa.array(key.view(np.int64)), "n": pa.array(n, pa.int64())})
 
     return count
 
@@ -183,7 +189,7 @@ def _speller(frequent: Broadcast, pairs: Broadcast, longest: int) -> Callable:
             for k in range(1, longest + 1):
                 at, n = intervals(order, lcp, left, k)
                 phrase = pc.binary_join_element_wise(*[words.take(pa.array(ids[at + j])) for j in range(k)], pa.scalar(" ")) if k > 1 else words.take(pa.array(ids[at]))
-                yield pa.record_batch({"lang": pa.array(langs).take(pa.array(lang[at])), "phrase": phrase, "words": pa.array(np.full(len(at), k, dtype=np.int32)), "n": pa.array(n, pa.int64())})
+                yield from _sent({"lang": pa.array(langs).take(pa.array(lang[at])), "phrase": phrase, "words": pa.array(np.full(len(at), k, dtype=np.int32)), "n": pa.array(n, pa.int64())})
 
     return count
 
