@@ -1,14 +1,17 @@
-"""Classification, pairing and transfers over ledgers: equi-joined on day buckets, never all against all."""
+"""Classification, transfers and decisions over ledgers: equi-joined on day buckets, never all against all."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ledgerlens.operators import pairing
 from ledgerlens.operators.stored import written
 
 
@@ -56,78 +59,27 @@ def classify_rows(txns: DataFrame, rules: tuple[Rule, ...], review_from: int) ->
     return out.withColumn("outcome", F.when(F.col("n_hits") == 1, "proposed").when(F.col("n_hits") > 1, "conflict").otherwise("default")).drop("hits")
 
 
-def _near(left: DataFrame, right: DataFrame, on: list[str], days: int, extra: Column) -> DataFrame:
-    """left (l_*) and right (r_*) rows with equal ``on`` whose dates lie within ``days``: each left row asks three day buckets."""
-    day = lambda c: F.unix_date(F.col(c))
-    a = left.withColumn("bucket", F.explode(F.array(*[F.floor(day("l_date") / days).cast("bigint") + k for k in (-1, 0, 1)])))
-    b = right.withColumn("bucket", F.floor(day("r_date") / days).cast("bigint"))
-    cond = (a["bucket"] == b["bucket"]) & extra
-    for c in on:
-        cond = cond & (F.col(f"l_{c}") == F.col(f"r_{c}"))
-    return a.join(b, cond).filter(F.abs(F.datediff("r_date", "l_date")) <= days)
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.upper(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _side(txns: DataFrame, prefix: str) -> DataFrame:
-    return txns.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("account_id", "key", "date", "amount")])
+def _spaced(text: Column) -> Column:
+    """A text's words in capitals between single spaces, so that whole words can be looked for; null if there are none."""
+    joined = F.array_join(_words(text), " ")
+    return F.when(joined != "", F.concat(F.lit(" "), joined, F.lit(" ")))
 
 
-def reversals(txns: DataFrame, days: int = 30) -> DataFrame:
-    """key, original: for each credit the nearest earlier debit of the account with the same amount within ``days``; each debit is taken back once.
+def named_in(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(key, account_id): which accounts' hints stand in a text as whole words, by equal runs of as many words as hints have.
 
-    Of several credits for one debit the first in printed order has it.
+    texts: key, text. names: account_id, hint, of any number of words.
     """
-    credit, debit = _side(txns.filter("amount > 0"), "l"), _side(txns.filter("amount < 0"), "r")
-    near = _near(credit, debit, ["account_id"], days, F.col("l_amount") == -F.col("r_amount")).filter("r_date <= l_date AND r_key <> l_key")
-    best = near.groupBy(F.col("l_key").alias("key")).agg(F.max(F.struct("r_date", "r_key", "l_date")).alias("o")).select("key", F.col("o.r_key").alias("original"), "o.l_date")
-    return best.groupBy("original").agg(F.min(F.struct("l_date", "key")).alias("k")).select("k.key", "original")
-
-
-def nearest_pairs(left: DataFrame, right: DataFrame, days: int, far: Column) -> DataFrame:
-    """l_key, r_key, far: rows of one account within ``days`` that are each other's nearest by ``far`` (over l_* and r_* columns; ties by key).
-
-    Null distances don't pair. Both sides rank their candidates, which are few: those of some days of one account.
-    """
-    near = _near(_side(left, "l"), _side(right, "r"), ["account_id"], days, F.lit(True)).withColumn("far", far).filter("far IS NOT NULL")
-    rank = lambda side, other: F.row_number().over(Window.partitionBy(f"{side}_key").orderBy("far", f"{other}_key"))
-    return near.withColumn("a", rank("l", "r")).withColumn("b", rank("r", "l")).filter("a = 1 AND b = 1").select("l_key", "r_key", "far")
-
-
-def profit_tax(profits: DataFrame, taxes: DataFrame, days: int = 5, percent: int = 20, tolerance: float = 0.02) -> DataFrame:
-    """profit_key, tax_key, status: each profit with the tax debit that is nearest to its rate; ``warn`` where the rate is off, ``unpaired`` where one side is alone."""
-    far = F.abs(-F.col("r_amount") * 100 - percent * F.col("l_amount"))
-    pairs = nearest_pairs(profits, taxes, days, far)
-    off = F.col("far") > F.lit(tolerance) * 100 * F.col("gross")
-    paired = pairs.join(profits.select(F.col("key").alias("l_key"), F.col("amount").alias("gross")), "l_key").select(F.col("l_key").alias("profit_key"), F.col("r_key").alias("tax_key"), F.when(off, "warn").otherwise("ok").alias("status"))
-    alone = lambda rows, c: rows.select(F.col("key").alias(c)).join(paired.select(c), c, "left_anti")
-    none = F.lit(None).cast("bigint")
-    lone_profit = alone(profits, "profit_key").select("profit_key", none.alias("tax_key"), F.lit("unpaired").alias("status"))
-    lone_tax = alone(taxes, "tax_key").select(none.alias("profit_key"), "tax_key", F.lit("unpaired").alias("status"))
-    return paired.unionByName(lone_profit).unionByName(lone_tax)
-
-
-def export_tax(exports: DataFrame, debits: DataFrame, days: int = 3, tolerance: int = 100) -> DataFrame:
-    """export_key, tax_key, deducted, expected, shortfall: the debit within tolerance of 1 % of an export credit, else of 0.25 %; without one nothing was deducted."""
-    size = -F.col("r_amount")
-    one, quarter = F.abs(size * 100 - F.col("l_amount")), F.abs(size * 400 - F.col("l_amount"))
-    far = F.when(one <= 100 * tolerance, one * 4).when(quarter <= 400 * tolerance, quarter + 1600 * tolerance)
-    pairs = nearest_pairs(exports, debits, days, far)
-    tax = debits.select(F.col("key").alias("r_key"), (-F.col("amount")).alias("deducted"))
-    expected = F.expr("amount div 100")
-    out = exports.join(pairs.join(tax, "r_key"), exports["key"] == pairs["l_key"], "left").withColumn("deducted", F.coalesce("deducted", F.lit(0)))
-    return out.select(F.col("key").alias("export_key"), F.col("r_key").alias("tax_key"), "deducted", expected.alias("expected"), F.greatest(expected - F.col("deducted"), F.lit(0)).alias("shortfall"))
-
-
-def named_in(texts: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
-    """(key, account_id): which accounts' hints stand in a text as whole words, by equal runs of up to ``longest`` words.
-
-    texts: key, text. names: account_id, hint.
-    """
-    words = F.filter(F.split(F.upper("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    asked = names.select("account_id", _words(F.col("hint")).alias("w")).filter("size(w) > 0").select("account_id", F.size("w").alias("n"), F.array_join("w", " ").alias("run")).distinct()
+    lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # hints have a few lengths
     run = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda k: F.array_join(F.slice("w", k, n), " "))).otherwise(F.array().cast("array<string>"))
-    runs = F.flatten(F.array(*[run(n) for n in range(1, longest + 1)]))
-    said = texts.select("key", words.alias("w")).select("key", F.explode(F.array_distinct(runs)).alias("run")).filter("run IS NOT NULL")
-    asked = names.select("account_id", F.array_join(F.filter(F.split(F.upper("hint"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ").alias("run")).filter("run <> ''").distinct()
-    return said.join(asked, "run").select("key", "account_id").distinct()
+    runs = F.flatten(F.array(*[run(n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    said = texts.select("key", _words(F.col("text")).alias("w")).select("key", F.explode(F.array_distinct(runs)).alias("run"))
+    return said.join(asked.drop("n"), "run").select("key", "account_id").distinct()
 
 
 def own_accounts(txns: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -142,108 +94,100 @@ def own_accounts(txns: DataFrame, accounts: DataFrame) -> DataFrame:
     return txns.join(foreign, "key").select("key", category.alias("category"))
 
 
-def transfers(txns: DataFrame, days: int = 3, fee: int = 10_000, scale: int = 100_000) -> DataFrame:
-    """debit_key, credit_key, fee, gap: a debit and a credit of different accounts within ``days``, equal or short by a small fee.
+# Categories that are never one side of an own transfer.
+NO_TRANSFER = ("tax_on_profit", "tax_on_cards", "tax_on_cash", "tax_on_exports", "zakat", "indirect_tax_charges")
 
-    Amounts share a bucket of ``scale`` or neighbour it, so the join is an equi-join on day and amount buckets.
-    """
-    debit = _side(txns.filter("amount < 0"), "l").withColumn("size", -F.col("l_amount")).withColumn("l_money", F.explode(F.array(F.floor(-F.col("l_amount") / scale).cast("bigint"), F.floor(-F.col("l_amount") / scale).cast("bigint") - 1)))
-    credit = _side(txns.filter("amount > 0"), "r").withColumn("r_money", F.floor(F.col("r_amount") / scale).cast("bigint"))
-    short = F.col("size") - F.col("r_amount")
-    found = _near(debit, credit, ["money"], days, (F.col("l_account_id") != F.col("r_account_id")) & short.between(0, fee))
-    return found.select(F.col("l_key").alias("debit_key"), F.col("r_key").alias("credit_key"), short.alias("fee"), F.abs(F.datediff("r_date", "l_date")).cast("bigint").alias("gap"))
 
+def transfers(txns: DataFrame, accounts: DataFrame | None = None, days: int = 3, fee: int = 10_000, scale: int = 100_000) -> DataFrame:
+    """debit_key, credit_key, fee, gap: a debit and a credit of different accounts of one owner within ``days``, equal or short by a small fee.
 
-def _sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows, in order, whose debit and credit are both still free."""
-    debits, credits = set(), set()
-    for batch in batches:
-        keep = []
-        for d, c in zip(batch.column("debit_key").to_pylist(), batch.column("credit_key").to_pylist(), strict=True):
-            free = d not in debits and c not in credits
-            keep.append(free)
-            if free:
-                debits.add(d)
-                credits.add(c)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
+    accounts: account_id, owner; without it all accounts are one owner's. Rows
+    whose ``category`` (if there is such a column) is in NO_TRANSFER are left
+    out. Owner, day bucket and amount bucket (of ``scale``, or its neighbour)
+    are the keys of an equi-join, so rows of other owners never meet.
+    """
+    rows = txns.filter(~F.coalesce(F.col("category").isin(*NO_TRANSFER), F.lit(False))) if "category" in txns.columns else txns
+    rows = rows.withColumn("owner", F.lit("")) if accounts is None else rows.drop("owner").join(accounts.select("account_id", F.col("owner").cast("string")), "account_id")
+    money = lambda c: F.floor(F.abs(c) / scale).cast("bigint")
+    debit = pairing.side(rows.filter("amount < 0"), "l", "owner").withColumn("l_money", F.explode(F.array(money("l_amount"), money("l_amount") - 1)))
+    credit = pairing.side(rows.filter("amount > 0"), "r", "owner").withColumn("r_money", money("r_amount"))
+    short = -F.col("l_amount") - F.col("r_amount")
+    found = pairing.near(debit, credit, ["owner", "money"], days, (F.col("l_account_id") != F.col("r_account_id")) & short.between(0, fee))
+    return found.select(F.col("l_key").alias("debit_key"), F.col("r_key").alias("credit_key"), short.alias("fee"), F.abs(F.datediff("r_date", "l_date")).cast("bigint").alias("gap"))
 
-def match_one_to_one(candidates: DataFrame, rounds: int = 20) -> DataFrame:
-    """Greedy one-to-one matching by (fee, gap, keys): rounds of mutually best pairs, to the same result as one sorted pass.
 
-    Ties and chains settle few pairs a round. When a round takes less than a tenth of the candidates, or after ``rounds``, the
-    rest is one sorted pass in one task, which streams its rows and holds the keys it matched.
-    """
-    done = None
-    order = [F.col("fee"), F.col("gap"), F.col("debit_key"), F.col("credit_key")]
-    left = written(candidates)
-    size = left.count()
-    for _ in range(rounds):
-        if not size:
-            break
-        ranked = left.withColumn("d", F.row_number().over(Window.partitionBy("debit_key").orderBy(*order))).withColumn("c", F.row_number().over(Window.partitionBy("credit_key").orderBy(*order)))
-        best = written(ranked.filter("d = 1 AND c = 1").drop("d", "c"))
-        done = best if done is None else done.unionByName(best)
-        left = written(left.join(best.select("debit_key"), "debit_key", "left_anti").join(best.select("credit_key"), "credit_key", "left_anti").select(*candidates.columns))
-        last, size = size, left.count()
-        if size > 0.9 * last:
-            break
-    if not size:
-        return left if done is None else done
-    rest = left.repartition(1).sortWithinPartitions(*order).mapInArrow(_sorted_pass, left.schema)
-    return rest if done is None else done.unionByName(rest)
+def match_one_to_one(candidates: DataFrame) -> DataFrame:
+    """Greedy one-to-one matching by (fee, gap, keys)."""
+    return pairing.greedy(candidates, "debit_key", "credit_key", ["fee", "gap", "debit_key", "credit_key"])
 
 
 def tiers(candidates: DataFrame, txns: DataFrame, accounts: DataFrame) -> DataFrame:
     """candidates (debit_key, credit_key, fee, gap) plus debit_account, credit_account, signals, tier.
 
-    Signals: a description names the other account by a hint, the owner, or the
-    other account's institution. strong: exact, at most a day apart, with a signal.
-    accounts: account_id, hints, owner, institution.
+    Signals: a description names the other account by a hint, its owner, or its
+    institution, as whole words. strong: exact, at most a day apart, with a
+    signal. accounts: account_id, hints, owner, institution. Each candidate looks
+    only for its own two accounts' names, within its row.
     """
-    side = lambda p: txns.select(F.col("key").alias(f"{p}_key"), F.col("account_id").alias(f"{p}_account"))
-    both = candidates.join(side("debit"), "debit_key").join(side("credit"), "credit_key")
-    used = both.select(F.explode(F.array("debit_key", "credit_key")).alias("key")).distinct()
-    texts = txns.join(used, "key", "left_semi").select("key", F.col("description").alias("text"))
-    names = accounts.select("account_id", F.explode(F.concat(F.transform("hints", lambda h: F.struct(F.lit(1).alias("e"), h.alias("hint"))), F.array(F.struct(F.lit(2).alias("e"), F.col("owner").alias("hint")), F.struct(F.lit(3).alias("e"), F.col("institution").alias("hint"))))).alias("n")).select("account_id", "n.e", "n.hint")
-    hits = [named_in(texts, names.filter(F.col("e") == e)).withColumn("e", F.lit(e)) for e in (1, 2, 3)]
-    said = hits[0].unionByName(hits[1]).unionByName(hits[2])
-    asked = both.select("debit_key", "credit_key", F.explode(F.array(F.struct(F.col("debit_key").alias("key"), F.col("credit_account").alias("account_id")), F.struct(F.col("credit_key").alias("key"), F.col("debit_account").alias("account_id")))).alias("q")).select("debit_key", "credit_key", "q.*")
-    found = asked.join(said, ["key", "account_id"]).groupBy("debit_key", "credit_key").agg(F.countDistinct("e").alias("signals"))
-    out = both.join(found, ["debit_key", "credit_key"], "left").withColumn("signals", F.coalesce("signals", F.lit(0)))
-    return out.withColumn("tier", F.when((F.col("fee") == 0) & (F.col("gap") <= 1) & (F.col("signals") > 0), "strong").otherwise("possible"))
+    rows = lambda p: txns.select(F.col("key").alias(f"{p}_key"), F.col("account_id").alias(f"{p}_account"), _spaced(F.col("description")).alias(f"{p}_text"))
+    names = lambda p: accounts.select(F.col("account_id").alias(f"{p}_account"), F.transform("hints", lambda h: _spaced(h)).alias(f"{p}_hints"), F.array(_spaced(F.col("owner"))).alias(f"{p}_owner"), F.array(_spaced(F.col("institution"))).alias(f"{p}_bank"))
+    both = candidates.join(rows("debit"), "debit_key").join(rows("credit"), "credit_key").join(names("debit"), "debit_account", "left").join(names("credit"), "credit_account", "left")
+    says = lambda text, of: F.coalesce(F.exists(of, lambda n: F.coalesce(F.contains(F.col(text), n), F.lit(False))), F.lit(False))
+    signal = lambda kind: (says("debit_text", f"credit_{kind}") | says("credit_text", f"debit_{kind}")).cast("bigint")
+    out = both.withColumn("signals", signal("hints") + signal("owner") + signal("bank"))
+    strong = (F.col("fee") == 0) & (F.col("gap") <= 1) & (F.col("signals") > 0)
+    return out.select(*candidates.columns, "debit_account", "credit_account", "signals", F.when(strong, "strong").otherwise("possible").alias("tier"))
 
 
 def match_tiers(candidates: DataFrame) -> DataFrame:
     """debit_key, credit_key, status (matched, ambiguous_pair) of the candidates of ``tiers``; each transaction is matched once at most.
 
-    Levels (tier, exact or not, days, signals) are settled one after the other,
-    a few dozen at most. On a level, transactions whose candidates lead to
-    different accounts are all flagged and stay out; what is left joins one
-    account with one other, and each such pair of accounts is settled in
-    printed order by a task of its own.
+    Levels (tier, exact or not, days, signals) are settled one after the other.
+    On a level, transactions whose candidates lead to different accounts are all
+    flagged and stay out; the rest is taken in printed order. Parts of the
+    candidates' graph are settled side by side, each in a streamed pass that
+    holds one level of one part.
     """
     # one number for (tier, exact or not, days, signals), the best first
     level = (((F.col("tier") != "strong").cast("bigint") * 2 + (F.col("fee") > 0).cast("bigint")) * 100_000 + F.col("gap")) * 100 + 99 - F.col("signals")
-    left = written(candidates.withColumn("level", level))
-    out = None
-    for row in sorted(r["level"] for r in left.select("level").distinct().collect()):
-        here = left.filter(F.col("level") == row)
-        mixed = lambda a, b: here.groupBy(f"{a}_key").agg(F.countDistinct(f"{b}_account").alias("n")).filter("n > 1").select(f"{a}_key")
-        by_debit, by_credit = here.join(mixed("debit", "credit"), "debit_key", "left_semi"), here.join(mixed("credit", "debit"), "credit_key", "left_semi")
-        bad = by_debit.unionByName(by_credit).select("debit_key", "credit_key").distinct()
-        rest = here.join(bad.select("debit_key").distinct(), "debit_key", "left_anti").join(bad.select("credit_key").distinct(), "credit_key", "left_anti")
-        done = rest.select("debit_account", "credit_account", "debit_key", "credit_key").groupBy("debit_account", "credit_account").applyInArrow(_in_order, "debit_key long, credit_key long")
-        found = written(bad.withColumn("status", F.lit("ambiguous_pair")).unionByName(done.withColumn("status", F.lit("matched"))))
-        out = found if out is None else out.unionByName(found)
-        left = written(left.join(found.select("debit_key").distinct(), "debit_key", "left_anti").join(found.select("credit_key").distinct(), "credit_key", "left_anti"))
-    return candidates.select("debit_key", "credit_key", F.lit("").alias("status")).filter("false") if out is None else out
-
-
-def _in_order(rows: pa.Table) -> pa.Table:
-    """Of one pair of accounts: the candidates, in printed order, whose debit and credit are both still free."""
-    sorted_rows = rows.select(["debit_key", "credit_key"]).sort_by([("debit_key", "ascending"), ("credit_key", "ascending")])
-    return pa.Table.from_batches(_sorted_pass(iter(sorted_rows.combine_chunks().to_batches())), sorted_rows.schema)
+    rows = written(candidates.select("debit_key", "credit_key", "debit_account", "credit_account", level.alias("level")))
+    told = pairing.by_parts(rows, "debit_key", "credit_key")
+    return told.repartition("part").sortWithinPartitions("part", "level", "debit_key", "credit_key").mapInArrow(_levels, StructType([*(told.schema[c] for c in ("debit_key", "credit_key")), StructField("status", StringType())]))
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of part, level and keys to (debit_key, credit_key, status)."""
+    taken: tuple[set, set] = set(), set()
+    part = None
+
+    def settle(rows: list[tuple]) -> list[tuple]:
+        here = [r for r in rows if r[0] not in taken[0] and r[1] not in taken[1]]
+        leads: tuple[dict, dict] = {}, {}
+        for debit, credit, debit_account, credit_account in here:
+            leads[0].setdefault(debit, set()).add(credit_account)
+            leads[1].setdefault(credit, set()).add(debit_account)
+        bad = [r for r in here if len(leads[0][r[0]]) > 1 or len(leads[1][r[1]]) > 1]
+        out = [(*r[:2], "ambiguous_pair") for r in bad]
+        for r in bad:
+            taken[0].add(r[0])
+            taken[1].add(r[1])
+        for debit, credit, *_ in here:
+            if debit not in taken[0] and credit not in taken[1]:
+                out.append((debit, credit, "matched"))
+                taken[0].add(debit)
+                taken[1].add(credit)
+        return out
+
+    for (at, _), rows in groupby(_rows(batches), key=lambda r: r[:2]):
+        if at != part:
+            part, taken = at, (set(), set())
+        if found := settle([r[2:] for r in rows]):
+            yield pa.RecordBatch.from_pylist([dict(zip(("debit_key", "credit_key", "status"), f, strict=True)) for f in found])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("part", "level", "debit_key", "credit_key", "debit_account", "credit_account")), strict=True)
 
 
 def income_conflicts(matches: DataFrame, categories: DataFrame, income: tuple[str, ...] = ("export_proceeds", "profit_on_debt", "salary_net")) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import money, text
-from ledgerlens.operators import checks, geometry, layout, masking, matching, merge, pages, summary, tabular
+from ledgerlens.operators import checks, geometry, layout, masking, matching, merge, pages, pairing, summary, tabular
 from ledgerlens.operators import profiles as layouts
 from ledgerlens.sources import statements
 from ledgerlens.plans import views
@@ -662,14 +662,25 @@ def _taken_back(s, d):
 
 
 TAKEN_BACK = """, t AS (SELECT account_id, key, date, amount FROM true_rows UNION ALL
-  SELECT account_id, key + n * 1000000000000, CAST(date + CAST(key % 29 + n AS INTEGER) AS DATE), -amount FROM true_rows, (VALUES (1), (2)) v(n) WHERE amount < 0 AND key % 10 = 0 AND (n = 1 OR key % 20 = 0)),
-nr AS (SELECT a.key, a.date, max_by(b.key, (b.date, b.key)) AS original FROM t a JOIN t b ON a.account_id = b.account_id AND a.amount > 0 AND a.amount = -b.amount AND b.date <= a.date AND b.date >= a.date - 30 AND a.key <> b.key GROUP BY 1, 2)
+  SELECT account_id, key + n * 1000000000000, CAST(date + CAST(key % 29 + n AS INTEGER) AS DATE), -amount FROM true_rows, (VALUES (1), (2)) v(n) WHERE amount < 0 AND key % 10 = 0 AND (n = 1 OR key % 20 = 0))
 """
-
-
-@query(BASE + TAKEN_BACK + "SELECT arg_min(key, (date, key)) AS key, original FROM nr GROUP BY original")
+RECURSIVE = BASE.replace("WITH", "WITH RECURSIVE", 1)
+#: One credit a step, each takes the last debit before it that is free.
+ONE_BY_ONE = """, g AS (
+  SELECT account_id, abs(amount) AS size, list({'date': date, 'key': key} ORDER BY date, key) FILTER (amount > 0) AS credits, list({'date': date, 'key': key} ORDER BY date, key) FILTER (amount < 0) AS debits
+  FROM t GROUP BY 1, 2 HAVING count(*) FILTER (amount > 0) > 0 AND count(*) FILTER (amount < 0) > 0),
+m(account_id, size, k, credit, debit, taken) AS (
+  SELECT account_id, size, CAST(0 AS BIGINT), credits[1], debits[0], CAST([] AS BIGINT[]) FROM g UNION ALL
+  SELECT account_id, size, k, credit, debit, CASE WHEN debit IS NULL THEN taken ELSE list_append(taken, debit.key) END FROM (
+    SELECT g.account_id, g.size, m.k + 1 AS k, credits[m.k + 1] AS credit, m.taken,
+           list_filter(debits, lambda x: (x.date < credits[m.k + 1].date OR (x.date = credits[m.k + 1].date AND x.key < credits[m.k + 1].key)) AND NOT list_contains(m.taken, x.key))[-1] AS debit
+    FROM m JOIN g ON g.account_id = m.account_id AND g.size = m.size WHERE m.k < len(credits)))
+SELECT credit.key AS key, debit.key AS original FROM m WHERE k > 0 AND debit IS NOT NULL AND date_diff('day', debit.date, credit.date) <= 30"""
+
+
+@query(RECURSIVE + TAKEN_BACK + ONE_BY_ONE)
 def pair_reversals(s, d):
-    return matching.reversals(_taken_back(s, d))
+    return pairing.reversals(_taken_back(s, d))
 
 
 def _kinds(s, d):
@@ -677,29 +688,34 @@ def _kinds(s, d):
     return t.filter("description LIKE '1%' AND amount > 0"), t.filter("description LIKE '5%' AND amount < 0"), t
 
 
-MUTUAL = """rk AS (SELECT *, row_number() OVER (PARTITION BY l_key ORDER BY far, r_key) AS a, row_number() OVER (PARTITION BY r_key ORDER BY far, l_key) AS b FROM nb WHERE far IS NOT NULL), pr AS (SELECT * FROM rk WHERE a = 1 AND b = 1)"""
+#: One candidate a step, the nearest first, if both its sides are free.
+NEAREST = """nk AS (SELECT *, row_number() OVER (ORDER BY far, l_key, r_key) AS k FROM nb WHERE far IS NOT NULL),
+mk(k, ok, used) AS (
+  SELECT CAST(0 AS BIGINT), false, CAST([] AS BIGINT[]) UNION ALL
+  SELECT k, ok, CASE WHEN ok THEN used || [l_key, r_key] ELSE used END FROM (SELECT nk.k, l_key, r_key, used, NOT list_has_any(used, [l_key, r_key]) AS ok FROM mk JOIN nk ON nk.k = mk.k + 1)),
+pr AS (SELECT nk.* FROM nk JOIN mk USING (k) WHERE ok)"""
 
 
-@query(BASE + """
+@query(RECURSIVE + """
 , p AS (SELECT * FROM true_rows WHERE description LIKE '1%' AND amount > 0), w AS (SELECT * FROM true_rows WHERE description LIKE '5%' AND amount < 0),
-nb AS (SELECT p.key AS l_key, w.key AS r_key, p.amount AS gross, abs(-w.amount * 100 - 20 * p.amount) AS far FROM p JOIN w ON p.account_id = w.account_id AND abs(date_diff('day', p.date, w.date)) <= 60), """ + MUTUAL + """
+nb AS (SELECT p.key AS l_key, w.key AS r_key, p.amount AS gross, abs(-w.amount * 100 - 20 * p.amount) AS far FROM p JOIN w ON p.account_id = w.account_id AND abs(date_diff('day', p.date, w.date)) <= 60), """ + NEAREST + """
 SELECT l_key AS profit_key, r_key AS tax_key, CASE WHEN far > 0.02 * 100 * gross THEN 'warn' ELSE 'ok' END AS status FROM pr
 UNION ALL SELECT key, NULL, 'unpaired' FROM p WHERE key NOT IN (SELECT l_key FROM pr) UNION ALL SELECT NULL, key, 'unpaired' FROM w WHERE key NOT IN (SELECT r_key FROM pr)""")
 def profit_tax_pairs(s, d):
     profits, taxes, _ = _kinds(s, d)
-    return matching.profit_tax(profits, taxes, days=60)
+    return pairing.profit_tax(profits, taxes, days=60)
 
 
-@query(BASE + """
+@query(RECURSIVE + """
 , p AS (SELECT * FROM true_rows WHERE description LIKE '1%' AND amount > 0),
 w AS (SELECT account_id, key + 1000000000000 AS key, date + CAST(key % 5 AS INTEGER) AS date, -(CASE WHEN key % 2 = 0 THEN amount // 100 ELSE amount // 400 END + key % 130) AS amount FROM p WHERE key % 3 <> 0),
-nb AS (SELECT p.key AS l_key, w.key AS r_key, CASE WHEN abs(-w.amount * 100 - p.amount) <= 10000 THEN abs(-w.amount * 100 - p.amount) * 4 WHEN abs(-w.amount * 400 - p.amount) <= 40000 THEN abs(-w.amount * 400 - p.amount) + 160000 END AS far FROM p JOIN w ON p.account_id = w.account_id AND abs(date_diff('day', p.date, w.date)) <= 3), """ + MUTUAL + """
+nb AS (SELECT p.key AS l_key, w.key AS r_key, CASE WHEN abs(-w.amount * 100 - p.amount) <= 10000 THEN abs(-w.amount * 100 - p.amount) * 4 WHEN abs(-w.amount * 400 - p.amount) <= 40000 THEN abs(-w.amount * 400 - p.amount) + 160000 END AS far FROM p JOIN w ON p.account_id = w.account_id AND abs(date_diff('day', p.date, w.date)) <= 3), """ + NEAREST + """
 SELECT p.key AS export_key, r_key AS tax_key, coalesce(-w.amount, 0) AS deducted, p.amount // 100 AS expected, greatest(p.amount // 100 - coalesce(-w.amount, 0), 0) AS shortfall FROM p LEFT JOIN pr ON pr.l_key = p.key LEFT JOIN w ON w.key = r_key""")
 def export_tax_pairs(s, d):
     exports = _kinds(s, d)[0]
     size = F.when(F.col("key") % 2 == 0, F.expr("amount div 100")).otherwise(F.expr("amount div 400")) + F.col("key") % 130
     tax = exports.filter("key % 3 <> 0").select("account_id", (F.col("key") + 1_000_000_000_000).alias("key"), F.date_add("date", (F.col("key") % 5).cast("int")).alias("date"), (-size).alias("amount"))
-    return matching.export_tax(exports, tax)
+    return pairing.export_tax(exports, tax)
 
 
 OWN = [("w1", "wallet", False, ["urgent"]), ("f1", "foreign", False, ["5 low", "HIGH"]), ("b1", "bank", True, ["MEDIUM"])]
@@ -710,26 +726,61 @@ def own_account_rows(s, d):
     return matching.own_accounts(views.txns(s, d), s.createDataFrame(OWN, "account_id string, kind string, statement_expected boolean, hints array<string>"))
 
 
+def _owned(s, d):
+    """(rows with a category, accounts): four owners; the lowest priority is taxes, which are never transferred; every tenth debit comes in on another account of its owner, some on two."""
+    t = views.txns(s, d).select("account_id", "key", "date", "amount", "description")
+    sent = t.filter("amount < 0 AND key % 10 = 3").withColumn("n", F.explode(F.when(F.col("key") % 30 == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    came = -F.col("amount") - F.when(F.col("key") % 4 == 3, 5000).otherwise(0)
+    more = sent.select((F.col("account_id") + 4 * F.col("n")).alias("account_id"), (F.col("key") + F.col("n") * 1_000_000_000_000).alias("key"), F.date_add("date", (F.col("key") % 3).cast("int")).alias("date"), came.alias("amount"), F.lit("moved").alias("description"))
+    t = t.unionByName(more).withColumn("category", F.when(F.col("description").startswith("5"), "tax_on_cards").otherwise("other"))
+    one = F.col("account_id")
+    accounts = t.select("account_id").distinct().select("account_id", F.array(F.concat(F.lit("acc-"), one.cast("string"))).alias("hints"), F.concat(F.lit("OWNER "), (one % 4).cast("string")).alias("owner"), F.concat(F.lit("Bank "), (one % 10).cast("string")).alias("institution"))
+    return t, accounts
+
+
 def _evidence(s, d):
-    """Transfers whose descriptions name accounts: hints are the account's number, the owner's name is on every seventh."""
-    t = views.txns(s, d)
-    said = F.concat_ws(" ", "description", F.when(F.col("key") % 7 == 0, "Ali Khan"), F.when(F.col("key") % 2 == 0, F.concat(F.lit("bank "), (F.col("account_id") % 10).cast("string"))))
-    accounts = t.select("account_id").distinct().select("account_id", F.array(F.concat(F.lit("acc-"), F.col("account_id").cast("string"))).alias("hints"), F.lit("ALI KHAN").alias("owner"), F.concat(F.lit("Bank "), (F.col("account_id") % 10).cast("string")).alias("institution"))
+    """Transfers whose descriptions name accounts: the owner's name is on every seventh, a bank on every second, an account on every fifth."""
+    t, accounts = _owned(s, d)
+    one = F.col("account_id")
+    said = F.concat_ws(" ", "description", F.when(F.col("key") % 7 == 0, F.concat(F.lit("to owner "), (one % 4).cast("string"))), F.when(F.col("key") % 2 == 0, F.concat(F.lit("bank "), (one % 10).cast("string"))), F.when(F.col("key") % 5 == 0, F.concat(F.lit("acc:"), (one + 4).cast("string"))))
     t = t.withColumn("description", said)
-    return matching.tiers(matching.transfers(t), t, accounts)
+    return matching.tiers(matching.transfers(t, accounts), t, accounts)
+
+
+OWNED = """
+, moved AS (
+  SELECT account_id, key, date, amount, description FROM true_rows UNION ALL
+  SELECT account_id + 4 * n, key + n * 1000000000000, CAST(date + CAST(key % 3 AS INTEGER) AS DATE), -amount - CASE WHEN key % 4 = 3 THEN 5000 ELSE 0 END, 'moved'
+  FROM true_rows, (VALUES (1), (2)) v(n) WHERE amount < 0 AND key % 10 = 3 AND (n = 1 OR key % 30 = 3)),
+t AS (SELECT *, key % 7 = 0 AS own, CASE WHEN key % 2 = 0 THEN account_id % 10 END AS bank, CASE WHEN key % 5 = 0 THEN account_id + 4 END AS other FROM moved WHERE description NOT LIKE '5%'),
+c0 AS (SELECT a.key AS debit_key, b.key AS credit_key, a.account_id AS debit_account, b.account_id AS credit_account, -a.amount - b.amount AS fee, CAST(abs(date_diff('day', a.date, b.date)) AS BIGINT) AS gap,
+        CAST((a.own OR b.own)::INT + (coalesce(a.bank = b.account_id % 10, false) OR coalesce(b.bank = a.account_id % 10, false))::INT + (coalesce(a.other = b.account_id, false) OR coalesce(b.other = a.account_id, false))::INT AS BIGINT) AS signals
+      FROM t a JOIN t b ON a.amount < 0 AND b.amount > 0 AND a.account_id <> b.account_id AND a.account_id % 4 = b.account_id % 4 AND abs(date_diff('day', a.date, b.date)) <= 3 AND -a.amount - b.amount BETWEEN 0 AND 10000),
+ct AS (SELECT *, CASE WHEN fee = 0 AND gap <= 1 AND signals > 0 THEN 'strong' ELSE 'possible' END AS tier FROM c0)
+"""
 
 
-@query(BASE + """
-, t AS (SELECT *, key % 7 = 0 AS own, CASE WHEN key % 2 = 0 THEN account_id % 10 END AS bank FROM true_rows),
-c AS (SELECT a.key AS debit_key, b.key AS credit_key, a.account_id AS debit_account, b.account_id AS credit_account, -a.amount - b.amount AS fee, CAST(abs(date_diff('day', a.date, b.date)) AS BIGINT) AS gap,
-        CAST((a.own OR b.own)::INT + (coalesce(a.bank = b.account_id % 10, false) OR coalesce(b.bank = a.account_id % 10, false))::INT AS BIGINT) AS signals
-      FROM t a JOIN t b ON a.amount < 0 AND b.amount > 0 AND a.account_id <> b.account_id AND abs(date_diff('day', a.date, b.date)) <= 3 AND -a.amount - b.amount BETWEEN 0 AND 10000)
-SELECT *, CASE WHEN fee = 0 AND gap <= 1 AND signals > 0 THEN 'strong' ELSE 'possible' END AS tier FROM c""")
+@query(BASE + OWNED + "SELECT * FROM ct")
 def transfer_tiers(s, d):
     return _evidence(s, d)
 
 
-@query()
+#: A level a step; a level's rest is folded in printed order.
+BY_LEVEL = """
+, lv AS (SELECT debit_key AS d, credit_key AS c, debit_account AS da, credit_account AS ca, dense_rank() OVER (ORDER BY tier <> 'strong', fee > 0, gap, -signals) AS lvl FROM ct),
+ls AS (SELECT lvl, list({'d': d, 'c': c, 'da': da, 'ca': ca} ORDER BY d, c) AS rows FROM lv GROUP BY lvl),
+m(lvl, used, bad, good) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[][]), CAST([] AS BIGINT[][]) UNION ALL
+  SELECT lvl, used || flatten(bad) || flatten(good), bad, good FROM (
+    SELECT lvl, used, bad, list_reduce(list_prepend(CAST([] AS BIGINT[][]), list_transform(list_filter(list_transform(free, lambda r: [r.d, r.c]), lambda p: NOT list_has_any(flatten(bad), p)), lambda p: [p])),
+             lambda a, b: CASE WHEN list_has_any(flatten(a), flatten(b)) THEN a ELSE a || b END) AS good FROM (
+      SELECT lvl, used, free, list_transform(list_filter(free, lambda r: len(list_filter(free, lambda o: (o.d = r.d AND o.ca <> r.ca) OR (o.c = r.c AND o.da <> r.da))) > 0), lambda r: [r.d, r.c]) AS bad FROM (
+        SELECT ls.lvl, m.used, list_filter(ls.rows, lambda r: NOT list_has_any(m.used, [r.d, r.c])) AS free FROM m JOIN ls ON ls.lvl = m.lvl + 1)))),
+told AS (SELECT unnest(bad) AS p, 'ambiguous_pair' AS status FROM m UNION ALL SELECT unnest(good), 'matched' FROM m)
+SELECT p[1] AS debit_key, p[2] AS credit_key, status FROM told"""
+
+
+@query(RECURSIVE + OWNED + BY_LEVEL)
 def transfer_pairs(s, d):
     return matching.match_tiers(_evidence(s, d))
 
@@ -751,23 +802,19 @@ def review_queue(s, d):
     return matching.review_queue(views.txns(s, d).select(kind.alias("kind"), "key", "amount")).select("key", "kind", "place")
 
 
-@query(BASE + """SELECT a.key AS debit_key, b.key AS credit_key, -a.amount - b.amount AS fee, CAST(abs(date_diff('day', a.date, b.date)) AS BIGINT) AS gap
-FROM true_rows a JOIN true_rows b ON a.amount < 0 AND b.amount > 0 AND a.account_id <> b.account_id AND abs(date_diff('day', a.date, b.date)) <= 3 AND -a.amount - b.amount BETWEEN 0 AND 10000""")
+@query(BASE + OWNED + "SELECT debit_key, credit_key, fee, gap FROM ct")
 def transfer_candidates(s, d):
-    return matching.transfers(views.txns(s, d))
+    return matching.transfers(*_owned(s, d))
 
 
-@query(BASE.replace("WITH", "WITH RECURSIVE", 1) + """
-, c AS (SELECT *, row_number() OVER (ORDER BY fee, gap, debit_key, credit_key) AS k FROM (
-  SELECT a.key AS debit_key, b.key AS credit_key, -a.amount - b.amount AS fee, CAST(abs(date_diff('day', a.date, b.date)) AS BIGINT) AS gap
-  FROM true_rows a JOIN true_rows b ON a.amount < 0 AND b.amount > 0 AND a.account_id <> b.account_id AND abs(date_diff('day', a.date, b.date)) <= 3 AND -a.amount - b.amount BETWEEN 0 AND 10000)),
-m(k, ok, used_d, used_c) AS (
-  SELECT CAST(0 AS BIGINT), false, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) UNION ALL
-  SELECT k, ok, CASE WHEN ok THEN list_append(used_d, debit_key) ELSE used_d END, CASE WHEN ok THEN list_append(used_c, credit_key) ELSE used_c END
-  FROM (SELECT c.k, debit_key, credit_key, used_d, used_c, NOT list_contains(used_d, debit_key) AND NOT list_contains(used_c, credit_key) AS ok FROM m JOIN c ON c.k = m.k + 1))
+@query(RECURSIVE + OWNED + """
+, c AS (SELECT *, row_number() OVER (ORDER BY fee, gap, debit_key, credit_key) AS k FROM ct),
+m(k, ok, used) AS (
+  SELECT CAST(0 AS BIGINT), false, CAST([] AS BIGINT[]) UNION ALL
+  SELECT k, ok, CASE WHEN ok THEN used || [debit_key, credit_key] ELSE used END FROM (SELECT c.k, debit_key, credit_key, used, NOT list_has_any(used, [debit_key, credit_key]) AS ok FROM m JOIN c ON c.k = m.k + 1))
 SELECT debit_key, credit_key, fee, gap FROM c JOIN m USING (k) WHERE ok""")
 def transfer_match(s, d):
-    return matching.match_one_to_one(matching.transfers(views.txns(s, d)))
+    return matching.match_one_to_one(matching.transfers(*_owned(s, d)))
 
 
 @query("SELECT CAST(o_custkey AS BIGINT) AS account_id, 'file-' || o_custkey AS name, coalesce(CASE WHEN o_custkey % 5 = 0 THEN 'owner-' || o_custkey END, 'account-' || o_custkey) AS assigned FROM orders GROUP BY o_custkey")
