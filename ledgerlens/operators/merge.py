@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.stored import written
 
 
+def _day(day: str | Column) -> Column:
+    return day if isinstance(day, Column) else F.lit(day).cast("date")
+
+
 def rank_statements(docs: DataFrame) -> DataFrame:
     """Adds ``doc_rank``: earlier start, then sheets before pages, then the longer period, then file order."""
     start = F.coalesce("doc_start", F.to_date(F.lit("0001-01-01")))
@@ -56,15 +60,16 @@ def overlap_checks(claimed: DataFrame, ranked: DataFrame) -> DataFrame:
     return windows.join(found, ["doc_id", "claimed_by"]).select("doc_id", "account_id", "claimed_by", "lo", "hi", "existing", "incoming", status.alias("status"))
 
 
-def gaps(docs: DataFrame, start: str, end: str, accounts: DataFrame | None = None) -> DataFrame:
+def gaps(docs: DataFrame, start: str | Column, end: str | Column, accounts: DataFrame | None = None) -> DataFrame:
     """account_id, gap_start, gap_end: days of the window that no statement covers.
 
-    With accounts (account_id, opened_on, closed_on) the window of each is cut to the days it was open.
+    With accounts (account_id, opened_on, closed_on) the window of each is cut to the days it was open. start and end may
+    be columns of accounts, for a window of each account's own.
     """
-    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    first, last = _day(start), _day(end)
     d = docs.filter("doc_start IS NOT NULL AND doc_end IS NOT NULL").select("account_id", "doc_start", "doc_end", "doc_id")
     if accounts is not None:
-        d = d.join(accounts.select("account_id", "opened_on", "closed_on"), "account_id", "left")
+        d = d.join(accounts, "account_id", "left")
         first, last = F.greatest(first, F.coalesce("opened_on", first)), F.least(last, F.coalesce("closed_on", last))
     d = d.select("account_id", "doc_start", "doc_end", "doc_id", first.alias("w_start"), last.alias("w_end"))
     w = Window.partitionBy("account_id").orderBy("doc_start", "doc_end", "doc_id")
@@ -75,7 +80,7 @@ def gaps(docs: DataFrame, start: str, end: str, accounts: DataFrame | None = Non
     return rows.filter("gap_start <= gap_end").select("account_id", "gap_start", "gap_end")
 
 
-def gap_checks(docs: DataFrame, start: str, end: str, accounts: DataFrame | None = None) -> DataFrame:
+def gap_checks(docs: DataFrame, start: str | Column, end: str | Column, accounts: DataFrame | None = None) -> DataFrame:
     """account_id, kind, status, gap_days: warn where days of the year lack a statement, or where no statement has a period."""
     lost = gaps(docs, start, end, accounts).groupBy("account_id").agg(F.sum(F.datediff("gap_end", "gap_start") + 1).alias("gap_days"))
     known = docs.groupBy("account_id").agg(F.bool_or(F.col("doc_start").isNotNull() & F.col("doc_end").isNotNull()).alias("dated"))
@@ -92,7 +97,7 @@ def balance_continuity(docs: DataFrame) -> DataFrame:
     return d.select("account_id", "doc_id", "next_start", F.when(same.isNull(), "warn").when(same, "pass").otherwise("fail").alias("status"))
 
 
-def boundaries(rows: DataFrame, docs: DataFrame, accounts: DataFrame, start: str, end: str) -> DataFrame:
+def boundaries(rows: DataFrame, docs: DataFrame, accounts: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
     """account_id, opening, opening_source, closing, closing_source, net, n: the balances at both ends of the year.
 
     rows: kept rows of all statements (account_id, doc_rank, pos, date, amount,
@@ -107,7 +112,9 @@ def boundaries(rows: DataFrame, docs: DataFrame, accounts: DataFrame, start: str
     column, or where one end stays open, the other end and the year's rows give
     it, at last the anchor. Sources: printed, computed, anchor, unknown.
     """
-    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    first, last = _day(start), _day(end)
+    if isinstance(start, Column):
+        rows, docs = (t.join(accounts.select("account_id", "start", "end"), "account_id") for t in (rows, docs))
     inside, before = F.col("date").between(first, last), F.col("date") < first
     at = F.struct("doc_rank", "pos")
     of_rows = rows.groupBy("account_id").agg(
@@ -139,7 +146,7 @@ def boundaries(rows: DataFrame, docs: DataFrame, accounts: DataFrame, start: str
     )
 
 
-def ledgers(rows: DataFrame, docs: DataFrame, accounts: DataFrame, statement_checks: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+def ledgers(rows: DataFrame, docs: DataFrame, accounts: DataFrame, statement_checks: DataFrame, start: str | Column, end: str | Column) -> tuple[DataFrame, DataFrame]:
     """(ledgers, checks) of accounts: statements proved, merged, joined at their seams, and cut to the year.
 
     rows: doc_id, pos, date, amount, balance_after, description. docs: doc_id,
@@ -166,6 +173,42 @@ def ledgers(rows: DataFrame, docs: DataFrame, accounts: DataFrame, statement_che
     return out, found
 
 
+def year_ledgers(rows: DataFrame, docs: DataFrame, accounts: DataFrame, statement_checks: DataFrame, years: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ledgers, checks) as ``ledgers`` gives them, with ``year``, of all tax years at once; a year is held against the year before.
+
+    years: year (a number), start, end, which follow on each other. A statement
+    counts for each year that its period touches (without a period: for all), so
+    accounts are cut by (account, year) and no year waits for another. A year's
+    proved closing is the next year's prior closing; accounts' own anchor and
+    prior_closing (null: none) hold for the first year that the account has.
+    """
+    own = F.coalesce(docs["doc_end"] >= F.col("start"), F.lit(True)) & F.coalesce(docs["doc_start"] <= F.col("end"), F.lit(True))
+    # a row for each year: a handful
+    dated = docs.join(F.broadcast(years.select("year", "start", "end")), own)
+    named = lambda d: F.concat_ws("#", d, F.col("year").cast("string"))
+    cut = dated.select(named(F.col("account_id").cast("string")).alias("slice"), F.col("account_id").alias("account"), "year", "start", "end", named(F.col("doc_id").cast("string")).alias("copy"), *docs.columns)
+    cut = written(cut)
+    mine = cut.select("slice", "account", "year", "start", "end").distinct()
+    held = accounts.select(F.col("account_id").alias("account"), "opened_on", "closed_on", "anchor", "prior_closing")
+    order = Window.partitionBy("account").orderBy("year")
+    slices = mine.join(held, "account", "left").withColumn("k", F.row_number().over(order))
+    first = lambda c: F.when(F.col("k") == 1, F.col(c)).alias(c)
+    per = written(slices.select(F.col("slice").alias("account_id"), "account", "year", "start", "end", "opened_on", "closed_on", first("anchor"), first("prior_closing")))
+    docs_of = cut.drop("account_id", "doc_id", "account").withColumnsRenamed({"slice": "account_id", "copy": "doc_id"})
+    key = cut.select("doc_id", "copy")
+    rows_of = rows.join(key, "doc_id").drop("doc_id").withColumnRenamed("copy", "doc_id")
+    proved = statement_checks.join(key, "doc_id").select(F.col("copy").alias("doc_id"), "kind", "status")
+    books, found = ledgers(rows_of, docs_of.drop("year", "start", "end"), per, proved, *(F.col(c) for c in ("start", "end")))
+    label = per.select("account_id", "account", "year")
+    books = written(books.join(label, "account_id"))
+    before = F.lag("closing").over(order), F.lag("year").over(order)
+    seam = books.select("account_id", "opening", "account_status", F.when(before[1] == F.col("year") - 1, before[0]).alias("closed")).filter("account_status <> 'failed' AND opening <> closed")
+    found = found.unionByName(seam.select("account_id", F.lit("prior_year_mismatch").alias("kind"), F.lit("warn").alias("status")))
+    told = lambda t: t.join(label, "account_id") if "year" not in t.columns else t
+    rest = lambda t: [c for c in t.columns if c not in ("account_id", "account", "year")]
+    return books.select(F.col("account").alias("account_id"), "year", *rest(books)), told(found).select(F.col("account").alias("account_id"), "year", *rest(found))
+
+
 def account_status(account_checks: DataFrame) -> DataFrame:
     """failed before incomplete before complete; only gap and anchor_missing warnings make an account incomplete."""
     lacks = (F.col("status") == "warn") & F.col("kind").isin("gap", "anchor_missing")

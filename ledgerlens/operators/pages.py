@@ -42,13 +42,28 @@ def labels_of(profiles: DataFrame, aligns: dict[str, str] | None = None) -> Data
     return profiles.select("layout_id", F.explode("labels").alias("role", "names")).select("layout_id", "role", F.element_at(align, F.col("role")).alias("align"), F.get("names", F.lit(0)).alias("label"))
 
 
+def head_text(words: DataFrame, count: int = 2) -> DataFrame:
+    """(doc_id, head): the lines of the first ``count`` pages; what layouts are detected and accounts looked for by."""
+    top = texts_of(lines_of(words.filter(F.col("page") <= count)))
+    lines = F.array_sort(F.collect_list(F.struct("page", "line", "raw")))  # of two pages
+    return top.groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda x: x["raw"]), "\n").alias("head"))
+
+
 def parse(words: DataFrame, docs: DataFrame, profiles: DataFrame, aligns: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, txns, unresolved) as ``tabular.parse`` gives them; locators are page:P,y:Y.
+    """(documents, txns, unresolved) as ``tabular.parse`` gives them; locators are page:P,y:Y."""
+    interpreted, stated = read(words, docs, profiles, aligns)
+    return tabular.assemble(interpreted, docs, stated)
+
+
+def read(words: DataFrame, docs: DataFrame, profiles: DataFrame, aligns: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, documents) as ``tabular.read`` gives them.
 
-    Document status: ok, no_header, no_column (a label is not in the header), not_text (no words, or glyphs without characters).
+    Document status: ok, no_profile, no_header, no_column (a label is not in the header), not_text (no words, or glyphs
+    without characters). Only documents that are ok have rows.
     """
-    known = docs.join(profiles, "layout_id")
+    known = docs.join(profiles, "layout_id", "left")
     bad = words.groupBy("doc_id").agg(F.bool_or(F.contains("text", F.lit("(cid:"))).alias("glyphs"))
+    words = words.join(bad.filter("glyphs").select("doc_id"), "doc_id", "left_anti")
     placed = written(lines_of(words))
     texts = written(texts_of(placed).join(known.select("doc_id", "layout_id", "tokens", "skip", "summary", "footer"), "doc_id"))
     low = F.lower("raw")
@@ -89,24 +104,24 @@ def parse(words: DataFrame, docs: DataFrame, profiles: DataFrame, aligns: dict[s
         figures = figures | ~money.is_empty(F.col(f"c_{r}"))
     state = F.when(undated & (figures | F.col("loose")), UNDATED).when(undated, "carried").when(F.col("loose"), LOOSE)
     rows = written(rows.withColumn("state", state))
-    read = tabular.interpret(rows.filter("state IS NULL"))
-    none = {c: F.lit(None).cast(read.schema[c].dataType) for c in ("date", "value_date", "amount", "balance_after", "description", "reference", "sign_source")}
+    got = tabular.interpret(rows.filter("state IS NULL"))
+    none = {c: F.lit(None).cast(got.schema[c].dataType) for c in ("date", "value_date", "amount", "balance_after", "description", "reference", "sign_source")}
     odd = rows.filter("state IS NOT NULL AND state <> 'carried'").select("doc_id", "row_no", "locator", "raw", F.col("state").alias("reason")).unionByName(ends.select("doc_id", number.alias("row_no"), locator.alias("locator"), "raw", F.lit(LOST_TAIL).alias("reason")))
-    read = written(read.unionByName(odd.withColumns(none)))
-    kinds = read.select("doc_id", F.col("row_no").alias("pos"), F.when(F.col("reason").isNull(), "row").otherwise("bad").alias("kind"), F.coalesce("description", F.lit("")).alias("text"))
+    got = written(got.unionByName(odd.withColumns(none)))
+    kinds = got.select("doc_id", F.col("row_no").alias("pos"), F.when(F.col("reason").isNull(), "row").otherwise("bad").alias("kind"), F.coalesce("description", F.lit("")).alias("text"))
     more = rows.filter("state = 'carried' AND c_description <> ''").select("doc_id", F.col("row_no").alias("pos"), F.lit("cont").alias("kind"), F.col("c_description").alias("text"))
     joined = geometry.join_continuations(kinds.unionByName(more)).select("doc_id", F.col("pos").alias("row_no"), F.trim("text").alias("whole"))
-    read = read.join(joined, ["doc_id", "row_no"], "left").withColumn("description", F.coalesce("whole", "description")).drop("whole")
+    got = got.join(joined, ["doc_id", "row_no"], "left").withColumn("description", F.coalesce("whole", "description")).drop("whole")
 
     above = F.array_sort(F.collect_list(F.struct("page", "line", "raw")))
     said = texts.join(heads, ["doc_id", "page"]).filter("line < head_line").groupBy("doc_id").agg(F.array_join(F.transform(above, lambda x: x["raw"]), "\n").alias("preamble"))
     need = asked.groupBy("layout_id").agg(F.count("*").alias("n_labels"))
     have = found.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.regexp_replace("doc_id", "#[^#]*$", "").alias("key"), "n").groupBy("key").agg(F.min("n").alias("n"))
     first = heads.groupBy("doc_id").agg(F.min("page").alias("first_page"))
-    stated = known.join(bad, "doc_id", "left").join(first, "doc_id", "left").join(need, "layout_id").join(have, F.col("doc_id").cast("string") == F.col("key"), "left").join(said, "doc_id", "left")
-    status = F.when(F.coalesce("glyphs", F.lit(True)), "not_text").when(F.col("first_page").isNull(), "no_header").when(F.coalesce("n", F.lit(0)) < F.col("n_labels"), "no_column").otherwise("ok")
-    stated = stated.select("doc_id", "layout_id", "account_id", "container", "running", status.alias("status"), *tabular.figures_of(F.coalesce("preamble", F.lit(""))))
-    return tabular.assemble(read, docs, stated)
+    stated = known.join(bad, "doc_id", "left").join(first, "doc_id", "left").join(need, "layout_id", "left").join(have, F.col("doc_id").cast("string") == F.col("key"), "left").join(said, "doc_id", "left")
+    status = F.when(F.col("tokens").isNull(), "no_profile").when(F.coalesce("glyphs", F.lit(True)), "not_text").when(F.col("first_page").isNull(), "no_header").when(F.coalesce("n", F.lit(0)) < F.col("n_labels"), "no_column").otherwise("ok")
+    stated = written(stated.select("doc_id", "layout_id", "account_id", "container", "running", status.alias("status"), *tabular.figures_of(F.coalesce("preamble", F.lit("")))))
+    return got.join(stated.filter("status = 'ok'").select("doc_id"), "doc_id", "left_semi"), stated
 
 
 def _is(role: str):

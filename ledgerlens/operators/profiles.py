@@ -38,8 +38,28 @@ def profile(
     return (layout_id, institution, container, tokens, title, several, dates, sign, list(credit_tokens), list(debit_tokens), decimals, running, one_of(list(skip)), one_of(list(summary)), one_of(list(footer)), found, valid_from, valid_to)
 
 
+def compiles(pattern: Column) -> Column:
+    """Whether a regular expression can be used; tried where the row is, so that a bad one is a row's fault and not the job's."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
+def is_date_format(pattern: Column) -> Column:
+    """Whether dates can be read by a pattern: days, months and years with what stands between them."""
+    return pattern.rlike(r"^(?:[dMyE]+|[^A-Za-z'#{}\[\]]|'[^']*')+$") & F.try_reflect(F.lit("java.time.format.DateTimeFormatter"), F.lit("ofPattern"), pattern).isNotNull()
+
+
+def version_id(layout_id: Column, valid_from: Column) -> Column:
+    """One name for each version of a layout; a layout without a first day has one version of its own name."""
+    return F.when(valid_from.isNull(), layout_id).otherwise(F.concat(layout_id, F.lit("@"), valid_from.cast("string")))
+
+
+def versions(profiles: DataFrame) -> DataFrame:
+    """``profiles`` with ``base``, the layout's name, and the version's name as layout_id."""
+    return profiles.withColumn("base", F.col("layout_id")).withColumn("layout_id", version_id(F.col("base"), F.col("valid_from")))
+
+
 def problems(profiles: DataFrame) -> DataFrame:
-    """(layout_id, problem): what makes a profile unusable; a good one has no row."""
+    """(layout_id, problem): what makes a profile unusable; a good one has no row. Versions of a layout share its id and start on different days."""
     needs = F.when(F.col("sign") == "columns", F.array(F.lit("debit"), F.lit("credit"))).otherwise(F.array(F.lit("amount")))
     lacking = F.array_except(F.concat(F.array(F.lit("date"), F.lit("description")), needs, F.when(F.col("running"), F.array(F.lit("balance"))).otherwise(F.array().cast("array<string>"))), F.map_keys("labels"))
     unknown = F.array_except(F.map_keys("labels"), F.array(*map(F.lit, ROLES)))
@@ -57,9 +77,12 @@ def problems(profiles: DataFrame) -> DataFrame:
         (F.size(figures) > 0, F.concat(F.lit("unknown figure "), F.array_join(figures, ", "))),
         (F.exists(F.map_values("patterns"), lambda p: p["at"] < 1), F.lit("a pattern has no group named value")),
         (F.col("valid_to") < F.col("valid_from"), F.lit("valid_to lies before valid_from")),
+        (~F.coalesce(F.forall("dates", is_date_format), F.lit(True)), F.lit("a date format can't be read")),
+        *[(F.col(c).isNotNull() & ~compiles(F.col(c)), F.lit(f"the pattern of {c} can't be read")) for c in ("title", "skip", "summary", "footer")],
+        (F.exists(F.map_values("patterns"), lambda p: ~compiles(p["pattern"])), F.lit("the pattern of a figure can't be read")),
     ]
     own = profiles.select("layout_id", F.explode(F.filter(F.array(*[F.when(bad, said) for bad, said in rules]), lambda x: x.isNotNull())).alias("problem"))
-    twice = profiles.groupBy("layout_id").agg(F.count("*").alias("n")).filter("n > 1").select("layout_id", F.lit("the id is used twice").alias("problem"))
+    twice = profiles.groupBy("layout_id", "valid_from").agg(F.count("*").alias("n")).filter("n > 1").select("layout_id", F.lit("the id is used twice").alias("problem"))
     return own.unionByName(twice)
 
 
@@ -72,9 +95,12 @@ def usable(profiles: DataFrame, selftest: DataFrame | None = None) -> DataFrame:
 
 
 def fits(head: Column, on: Column | None = None) -> Column:
-    """Whether a profile's row describes a document's head: all tokens and the title, inside its dates."""
+    """Whether a profile's row describes a document's head: all tokens and the title; with a day, whether it holds then, too."""
     low = F.lower(head)
     found = F.forall("tokens", lambda t: F.contains(low, F.lower(F.trim(t)))) & (F.col("title").isNull() | F.regexp_like(head, F.col("title")))
-    if on is None:
-        return found
-    return found & F.coalesce(F.col("valid_from") <= on, F.lit(True)) & F.coalesce(on <= F.col("valid_to"), F.lit(True))
+    return found if on is None else found & valid_at(on)
+
+
+def valid_at(on: Column) -> Column:
+    """Whether a profile's row holds on a day; a null day is any."""
+    return F.coalesce(F.col("valid_from") <= on, F.lit(True)) & F.coalesce(on <= F.col("valid_to"), F.lit(True))

@@ -28,8 +28,8 @@ def _low(cells: Column) -> Column:
 
 
 def headers(rows: DataFrame, docs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """docs with their profile's columns, and header_row, header: the first of the head rows that has all tokens as cells (null: none)."""
-    known = docs.join(profiles, "layout_id")
+    """docs with their profile's columns (null if there is no such profile), and header_row, header: the first of the head rows that has all tokens as cells (null: none)."""
+    known = docs.join(profiles, "layout_id", "left")
     top = rows.filter(F.col("row_no") <= HEAD_ROWS).join(known.select("doc_id", "tokens"), "doc_id")
     low = _low(F.col("cells"))
     hit = F.forall("tokens", lambda t: F.array_contains(low, F.lower(F.trim(t))))
@@ -95,11 +95,11 @@ def interpret(body: DataFrame) -> DataFrame:
     """The rows (doc_id, row_no, locator, raw, c_<role>, and their profile's formats) as ``read_rows`` gives them."""
     debit, credit, amount, balance, day = (F.col(f"c_{r}") for r in ("debit", "credit", "amount", "balance", "date"))
     no_d, no_c, none = money.is_empty(debit), money.is_empty(credit), money.is_empty(amount)
-    read = body.withColumn("date", first_date(day, F.col("dates"))).withColumn("by_suffix", F.when((F.col("sign") == "suffix") & ~none, suffix_amount(amount, F.col("credit_tokens"), F.col("debit_tokens"))))
+    got = body.withColumn("date", first_date(day, F.col("dates"))).withColumn("by_suffix", F.when((F.col("sign") == "suffix") & ~none, suffix_amount(amount, F.col("credit_tokens"), F.col("debit_tokens"))))
     columns = F.when(no_c, -money.parse(debit)).otherwise(money.parse(credit))
-    read = read.withColumn("amount", F.when(F.col("sign") == "columns", F.when(no_d != no_c, columns)).when(F.col("sign") == "suffix", F.col("by_suffix.units")).when(~none, money.parse(amount)))
+    got = got.withColumn("amount", F.when(F.col("sign") == "columns", F.when(no_d != no_c, columns)).when(F.col("sign") == "suffix", F.col("by_suffix.units")).when(~none, money.parse(amount)))
     shown = F.col("running") & ~money.is_empty(balance)
-    read = read.withColumn("balance_after", F.when(shown, money.parse(balance)))
+    got = got.withColumn("balance_after", F.when(shown, money.parse(balance)))
     reason = (
         F.when(money.is_empty(day), NO_DATE).when(F.col("date").isNull(), BAD_DATE)
         .when((F.col("sign") == "columns") & no_d & no_c, NO_SIDE).when((F.col("sign") == "columns") & ~no_d & ~no_c, BOTH_SIDES)
@@ -107,18 +107,28 @@ def interpret(body: DataFrame) -> DataFrame:
         .when(F.col("amount").isNull(), BAD_AMOUNT).when(shown & F.col("balance_after").isNull(), BAD_BALANCE)
     )
     source = F.when(F.col("sign") == "columns", "column").otherwise(F.col("sign"))
-    return read.select(
+    return got.select(
         "doc_id", "row_no", "locator", "raw", "date", first_date(F.col("c_value_date"), F.col("dates")).alias("value_date"), "amount", "balance_after",
         F.col("c_description").alias("description"), F.nullif(F.col("c_reference"), F.lit("")).alias("reference"), source.alias("sign_source"), reason.alias("reason"),
     )
 
 
+def _printed(body: Column, figure: str) -> Column:
+    """What a text prints for a figure by its profile's pattern."""
+    at = F.try_element_at("patterns", F.lit(figure))
+    return F.when(F.regexp_like(body, at["pattern"]), F.call_function("regexp_extract", body, at["pattern"], at["at"]))
+
+
+def period_of(body: Column) -> tuple[Column, Column]:
+    """The first and last day of the period that a text prints by its profile's patterns."""
+    return tuple(first_date(_printed(body, k), F.col("dates")) for k in ("period_from", "period_to"))
+
+
 def figures_of(body: Column) -> list[Column]:
     """The figures that a text prints by its profile's patterns; what can't be converted stays null."""
-    at = lambda k: F.try_element_at("patterns", F.lit(k))
-    found = lambda k: F.when(F.regexp_like(body, at(k)["pattern"]), F.call_function("regexp_extract", body, at(k)["pattern"], at(k)["at"]))
+    found = lambda k: _printed(body, k)
+    days = [d.alias(f"s_{to}") for d, to in zip(period_of(body), ("start", "end"), strict=True)]
     sums = [money.parse(found(k)).alias(f"s_{to}") for k, to in (("opening", "opening"), ("closing", "closing"), ("total_credit", "credit"), ("total_debit", "debit"))]
-    days = [first_date(found(k), F.col("dates")).alias(f"s_{to}") for k, to in (("period_from", "start"), ("period_to", "end"))]
     return [*sums, *days, F.trim(found("account_id")).alias("s_account")]
 
 
@@ -131,28 +141,37 @@ def read_summary(rows: DataFrame, heads: DataFrame) -> DataFrame:
     return both.select("doc_id", *figures_of(F.coalesce("preamble", F.lit(""))))
 
 
+def read(rows: DataFrame, docs: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows as ``read_rows`` gives them, documents with status and printed figures).
+
+    Document status: ok, no_profile, no_header, no_column (a required column is not in the header).
+    """
+    heads = headers(rows, docs, profiles)
+    mapped = map_columns(heads)
+    state = F.when(F.col("tokens").isNull(), "no_profile").when(F.col("header_row").isNull(), "no_header").when(F.size("lacking") > 0, "no_column").otherwise("ok")
+    stated = mapped.select("doc_id", "layout_id", "account_id", "container", "running", state.alias("status")).join(read_summary(rows, heads), "doc_id", "left")
+    return read_rows(rows, mapped), stated
+
+
 def parse(rows: DataFrame, docs: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, txns, unresolved) of the sheets.
 
-    documents: doc_id, layout_id, account_id, status (ok, no_header, no_column),
+    documents: doc_id, layout_id, account_id, status (as ``read`` tells it),
     printed figures, and doc_start, doc_end: the printed period, else the first
     and last row's date in printed order.
     """
-    heads = headers(rows, docs, profiles)
-    mapped = map_columns(heads)
-    state = F.when(F.col("header_row").isNull(), "no_header").when(F.size("lacking") > 0, "no_column").otherwise("ok")
-    stated = mapped.select("doc_id", "layout_id", "account_id", "container", "running", state.alias("status")).join(read_summary(rows, heads), "doc_id", "left")
-    return assemble(read_rows(rows, mapped), docs, stated)
+    interpreted, stated = read(rows, docs, profiles)
+    return assemble(interpreted, docs, stated)
 
 
-def assemble(read: DataFrame, docs: DataFrame, stated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def assemble(interpreted: DataFrame, docs: DataFrame, stated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, txns, unresolved) from interpreted rows and from documents with status and printed figures."""
-    fine = read.filter("reason IS NULL").withColumn("pos", F.col("row_no")).join(docs.select("doc_id", "account_id"), "doc_id")
+    fine = interpreted.filter("reason IS NULL").withColumn("pos", F.col("row_no")).join(docs.select("doc_id", "account_id"), "doc_id")
     norm = fine.withColumn("norm", text.normalize_description(F.col("description")))
     counted = checks.occurrence(norm, "doc_id", "date", "amount", "balance_after", "norm")
     account = F.coalesce(F.col("account_id").cast("string"), F.lit("unassigned"))
     txns = counted.withColumn("txn_id", text.txn_id(account, F.col("date"), F.col("amount"), F.col("balance_after"), F.col("norm"), F.col("occurrence"))).withColumn("tax_year", text.fiscal_year(F.col("date"))).drop("norm", "occurrence", "reason", "row_no")
-    unresolved = read.filter("reason IS NOT NULL").select("doc_id", "row_no", "locator", "raw", "reason")
+    unresolved = interpreted.filter("reason IS NOT NULL").select("doc_id", "row_no", "locator", "raw", "reason")
     period = fine.groupBy("doc_id").agg(F.min_by("date", "pos").alias("first_day"), F.max_by("date", "pos").alias("last_day"))
     lost = unresolved.groupBy("doc_id").agg(F.count("*").alias("unresolved"), F.min_by(F.struct("reason", "locator"), "row_no").alias("first_unresolved"))
     documents = stated.join(period, "doc_id", "left").join(lost, "doc_id", "left")
@@ -165,9 +184,9 @@ def selftest(cases: DataFrame, profiles: DataFrame) -> DataFrame:
     keyed = cases.withColumn("doc_id", F.concat_ws("#", "layout_id", F.col("case_no").cast("string")))
     rows = keyed.select("doc_id", F.lit(2).alias("row_no"), "cells")
     heads = keyed.select("doc_id", "layout_id", F.lit(1).alias("header_row"), "header").join(profiles, "layout_id")
-    read = read_rows(rows, map_columns(heads, require_balance=False)).select("doc_id", "date", "amount", "reason")
+    got = read_rows(rows, map_columns(heads, require_balance=False)).select("doc_id", "date", "amount", "reason")
     same = F.col("reason").isNull() & F.col("date").eqNullSafe(F.col("want_date")) & F.col("amount").eqNullSafe(F.col("want_amount"))
-    return keyed.join(read, "doc_id", "left").select("layout_id", "case_no", F.coalesce(same, F.lit(False)).alias("ok"))
+    return keyed.join(got, "doc_id", "left").select("layout_id", "case_no", F.coalesce(same, F.lit(False)).alias("ok"))
 
 
 def row_samples(rows: DataFrame, heads: DataFrame, count: int = 5) -> DataFrame:

@@ -12,7 +12,7 @@ from ledgerlens.functions import money, text
 from ledgerlens.operators import checks, geometry, layout, masking, matching, merge, pages, pairing, summary, tabular
 from ledgerlens.operators import profiles as layouts
 from ledgerlens.sources import statements
-from ledgerlens.plans import views
+from ledgerlens.plans import loading, views
 from ledgerlens.plans.views import YEAR_END, YEAR_START, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,6 +314,46 @@ def account_ledger(s, d):
     return merge.ledgers(rows, docs, accounts, checks.all_checks(rows, docs), YEAR_START, YEAR_END)[0]
 
 
+def _yearly(s, d):
+    """(rows, docs) of a year's chain; some accounts' balances move by one at the start of July 1996."""
+    moved = lambda day: F.when((F.col("account_id") % 7 == 0) & (F.col(day) >= "1996-07-01"), 1).otherwise(0)
+    true = views.txns(s, d)
+    docs = views.docs(true).withColumn("s_opening", F.col("s_opening") + moved("s_start")).withColumn("s_closing", F.col("s_closing") + moved("s_start"))
+    docs = docs.select("*", F.col("s_start").alias("doc_start"), F.col("s_end").alias("doc_end"), F.lit("csv").alias("container"), F.row_number().over(Window.partitionBy("account_id").orderBy("doc_id")).cast("bigint").alias("file_seq"), F.lit(True).alias("running"))
+    return true.withColumn("balance_after", F.col("balance_after") + moved("date")).drop("account_id"), docs
+
+
+@query(BASE + """
+, moved AS (SELECT *, CASE WHEN account_id % 7 = 0 AND date >= DATE '1996-07-01' THEN 1 ELSE 0 END AS m, year(date) - CASE WHEN month(date) <= 6 THEN 1 ELSE 0 END AS year FROM true_rows),
+y AS (SELECT account_id, year, arg_min(balance_after + m - amount, pos) AS opening, arg_max(balance_after + m, pos) AS closing, sum(amount) AS net, count(*) AS n, count(DISTINCT doc_id) AS halves, count(*) FILTER (key % 89 = 0) AS bad FROM moved GROUP BY 1, 2),
+k AS (SELECT *, CASE WHEN bad > 0 THEN 'failed' WHEN halves < 2 THEN 'incomplete' ELSE 'complete' END AS account_status FROM y),
+p AS (SELECT *, lag(CASE WHEN account_status <> 'failed' THEN closing END) OVER w AS prior, lag(year) OVER w AS py FROM k WINDOW w AS (PARTITION BY account_id ORDER BY year))
+SELECT account_id, CAST(year AS INTEGER) AS year, account_status, CASE WHEN account_status <> 'failed' THEN opening END AS opening, CASE WHEN account_status <> 'failed' THEN closing END AS closing,
+       CASE WHEN account_status <> 'failed' THEN CAST(net AS BIGINT) END AS net, CASE WHEN account_status <> 'failed' THEN n END AS n, account_status <> 'failed' AND coalesce(py = year - 1 AND prior <> opening, false) AS mismatch FROM p""")
+def year_ledgers(s, d):
+    """All tax years in one plan, each held against the year before."""
+    rows, docs = _yearly(s, d)
+    accounts = docs.select("account_id").distinct().withColumns({c: F.lit(None).cast(kind) for c, kind in (("opened_on", "date"), ("closed_on", "date"), ("anchor", "bigint"), ("prior_closing", "bigint"))})
+    years = s.range(1990, 2006).select(F.col("id").cast("int").alias("year"), F.make_date(F.col("id").cast("int"), F.lit(7), F.lit(1)).alias("start"), F.make_date(F.col("id").cast("int") + 1, F.lit(6), F.lit(30)).alias("end"))
+    books, found = merge.year_ledgers(rows, docs, accounts, checks.all_checks(rows, docs), years)
+    seams = found.filter("kind = 'prior_year_mismatch'").select("account_id", "year", F.lit(True).alias("m"))
+    return books.join(seams, ["account_id", "year"], "left").select("account_id", "year", "account_status", "opening", "closing", "net", "n", F.coalesce("m", F.lit(False)).alias("mismatch"))
+
+
+@query(BASE + "," + views.SHEETS + """
+, rn AS (SELECT doc_id, count(*) FILTER (account_id % 3 = 0 OR reason IS NULL) AS n_txns FROM sh GROUP BY 1),
+fi AS (SELECT doc_id, account_id, copy, s_end FROM docs, (VALUES ('a'), ('b')) v(copy) WHERE copy = 'a' OR account_id % 10 = 1),
+oc AS (SELECT *, CASE WHEN copy = 'b' THEN 'duplicate' WHEN account_id % 15 = 0 THEN 'not_text' WHEN account_id % 3 = 1 AND s_end > DATE '1996-06-30' THEN 'no_valid_profile' WHEN account_id % 7 = 0 AND account_id % 14 <> 0 THEN 'unassigned' ELSE 'ok' END AS outcome FROM fi)
+SELECT doc_id || '.' || copy AS name, CASE WHEN outcome IN ('duplicate', 'no_valid_profile') THEN NULL WHEN account_id % 3 = 0 THEN 'pages.v1' WHEN account_id % 3 = 1 THEN 'suffix.v1' ELSE 'signed.v1' END AS layout_id,
+       CASE WHEN outcome = 'duplicate' THEN NULL WHEN account_id % 14 = 0 AND account_id > 0 THEN CAST(account_id - 1 AS VARCHAR) WHEN account_id % 7 = 0 OR outcome = 'no_valid_profile' THEN NULL ELSE CAST(account_id AS VARCHAR) END AS account_id,
+       outcome, CASE WHEN outcome = 'ok' THEN coalesce(n_txns, 0) ELSE 0 END AS n_txns FROM oc LEFT JOIN rn USING (doc_id)""")
+def folder_outcomes(s, d):
+    """Sheets and pages of one folder: detected, resolved, parsed, and what became of each file."""
+    files, rows, words, accounts, assigned = views.folder(s, d)
+    got = loading.read_files(files, rows, s.createDataFrame(views.LAYOUTS, layouts.PROFILE), accounts, assigned, words)
+    return got.outcomes.select("name", "layout_id", "account_id", "outcome", "n_txns")
+
+
 def _twice(s, d):
     rows = views.twice_printed(views.txns(s, d))
     return merge.claim_overlaps(rows.drop("account_id"), _ranked(s, d)), _ranked(s, d)

@@ -7,20 +7,32 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import checks, layout, merge, tabular
+from ledgerlens.operators import checks, layout, merge, pages, profiles, tabular
 from ledgerlens.operators.stored import written
 from ledgerlens.sources import statements
 
 
+@dataclass(frozen=True)
+class Parsed:
+    """outcomes: a row for each file. documents, txns, unresolved: of the files that are ok, as ``tabular.parse`` gives them. rejected: (layout_id, problem) of profiles that were not used."""
+
+    outcomes: DataFrame
+    documents: DataFrame
+    txns: DataFrame
+    unresolved: DataFrame
+    rejected: DataFrame
+
+
 @dataclass(frozen=True)
 class Run:
-    """outcomes: a row for each file. ledgers, checks: by account. missing: accounts that should have had a statement."""
+    """outcomes: a row for each file. ledgers, checks: by account. missing: accounts that should have had a statement. rejected: profiles that were not used."""
 
     outcomes: DataFrame
     ledgers: DataFrame
     checks: DataFrame
     missing: DataFrame
     txns: DataFrame
+    rejected: DataFrame
 
 
 def year_problems(years: DataFrame) -> DataFrame:
@@ -47,39 +59,93 @@ def registry_problems(accounts: DataFrame) -> DataFrame:
     return accounts.select("account_id", F.explode(found).alias("problem")).unionByName(twice)
 
 
-def load_files(files: DataFrame, rows: DataFrame, profiles: DataFrame, accounts: DataFrame, start: str, end: str, assigned: DataFrame | None = None) -> Run:
-    """files: ``statements.files``; rows: their sheets' rows; accounts: account_id, identifiers, statement_expected, opened_on, closed_on, anchor, prior_closing.
+def gate(table: DataFrame, cases: DataFrame | None = None, samples: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(versions of profiles that may be used, (layout_id, problem) of the others).
 
-    assigned: (name, account_id), the owner's choice for a file; it comes before what the file prints.
+    A profile is tried before any file is: its constraints and patterns, then (if
+    given) labelled rows as for ``tabular.selftest``, one at least for each
+    version and all read right, and sample texts as for ``tabular.summary_selftest``.
+    """
+    known = profiles.versions(table)
+    bad = profiles.problems(table).join(known.select(F.col("base").alias("layout_id"), F.col("layout_id").alias("version")), "layout_id").select(F.col("version").alias("layout_id"), "problem").distinct()
+    bad = written(bad)
+    fine = written(known.join(bad.select("layout_id").distinct(), "layout_id", "left_anti"))
+    if cases is not None:
+        tried = written(tabular.selftest(cases, fine))
+        bad = bad.unionByName(tried.filter("NOT ok").select("layout_id", F.lit("a labelled row is not read as it should be").alias("problem")).distinct())
+        bad = bad.unionByName(fine.select("layout_id").join(tried, "layout_id", "left_anti").withColumn("problem", F.lit("no labelled row to try it on")))
+    if samples is not None:
+        bad = bad.unionByName(tabular.summary_selftest(samples, fine).select("layout_id", F.concat_ws(": ", "figure", "problem").alias("problem")))
+    bad = written(bad)
+    return written(fine.join(bad.select("layout_id").distinct(), "layout_id", "left_anti")), bad
+
+
+def read_files(files: DataFrame, rows: DataFrame, table: DataFrame, accounts: DataFrame, assigned: DataFrame | None = None, words: DataFrame | None = None, cases: DataFrame | None = None, samples: DataFrame | None = None) -> Parsed:
+    """Every file to its outcome, and the transactions of those that are ok.
+
+    files: ``statements.files``, or any doc_id, name, file_seq, container,
+    duplicate. rows: the sheets' rows. words: the positioned words of pages.
+    accounts: account_id, identifiers. assigned: (name, account_id), the owner's
+    choice for a file; it comes before what the file prints. cases, samples: see
+    ``gate``.
+
+    Sheets are detected and looked through by their first rows, pages by their
+    first two pages; each kind is parsed by its own operator, once. Outcomes: ok,
+    duplicate, not_text (pages without words, or with glyphs that are no
+    characters), unknown_layout, no_valid_profile, ambiguous_layout, unreadable
+    (a header or column is missing), unassigned.
     """
+    usable, rejected = gate(table, cases, samples)
     named = files.select("doc_id", "name", "file_seq", "container", "duplicate")
     mine = named.withColumn("chosen", F.lit(None).cast("string")) if assigned is None else named.join(assigned.select("name", F.col("account_id").alias("chosen")), "name", "left")
     first = mine.filter("NOT duplicate")
-    heads = first.join(statements.head_text(rows), "doc_id", "left").withColumn("head", F.coalesce("head", F.lit("")))
-    found = layout.detect(heads, profiles)
-    known = found.filter("status = 'ok'").select("doc_id", "layout_id").withColumn("account_id", F.lit(None).cast("string"))
-    probe = written(tabular.parse(rows, known, profiles)[0])
-    body = probe.join(heads.select("doc_id", "head"), "doc_id").select("doc_id", F.col("s_account").alias("printed"), F.col("head").alias("body"))
-    told = layout.resolve_accounts(body, accounts.select("account_id", "identifiers"))
+    told = statements.head_text(rows) if words is None else statements.head_text(rows).unionByName(pages.head_text(words))
+    heads = written(first.select("doc_id", "container").join(told, "doc_id", "left"))
+    found = written(layout.detect(heads.withColumn("head", F.coalesce("head", F.lit(""))), usable))
+    known = found.filter("status = 'ok'").join(heads.select("doc_id", "container"), "doc_id").select("doc_id", "layout_id", "container", F.lit(None).cast("string").alias("account_id"))
+    only = usable.drop("base")
+    read, stated = tabular.read(rows, known.filter("container <> 'pdf'").drop("container"), only)
+    if words is not None:
+        page_docs = known.filter("container = 'pdf'").drop("container")
+        page_read, page_stated = pages.read(words.join(page_docs.select("doc_id"), "doc_id", "left_semi"), page_docs, only)
+        read, stated = read.unionByName(page_read), stated.unionByName(page_stated)
+    read, stated = written(read), written(stated)
+
+    body = stated.join(heads.select("doc_id", "head"), "doc_id").select("doc_id", F.col("s_account").alias("printed"), F.col("head").alias("body"))
+    resolved = layout.resolve_accounts(body, accounts.select("account_id", "identifiers")).select("doc_id", F.col("account_id").alias("printed_account"))
     ids = accounts.select(F.col("account_id").alias("valid"))
-    placed = first.join(found, "doc_id").join(told.select("doc_id", F.col("account_id").alias("printed_account")), "doc_id", "left").join(ids, F.col("chosen") == F.col("valid"), "left")
-    account = F.when(F.col("chosen").isNotNull(), F.col("valid")).otherwise(F.col("printed_account"))
-    placed = placed.withColumn("account_id", account).join(probe.select("doc_id", F.col("status").alias("parsed")), "doc_id", "left")
-    state = F.when(F.col("status") != "ok", F.col("status")).when(F.col("parsed") != "ok", "unreadable").when(F.col("account_id").isNull(), "unassigned").otherwise("ok")
+    placed = first.join(heads.select("doc_id", F.col("head").isNull().alias("blank")), "doc_id").join(found, "doc_id").join(resolved, "doc_id", "left").join(ids, F.col("chosen") == F.col("valid"), "left")
+    placed = placed.withColumn("account_id", F.when(F.col("chosen").isNotNull(), F.col("valid")).otherwise(F.col("printed_account"))).join(stated.select("doc_id", F.col("status").alias("parsed")), "doc_id", "left")
+    blank = (F.col("container") == "pdf") & F.col("blank")
+    state = (
+        F.when(blank | (F.col("parsed") == "not_text"), "not_text").when(F.col("status") != "ok", F.col("status")).when(F.col("parsed") != "ok", "unreadable")
+        .when(F.col("account_id").isNull(), "unassigned").otherwise("ok")
+    )
     placed = written(placed.withColumn("outcome", state))
 
-    good = placed.filter("outcome = 'ok'").select("doc_id", "layout_id", "account_id")
-    documents, txns, _ = (written(t) for t in tabular.parse(rows, good, profiles))
-    docs = documents.join(first.select("doc_id", "file_seq"), "doc_id")
-    proofs = written(checks.all_checks(txns, docs))
-    books, found_checks = (written(t) for t in merge.ledgers(txns.drop("account_id"), docs, accounts, proofs, start, end))
-    lost = layout.missing_accounts(accounts, books, start, end)
+    good = placed.filter("outcome = 'ok'").select("doc_id", "account_id")
+    mine_only = lambda t: t.join(good, "doc_id", "left_semi")
+    documents, txns, unresolved = tabular.assemble(mine_only(read), good, stated.drop("account_id").join(good, "doc_id"))
+    documents, txns = written(documents.join(first.select("doc_id", "file_seq"), "doc_id")), written(txns)
     counted = txns.groupBy("doc_id").agg(F.count("*").alias("n_txns"))
-    told_all = placed.select("doc_id", "name", "file_seq", "layout_id", "account_id", "outcome").join(counted, "doc_id", "left")
+    base = usable.select("layout_id", "base")
+    told_all = placed.join(base, "layout_id", "left").select("doc_id", "name", "file_seq", F.col("base").alias("layout_id"), "account_id", "outcome").join(counted, "doc_id", "left")
     again = mine.filter("duplicate").select("doc_id", "name", "file_seq", F.lit(None).cast("string").alias("layout_id"), F.lit(None).cast("string").alias("account_id"), F.lit("duplicate").alias("outcome"), F.lit(None).cast("bigint").alias("n_txns"))
     outcomes = told_all.unionByName(again).withColumn("n_txns", F.when(F.col("outcome") == "ok", F.coalesce("n_txns", F.lit(0))).otherwise(0))
+    return Parsed(written(outcomes), documents, txns, unresolved, rejected)
+
+
+def load_files(files: DataFrame, rows: DataFrame, table: DataFrame, accounts: DataFrame, start: str, end: str, assigned: DataFrame | None = None, words: DataFrame | None = None, cases: DataFrame | None = None, samples: DataFrame | None = None) -> Run:
+    """``read_files``, then proofs and ledgers of one tax year.
+
+    accounts: account_id, identifiers, statement_expected, opened_on, closed_on, anchor, prior_closing.
+    """
+    got = read_files(files, rows, table, accounts, assigned, words, cases, samples)
+    proofs = written(checks.all_checks(got.txns, got.documents))
+    books, found_checks = (written(t) for t in merge.ledgers(got.txns.drop("account_id"), got.documents, accounts, proofs, start, end))
+    lost = layout.missing_accounts(accounts, books, start, end)
     absent = lost.select("account_id", F.lit("statement_missing").alias("kind"), F.lit("warn").alias("status"))
-    return Run(written(outcomes), books, found_checks.unionByName(absent), lost, txns)
+    return Run(got.outcomes, books, found_checks.unionByName(absent), lost, got.txns, got.rejected)
 
 
 def run_summary(run: Run) -> DataFrame:

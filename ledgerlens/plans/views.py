@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +118,34 @@ def page_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return words.withColumn("word_no", number), d.select("doc_id", "account_id", F.lit("pages.v1").alias("layout_id"))
 
 
+def folder(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(files, rows, words, accounts, assigned): the statements as the files of one folder, each with its IBAN.
+
+    Every third account comes as pages, others as sheets. Some files are there
+    twice, some accounts are in no registry, some of their files are assigned by
+    hand, one layout ends before some statements, and some pages hold glyphs only.
+    """
+    rows, sheet_docs = sheets(spark, sf_dir)
+    words, _ = page_words(spark, sf_dir)
+    iban = F.concat(F.lit("PK"), F.lpad(F.col("account_id").cast("string"), 8, "0"))
+    rows = rows.join(sheet_docs.filter("account_id % 3 <> 0").select("doc_id"), "doc_id", "left_semi").unionByName(sheet_docs.filter("account_id % 3 <> 0").select("doc_id", F.lit(0).cast("bigint").alias("row_no"), F.array(F.lit("IBAN"), iban).alias("cells")))
+    text = F.explode(F.array(F.struct(F.lit("IBAN").alias("text"), F.lit(0.0).alias("x0")), F.struct(iban.alias("text"), F.lit(40.0).alias("x0"))))
+    stamp = sheet_docs.filter("account_id % 3 = 0").select("doc_id", F.lit(1).alias("page"), text.alias("t")).select("doc_id", "page", "t.text", "t.x0", (F.col("t.x0") + 30).alias("x1"), F.lit(2.0).alias("top"), (F.col("t.x0").cast("int") - 1000).alias("word_no"))
+    words = words.unionByName(stamp)
+    words = words.withColumn("text", F.when((F.substring_index("doc_id", "-", 1).cast("bigint") % 15 == 0) & (F.col("text") == "Details"), "(cid:7)").otherwise(F.col("text")))
+    files = sheet_docs.select("doc_id", "account_id", F.when(F.col("account_id") % 3 == 0, "pdf").otherwise("csv").alias("container"), F.explode(F.when(F.col("account_id") % 10 == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))).alias("copy"))
+    files = files.select("doc_id", "account_id", "container", F.concat("doc_id", F.lit("."), F.col("copy")).alias("name"), (F.col("copy") == "b").alias("duplicate"))
+    files = files.withColumn("file_seq", F.row_number().over(Window.partitionBy("account_id").orderBy("name")).cast("bigint"))
+    known = sheet_docs.select("account_id").distinct()
+    accounts = known.filter("account_id % 7 <> 0").select(F.col("account_id").cast("string").alias("account_id"), F.array(iban).alias("identifiers"))
+    assigned = files.filter("account_id % 14 = 0").select("name", (F.col("account_id") - 1).cast("string").alias("account_id"))
+    return files.drop("account_id"), rows, words, accounts, assigned
+
+
+#: The layouts of ``folder``: one ended in 1996, one can't be used.
+LAYOUTS = [PROFILES[0], (*PROFILES[1][:-1], date(1996, 6, 30)), PROFILES[2], PAGES, ("broken.v1", None, "csv", ["Date"], "(unclosed", *PROFILES[0][5:])]
+
+
 def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROFILES, PROFILE)
 
