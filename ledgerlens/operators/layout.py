@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import squash
+from ledgerlens.operators import lookup, tabular
 from ledgerlens.operators import profiles as profiles_of
-from ledgerlens.operators import tabular
 
 PDF_MAGIC, ZIP_MAGIC = "25504446", "504B0304"
 
@@ -18,9 +18,6 @@ def sniff(content: Column) -> Column:
     return F.when(head == PDF_MAGIC, "pdf").when(head == ZIP_MAGIC, "xlsx").otherwise("csv")
 
 
-GRAM = 3
-
-
 def detect(heads: DataFrame, profiles: DataFrame) -> DataFrame:
     """doc_id, layout_id, status: the one profile of the container whose tokens and title the head has and that is valid at the statement's date.
 
@@ -30,18 +27,16 @@ def detect(heads: DataFrame, profiles: DataFrame) -> DataFrame:
     valid_to, patterns and dates; the date is the period's end (or start) that
     the head prints by the profile's own patterns, and without one any date is.
 
-    Each profile is looked up by three letters of its longest token, so documents
-    meet only profiles that may fit them; all the rest is asked of these.
+    Each profile is looked up by the rarest three letters of its tokens, so
+    documents meet only profiles that may fit them; all the rest is asked of these.
     """
     have = set(profiles.columns)
     absent = {"title": "string", "valid_from": "date", "valid_to": "date"}
     p = profiles.select("layout_id", F.col("container"), "tokens", *(["patterns", "dates"] if {"patterns", "dates"} <= have else []), *[F.col(c) if c in have else F.lit(None).cast(kind).alias(c) for c, kind in absent.items()])
-    longest = F.array_max(F.transform("tokens", lambda t: F.struct(F.length(F.lower(F.trim(t))).alias("n"), F.lower(F.trim(t)).alias("t"))))
-    p = p.withColumn("gram", F.when(longest["n"] >= GRAM, F.substring(longest["t"], 1, GRAM)).otherwise(""))
-    low = F.lower("head")
-    grams = F.when(F.length("head") >= GRAM, F.transform(F.sequence(F.lit(1), F.length(low) - GRAM + 1), lambda k: F.substring(low, k, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
-    asked = heads.select("doc_id", "container", "head", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams))).alias("gram"))
-    met = asked.join(p, ["container", "gram"]).filter(profiles_of.fits(F.col("head")))
+    needs = F.array_distinct(F.flatten(F.transform("tokens", lambda t: lookup.grams(F.lower(F.trim(t))))))
+    asked = lookup.asked(heads.select("doc_id", "container", "head"), F.lower("head"))
+    keyed = lookup.by_rarest(p.withColumn("needs", needs), asked, ["layout_id"])
+    met = asked.join(keyed, ["container", "gram"]).filter(profiles_of.fits(F.col("head")))
     if "patterns" in p.columns:
         printed = {c: v for c, v in zip(("s_start", "s_end"), tabular.period_of(F.col("head")), strict=True)}
         met = met.withColumn("on", F.coalesce(printed["s_end"], printed["s_start"]))

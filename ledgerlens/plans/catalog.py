@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import money, text
-from ledgerlens.operators import checks, geometry, layout, masking, matching, merge, pages, pairing, summary, tabular
+from ledgerlens.operators import checks, decisions, geometry, layout, masking, matching, merge, pages, pairing, rules, summary, tabular
 from ledgerlens.operators import profiles as layouts
 from ledgerlens.sources import statements
 from ledgerlens.plans import loading, views
@@ -680,6 +680,26 @@ def classify_bank_rules(s, d):
     return matching.classify_rows(t, BANK_RULES, 15_000_000).select("key", "n_hits", "category", "outcome")
 
 
+SHARED_RULES = (
+    ("r1", "salary_net", "credit", r"\bURGENT\b", None, 10_000_000, None, False), ("r2", "wht_151", "debit", "low", ["bank 1", "bank 2"], None, None, False), ("r3", "zakat", "debit", "LOW|HIGH", None, None, 20_000_000, False),
+    ("r4", "reversal_refund", "any", "^3-med.*", None, None, None, False), ("r5", "reversal_refund", "any", "URGENT", None, None, None, False), ("r6", "indirect_tax_charges", "debit", "(unclosed", None, None, None, False),
+)
+PERSONAL_RULES = (("r5", "reversal_refund", "any", "x", None, None, None, True), ("own", "personal_remittance", "credit", "not spec", ["bank 0"], None, None, False), ("r3", "zakat", "debit", "HIGH", None, None, 30_000_000, False))
+
+
+@query(BASE + """
+, h AS (SELECT key, amount, description LIKE '%URGENT%' AND amount >= 10000000 AS a, description LIKE '%LOW%' AND amount < 0 AND account_id % 3 > 0 AS b, description LIKE '%HIGH%' AND amount < 0 AND amount >= -30000000 AS c, description LIKE '3-MED%' AS e, description LIKE '%NOT SPEC%' AND amount > 0 AND account_id % 3 = 0 AS g FROM true_rows),
+k AS (SELECT *, CAST(a::INT + b::INT + c::INT + e::INT + g::INT AS BIGINT) AS n_hits FROM h)
+SELECT key, n_hits, CASE WHEN n_hits = 1 THEN CASE WHEN a THEN 'salary_net' WHEN b THEN 'wht_151' WHEN c THEN 'zakat' WHEN e THEN 'reversal_refund' ELSE 'personal_remittance' END WHEN n_hits = 0 THEN CASE WHEN amount < 0 THEN 'other_debit' WHEN amount >= 15000000 THEN 'unclassified_credit' ELSE 'other_credit' END END AS category,
+       CASE WHEN n_hits = 1 THEN 'proposed' WHEN n_hits > 1 THEN 'conflict' ELSE 'default' END AS outcome FROM k""")
+def classify_rule_table(s, d):
+    """Shared and personal rules as tables; one rule is disabled, one replaced, one can't be read."""
+    both = rules.layered(s.createDataFrame(SHARED_RULES, rules.RULES), s.createDataFrame(PERSONAL_RULES, rules.RULES))
+    usable = both.join(rules.problems(both, s.createDataFrame(rules.DEFAULT_CATEGORIES, rules.CATEGORIES)).select("id").distinct(), "id", "left_anti")
+    t = views.txns(s, d).withColumn("institution", F.concat(F.lit("bank "), (F.col("account_id") % 3).cast("string")))
+    return rules.classify(t, usable, 15_000_000).select("key", "n_hits", "category", "outcome")
+
+
 KINDS_OF = {"1": "export_proceeds", "2": "tax_on_exports", "3": "profit_on_debt", "4": "tax_on_profit", "5": "tax_on_cards"}
 
 
@@ -693,6 +713,42 @@ def tax_cells(s, d):
     return summary.cells(views.txns(s, d).select(kind.alias("category"), "amount"), other, 500_000_000)
 
 
+def _codes(year, exports, profit, profit_tax, above, cards):
+    """One year's table of codes."""
+    said = ["statements"]
+    return [
+        (year, "exports", 1, "export_proceeds", 1, exports, None, None, said, True), (year, "exports", 2, "tax_on_exports", -1, exports, None, None, said, True), (year, "profit", 1, "profit_on_debt", 1, profit, None, "institution", said, True),
+        (year, "profit", 2, "tax_on_profit", -1, profit_tax, above, "institution", said, True), (year, "cards", 2, "tax_on_cards", -1, cards, None, None, ["rule_42", "certificate_236Y", "statements"], False), (year, "salary", 2, "none", -1, "64020004", None, None, ["salary_tax"], False),
+    ]
+
+
+YEAR_CODES = _codes(1995, "64060285", "500312", "64040052", "64040002", "64151905") + _codes(1996, "7406", "5003", "7404", "7405", "7415")
+
+
+@query(BASE + """
+, v AS (SELECT year(date) + CASE WHEN month(date) > 6 THEN 1 ELSE 0 END AS year, CAST(account_id % 3 AS VARCHAR) AS bank, left(description, 1) AS k, amount FROM true_rows),
+t AS (SELECT year, coalesce(sum(amount) FILTER (k = '1'), 0) AS e, coalesce(-sum(amount) FILTER (k = '2'), 0) AS et, sum(amount) FILTER (k = '3') AS p, -sum(amount) FILTER (k = '5') AS c FROM v WHERE year IN (1995, 1996) GROUP BY 1),
+b AS (SELECT year, bank, sum(amount) FILTER (k = '3') AS p, -sum(amount) FILTER (k = '4') AS pt FROM v WHERE year IN (1995, 1996) GROUP BY 1, 2),
+cells AS (
+  SELECT year, 'exports' AS line, NULL AS part, 1 AS col, CASE year WHEN 1995 THEN '64060285' ELSE '7406' END AS code, e AS units, 'statements' AS source, false AS differs FROM t
+  UNION ALL SELECT year, 'exports', NULL, 2, CASE year WHEN 1995 THEN '64060285' ELSE '7406' END, et, 'statements', false FROM t
+  UNION ALL SELECT year, 'profit', bank, 1, CASE year WHEN 1995 THEN '500312' ELSE '5003' END, p, 'statements', false FROM b WHERE p IS NOT NULL
+  UNION ALL SELECT year, 'profit', bank, 2, CASE WHEN year = 1995 THEN CASE WHEN t.p > 0 THEN '64040002' ELSE '64040052' END ELSE CASE WHEN t.p > 900000000000 THEN '7405' ELSE '7404' END END, b.pt, 'statements', false FROM b JOIN t USING (year) WHERE b.pt IS NOT NULL
+  UNION ALL SELECT year, 'cards', NULL, 2, '64151905', 1234, 'certificate_236Y', c <> 1234 FROM t WHERE year = 1995 UNION ALL SELECT year, 'cards', NULL, 2, '7415', c, 'statements', false FROM t WHERE year = 1996
+  UNION ALL SELECT year, 'salary', NULL, 2, '64020004', CASE year WHEN 1996 THEN 77 END, CASE year WHEN 1996 THEN 'salary_tax' END, false FROM t
+  UNION ALL SELECT year, 'export_tax_expected', NULL, 2, NULL, CAST(trunc(e * year_percent / 100) AS BIGINT), 'computed', false FROM (SELECT *, CASE year WHEN 1995 THEN 1 ELSE 2 END AS year_percent FROM t)
+  UNION ALL SELECT year, 'export_tax_shortfall', NULL, 2, NULL, greatest(CAST(trunc(e * year_percent / 100) AS BIGINT) - et, 0), 'computed', false FROM (SELECT *, CASE year WHEN 1995 THEN 1 ELSE 2 END AS year_percent FROM t))
+SELECT CAST(year AS INTEGER) AS year, line, part, CAST(col AS INTEGER) AS col, code, CAST(units AS BIGINT) AS units, source, differs FROM cells""")
+def year_tax_cells(s, d):
+    """Two tax years whose codes and terms are data."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS_OF.items() for x in kv]), F.substring("description", 1, 1))
+    year = F.year("date") + F.when(F.month("date") > 6, 1).otherwise(0)
+    rows = views.txns(s, d).select(year.alias("year"), kind.alias("category"), "amount", (F.col("account_id") % 3).cast("string").alias("institution"))
+    typed = s.createDataFrame([(1995, None, 1234, None), (1996, None, None, 77)], "year int, rule_42 bigint, certificate_236Y bigint, salary_tax bigint")
+    terms = s.createDataFrame([(1995, 0, 1), (1996, 900_000_000_000, 2)], summary.TERMS)
+    return summary.year_cells(rows, summary.entered(typed), s.createDataFrame(YEAR_CODES, summary.CODES), terms)
+
+
 def _taken_back(s, d):
     """Rows of which every tenth debit comes back as a credit some days later, some twice."""
     t = views.txns(s, d).select("account_id", "key", "date", "amount")
@@ -836,6 +892,29 @@ def apply_decisions(s, d):
     return decided.unionByName(orphans.withColumn("outcome", F.lit("orphan")))
 
 
+@query(BASE + """
+, w AS (SELECT key, key % 5 AS k, CASE WHEN amount > 0 THEN 'income' ELSE 'other_debit' END AS category FROM true_rows)
+SELECT key, CASE WHEN k = 1 AND key % 10 = 1 THEN NULL WHEN k = 2 THEN 'own' ELSE category END AS category, CASE WHEN k = 1 AND key % 10 = 1 THEN 'rejected' WHEN k < 3 AND key % 55 <> 0 AND NOT (k = 1 AND key % 55 = 0) THEN 'decided' ELSE 'proposed' END AS outcome, CAST(NULL AS BIGINT) AS seq FROM w
+UNION ALL SELECT key + 5000000000000, NULL, 'not there any more', key * 10 FROM w WHERE key % 77 = 0
+UNION ALL SELECT key, NULL, 'it was something else when it was seen', key * 10 + 1 FROM w WHERE k = 2 AND category = 'income'
+UNION ALL SELECT NULL, NULL, 'not a line of JSON', key * 10 FROM w WHERE key % 55 = 0 UNION ALL SELECT NULL, NULL, 'unknown decision', key * 10 + 2 FROM w WHERE key % 55 = 3""")
+def decision_log(s, d):
+    """A log with repeats, changed minds, broken lines and decisions about rows that are gone."""
+    t = views.txns(s, d).withColumn("category", F.when(F.col("amount") > 0, "income").otherwise("other_debit"))
+    key, k = F.col("key"), F.col("key") % 5
+    said = lambda n, decision, more="", at=key: F.struct((key * 10 + n).alias("seq"), F.concat(F.lit('{"txn": '), at.cast("string"), F.lit(f', "decision": "{decision}"{more}' + "}")).alias("line"))
+    plain = F.when(key % 55 == 0, F.array(F.struct((key * 10).alias("seq"), F.concat(F.lit('{"txn": '), key.cast("string")).alias("line")))).when(k == 0, F.array(said(0, "reject"), said(1, "confirm"))).when((k == 1) & (key % 10 == 1), F.array(said(1, "confirm"), said(2, "reject"))).when(k == 1, F.array(said(1, "confirm"), said(1, "confirm")))
+    lines = plain.when(k == 2, F.array(said(0, "confirm"), said(1, "reclassify", ', "category": "own", "saw": "other_debit"'))).when(key % 55 == 3, F.array(said(2, "maybe"))).otherwise(F.array().cast("array<struct<seq:bigint,line:string>>"))
+    lines = F.concat(lines, F.when(key % 77 == 0, F.array(said(0, "confirm", at=key + 5_000_000_000_000))).otherwise(F.array().cast("array<struct<seq:bigint,line:string>>")))
+    known, broken = decisions.read_log(t.select(F.inline(lines)))
+    pairs = t.select(key.alias("debit_key"), key.alias("credit_key"), F.lit("matched").alias("status")).filter("false")
+    txns, _, stale = decisions.apply(t.select("key", "category", F.lit("proposed").alias("outcome")), pairs, known)
+    none, text_none = F.lit(None).cast("bigint"), F.lit(None).cast("string").alias("category")
+    out = txns.withColumn("seq", none)
+    out = out.unionByName(stale.select(F.col("txn").alias("key"), text_none, F.col("reason").alias("outcome"), "seq"))
+    return out.unionByName(broken.select(none.alias("key"), text_none, F.col("reason").alias("outcome"), "seq"))
+
+
 @query(BASE + "SELECT key, kind, CAST(CASE kind WHEN 'conflict' THEN 1 WHEN 'unclassified_credit' THEN 5 ELSE 6 END AS INTEGER) AS place FROM (SELECT key, CASE WHEN amount > 0 AND key % 3 = 0 THEN 'conflict' WHEN amount > 0 THEN 'unclassified_credit' ELSE 'unpaired' END AS kind FROM true_rows)")
 def review_queue(s, d):
     kind = F.when((F.col("amount") > 0) & (F.col("key") % 3 == 0), "conflict").when(F.col("amount") > 0, "unclassified_credit").otherwise("unpaired")

@@ -19,7 +19,11 @@ ENCODINGS = ("utf-8-sig", "utf-8", "cp1252")
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id (the content's SHA-256), name, file_seq (by name), container, content, duplicate (an earlier file has the same content)."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", SUFFIXES).load(folder)
+    return listed(spark.read.format("binaryFile").option("pathGlobFilter", SUFFIXES).load(folder))
+
+
+def listed(found: DataFrame) -> DataFrame:
+    """The same of binary files (path, content) from anywhere."""
     named = found.select(F.sha2("content", 256).alias("doc_id"), F.substring_index("path", "/", -1).alias("name"), sniff(F.col("content")).alias("container"), "content")
     # one number for each file, not for each row of data: the names alone are sorted
     order = named.select("name").withColumn("file_seq", F.row_number().over(Window.orderBy("name")).cast("bigint"))
