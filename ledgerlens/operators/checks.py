@@ -71,6 +71,21 @@ def all_checks(txns: DataFrame, docs: DataFrame) -> DataFrame:
     return figures(txns, docs).select("doc_id", F.inline(pairs)).filter("status IS NOT NULL")
 
 
+def signs_from_balance(txns: DataFrame, per: str = "doc_id", opening: str | None = None) -> DataFrame:
+    """txns whose amounts print no direction, with ``amount`` signed as the balance moves, ``sign_source`` (balance) and ``warning``.
+
+    A row whose balance does not move by its amount, up or down, or that has no
+    balance before it, keeps no amount and is warned about. ``opening``: a column
+    with the balance before the first row.
+    """
+    w = Window.partitionBy(per).orderBy("pos")
+    before = F.lag("balance_after").over(w) if opening is None else F.when(F.row_number().over(w) == 1, F.col(opening)).otherwise(F.lag("balance_after").over(w))
+    moved = txns.withColumn("moved", F.col("balance_after") - before)
+    fits = F.abs("moved") == F.abs("amount")
+    warning = F.when(F.col("moved").isNull(), "no balance before it").when(~fits, "the balance does not move by the amount")
+    return moved.withColumn("warning", warning).withColumn("amount", F.when(fits, F.col("moved"))).withColumn("sign_source", F.when(fits, "balance")).drop("moved")
+
+
 def usable(checks: DataFrame) -> DataFrame:
     return checks.groupBy("doc_id").agg((~F.bool_or(F.col("status") == "fail")).alias("usable"))
 

@@ -31,17 +31,20 @@ def build_bands(header: DataFrame) -> DataFrame:
 def assign(words: DataFrame, bands: DataFrame, tolerance: float = 6.0) -> DataFrame:
     """doc_id, word_no, role: the numeric band whose edge is nearest, within tolerance (a tie: null), else the first text band that holds the word's left edge.
 
-    A right band is matched by right edges, a center band by middles. The join
-    is by document: words times the few bands of its header.
+    A right band is matched by right edges, a center band by middles. A header's
+    few bands are one array, so a word is placed within its row. Words of
+    documents without bands have no row.
     """
-    both = words.join(bands, "doc_id")
-    centre = F.col("align") == "center"
-    edge = F.when(centre, (F.col("w_x0") + F.col("w_x1")) / 2).otherwise(F.col("w_x1"))
-    far = F.abs(edge - F.when(centre, (F.col("x0") + F.col("x1")) / 2).otherwise(F.col("x1")))
-    number = (F.col("align") != "left") & (far <= tolerance)
-    text = (F.col("align") == "left") & (F.col("w_x0") >= F.col("x0") - tolerance) & (F.col("w_x0") < F.col("x1"))
-    near = F.array_sort(F.collect_list(F.when(number, F.struct(far.alias("d"), F.col("role").alias("role")))))  # as many as the header has columns
-    best = both.groupBy("doc_id", "word_no").agg(near.alias("near"), F.min(F.when(text, F.struct("x0", "role"))).alias("textual"))
+    few = bands.groupBy("doc_id").agg(F.collect_list(F.struct("role", "align", "x0", "x1")).alias("bands"))
+    both = words.join(few, "doc_id")
+    middle = (F.col("w_x0") + F.col("w_x1")) / 2
+
+    def far(b: Column) -> Column:
+        return F.when(b["align"] == "center", F.abs(middle - (b["x0"] + b["x1"]) / 2)).otherwise(F.abs(F.col("w_x1") - b["x1"]))
+
+    near = F.array_sort(F.transform(F.filter("bands", lambda b: (b["align"] != "left") & (far(b) <= tolerance)), lambda b: F.struct(far(b).alias("d"), b["role"].alias("role"))))
+    text = F.array_min(F.transform(F.filter("bands", lambda b: (b["align"] == "left") & (F.col("w_x0") >= b["x0"] - tolerance) & (F.col("w_x0") < b["x1"])), lambda b: F.struct(b["x0"].alias("x0"), b["role"].alias("role"))))
+    best = both.select("doc_id", "word_no", near.alias("near"), text.alias("textual"))
     tie = F.coalesce(F.abs(F.get("near", F.lit(1))["d"] - F.get("near", F.lit(0))["d"]) < 1e-9, F.lit(False))
     return best.select("doc_id", "word_no", F.when(F.size("near") > 0, F.when(~tie, F.get("near", F.lit(0))["role"])).otherwise(F.col("textual.role")).alias("role"))
 
@@ -63,15 +66,19 @@ def join_continuations(lines: DataFrame) -> DataFrame:
 def group_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """doc_id, page, word_no, line: words by (top, x0), each on the first line whose first word is within tolerance.
 
-    An ordered fold over a page's words, which no window frame expresses.
+    An ordered fold, which no window frame expresses; over a page's distinct
+    heights only, as words of one height share a line.
     """
     page = words.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct(F.bround("top", 1).alias("t"), "x0", "word_no", "top"))).alias("w"))
-    empty = F.struct(F.array().cast("array<double>").alias("anchors"), F.array().cast("array<struct<word_no:bigint,line:bigint>>").alias("out"))
+    page = page.withColumn("tops", F.array_distinct(F.transform("w", lambda x: x["top"])))
+    empty = F.struct(F.array().cast("array<double>").alias("anchors"), F.array().cast("array<bigint>").alias("lines"))
 
-    def place(acc, x):
-        near = F.array_position(F.transform(acc["anchors"], lambda a: F.abs(a - x["top"]) <= tolerance), F.lit(True))
+    def place(acc, top):
+        near = F.array_position(F.transform(acc["anchors"], lambda a: F.abs(a - top) <= tolerance), F.lit(True))
         line = F.when(near > 0, near).otherwise(F.size(acc["anchors"]) + 1).cast("bigint")
-        anchors = F.when(near > 0, acc["anchors"]).otherwise(F.concat(acc["anchors"], F.array(x["top"])))
-        return F.struct(anchors.alias("anchors"), F.concat(acc["out"], F.array(F.struct(x["word_no"].cast("bigint").alias("word_no"), line.alias("line")))).alias("out"))
+        anchors = F.when(near > 0, acc["anchors"]).otherwise(F.concat(acc["anchors"], F.array(top)))
+        return F.struct(anchors.alias("anchors"), F.concat(acc["lines"], F.array(line)).alias("lines"))
 
-    return page.select("doc_id", "page", F.inline(F.aggregate("w", empty, place)["out"]))
+    page = page.withColumn("lines", F.aggregate("tops", empty, place)["lines"])
+    line_of = lambda x: F.get("lines", F.array_position("tops", x["top"]).cast("int") - 1)
+    return page.select("doc_id", "page", F.inline(F.transform("w", lambda x: F.struct(x["word_no"].cast("bigint").alias("word_no"), line_of(x).alias("line")))))

@@ -64,6 +64,18 @@ def resolve_accounts(docs: DataFrame, accounts: DataFrame) -> DataFrame:
     return docs.join(hits, "doc_id", "left").select("doc_id", pick.alias("account_id"))
 
 
+def assign(files: DataFrame, accounts: DataFrame, assigned: DataFrame | None = None) -> DataFrame:
+    """files (name, printed_account) with ``account_id``: the owner's choice (name, account_id) if there is one, else the account that the file prints.
+
+    A choice that names no account of ``accounts`` leaves the file without one.
+    """
+    if assigned is None:
+        return files.withColumn("account_id", F.col("printed_account"))
+    ids = accounts.select(F.col("account_id").alias("valid"))
+    mine = files.join(assigned.select("name", F.col("account_id").alias("chosen")), "name", "left").join(ids, F.col("chosen") == F.col("valid"), "left")
+    return mine.withColumn("account_id", F.when(F.col("chosen").isNotNull(), F.col("valid")).otherwise(F.col("printed_account"))).drop("chosen", "valid")
+
+
 def find_header(rows: DataFrame, labels: tuple[str, ...], within: int = 30) -> DataFrame:
     """doc_id, header_row: the first row (of the first ``within``) whose cells hold all labels exactly."""
     hit = (F.col("row_no") <= within) & F.forall(F.array(*map(F.lit, labels)), lambda x: F.array_contains(F.transform("cells", lambda c: F.trim(c)), x))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import money
 from ledgerlens.operators.stored import written
 
 
@@ -88,13 +89,55 @@ def gap_checks(docs: DataFrame, start: str | Column, end: str | Column, accounts
     return out.select("account_id", F.lit("gap").alias("kind"), F.when(F.col("dated") & F.col("gap_days").isNull(), "pass").otherwise("warn").alias("status"), F.coalesce("gap_days", F.lit(0)).alias("gap_days"))
 
 
-def balance_continuity(docs: DataFrame) -> DataFrame:
-    """account_id, doc_id, next_start, status: a closing balance against the next statement's opening, where no day lies between."""
+def seams(docs: DataFrame) -> DataFrame:
+    """account_id, doc_id, next_doc, next_start, s_closing, next_opening: where a statement begins on the day after another ends."""
     w = Window.partitionBy("account_id").orderBy("doc_start", "doc_end", "doc_id")
     d = docs.filter("doc_start IS NOT NULL AND doc_end IS NOT NULL")
-    d = d.withColumn("next_start", F.lead("doc_start").over(w)).withColumn("next_opening", F.lead("s_opening").over(w)).filter(F.col("next_start") == F.date_add("doc_end", 1))
-    same = F.col("s_closing") == F.col("next_opening")
-    return d.select("account_id", "doc_id", "next_start", F.when(same.isNull(), "warn").when(same, "pass").otherwise("fail").alias("status"))
+    d = d.withColumn("next_start", F.lead("doc_start").over(w)).withColumn("next_opening", F.lead("s_opening").over(w)).withColumn("next_doc", F.lead("doc_id").over(w)).filter(F.col("next_start") == F.date_add("doc_end", 1))
+    return d.select("account_id", "doc_id", "next_doc", "next_start", "s_closing", "next_opening")
+
+
+def _meets(closing: str = "s_closing", opening: str = "next_opening") -> Column:
+    same = F.col(closing) == F.col(opening)
+    return F.when(same.isNull(), "warn").when(same, "pass").otherwise("fail")
+
+
+def balance_continuity(docs: DataFrame) -> DataFrame:
+    """account_id, doc_id, next_start, status: a closing balance against the next statement's opening, where no day lies between."""
+    return seams(docs).select("account_id", "doc_id", "next_start", _meets().alias("status"))
+
+
+def described(docs: DataFrame, start: str, end: str, accounts: DataFrame | None = None, overlaps: DataFrame | None = None, ledgers: DataFrame | None = None) -> DataFrame:
+    """account_id, doc_id, kind, status, expected, actual: the checks of accounts with what they compared, as text.
+
+    overlaps: ``overlap_checks``. ledgers: account_id, opening, opening_source,
+    closing_source, prior_closing. doc_id is the statement that a check starts
+    from, null for checks of the whole account.
+    """
+    shown, none = money.render, F.lit(None).cast("string")
+    row = lambda doc, kind, status, expected, actual: (F.col("account_id"), doc.cast("string").alias("doc_id"), F.lit(kind).alias("kind"), status.alias("status"), expected.alias("expected"), actual.alias("actual"))
+    status = _meets()
+    unknown = status == "warn"
+    out = seams(docs).select(*row(F.col("doc_id"), "continuity", status, F.when(unknown, "a printed closing and opening balance").otherwise(shown(F.col("s_closing"))), F.when(unknown, "not both printed").otherwise(shown(F.col("next_opening")))))
+    days = F.concat(F.col("gap_start").cast("string"), F.lit(".."), F.col("gap_end").cast("string"))
+    # the holes of one account's year
+    holes = gaps(docs, start, end, accounts).groupBy("account_id").agg(F.array_join(F.array_sort(F.collect_list(days)), "; ").alias("holes"))
+    known = docs.groupBy("account_id").agg(F.bool_or(F.col("doc_start").isNotNull() & F.col("doc_end").isNotNull()).alias("dated")).join(holes, "account_id", "left")
+    first, last = F.lit(start), F.lit(end)
+    if accounts is not None:
+        known = known.join(accounts.select("account_id", "opened_on", "closed_on"), "account_id", "left")
+        first, last = F.greatest(first, F.coalesce(F.col("opened_on").cast("string"), first)), F.least(last, F.coalesce(F.col("closed_on").cast("string"), last))
+    window = F.concat(first, F.lit(".."), last)
+    out = out.unionByName(known.select(*row(none, "gap", F.when(F.col("dated") & F.col("holes").isNull(), "pass").otherwise("warn"), F.when(F.col("dated"), window).otherwise("a printed period"), F.when(~F.col("dated"), "none").otherwise(F.coalesce("holes", F.lit("covered"))))))
+    if overlaps is not None:
+        agree, days = F.col("status") == "pass", F.concat(F.col("lo").cast("string"), F.lit(".."), F.col("hi").cast("string"))
+        out = out.unionByName(overlaps.select(*row(F.col("doc_id"), "overlap", F.col("status"), F.when(agree, "identical").otherwise(F.concat(F.col("existing").cast("string"), F.lit(" row(s) for "), days)), F.when(agree, "identical").otherwise(F.concat(F.col("incoming").cast("string"), F.lit(" row(s) from "), F.col("doc_id").cast("string"))))))
+    if ledgers is not None:
+        lost = ledgers.filter("opening_source = 'unknown' OR closing_source = 'unknown'")
+        out = out.unionByName(lost.select(*row(none, "anchor_missing", F.lit("warn"), F.lit("a balance at both ends of the year"), F.lit("none printed, computed or told"))))
+        moved = ledgers.filter("opening <> prior_closing")
+        out = out.unionByName(moved.select(*row(none, "prior_year_mismatch", F.lit("warn"), shown(F.col("prior_closing")), shown(F.col("opening")))))
+    return out
 
 
 def boundaries(rows: DataFrame, docs: DataFrame, accounts: DataFrame, start: str | Column, end: str | Column) -> DataFrame:

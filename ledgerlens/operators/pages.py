@@ -9,6 +9,8 @@ description only is carried on to that row, over pages too.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,7 +106,7 @@ def read(words: DataFrame, docs: DataFrame, profiles: DataFrame, aligns: dict[st
         figures = figures | ~money.is_empty(F.col(f"c_{r}"))
     state = F.when(undated & (figures | F.col("loose")), UNDATED).when(undated, "carried").when(F.col("loose"), LOOSE)
     rows = written(rows.withColumn("state", state))
-    got = tabular.interpret(rows.filter("state IS NULL"))
+    got = tabular.interpret(rows.filter("state IS NULL"), tabular.formats_of(profiles))
     none = {c: F.lit(None).cast(got.schema[c].dataType) for c in ("date", "value_date", "amount", "balance_after", "description", "reference", "sign_source")}
     odd = rows.filter("state IS NOT NULL AND state <> 'carried'").select("doc_id", "row_no", "locator", "raw", F.col("state").alias("reason")).unionByName(ends.select("doc_id", number.alias("row_no"), locator.alias("locator"), "raw", F.lit(LOST_TAIL).alias("reason")))
     got = written(got.unionByName(odd.withColumns(none)))
@@ -124,5 +126,26 @@ def read(words: DataFrame, docs: DataFrame, profiles: DataFrame, aligns: dict[st
     return got.join(stated.filter("status = 'ok'").select("doc_id"), "doc_id", "left_semi"), stated
 
 
+def row_samples(txns: DataFrame, profiles: DataFrame, count: int = 5) -> DataFrame:
+    """doc_id, pos, sample (header label to cell): the first rows of each document as its layout would print them, as cases for a self-test.
+
+    txns: rows of ``parse`` with layout_id. Dates are in the layout's first
+    format; figures stand under debit or credit, or are signed.
+    """
+    first = txns.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).filter(F.col("k") <= count).join(profiles.select("layout_id", "labels", "dates", "sign"), "layout_id")
+    amount, size = F.col("amount"), money.render(F.abs("amount"))
+    by_column = F.col("sign") == "columns"
+    day = F.lit(None).cast("string")
+    for f in tabular.formats_of(profiles):
+        day = F.when(F.get("dates", F.lit(0)) == f, F.date_format("date", f)).otherwise(day)
+    cell = {
+        "date": day, "description": F.col("description"), "debit": F.when(by_column & (amount <= 0), size).otherwise(""), "credit": F.when(by_column & (amount > 0), size).otherwise(""),
+        "balance": F.when(by_column & F.col("balance_after").isNotNull(), money.render(F.col("balance_after"))).otherwise(""), "amount": F.when(by_column, "").otherwise(F.concat(F.when(amount > 0, "+").otherwise("-"), size)),
+    }
+    of_role = lambda e: reduce(lambda out, r: F.when(e["key"] == r, cell[r]).otherwise(out), cell, F.lit(None).cast("string"))
+    shown = F.transform(F.filter(F.map_entries("labels"), lambda e: e["key"].isin(*cell)), lambda e: F.struct(F.get(e["value"], F.lit(0)).alias("label"), of_role(e).alias("cell")))
+    return first.select("doc_id", "pos", F.map_from_entries(shown).alias("sample"))
+
+
 def _is(role: str):
     return lambda x: x["role"] == role

@@ -58,10 +58,24 @@ def cell(role: str) -> Column:
     return F.trim(F.coalesce(F.get("cells", F.try_element_at("mapping", F.lit(role))), F.lit("")))
 
 
-def first_date(value: Column, formats: Column) -> Column:
-    """The date by the first of a column of formats that fits, else null."""
-    flat = F.trim(F.regexp_replace(value, r"\s+", " "))
-    return F.get(F.filter(F.transform(formats, lambda f: F.try_to_timestamp(flat, f).cast("date")), lambda d: d.isNotNull()), F.lit(0))
+def formats_of(profiles: DataFrame) -> tuple[str, ...]:
+    """The date formats that profiles use; a handful."""
+    return tuple(sorted(r[0] for r in profiles.select(F.explode("dates")).distinct().collect() if r[0] is not None))
+
+
+def first_date(value: Column, formats: Column, known: tuple[str, ...] = ()) -> Column:
+    """The date by the first of a column of formats that fits, else null. Formats that are ``known`` when the plan is made are not compiled for each row."""
+
+    def read(flat: Column) -> Column:
+        def by(f: Column) -> Column:
+            day = F.try_to_timestamp(flat, f)
+            for k in known:
+                day = F.when(f == k, F.try_to_timestamp(flat, F.lit(k))).otherwise(day)
+            return day.cast("date")
+
+        return F.get(F.filter(F.transform(formats, by), lambda d: d.isNotNull()), F.lit(0))
+
+    return money.bind(F.trim(F.regexp_replace(value, r"\s+", " ")), read)
 
 
 def suffix_amount(raw: Column, credit: Column, debit: Column) -> Column:
@@ -77,7 +91,7 @@ def suffix_amount(raw: Column, credit: Column, debit: Column) -> Column:
     return money.bind(money.bind(F.trim(raw), hit), with_token)
 
 
-def read_rows(rows: DataFrame, mapped: DataFrame) -> DataFrame:
+def read_rows(rows: DataFrame, mapped: DataFrame, known: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, row_no, locator, raw, date, value_date, amount, balance_after, description, reference, sign_source, reason.
 
     All rows under the header that are neither blank nor furniture, in printed
@@ -88,14 +102,14 @@ def read_rows(rows: DataFrame, mapped: DataFrame) -> DataFrame:
     furniture = reduce(Column.__or__, [F.coalesce(F.regexp_like("raw", F.col(p)), F.lit(False)) for p in ("skip", "summary")])
     body = body.filter(F.exists("cells", lambda c: F.trim(c) != "")).filter(~furniture)
     body = body.withColumns({f"c_{r}": cell(r) for r in ROLES}).withColumn("locator", F.concat(F.lit("row:"), F.col("row_no").cast("string")))
-    return interpret(body)
+    return interpret(body, known)
 
 
-def interpret(body: DataFrame) -> DataFrame:
+def interpret(body: DataFrame, known: tuple[str, ...] = ()) -> DataFrame:
     """The rows (doc_id, row_no, locator, raw, c_<role>, and their profile's formats) as ``read_rows`` gives them."""
     debit, credit, amount, balance, day = (F.col(f"c_{r}") for r in ("debit", "credit", "amount", "balance", "date"))
     no_d, no_c, none = money.is_empty(debit), money.is_empty(credit), money.is_empty(amount)
-    got = body.withColumn("date", first_date(day, F.col("dates"))).withColumn("by_suffix", F.when((F.col("sign") == "suffix") & ~none, suffix_amount(amount, F.col("credit_tokens"), F.col("debit_tokens"))))
+    got = body.withColumn("date", first_date(day, F.col("dates"), known)).withColumn("by_suffix", F.when((F.col("sign") == "suffix") & ~none, suffix_amount(amount, F.col("credit_tokens"), F.col("debit_tokens"))))
     columns = F.when(no_c, -money.parse(debit)).otherwise(money.parse(credit))
     got = got.withColumn("amount", F.when(F.col("sign") == "columns", F.when(no_d != no_c, columns)).when(F.col("sign") == "suffix", F.col("by_suffix.units")).when(~none, money.parse(amount)))
     shown = F.col("running") & ~money.is_empty(balance)
@@ -108,7 +122,7 @@ def interpret(body: DataFrame) -> DataFrame:
     )
     source = F.when(F.col("sign") == "columns", "column").otherwise(F.col("sign"))
     return got.select(
-        "doc_id", "row_no", "locator", "raw", "date", first_date(F.col("c_value_date"), F.col("dates")).alias("value_date"), "amount", "balance_after",
+        "doc_id", "row_no", "locator", "raw", "date", first_date(F.col("c_value_date"), F.col("dates"), known).alias("value_date"), "amount", "balance_after",
         F.col("c_description").alias("description"), F.nullif(F.col("c_reference"), F.lit("")).alias("reference"), source.alias("sign_source"), reason.alias("reason"),
     )
 
@@ -150,7 +164,7 @@ def read(rows: DataFrame, docs: DataFrame, profiles: DataFrame) -> tuple[DataFra
     mapped = map_columns(heads)
     state = F.when(F.col("tokens").isNull(), "no_profile").when(F.col("header_row").isNull(), "no_header").when(F.size("lacking") > 0, "no_column").otherwise("ok")
     stated = mapped.select("doc_id", "layout_id", "account_id", "container", "running", state.alias("status")).join(read_summary(rows, heads), "doc_id", "left")
-    return read_rows(rows, mapped), stated
+    return read_rows(rows, mapped, formats_of(profiles)), stated
 
 
 def parse(rows: DataFrame, docs: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

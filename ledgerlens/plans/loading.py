@@ -97,8 +97,7 @@ def read_files(files: DataFrame, rows: DataFrame, table: DataFrame, accounts: Da
     """
     usable, rejected = gate(table, cases, samples)
     named = files.select("doc_id", "name", "file_seq", "container", "duplicate")
-    mine = named.withColumn("chosen", F.lit(None).cast("string")) if assigned is None else named.join(assigned.select("name", F.col("account_id").alias("chosen")), "name", "left")
-    first = mine.filter("NOT duplicate")
+    first = named.filter("NOT duplicate")
     told = statements.head_text(rows) if words is None else statements.head_text(rows).unionByName(pages.head_text(words))
     heads = written(first.select("doc_id", "container").join(told, "doc_id", "left"))
     found = written(layout.detect(heads.withColumn("head", F.coalesce("head", F.lit(""))), usable))
@@ -113,9 +112,8 @@ def read_files(files: DataFrame, rows: DataFrame, table: DataFrame, accounts: Da
 
     body = stated.join(heads.select("doc_id", "head"), "doc_id").select("doc_id", F.col("s_account").alias("printed"), F.col("head").alias("body"))
     resolved = layout.resolve_accounts(body, accounts.select("account_id", "identifiers")).select("doc_id", F.col("account_id").alias("printed_account"))
-    ids = accounts.select(F.col("account_id").alias("valid"))
-    placed = first.join(heads.select("doc_id", F.col("head").isNull().alias("blank")), "doc_id").join(found, "doc_id").join(resolved, "doc_id", "left").join(ids, F.col("chosen") == F.col("valid"), "left")
-    placed = placed.withColumn("account_id", F.when(F.col("chosen").isNotNull(), F.col("valid")).otherwise(F.col("printed_account"))).join(stated.select("doc_id", F.col("status").alias("parsed")), "doc_id", "left")
+    placed = first.join(heads.select("doc_id", F.col("head").isNull().alias("blank")), "doc_id").join(found, "doc_id").join(resolved, "doc_id", "left")
+    placed = layout.assign(placed, accounts, assigned).join(stated.select("doc_id", F.col("status").alias("parsed")), "doc_id", "left")
     blank = (F.col("container") == "pdf") & F.col("blank")
     state = (
         F.when(blank | (F.col("parsed") == "not_text"), "not_text").when(F.col("status") != "ok", F.col("status")).when(F.col("parsed") != "ok", "unreadable")
@@ -130,7 +128,7 @@ def read_files(files: DataFrame, rows: DataFrame, table: DataFrame, accounts: Da
     counted = txns.groupBy("doc_id").agg(F.count("*").alias("n_txns"))
     base = usable.select("layout_id", "base")
     told_all = placed.join(base, "layout_id", "left").select("doc_id", "name", "file_seq", F.col("base").alias("layout_id"), "account_id", "outcome").join(counted, "doc_id", "left")
-    again = mine.filter("duplicate").select("doc_id", "name", "file_seq", F.lit(None).cast("string").alias("layout_id"), F.lit(None).cast("string").alias("account_id"), F.lit("duplicate").alias("outcome"), F.lit(None).cast("bigint").alias("n_txns"))
+    again = named.filter("duplicate").select("doc_id", "name", "file_seq", F.lit(None).cast("string").alias("layout_id"), F.lit(None).cast("string").alias("account_id"), F.lit("duplicate").alias("outcome"), F.lit(None).cast("bigint").alias("n_txns"))
     outcomes = told_all.unionByName(again).withColumn("n_txns", F.when(F.col("outcome") == "ok", F.coalesce("n_txns", F.lit(0))).otherwise(0))
     return Parsed(written(outcomes), documents, txns, unresolved, rejected)
 

@@ -27,8 +27,12 @@ def listed(found: DataFrame) -> DataFrame:
     named = found.select(F.sha2("content", 256).alias("doc_id"), F.substring_index("path", "/", -1).alias("name"), sniff(F.col("content")).alias("container"), "content")
     # one number for each file, not for each row of data: the names alone are sorted
     order = named.select("name").withColumn("file_seq", F.row_number().over(Window.orderBy("name")).cast("bigint"))
-    seen = Window.partitionBy("doc_id").orderBy("name")
-    return named.join(order, "name").withColumn("duplicate", F.row_number().over(seen) > 1)
+    return mark_copies(named.join(order, "name"), "doc_id", "name")
+
+
+def mark_copies(files: DataFrame, content: str, order: str) -> DataFrame:
+    """``files`` with ``duplicate``: whether one that comes before has the same content (its hash)."""
+    return files.withColumn("duplicate", F.row_number().over(Window.partitionBy(content).orderBy(order)) > 1)
 
 
 def decoded(content: bytes) -> str | None:
