@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import money
 from ledgerlens.operators.profiles import PROFILE, profile
+from ledgerlens.operators.stored import written
 
 FIGURES = {
     "opening": r"(?i)Opening Balance,(?P<value>[^\n]+)", "closing": r"(?i)Closing Balance,(?P<value>[^\n]+)", "period_from": r"Period,(?P<value>[^,\n]+)", "period_to": r"Period,[^,\n]+,to,(?P<value>[^,\n]+)", "account_id": r"Statement of account,(?P<value>\d+)",
@@ -89,7 +90,8 @@ def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     end = d.select("doc_id", F.lit(1_000_000).cast("bigint").alias("row_no"), cells("Total", "1.00").alias("cells"))
     blank = d.select("doc_id", F.lit(999_999).cast("bigint").alias("row_no"), cells(" ", "").alias("cells"))
     rows = above.unionByName(t.select("doc_id", "row_no", body.alias("cells"))).unionByName(end).unionByName(blank)
-    return rows, d.select("doc_id", "account_id", layout.alias("layout_id"))
+    # tables, as they would be given; parsing reads them several times
+    return written(rows), written(d.select("doc_id", "account_id", layout.alias("layout_id")))
 
 
 PAGES = profile("pages.v1", "pdf", ["Date", "Debit"], {"date": "Date", "description": "Details", "debit": "Debit", "credit": "Credit", "balance": "Balance"}, ["d/M/yyyy"], "columns", skip=("^Page ",), footer=("^End of page",), patterns={"opening": r"Opening (?P<value>\S+)"})
