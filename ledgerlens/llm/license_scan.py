@@ -2,8 +2,9 @@
 
 Templates are short notices, SPDX lines, standard headers and full license
 texts. A text's terms are words without punctuation, so line breaks and comment
-signs don't matter. Each template has a few anchors: terms that it has once,
-the most telling first. Where a text has an anchor, the run of terms that would
+signs don't matter. Each template has anchors: terms that it has once, all
+that are not common words for a short template, the most telling ones for a
+full text. Where a text has an anchor, the run of terms that would
 be the template's place (as long as the template) is compared with it by the
 cosine of TF-IDF vectors; what stands around it doesn't count. Terms are weighed
 by their document frequency over all files; those that no template has weigh
@@ -11,6 +12,8 @@ like a term seen once. The best template at ``threshold`` is the file's own
 license. Files named LICENSE, COPYING or NOTICE (any suffix) that declare one
 give it to their directory, and a file without a license of its own inherits
 from the nearest directory above it that has one.
+An SPDX line that joins several licenses, or names one that no template has, is
+taken as it stands (without -only, -or-later and +) and comes before any cosine.
 
 One pass over the texts writes, for each file, the template terms it has and, if
 it has an anchor, all its terms; every comparison is made inside a row.
@@ -18,7 +21,7 @@ it has an anchor, all its terms; every comparison is made inside a row.
 Defined cases: a null text has no terms, a null path has no directory and
 inherits nothing; equal cosines go to the smaller license name; several
 licenses in one directory give it the smallest name of the best score; a
-notice that has lost all anchors of its template is not found; empty tables
+full text that has lost all of its anchors is not found; empty tables
 give empty results; other columns are ignored. Rows are told apart by id and
 path together.
 """
@@ -61,12 +64,24 @@ NOTICES = (
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("Artistic-2.0", "you can redistribute it and/or modify it under the terms of the Artistic License 2.0"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
-TITLES = (("MIT", "MIT License"), ("Apache-2.0", "Apache License Version 2.0, January 2004"), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("MPL-2.0", "Mozilla Public License Version 2.0"))
-SPDX = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0")
+TITLES = (("MIT", "MIT License"), ("Apache-2.0", "Apache License Version 2.0, January 2004"), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("MPL-2.0", "Mozilla Public License Version 2.0"), ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"), ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"), ("EPL-2.0", "Eclipse Public License - v 2.0"), ("Artistic-2.0", "The Artistic License 2.0"))
+SPDX = ("AGPL-3.0", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+#: What stands after the label on an SPDX line: license ids, joined by AND, OR and WITH, in brackets or not.
+EXPRESSION = r"(?im)SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9][A-Za-z0-9.+-]*(?:\)*[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9][A-Za-z0-9.+-]*)*\)*)"
 #: Terms too common in prose to be anchors.
 FREQUENT = frozenset("a all an and any are as at be by can file for found from if in is it may more no not of on one or such that the this to under use was with without work you your".split())
-THRESHOLD, ANCHORS, TOP = 0.8, 4, 40
+THRESHOLD, TOP = 0.8, 40
+#: Anchors of a template of more than SHORT terms.
+ANCHORS, SHORT = 16, 60
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 FULL_TEXTS = Path(__file__).parent / "licenses"
 _TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
@@ -89,24 +104,34 @@ def terms(text: Column) -> Column:
 
 
 def anchors(known: tuple[Template, ...]) -> dict[str, list[tuple[int, int]]]:
-    """By term, the (template number, place) it anchors: terms that a template has once, those in few templates first, then longer ones."""
+    """By term, the (template number, place) it anchors: terms that a template has once, those in few templates first, then longer ones; of a short template all of them."""
     bags = [Counter(terms_of(t.text)) for t in known]
     spread = Counter(term for b in bags for term in b)
     found: dict[str, list[tuple[int, int]]] = {}
     for k, (t, bag) in enumerate(zip(known, bags, strict=True)):
         places = {term: at for at, term in enumerate(terms_of(t.text))}
         fit = sorted((x for x in places if bag[x] == 1 and x not in FREQUENT), key=lambda x: (spread[x], -len(x), x)) or [max(places, key=len)]
-        for term in fit[:ANCHORS]:
+        for term in fit if len(places) <= SHORT else fit[:ANCHORS]:
             found.setdefault(term, []).append((k, places[term]))
     return found
 
 
+def spdx(text: Column) -> Column:
+    """The license expression of a text's first SPDX line, if it joins several or names one that is not in SPDX; else null."""
+    found = F.regexp_extract(F.coalesce(text, F.lit("")), EXPRESSION, 1)
+    plain = F.trim(F.regexp_replace(F.regexp_replace(found, r"(?i)-(?:only|or-later)\b|\+", ""), r"[ \t]+", " "))
+    for word in ("AND", "OR", "WITH"):
+        plain = F.regexp_replace(plain, f"(?i) {word} ", f" {word} ")
+    alone = F.lower(plain).isin(*[i.lower() for i in SPDX])
+    return F.when((plain != "") & ~alone, plain)
+
+
 def _read(files: DataFrame, known: tuple[Template, ...], file_id: str, path: str, text: str) -> DataFrame:
-    """id, path, has (the template terms of a file), terms (all of them in order, null without an anchor)."""
+    """id, path, has (the template terms of a file), terms (all of them in order, null without an anchor), spdx."""
     vocabulary = sorted({t for x in known for t in terms_of(x.text)})
-    words = files.select(F.col(file_id).alias("id"), F.col(path).alias("path"), terms(F.col(text)).alias("t"))
+    words = files.select(F.col(file_id).alias("id"), F.col(path).alias("path"), terms(F.col(text)).alias("t"), F.when(F.contains(lower_ascii(F.col(text)), F.lit("spdx-license-identifier")), spdx(F.col(text))).alias("spdx"))
     marks = F.array(*map(F.lit, sorted(anchors(known))))
-    out = words.select("id", "path", F.array_intersect("t", F.array(*map(F.lit, vocabulary))).alias("has"), F.when(F.arrays_overlap("t", marks), F.col("t")).alias("terms"))
+    out = words.select("id", "path", F.array_intersect("t", F.array(*map(F.lit, vocabulary))).alias("has"), F.when(F.arrays_overlap("t", marks), F.col("t")).alias("terms"), "spdx")
     return materialize(out, "terms")
 
 
@@ -132,22 +157,31 @@ def scan(files: DataFrame, known: tuple[Template, ...] | None = None, threshold:
     known = known or templates()
     read = _read(files, known, file_id, path, text)
     weight = idf(read)
-    rows = [(k, t.license, len(terms_of(t.text)), t.top, unit(t.text, weight), {x: weight.get(x, weight[""]) for x in weight if x}) for k, t in enumerate(known)]
-    vectors = F.broadcast(read.sparkSession.createDataFrame(rows, "k int, license string, len int, top boolean, w map<string,double>, idf map<string,double>"))  # as many rows as templates
+    spark = read.sparkSession
+    # both have as many rows as there are templates
+    sizes = F.broadcast(spark.createDataFrame([(k, len(terms_of(t.text)), t.top, sorted(set(terms_of(t.text)))) for k, t in enumerate(known)], "k int, len int, top boolean, vocabulary array<string>"))
+    rows = [(k, t.license, unit(t.text, weight), {x: weight.get(x, weight[""]) for x in weight if x}) for k, t in enumerate(known)]
+    vectors = F.broadcast(spark.createDataFrame(rows, "k int, license string, w map<string,double>, idf map<string,double>"))
     places = F.create_map(*[x for term, at in sorted(anchors(known).items()) for x in (F.lit(term), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("p")) for k, p in at]))])
     marks = F.map_keys(places)
     hits = F.filter(F.transform("terms", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.array_contains(marks, x["t"]))
     # template and place in one number, so that equal places of several anchors are told apart fast
     spots = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(places, h["t"]), lambda a: a["k"].cast("bigint") * (1 << 40) + F.greatest(h["i"] - a["p"], F.lit(0))))))
-    asked = read.filter("terms IS NOT NULL").select("id", "path", "terms", F.explode(spots).alias("s")).withColumn("start", F.col("s") % (1 << 40)).withColumn("k", F.expr(f"cast(s div {1 << 40} as int)"))
-    met = asked.join(vectors, "k").filter(~F.col("top") | (F.col("start") <= TOP)).withColumn("run", F.slice("terms", (F.col("start") + 1).cast("int"), F.col("len"))).drop("terms")
-    # half of a template's distinct terms at least: cheaper than the cosine, and a cosine of 0.8 has them
-    likely = met.withColumn("kinds", F.array_distinct("run")).filter(2 * F.size(F.array_intersect("kinds", F.map_keys("w"))) >= F.size("w"))
+    k_of, start_of = lambda s: F.shiftright(s, 40).cast("int"), lambda s: s.bitwiseAND(F.lit((1 << 40) - 1).cast("bigint")).cast("int")
+    # a row for each template that an anchor speaks for; a file has to have half of its distinct terms, as every run that can reach the threshold has
+    half = lambda have: 2 * F.size(F.array_intersect(have, F.col("vocabulary"))) >= F.size("vocabulary")
+    asked = read.filter("terms IS NOT NULL").select("id", "path", "terms", "has", spots.alias("spots")).withColumn("k", F.explode(F.array_distinct(F.transform("spots", k_of)))).join(sizes, "k").filter(half(F.col("has")))
+    # a template's places become short runs before they become rows, and equal runs one row
+    here = F.filter("spots", lambda s: (k_of(s) == F.col("k")) & (~F.col("top") | (start_of(s) <= TOP)))
+    runs = F.array_distinct(F.transform(here, lambda s: F.array_join(F.slice("terms", start_of(s) + 1, F.col("len")), " ")))
+    met = asked.select("id", "path", "k", "vocabulary", F.explode(runs).alias("said")).withColumn("run", F.split("said", " ")).withColumn("kinds", F.array_distinct("run")).filter(half(F.col("kinds")))
+    likely = met.select("id", "path", "k", "run", "kinds").join(vectors, "k")
     tf = lambda t: (F.size("run") - F.size(F.array_remove("run", t))).cast("double")
     x = F.transform("kinds", lambda t: F.struct((tf(t) * F.coalesce(F.try_element_at("idf", t), F.lit(weight[""]))).alias("x"), F.coalesce(F.try_element_at("w", t), F.lit(0.0)).alias("w")))
     sums = F.aggregate(x, F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("sq")), lambda a, e: F.struct((a["dot"] + e["x"] * e["w"]).alias("dot"), (a["sq"] + e["x"] * e["x"]).alias("sq")))
     scored = likely.withColumn("sums", sums).select("id", "path", "license", F.round(F.col("sums.dot") / F.sqrt("sums.sq"), 6).alias("cosine")).filter(F.col("cosine") >= threshold)
-    best = scored.groupBy("id", "path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
+    told = scored.withColumn("rank", F.lit(1)).unionByName(read.filter("spdx IS NOT NULL").select("id", "path", F.col("spdx").alias("license"), F.lit(1.0).alias("cosine"), F.lit(0).alias("rank")))
+    best = told.groupBy("id", "path").agg(F.min(F.struct("rank", (-F.col("cosine")).alias("c"), "license")).alias("b"))
     return best.select("id", "path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 
