@@ -12,7 +12,13 @@
 3. A list never expands to all pairs. First each list's members are compared
    with one of them, its pivot, and links merge classes. Then members that are
    still in different components are paired, each pair with the overlap its
-   lists count; the union of the two sketches bounds the overlap of the sets.
+   lists count. The union of the two sketches gives a sure bound of the sets'
+   overlap instead of an estimate, because a sketch whose frequent values come
+   last is no random sample; an estimate could lose links, a bound can't. Two
+   members that have a list's value late, after a seventh of their sets, can't
+   reach the threshold if it is their first common one, so late members only
+   meet early ones: documents that share a boilerplate below the threshold have
+   its values late, and such a list, however long, is not paired with itself.
    Only comparisons inside one component are left out, and those can't change
    the components.
 4. What the bound allows is confirmed by the exact Jaccard similarity of the
@@ -144,6 +150,11 @@ def from_here(n_a: Column, place_a: Column, n_b: Column, place_b: Column) -> Col
     return may_reach(F.least(n_a - place_a, n_b - place_b), n_a, n_b)
 
 
+def early(n: Column, place: Column) -> Column:
+    """Whether a set has a value early enough to reach the threshold with one that has it late; of two late ones neither has."""
+    return (100 + PERCENT) * place <= (100 - PERCENT) * n
+
+
 def pivot_pairs(lists: DataFrame) -> DataFrame:
     """(a, b): each list's members with its pivot, the member that has the value first."""
     pivots = lists.groupBy("value").agg(F.min(F.struct("place", "class", "n")).alias("p"))
@@ -165,7 +176,9 @@ def pairs_across(lists: DataFrame, merged: DataFrame) -> DataFrame:
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("class", "root", "n", "place")]
     one, other = live.filter("root <> top").select("value", "top", *side("a")), live.select("value", *side("b"))
     once = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top")) | (F.col("class_a") < F.col("class_b")))
-    met = one.join(other, "value").filter(once & from_here(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b")))
+    soon = one.filter(early(F.col("n_a"), F.col("place_a"))).join(other, "value")
+    late = one.filter(~early(F.col("n_a"), F.col("place_a"))).join(other.filter(early(F.col("n_b"), F.col("place_b"))), "value")
+    met = soon.unionByName(late).filter(once & from_here(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b")))
     low = F.col("class_a") < F.col("class_b")
     way = lambda c, k: F.when(low == k, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
     met = met.select(*[way(c, k).alias(f"{to}{x}") for c, to in (("class", ""), ("n", "n_"), ("place", "place_")) for x, k in (("a", True), ("b", False))])
