@@ -86,6 +86,14 @@ def signs_from_balance(txns: DataFrame, per: str = "doc_id", opening: str | None
     return moved.withColumn("warning", warning).withColumn("amount", F.when(fits, F.col("moved"))).withColumn("sign_source", F.when(fits, "balance")).drop("moved")
 
 
+def failed(checks: DataFrame) -> DataFrame:
+    return checks.filter("status = 'fail'")
+
+
+def warned(checks: DataFrame) -> DataFrame:
+    return checks.filter("status = 'warn'")
+
+
 def usable(checks: DataFrame) -> DataFrame:
     return checks.groupBy("doc_id").agg((~F.bool_or(F.col("status") == "fail")).alias("usable"))
 

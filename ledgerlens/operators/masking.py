@@ -7,6 +7,8 @@ with a short allowed suffix the number is masked. Native functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def allowlist(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.filter((t != "") & ~F.startswith(t, F.lit("#"))).select(folded(t).alias("word")).filter("word <> ''").distinct()
 
 
+def allowlists(*files: DataFrame, line: str = "value") -> DataFrame:
+    """(word): the words of several vocabulary files, the shared one and personal ones, each once."""
+    return reduce(DataFrame.unionByName, [allowlist(f, line) for f in files]).distinct()
+
+
 def shape(token: Column, hide_magnitude: bool = False) -> Column:
     """Digits to 9, capitals to X, small letters and everything else outside ASCII to x; ASCII punctuation stays."""
     out = token
@@ -84,3 +91,9 @@ def masked_lines(words: DataFrame, allowed: Column, hide_magnitude: bool = False
     shown = F.concat(F.round("x0", 0).cast("int").cast("string"), F.lit(":"), mask_text(F.col("text"), allowed, hide_magnitude))
     made = F.array_sort(F.collect_list(F.struct("x0", shown.alias("w"))))  # the words of one line
     return words.groupBy("doc_id", "page", F.bround("top", 0).cast("int").alias("y")).agg(made.alias("w")).select("doc_id", "page", "y", F.array_join(F.transform("w", lambda x: x["w"]), " ").alias("line"))
+
+
+def dump(rows: DataFrame, folder: str, allowed: Column, hide_magnitude: bool = False) -> None:
+    """Write rows (doc_id, row_no, raw) masked, as text files in a folder for each document, in order."""
+    masked = rows.select("doc_id", "row_no", mask_text(F.col("raw"), allowed, hide_magnitude).alias("value"))
+    masked.repartition("doc_id").sortWithinPartitions("doc_id", "row_no").select("doc_id", "value").write.partitionBy("doc_id").text(folder)
