@@ -8,10 +8,12 @@
    (forward and reverse, NEIGHBOURS of each) and keeps the nearest, until a
    round changes little, however many that takes. Only nodes with a neighbour
    that is new since the last round take part, and only pairs with a new one.
-4. Edges at the threshold are kept and give components. A node whose list is
-   full of links is saturated: more of its links may be missing. The saturated
-   nodes of each component make blocks of about BLOCK nodes with a centre and
-   a radius (an angle); all blocks of a label whose centres are not too far
+   A node whose list is full of links is saturated: more of its links may be
+   missing. While there are such nodes, lists may be twice as long (up to MOST),
+   what is added has to link, and the descent goes on from the saturated nodes.
+4. Edges at the threshold are kept and give components. The nodes that are
+   saturated even so make blocks of about BLOCK nodes of each component with a
+   centre and a radius (an angle); all blocks of a label whose centres are not too far
    apart for a link are compared exactly, and components that link become one.
    A link whose two ends are saturated is so never lost to the lists' length,
    and one with an end that is not saturated is in that end's list.
@@ -32,7 +34,7 @@ Defined cases: a vector that is null, empty or zero, or has null or non-finite
 components, or whose label is null, links with nothing; vectors of different
 length never link; ids may repeat or be null (a null id names a component only
 if all its ids are null); other columns are ignored; an empty table gives an
-empty result.
+empty result. Distinct vectors are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialize, release, table
@@ -49,8 +51,8 @@ from ledgerlens.llm.graph import components
 
 THRESHOLD = 0.98
 NEIGHBOURS, TREES, LEAF, SIGNS = 6, 8, 128, 14
-#: A node's edges are dealt to so many parts that are cut to lists before they meet.
-PARTS = 32
+#: The longest list of a saturated node.
+MOST = 24
 LITTLE = 0.01
 BLOCK = 256
 #: Numbers of the centres on each side that meet in one row, and the slack of the angle bound.
@@ -72,19 +74,15 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     return materialize(fine.groupBy("label", "vec").agg(F.count("*").alias("copies"), F.min("id").alias("id")).select(F.xxhash64("label", "vec").alias("node"), "label", F.size("vec").alias("dim"), "vec", "copies", "id"), "nodes")
 
 
-def _nearest(edges: DataFrame, k: int, *more: str, hubs: bool = False) -> DataFrame:
-    """The k best (a, b, sim, and ``more`` columns) of each a.
+def _nearest(edges: DataFrame, k: int) -> DataFrame:
+    """The k best edges (a, b, sim, ...) of each a, each pair once.
 
-    hubs: a may have very many edges; then those of a part of them are cut to k
-    before they meet, so that no more than PARTS lists come together.
+    Every task keeps the k best of its own rows before they are shuffled and
+    the ranks are read off a sort, so a node with very many edges is no group
+    in memory.
     """
-    names = ("sim", "b", *more)
-    best = lambda rows, *by: rows.groupBy("a", *by).agg(F.slice(F.sort_array(F.collect_set(F.struct(*names)), asc=False), 1, k).alias("n"))
-    if hubs:
-        part = F.pmod(F.xxhash64("b", F.lit(21)), F.lit(PARTS)).alias("part")
-        edges = best(edges.select("a", *names, part), "part").select("a", F.explode("n").alias("n")).select("a", "n.*")
-    out = best(edges).select("a", F.explode("n").alias("n"))
-    return out.select("a", F.col("n.b").alias("b"), F.col("n.sim").alias("sim"), *[F.col(f"n.{c}").alias(c) for c in more])
+    rank = F.dense_rank().over(Window.partitionBy("a").orderBy(F.desc("sim"), F.desc("b")))
+    return edges.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank").dropDuplicates(["a", "b"])
 
 
 def _same(sims: np.ndarray) -> np.ndarray:
@@ -136,14 +134,14 @@ def first_graph(nodes: DataFrame, seed: int, bits: int) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "label", "dim", "node", "vec").mapInArrow(leaves, "a long, b long, sim double")
 
 
-def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """New (a, b, sim) that beat a's list: pairs among the neighbours, forward and reverse, of each node, one of them new. graph: a, b, sim, new."""
-    worst = graph.groupBy("a").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst")).select(F.col("a").alias("w"), "worst")
-    reverse = _nearest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "new"), NEIGHBOURS, "new", hubs=True)
+def descend(graph: DataFrame, nodes: DataFrame, k: int, floor: float) -> DataFrame:
+    """New (a, b, sim) above ``floor`` that beat a's list of ``k``: pairs among the neighbours, forward and reverse, of each node, one of them new. graph: a, b, sim, new."""
+    worst = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.greatest(F.min("sim"), F.lit(floor))).otherwise(F.lit(floor)).alias("worst")).select(F.col("a").alias("w"), "worst")
+    reverse = _nearest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "new"), k)
     near = graph.unionByName(reverse).groupBy(F.col("a").alias("centre"), F.col("b").alias("member")).agg(F.bool_or("new").alias("new"))
     near = near.join(near.filter("new").select("centre").distinct(), "centre", "left_semi")
     seen = near.join(nodes.select("node", "vec"), F.col("member") == F.col("node")).join(worst, F.col("member") == F.col("w"), "left")
-    met = seen.groupBy("centre").agg(F.collect_list("member").alias("m"), F.collect_list(F.coalesce("worst", F.lit(-2.0))).alias("w"), F.collect_list("new").alias("f"), F.flatten(F.collect_list("vec")).alias("v"))
+    met = seen.groupBy("centre").agg(F.collect_list("member").alias("m"), F.collect_list(F.coalesce("worst", F.lit(floor))).alias("w"), F.collect_list("new").alias("f"), F.flatten(F.collect_list("vec")).alias("v"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,22 +160,43 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select("m", "w", "f", "v").mapInArrow(pairs, "a long, b long, sim double")
 
 
-def neighbour_graph(nodes: DataFrame, seed: int) -> DataFrame:
-    """(a, b, sim): the NN-descent graph."""
-    size = nodes.count()
-    graph = materialize(_nearest(first_graph(nodes, seed, signs(size)), NEIGHBOURS).withColumn("new", F.lit(True)), "graph")
-    while True:  # lists only get nearer, so this ends
-        better = _nearest(graph.drop("new").unionByName(descend(graph, nodes)), NEIGHBOURS)
+def refine(graph: DataFrame, nodes: DataFrame, k: int, floor: float, enough: float) -> DataFrame:
+    """``graph`` after rounds of descent, until a round brings at most ``enough`` new edges; lists only get nearer, so this ends."""
+    while True:
+        better = _nearest(graph.drop("new").unionByName(descend(graph, nodes, k, floor)), k)
         old = graph.select("a", "b", F.lit(True).alias("old"))
         before, graph = graph, materialize(better.join(old, ["a", "b"], "left").select("a", "b", "sim", F.col("old").isNull().alias("new")), "graph")
         release(before)
-        if graph.filter("new").count() <= LITTLE * NEIGHBOURS * size:
+        if graph.filter("new").count() <= enough:
             return graph
 
 
-def saturated(graph: DataFrame, threshold: float) -> DataFrame:
-    """(node): the nodes whose whole list links."""
-    return graph.filter(F.col("sim") >= threshold).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") >= NEIGHBOURS).select("node")
+def saturated(graph: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(node): the nodes whose whole list of ``k`` links."""
+    return graph.filter(F.col("sim") >= threshold).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("node")
+
+
+def neighbour_graph(nodes: DataFrame, seed: int) -> DataFrame:
+    """(a, b, sim, new): the NN-descent graph of NEIGHBOURS neighbours each."""
+    size = nodes.count()
+    graph = materialize(_nearest(first_graph(nodes, seed, signs(size)), NEIGHBOURS).withColumn("new", F.lit(True)), "graph")
+    return refine(graph, nodes, NEIGHBOURS, -2.0, LITTLE * NEIGHBOURS * size)
+
+
+def enlarge(graph: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``graph`` with lists twice as long, by descent from the saturated nodes, while there are any and up to MOST; and (node), those that are saturated even so."""
+    k = NEIGHBOURS
+    while True:
+        full = materialize(saturated(graph, threshold, k), "saturated")
+        stalled = full.count()
+        if not stalled or 2 * k > MOST:
+            return graph, full
+        k *= 2
+        marked = full.select(F.col("node").alias("a"), F.lit(True).alias("new"))
+        before, graph = graph, materialize(graph.drop("new").join(marked, "a", "left").withColumn("new", F.coalesce("new", F.lit(False))), "graph")
+        release(before, full)
+        # what is added has to link; cosines are cut after 14 digits, so one at the very threshold may lie under it
+        graph = refine(graph, nodes, k, threshold - 1e-12, LITTLE * k * stalled)
 
 
 def bridges(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
@@ -319,9 +338,9 @@ def deduplicate(embeddings: DataFrame, threshold: float = THRESHOLD, vec_id: str
     """vec_id, n_links, component_id, kept, audited_recall: a row for each vector."""
     vectors = embeddings.select(F.col(vec_id).alias("id"), F.col(embedding).alias("vec"), F.col(label).alias("label"))
     nodes = nodes_of(vectors)
-    graph = neighbour_graph(nodes, 17)
+    graph, full = enlarge(neighbour_graph(nodes, 17), nodes, threshold)
     roots = materialize(components(graph.filter(F.col("sim") >= threshold).select("a", "b")), "roots")
-    roots = joined(roots, bridges(nodes.join(saturated(graph, threshold), "node", "left_semi"), roots, threshold))
+    roots = joined(roots, bridges(nodes.join(full, "node", "left_semi"), roots, threshold))
     linked = materialize(count_links(nodes, roots, threshold), "linked")
     recall = audit(nodes, roots, linked, threshold)
     if recall < RECALL:
