@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import money, text
 from ledgerlens.operators import checks
 from ledgerlens.operators.profiles import ROLES
+from ledgerlens.operators.stored import written
 
 HEAD_ROWS = 30
 #: Reasons of unresolved rows.
@@ -64,7 +65,10 @@ def formats_of(profiles: DataFrame) -> tuple[str, ...]:
 
 
 def first_date(value: Column, formats: Column, known: tuple[str, ...] = ()) -> Column:
-    """The date by the first of a column of formats that fits, else null. Formats that are ``known`` when the plan is made are not compiled for each row."""
+    """The date by the first of a column of formats that fits, else null. Formats that are ``known`` when the plan is made are not compiled for each row.
+
+    A format that does not fit costs far more than one that does, so none is tried after a hit, nor on an empty text.
+    """
 
     def read(flat: Column) -> Column:
         def by(f: Column) -> Column:
@@ -73,7 +77,8 @@ def first_date(value: Column, formats: Column, known: tuple[str, ...] = ()) -> C
                 day = F.when(f == k, F.try_to_timestamp(flat, F.lit(k))).otherwise(day)
             return day.cast("date")
 
-        return F.get(F.filter(F.transform(formats, by), lambda d: d.isNotNull()), F.lit(0))
+        first = F.aggregate(formats, F.lit(None).cast("date"), lambda found, f: F.coalesce(found, by(f)))
+        return F.when(flat != "", first)
 
     return money.bind(F.trim(F.regexp_replace(value, r"\s+", " ")), read)
 
@@ -160,10 +165,9 @@ def read(rows: DataFrame, docs: DataFrame, profiles: DataFrame) -> tuple[DataFra
 
     Document status: ok, no_profile, no_header, no_column (a required column is not in the header).
     """
-    heads = headers(rows, docs, profiles)
-    mapped = map_columns(heads)
+    mapped = written(map_columns(headers(rows, docs, profiles)))  # all that follows reads it
     state = F.when(F.col("tokens").isNull(), "no_profile").when(F.col("header_row").isNull(), "no_header").when(F.size("lacking") > 0, "no_column").otherwise("ok")
-    stated = mapped.select("doc_id", "layout_id", "account_id", "container", "running", state.alias("status")).join(read_summary(rows, heads), "doc_id", "left")
+    stated = mapped.select("doc_id", "layout_id", "account_id", "container", "running", state.alias("status")).join(read_summary(rows, mapped), "doc_id", "left")
     return read_rows(rows, mapped, formats_of(profiles)), stated
 
 
@@ -175,7 +179,7 @@ def parse(rows: DataFrame, docs: DataFrame, profiles: DataFrame) -> tuple[DataFr
     and last row's date in printed order.
     """
     interpreted, stated = read(rows, docs, profiles)
-    return assemble(interpreted, docs, stated)
+    return assemble(written(interpreted), docs, stated)  # each of the three reads it
 
 
 def assemble(interpreted: DataFrame, docs: DataFrame, stated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
