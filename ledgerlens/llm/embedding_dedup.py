@@ -9,8 +9,9 @@
    round changes little, however many that takes. Only nodes with a neighbour
    that is new since the last round take part, and only pairs with a new one.
    A node whose list is full of links is saturated: more of its links may be
-   missing. While there are such nodes, lists may be twice as long (up to MOST),
-   what is added has to link, and the descent goes on from the saturated nodes.
+   missing. While there are such nodes, lists get GROWTH times longer (up to MOST),
+   what is added has to link, and the descent goes on from the saturated nodes,
+   over the edges at their components only.
 4. Edges at the threshold are kept and give components. The nodes that are
    saturated even so make blocks of about BLOCK nodes of each component with a
    centre and a radius (an angle); all blocks of a label whose centres are not too far
@@ -46,13 +47,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize, release, table
+from ledgerlens.llm.common import materialize, release, small, table
 from ledgerlens.llm.graph import components
 
 THRESHOLD = 0.98
 NEIGHBOURS, TREES, LEAF, SIGNS = 6, 8, 128, 14
-#: The longest list of a saturated node.
-MOST = 24
+#: Lists of saturated nodes get so many times longer, and at most this long.
+GROWTH, MOST = 4, 24
 LITTLE = 0.01
 BLOCK = 256
 #: Numbers of the centres on each side that meet in one row, and the slack of the angle bound.
@@ -183,20 +184,40 @@ def neighbour_graph(nodes: DataFrame, seed: int) -> DataFrame:
     return refine(graph, nodes, NEIGHBOURS, -2.0, LITTLE * NEIGHBOURS * size)
 
 
-def enlarge(graph: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """``graph`` with lists twice as long, by descent from the saturated nodes, while there are any and up to MOST; and (node), those that are saturated even so."""
-    k = NEIGHBOURS
-    while True:
-        full = materialize(saturated(graph, threshold, k), "saturated")
-        stalled = full.count()
-        if not stalled or 2 * k > MOST:
-            return graph, full
-        k *= 2
+def around(graph: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
+    """The edges of ``graph`` with an end in a component that has a node of ``full``; links or not, as they may lead to links between components."""
+    hot = roots.join(full, "node", "left_semi").select("component").distinct()
+    held = roots.join(small(hot), "component", "left_semi").select("node")
+    ends = {c: held.select(F.col("node").alias(c)) for c in ("a", "b")}
+    return graph.join(ends["a"], "a", "left_semi").unionByName(graph.join(ends["a"], "a", "left_anti").join(ends["b"], "b", "left_semi"))
+
+
+def enlarge(graph: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The edges ``around`` saturated nodes with longer lists, by descent from these nodes, while there are any and up to MOST; and (node), those that are saturated even so. roots: the components of ``graph``'s links."""
+    k, part = NEIGHBOURS, None
+    full = materialize(saturated(graph, threshold, k), "saturated")
+    while (stalled := full.count()) and k < MOST:
+        k = min(GROWTH * k, MOST)
         marked = full.select(F.col("node").alias("a"), F.lit(True).alias("new"))
-        before, graph = graph, materialize(graph.drop("new").join(marked, "a", "left").withColumn("new", F.coalesce("new", F.lit(False))), "graph")
-        release(before, full)
+        edges = around(graph, roots, full) if part is None else part
+        before, part = part, materialize(edges.drop("new").join(marked, "a", "left").withColumn("new", F.coalesce("new", F.lit(False))), "part")
+        if before is None:  # neighbours of neighbours are ends of the same edges, so no round needs other vectors
+            ends = part.select(F.col("a").alias("node")).unionByName(part.select(F.col("b").alias("node"))).distinct()
+            nodes = materialize(nodes.select("node", "vec").join(ends, "node", "left_semi"), "ends")
+        else:
+            release(before)
+        release(full)
         # what is added has to link; cosines are cut after 14 digits, so one at the very threshold may lie under it
-        graph = refine(graph, nodes, k, threshold - 1e-12, LITTLE * k * stalled)
+        part = refine(part, nodes, k, threshold - 1e-12, LITTLE * k * stalled)
+        full = materialize(saturated(part, threshold, k), "saturated")
+    return graph if part is None else part, full
+
+
+def across(edges: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of components that a link of ``edges`` joins; a node without a root is its own component."""
+    root = {c: roots.select(F.col("node").alias(c), F.col("component").alias(f"root_{c}")) for c in ("a", "b")}
+    met = edges.filter(F.col("sim") >= threshold).select("a", "b").join(root["a"], "a", "left").join(root["b"], "b", "left")
+    return met.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b").distinct()
 
 
 def bridges(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
@@ -338,9 +359,10 @@ def deduplicate(embeddings: DataFrame, threshold: float = THRESHOLD, vec_id: str
     """vec_id, n_links, component_id, kept, audited_recall: a row for each vector."""
     vectors = embeddings.select(F.col(vec_id).alias("id"), F.col(embedding).alias("vec"), F.col(label).alias("label"))
     nodes = nodes_of(vectors)
-    graph, full = enlarge(neighbour_graph(nodes, 17), nodes, threshold)
+    graph = neighbour_graph(nodes, 17)
     roots = materialize(components(graph.filter(F.col("sim") >= threshold).select("a", "b")), "roots")
-    roots = joined(roots, bridges(nodes.join(full, "node", "left_semi"), roots, threshold))
+    part, full = enlarge(graph, nodes, roots, threshold)
+    roots = joined(roots, bridges(nodes.join(full, "node", "left_semi"), roots, threshold).unionByName(across(part, roots, threshold)))
     linked = materialize(count_links(nodes, roots, threshold), "linked")
     recall = audit(nodes, roots, linked, threshold)
     if recall < RECALL:
