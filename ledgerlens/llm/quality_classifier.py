@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     named = short.select("doc_id", F.xxhash64("text").alias("h")).join(agreed, "doc_id").groupBy("doc_id", "y").agg(F.min("h").alias("h"))
     first = [named.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(PER_CLASS) for y in (0, 1)]
     chosen = F.broadcast(first[0].unionByName(first[1]))  # twice PER_CLASS rows at most
-    rows = short.withColumn("h", F.xxhash64("text")).join(chosen, ["doc_id", "h"]).select("doc_id", "y", "text")
+    rows = short.withColumn("h", F.xxhash64("text")).join(chosen, ["doc_id", "h"]).select("doc_id", "y", "text").dropDuplicates(["doc_id"])  # rows that repeat an id and a text come to the driver once
     found = sorted({str(r["doc_id"]): (r["y"], r["text"]) for r in rows.collect()}.items())
     part = lambda y, third: [t for k, (i, (z, t)) in enumerate(x for x in found if x[1][0] == y) if (k % 3 == 2) is third]
     good, bad = dictionary(part(1, False) or [""]), dictionary(part(0, False) or [""])
