@@ -6,13 +6,21 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+#: Spark's setting that drops a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` by way of ``spark.checkpoint.dir``: computed once, lineage cut; only a local[...] session may do without the setting."""
+    """``df`` by way of ``spark.checkpoint.dir``: computed once, lineage cut, what it shuffled dropped; only a local[...] session may do without the setting."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{(folder or '/tmp/checkpoints').rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,8 @@ import datetime as dt
 
 import duckdb
 
-from ledgerlens.plans import catalog
+from ledgerlens.operators import geometry, stored, tabular
+from ledgerlens.plans import catalog, views
 
 
 def orders(spark, folder, rows):
@@ -27,3 +28,41 @@ def test_an_account_without_printed_rows_has_no_ledger(spark, tmp_path):
     """The printed statements leave out every key that 97 divides."""
     folder, con = orders(spark, tmp_path, [(97, 1, dt.date(1995, 8, 1)), (98, 2, dt.date(1995, 8, 1)), (99, 2, dt.date(1996, 2, 1))])
     assert [r[0] for r in same(spark, con, folder, "account_ledger")] == [2]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_given_tables_are_made_once(spark, tmp_path):
+    """What parsing reads several times is a written table, not a plan that is run again each time."""
+    folder, _ = orders(spark, tmp_path, [(k, k % 4, dt.date(1995, 8, 1)) for k in range(1, 200)])
+    for made in (*views.page_words(spark, folder), *views.sheets(spark, folder)):
+        assert "Window" not in plan(made) and "Aggregate" not in plan(made)
+    for name in ("parse_pages", "page_row_samples", "map_columns", "year_ledgers", "transfer_tiers", "account_checks_told"):
+        said = plan(catalog.QUERIES[name](spark, folder))
+        assert "o_orderstatus" not in said, name
+
+
+def test_words_keep_their_columns_and_lose_none(spark):
+    words = spark.createDataFrame([("a", 1, 99.0, 100.0, "x"), ("b", 1, 0.0, 5.0, "y")], "doc_id string, word_no int, w_x0 double, w_x1 double, text string")
+    bands = spark.createDataFrame([("a", "debit", "right", 90.0, 100.0)], "doc_id string, role string, align string, x0 double, x1 double")
+    assert sorted(map(tuple, geometry.assign(words, bands, keep=("text",)).select("doc_id", "text", "role").collect())) == [("a", "x", "debit"), ("b", "y", None)]
+    page = spark.createDataFrame([("a", 1, 2, 10.0, 5.0, "z"), ("a", 1, 1, 12.0, 0.0, "w")], "doc_id string, page int, word_no int, top double, x0 double, text string")
+    got = geometry.group_lines(page, keep=("text", "top")).select("word_no", "line", "text", "top").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "w", 12.0), (2, 1, "z", 10.0)]
+
+
+def test_written_tables_are_packed_and_leave_the_setting(spark):
+    before = spark.conf.get(stored.CLEANUP, "false")
+    df = stored.written(spark.range(100).groupBy("id").count())
+    assert all(".zstd." in f for f in df.inputFiles()) and df.count() == 100
+    assert spark.conf.get(stored.CLEANUP, "false") == before
+
+
+def test_headers_without_tokens_or_with_odd_cells(spark):
+    """A row is found by its cells, however they are spaced and cased, and by no part of a cell."""
+    rows = spark.createDataFrame([("a", 1, ["xDate", "Amount"]), ("a", 2, [None, " dAtE ", "AMOUNT"]), ("b", 1, ["any"])], "doc_id string, row_no long, cells array<string>")
+    docs = spark.createDataFrame([("a", "two"), ("b", "none")], "doc_id string, layout_id string")
+    profiles = spark.createDataFrame([("two", [" Date", "amount"]), ("none", [])], "layout_id string, tokens array<string>")
+    assert {r["doc_id"]: r["header_row"] for r in tabular.headers(rows, docs, profiles).collect()} == {"a": 2, "b": 1}
