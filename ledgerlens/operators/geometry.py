@@ -28,15 +28,16 @@ def build_bands(header: DataFrame) -> DataFrame:
     return header.withColumn("x1", F.when(F.col("align") == "left", end).otherwise(F.col("x1")))
 
 
-def assign(words: DataFrame, bands: DataFrame, tolerance: float = 6.0) -> DataFrame:
+def assign(words: DataFrame, bands: DataFrame, tolerance: float = 6.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, word_no, role: the numeric band whose edge is nearest, within tolerance (a tie: null), else the first text band that holds the word's left edge.
 
     A right band is matched by right edges, a center band by middles. A header's
     few bands are one array, so a word is placed within its row. Words of
-    documents without bands have no row.
+    documents without bands have no row. With columns to ``keep`` these come
+    along, and words of documents without bands have no role.
     """
     few = bands.groupBy("doc_id").agg(F.collect_list(F.struct("role", "align", "x0", "x1")).alias("bands"))
-    both = words.join(few, "doc_id")
+    both = words.join(few, "doc_id", "left" if keep else "inner")
     middle = (F.col("w_x0") + F.col("w_x1")) / 2
 
     def far(b: Column) -> Column:
@@ -44,9 +45,9 @@ def assign(words: DataFrame, bands: DataFrame, tolerance: float = 6.0) -> DataFr
 
     near = F.array_sort(F.transform(F.filter("bands", lambda b: (b["align"] != "left") & (far(b) <= tolerance)), lambda b: F.struct(far(b).alias("d"), b["role"].alias("role"))))
     text = F.array_min(F.transform(F.filter("bands", lambda b: (b["align"] == "left") & (F.col("w_x0") >= b["x0"] - tolerance) & (F.col("w_x0") < b["x1"])), lambda b: F.struct(b["x0"].alias("x0"), b["role"].alias("role"))))
-    best = both.select("doc_id", "word_no", near.alias("near"), text.alias("textual"))
+    best = both.select("doc_id", "word_no", *keep, near.alias("near"), text.alias("textual"))
     tie = F.coalesce(F.abs(F.get("near", F.lit(1))["d"] - F.get("near", F.lit(0))["d"]) < 1e-9, F.lit(False))
-    return best.select("doc_id", "word_no", F.when(F.size("near") > 0, F.when(~tie, F.get("near", F.lit(0))["role"])).otherwise(F.col("textual.role")).alias("role"))
+    return best.select("doc_id", "word_no", *keep, F.when(F.size("near") > 0, F.when(~tie, F.get("near", F.lit(0))["role"])).otherwise(F.col("textual.role")).alias("role"))
 
 
 def footer_cut(lines: DataFrame) -> DataFrame:
@@ -63,13 +64,13 @@ def join_continuations(lines: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", F.col("o.pos").alias("pos")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(lines["pos"].alias("p"), "text"))), lambda x: x["text"]), " ").alias("text"))
 
 
-def group_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """doc_id, page, word_no, line: words by (top, x0), each on the first line whose first word is within tolerance.
+def group_lines(words: DataFrame, tolerance: float = 3.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, page, word_no, line, and the columns to ``keep``: words by (top, x0), each on the first line whose first word is within tolerance.
 
     An ordered fold, which no window frame expresses; over a page's distinct
     heights only, as words of one height share a line.
     """
-    page = words.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct(F.bround("top", 1).alias("t"), "x0", "word_no", "top"))).alias("w"))
+    page = words.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct(F.bround("top", 1).alias("t"), "x0", "word_no", "top", *[c for c in keep if c not in ("x0", "top")]))).alias("w"))
     page = page.withColumn("tops", F.array_distinct(F.transform("w", lambda x: x["top"])))
     empty = F.struct(F.array().cast("array<double>").alias("anchors"), F.array().cast("array<bigint>").alias("lines"))
 
@@ -81,4 +82,4 @@ def group_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
 
     page = page.withColumn("lines", F.aggregate("tops", empty, place)["lines"])
     line_of = lambda x: F.get("lines", F.array_position("tops", x["top"]).cast("int") - 1)
-    return page.select("doc_id", "page", F.inline(F.transform("w", lambda x: F.struct(x["word_no"].cast("bigint").alias("word_no"), line_of(x).alias("line")))))
+    return page.select("doc_id", "page", F.inline(F.transform("w", lambda x: F.struct(x["word_no"].cast("bigint").alias("word_no"), line_of(x).alias("line"), *[x[c].alias(c) for c in keep]))))

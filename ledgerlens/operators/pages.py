@@ -28,8 +28,8 @@ LOOSE, UNDATED = "a word is outside every column or between two", "row has no da
 
 def lines_of(words: DataFrame) -> DataFrame:
     """words with ``line`` (from 1 on each page) and ``in_line`` (from 1, left to right)."""
-    at = geometry.group_lines(words.select("doc_id", "page", "word_no", "top", "x0"))
-    return words.join(at, ["doc_id", "page", "word_no"]).withColumn("in_line", F.row_number().over(Window.partitionBy("doc_id", "page", "line").orderBy("x0", "word_no")))
+    at = geometry.group_lines(words, keep=tuple(c for c in words.columns if c not in ("doc_id", "page", "word_no")))
+    return at.withColumn("in_line", F.row_number().over(Window.partitionBy("doc_id", "page", "line").orderBy("x0", "word_no")))
 
 
 def texts_of(placed: DataFrame) -> DataFrame:
@@ -91,8 +91,8 @@ def read(words: DataFrame, docs: DataFrame, profiles: DataFrame, aligns: dict[st
 
     own = F.concat_ws("#", F.col("doc_id").cast("string"), F.col("head_page").cast("string"))
     mine = placed.join(live.select("doc_id", "page", "line", "head_page"), ["doc_id", "page", "line"]).withColumn("unit", own).withColumn("w", F.concat_ws(":", F.col("page").cast("string"), F.col("word_no").cast("string")))
-    roles = geometry.assign(mine.select(F.col("unit").alias("doc_id"), F.col("w").alias("word_no"), F.col("x0").alias("w_x0"), F.col("x1").alias("w_x1")), bands)
-    told = mine.join(roles.select(F.col("doc_id").alias("unit"), F.col("word_no").alias("w"), "role"), ["unit", "w"], "left")
+    here = mine.select(F.col("unit").alias("doc_id"), F.col("w").alias("word_no"), F.col("x0").alias("w_x0"), F.col("x1").alias("w_x1"), F.col("doc_id").alias("of"), "page", "line", "in_line", "text")
+    told = geometry.assign(here, bands, keep=("of", "page", "line", "in_line", "text")).drop("doc_id").withColumnRenamed("of", "doc_id")
     parts = F.array_sort(F.collect_list(F.struct("in_line", "text", "role")))  # the words of one line
     cells = told.groupBy("doc_id", "page", "line").agg(parts.alias("p"))
     cells = cells.select("doc_id", "page", "line", F.exists("p", lambda x: x["role"].isNull()).alias("loose"), *[F.array_join(F.transform(F.filter("p", _is(r)), lambda x: x["text"]), " ").alias(f"c_{r}") for r in ROLES])

@@ -65,7 +65,7 @@ PROFILES = [
 def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(rows, docs): the statements as ragged sheets of three layouts; some dates and amounts can't be read."""
     t = txns(spark, sf_dir)
-    d = docs(t).withColumn("kind", F.col("account_id") % 3)
+    d = written(docs(t)).withColumn("kind", F.col("account_id") % 3)
     layout = F.when(F.col("kind") == 0, "columns.v1").when(F.col("kind") == 1, "suffix.v1").otherwise("signed.v1")
     day = lambda c: F.date_format(c, "dd/MM/yyyy")
     cells = lambda *c: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in c])
@@ -76,7 +76,7 @@ def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         cells("Closing Balance", money.render(F.col("s_closing"))), cells("Period", formats(F.col("s_start")), "to", formats(F.col("s_end"))), head,
     )
     above = d.select("doc_id", F.posexplode(top).alias("k", "cells")).select("doc_id", (F.col("k") + 1).cast("bigint").alias("row_no"), "cells")
-    w = Window.partitionBy("doc_id").orderBy("pos")
+    w = Window.partitionBy("account_id", "doc_id").orderBy("pos")  # rows lie by account already
     t = t.withColumn("row_no", (F.row_number().over(w) + 5).cast("bigint")).withColumn("kind", F.col("account_id") % 3)
     when = F.when(F.col("key") % 89 == 0, "n/a").when(F.col("key") % 83 == 0, "31/31/1995").otherwise(formats("date"))
     size, balance = money.render(F.abs("amount")), money.render(F.col("balance_after"))
@@ -102,22 +102,24 @@ def page_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = txns(spark, sf_dir).filter("account_id % 3 = 0")
     word = lambda text, x0, x1, top: F.struct((text if isinstance(text, Column) else F.lit(text)).alias("text"), F.lit(x0).cast("double").alias("x0") if not isinstance(x0, Column) else x0.cast("double").alias("x0"), F.lit(x1).cast("double").alias("x1") if not isinstance(x1, Column) else x1.cast("double").alias("x1"), top.cast("double").alias("top"))
     k = F.col("k")
-    rows = t.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).withColumn("page", F.floor(k / 30).cast("int") + 1)
+    rows = t.withColumn("k", F.row_number().over(Window.partitionBy("account_id", "doc_id").orderBy("pos")) - 1).withColumn("page", F.floor(k / 30).cast("int") + 1)
     top, size, sign = F.lit(100) + (k % 30) * 12, money.render(F.abs("amount")), F.col("amount") < 0
     said = F.transform(F.split("description", " "), lambda w, i: F.struct(w.alias("text"), (60 + 40 * i).cast("double").alias("x0"), (95 + 40 * i).cast("double").alias("x1"), top.cast("double").alias("top")))
     day = word(F.date_format("date", "dd/MM/yyyy"), 0, 40, top)
     amount = F.when(sign, word(size, 165, 200, top)).otherwise(word(size, 230, 262, top))
     more = F.when(F.col("key") % 5 == 0, F.array(word("more", 60, 80, top + 5))).otherwise(F.array(word("Page", 0, 20, top + 5)))
-    body = rows.select("doc_id", "page", F.explode(F.concat(F.array(day), said, F.array(amount, word(money.render(F.col("balance_after")), 290, 330, top)), more)).alias("w"))
+    # the first row of a page brings its footer along
+    foot = F.when(k % 30 == 0, F.array(word("End", 0, 10, F.lit(900)), word("of", 12, 20, F.lit(900)), word("page", 22, 40, F.lit(900)))).otherwise(F.slice(more, 1, 0))
+    body = rows.select("doc_id", "page", F.explode(F.concat(F.array(day), said, F.array(amount, word(money.render(F.col("balance_after")), 290, 330, top)), more, foot)).alias("w"))
     at = lambda y: F.lit(y)
     head = F.array(word("Opening", 0, 30, at(10)), word(money.render(F.col("s_opening")), 40, 80, at(10)), *[word(n, a, b, at(50)) for n, a, b in (("Date", 0, 20), ("Details", 60, 90), ("Debit", 180, 200), ("Credit", 240, 262), ("Balance", 300, 330))])
-    d = docs(t)
+    d = written(docs(t).withColumn("layout_id", F.lit("pages.v1")))
     top_words = d.filter("s_opening IS NOT NULL").select("doc_id", F.lit(1).alias("page"), F.explode(head).alias("w"))
     bare = d.filter("s_opening IS NULL").select("doc_id", F.lit(1).alias("page"), F.explode(F.slice(head, 3, 5)).alias("w"))
-    foot = rows.select("doc_id", "page").distinct().select("doc_id", "page", F.explode(F.array(word("End", 0, 10, at(900)), word("of", 12, 20, at(900)), word("page", 22, 40, at(900)))).alias("w"))
-    words = body.unionByName(top_words).unionByName(bare).unionByName(foot).select("doc_id", "page", "w.*")
+    words = body.unionByName(top_words).unionByName(bare).select("doc_id", "page", "w.*")
     number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("top", "x0", "text"))
-    return words.withColumn("word_no", number), d.select("doc_id", "account_id", F.lit("pages.v1").alias("layout_id"))
+    # tables, as they would be given; parsing reads them several times
+    return written(words.withColumn("word_no", number)), d.select("doc_id", "account_id", "layout_id")
 
 
 def folder(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
