@@ -32,9 +32,11 @@ def headers(rows: DataFrame, docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """docs with their profile's columns (null if there is no such profile), and header_row, header: the first of the head rows that has all tokens as cells (null: none)."""
     known = docs.join(profiles, "layout_id", "left")
     top = rows.filter(F.col("row_no") <= HEAD_ROWS).join(known.select("doc_id", "tokens"), "doc_id")
-    low = _low(F.col("cells"))
-    hit = F.forall("tokens", lambda t: F.array_contains(low, F.lower(F.trim(t))))
-    first = top.filter(hit).groupBy("doc_id").agg(F.min(F.struct("row_no", "cells")).alias("h")).select("doc_id", F.col("h.row_no").alias("header_row"), F.col("h.cells").alias("header"))
+    # a row's cells are lowered once, not once for each token
+    hit = money.bind(_low(F.col("cells")), lambda low: F.forall("tokens", lambda t: F.array_contains(low, F.lower(F.trim(t)))))
+    # most rows don't even hold the first token anywhere, which costs far less to see
+    near = F.coalesce(F.contains(F.lower(F.array_join("cells", "\x1f")), F.lower(F.trim(F.get("tokens", F.lit(0))))), F.lit(True))
+    first = top.filter(F.when(near, hit)).groupBy("doc_id").agg(F.min(F.struct("row_no", "cells")).alias("h")).select("doc_id", F.col("h.row_no").alias("header_row"), F.col("h.cells").alias("header"))
     return known.join(first, "doc_id", "left")
 
 
@@ -43,9 +45,11 @@ def map_columns(heads: DataFrame, require_balance: bool = True) -> DataFrame:
 
     Labels are tried in order; of equal headers the last one counts.
     """
-    back = F.reverse(_low(F.col("header")))
-    place = lambda label: F.when(F.array_contains(back, F.lower(F.trim(label))), F.size(back) - F.array_position(back, F.lower(F.trim(label))).cast("int"))
-    found = F.map_filter(F.transform_values("labels", lambda _, v: F.get(F.filter(F.transform(v, place), lambda k: k.isNotNull()), F.lit(0))), lambda _, k: k.isNotNull())
+    def places(back: Column) -> Column:
+        at = lambda label: F.size(back) - F.nullif(F.array_position(back, F.lower(F.trim(label))), F.lit(0)).cast("int")
+        return F.map_filter(F.transform_values("labels", lambda _, v: F.get(F.filter(F.transform(v, at), lambda k: k.isNotNull()), F.lit(0))), lambda _, k: k.isNotNull())
+
+    found = money.bind(F.reverse(_low(F.col("header"))), places)
     required = F.concat(
         F.array(F.lit("date"), F.lit("description")), F.when(F.col("sign") == "columns", F.array(F.lit("debit"), F.lit("credit"))).otherwise(F.array(F.lit("amount"))),
         F.when(F.col("running") & F.lit(require_balance), F.array(F.lit("balance"))).otherwise(F.array().cast("array<string>")),
