@@ -24,3 +24,12 @@ def written(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: So many rows (documents, where each brings one row) are one task's share where memory grows with them.
+TASK_ROWS = 250_000
+
+
+def tasks(df: DataFrame, rows: int | None = None) -> int:
+    """How many tasks give each about so many of the rows of ``df``, however large it is and whatever the number of shuffle partitions."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // (rows or TASK_ROWS)))

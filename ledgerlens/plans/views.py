@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import money
 from ledgerlens.operators.profiles import PROFILE, profile
-from ledgerlens.operators.stored import written
+from ledgerlens.operators.stored import tasks, written
 
 FIGURES = {
     "opening": r"(?i)Opening Balance,(?P<value>[^\n]+)", "closing": r"(?i)Closing Balance,(?P<value>[^\n]+)", "period_from": r"Period,(?P<value>[^,\n]+)", "period_to": r"Period,[^,\n]+,to,(?P<value>[^,\n]+)", "account_id": r"Statement of account,(?P<value>\d+)",
@@ -23,12 +23,30 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def txns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """account_id, key, pos, date, amount, description, balance_after, doc_id: true rows, positions in printed order."""
+    return _placed(_given(spark, sf_dir), "date", "key")
+
+
+def statement_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``txns`` and doc_row, a row's number in its statement, in tasks of bounded size.
+
+    An account's half-years follow each other as its days do, so one sort serves the account's window and the statement's.
+    """
+    half = F.when(F.col("account_id").isNotNull(), F.year("date") * 2 + F.when(F.month("date") <= 6, 0).otherwise(1))  # null where doc_id is
+    given = _given(spark, sf_dir)
+    t = _placed(given.repartition(tasks(given), "account_id").withColumn("half", half), "half", "date", "key")
+    return t.withColumn("doc_row", F.row_number().over(Window.partitionBy("account_id", "half").orderBy("date", "key"))).drop("half")
+
+
+def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority")
     sign = F.when(F.col("o_orderstatus") == "F", -1).otherwise(1)
-    t = o.select(F.col("o_custkey").cast("bigint").alias("account_id"), F.col("o_orderkey").cast("bigint").alias("key"), F.col("o_orderdate").cast("date").alias("date"), (sign * F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("amount"), F.col("o_orderpriority").alias("description"))
-    w = Window.partitionBy("account_id").orderBy("date", "key")
+    return o.select(F.col("o_custkey").cast("bigint").alias("account_id"), F.col("o_orderkey").cast("bigint").alias("key"), F.col("o_orderdate").cast("date").alias("date"), (sign * F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("amount"), F.col("o_orderpriority").alias("description"))
+
+
+def _placed(given: DataFrame, *order: str) -> DataFrame:
+    w = Window.partitionBy("account_id").orderBy(*order)
     half = F.when(F.month("date") <= 6, 1).otherwise(2)
-    t = t.withColumn("pos", F.row_number().over(w).cast("bigint")).withColumn("balance_after", F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    t = given.withColumn("pos", F.row_number().over(w).cast("bigint")).withColumn("balance_after", F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return t.withColumn("doc_id", F.concat(F.col("account_id").cast("string"), F.lit("-"), F.year("date").cast("string"), F.lit("H"), half.cast("string")))
 
 
@@ -64,7 +82,7 @@ PROFILES = [
 
 def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(rows, docs): the statements as ragged sheets of three layouts; some dates and amounts can't be read."""
-    t = txns(spark, sf_dir)
+    t = statement_txns(spark, sf_dir)
     d = written(docs(t)).withColumn("kind", F.col("account_id") % 3)
     layout = F.when(F.col("kind") == 0, "columns.v1").when(F.col("kind") == 1, "suffix.v1").otherwise("signed.v1")
     day = lambda c: F.date_format(c, "dd/MM/yyyy")
@@ -76,8 +94,7 @@ def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         cells("Closing Balance", money.render(F.col("s_closing"))), cells("Period", formats(F.col("s_start")), "to", formats(F.col("s_end"))), head,
     )
     above = d.select("doc_id", F.posexplode(top).alias("k", "cells")).select("doc_id", (F.col("k") + 1).cast("bigint").alias("row_no"), "cells")
-    w = Window.partitionBy("account_id", "doc_id").orderBy("pos")  # rows lie by account already
-    t = t.withColumn("row_no", (F.row_number().over(w) + 5).cast("bigint")).withColumn("kind", F.col("account_id") % 3)
+    t = t.withColumn("row_no", (F.col("doc_row") + 5).cast("bigint")).withColumn("kind", F.col("account_id") % 3)
     when = F.when(F.col("key") % 89 == 0, "n/a").when(F.col("key") % 83 == 0, "31/31/1995").otherwise(formats("date"))
     size, balance = money.render(F.abs("amount")), money.render(F.col("balance_after"))
     size = F.when(F.col("key") % 79 == 0, "12.345").otherwise(size)
@@ -99,10 +116,10 @@ PAGES = profile("pages.v1", "pdf", ["Date", "Debit"], {"date": "Date", "descript
 
 def page_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(words, docs): the statements of every third account as positioned words, thirty rows a page; every fifth row has a second line."""
-    t = txns(spark, sf_dir).filter("account_id % 3 = 0")
+    t = statement_txns(spark, sf_dir).filter("account_id % 3 = 0")
     word = lambda text, x0, x1, top: F.struct((text if isinstance(text, Column) else F.lit(text)).alias("text"), F.lit(x0).cast("double").alias("x0") if not isinstance(x0, Column) else x0.cast("double").alias("x0"), F.lit(x1).cast("double").alias("x1") if not isinstance(x1, Column) else x1.cast("double").alias("x1"), top.cast("double").alias("top"))
     k = F.col("k")
-    rows = t.withColumn("k", F.row_number().over(Window.partitionBy("account_id", "doc_id").orderBy("pos")) - 1).withColumn("page", F.floor(k / 30).cast("int") + 1)
+    rows = t.withColumn("k", F.col("doc_row") - 1).withColumn("page", F.floor(k / 30).cast("int") + 1)
     top, size, sign = F.lit(100) + (k % 30) * 12, money.render(F.abs("amount")), F.col("amount") < 0
     said = F.transform(F.split("description", " "), lambda w, i: F.struct(w.alias("text"), (60 + 40 * i).cast("double").alias("x0"), (95 + 40 * i).cast("double").alias("x1"), top.cast("double").alias("top")))
     day = word(F.date_format("date", "dd/MM/yyyy"), 0, 40, top)

@@ -3,6 +3,8 @@
 import datetime as dt
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import geometry, stored, tabular
 from ledgerlens.plans import catalog, views
@@ -66,3 +68,32 @@ def test_headers_without_tokens_or_with_odd_cells(spark):
     docs = spark.createDataFrame([("a", "two"), ("b", "none")], "doc_id string, layout_id string")
     profiles = spark.createDataFrame([("two", [" Date", "amount"]), ("none", [])], "layout_id string, tokens array<string>")
     assert {r["doc_id"]: r["header_row"] for r in tabular.headers(rows, docs, profiles).collect()} == {"a": 2, "b": 1}
+
+
+@pytest.fixture
+def one_partition(spark, monkeypatch):
+    """A session whose shuffles make one partition, and tasks that should have 20 rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    monkeypatch.setattr(stored, "TASK_ROWS", 20, raising=False)
+    monkeypatch.setattr(catalog, "TASK_ROWS", 20, raising=False)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_statements_are_made_in_bounded_tasks(spark, tmp_path, one_partition):
+    """head_text, row_widths and all that reads sheets: no task makes more rows as the table grows, and none is lost."""
+    folder, con = orders(spark, tmp_path, [(k, k % 50, dt.date(1995, 1 + k % 12, 1)) for k in range(1, 401)])
+    rows = views.sheets(spark, folder)[0].filter("row_no BETWEEN 6 AND 999998")
+    each = [r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()]
+    assert sum(each) == 400 and max(each) < 100
+    same(spark, con, folder, "head_text")
+
+
+def test_row_numbers_of_statements_are_those_of_their_windows(spark, tmp_path):
+    """Also with equal days, and where an account or a day is missing."""
+    folder, _ = orders(spark, tmp_path, [(k, None if k % 11 == 0 else k % 3, dt.date(1994 + k % 3, 1 + k % 12, 1)) for k in range(1, 200)])
+    spark.read.parquet(f"{folder}/orders.parquet").withColumn("o_orderdate", F.expr("CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END")).write.parquet(f"{folder}/odd/orders.parquet")
+    got = views.statement_txns(spark, f"{folder}/odd")
+    want = views.txns(spark, f"{folder}/odd").withColumn("doc_row", F.expr("row_number() OVER (PARTITION BY account_id, doc_id ORDER BY pos)"))
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
