@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import money, text
 from ledgerlens.operators import checks
 from ledgerlens.operators.profiles import ROLES
-from ledgerlens.operators.stored import written
+from ledgerlens.operators.stored import tasks, written
 
 HEAD_ROWS = 30
 #: Reasons of unresolved rows.
@@ -30,14 +30,20 @@ def _low(cells: Column) -> Column:
 
 def headers(rows: DataFrame, docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """docs with their profile's columns (null if there is no such profile), and header_row, header: the first of the head rows that has all tokens as cells (null: none)."""
-    known = docs.join(profiles, "layout_id", "left")
-    top = rows.filter(F.col("row_no") <= HEAD_ROWS).join(known.select("doc_id", "tokens"), "doc_id")
+    layouts = F.broadcast(profiles)  # a handful, and wide: they join last, so that no sort holds them once for each document
+    # most rows hold no layout's first token, which costs little to see before rows and documents meet
+    token = F.lower(F.trim(F.get("tokens", F.lit(0))))
+    firsts = profiles.agg(F.collect_set(token).alias("firsts"), F.count_if(token.isNull()).alias("without"))
+    near = money.bind(F.lower(F.array_join("cells", "\x1f")), lambda said: F.exists("firsts", lambda t: F.contains(said, t)))
+    top = rows.filter(F.col("row_no") <= HEAD_ROWS).crossJoin(F.broadcast(firsts)).filter((F.col("without") > 0) | near)
     # a row's cells are lowered once, not once for each token
     hit = money.bind(_low(F.col("cells")), lambda low: F.forall("tokens", lambda t: F.array_contains(low, F.lower(F.trim(t)))))
-    # most rows don't even hold the first token anywhere, which costs far less to see
-    near = F.coalesce(F.contains(F.lower(F.array_join("cells", "\x1f")), F.lower(F.trim(F.get("tokens", F.lit(0))))), F.lit(True))
-    first = top.filter(F.when(near, hit)).groupBy("doc_id").agg(F.min(F.struct("row_no", "cells")).alias("h")).select("doc_id", F.col("h.row_no").alias("header_row"), F.col("h.cells").alias("header"))
-    return known.join(first, "doc_id", "left")
+    n = tasks(docs)
+    docs = docs.repartition(n, "doc_id")
+    whose = top.select("doc_id", "row_no", "cells").repartition(n, "doc_id").join(docs.select("doc_id", "layout_id"), "doc_id").join(layouts, "layout_id").filter(hit)
+    first = whose.groupBy("doc_id").agg(F.min(F.struct("row_no", "cells")).alias("h")).select("doc_id", F.col("h.row_no").alias("header_row"), F.col("h.cells").alias("header"))
+    order = [*docs.join(profiles, "layout_id", "left").columns, "header_row", "header"]
+    return docs.join(first, "doc_id", "left").join(layouts, "layout_id", "left").select(*order)
 
 
 def map_columns(heads: DataFrame, require_balance: bool = True) -> DataFrame:

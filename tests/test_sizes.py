@@ -103,3 +103,9 @@ def test_widths_are_counted_in_bounded_tasks(spark, tmp_path, one_partition):
     folder, con = orders(spark, tmp_path, [(k, k % 50, dt.date(1995, 8, 1)) for k in range(1, 401)])
     assert catalog.row_widths(spark, folder).rdd.getNumPartitions() >= 9  # 750 rows by 80
     same(spark, con, folder, "row_widths")
+
+
+def test_columns_are_mapped_in_bounded_tasks(spark, tmp_path, one_partition):
+    folder, con = orders(spark, tmp_path, [(k, k % 200, dt.date(1995, 8, 1)) for k in range(1, 401)])
+    assert catalog.map_columns(spark, folder).rdd.getNumPartitions() >= 10  # 200 documents by 20
+    same(spark, con, folder, "map_columns")
