@@ -62,6 +62,14 @@ def test_written_tables_are_packed_and_leave_the_setting(spark):
     assert spark.conf.get(stored.CLEANUP, "false") == before
 
 
+def test_packed_tables_are_broadcast_by_their_size_in_memory(spark):
+    """A million wide rows that repeat make a small file; year_ledgers broadcast such tables and ran out of the driver's memory."""
+    wide, few = stored.written(spark.range(1_000_000).withColumn("said", F.lit("x" * 500))), stored.written(spark.range(10).withColumn("said", F.lit("y")))
+    joined = lambda a, b: a.join(b, "id")._jdf.queryExecution().executedPlan().toString()
+    other = stored.written(spark.range(2_000_000).withColumn("more", F.lit("z" * 500)))
+    assert "BroadcastHashJoin" not in joined(other, wide) and "BroadcastHashJoin" in joined(other, few)
+
+
 def test_headers_without_tokens_or_with_odd_cells(spark):
     """A row is found by its cells, however they are spaced and cased, and by no part of a cell."""
     rows = spark.createDataFrame([("a", 1, ["xDate", "Amount"]), ("a", 2, [None, " dAtE ", "AMOUNT"]), ("b", 1, ["any"])], "doc_id string, row_no long, cells array<string>")
