@@ -10,6 +10,8 @@ from ledgerlens.operators import lookup, tabular
 from ledgerlens.operators import profiles as profiles_of
 
 PDF_MAGIC, ZIP_MAGIC = "25504446", "504B0304"
+#: Letters by which a text's runs are told apart from all identifiers before they meet them.
+START = 3
 
 
 def sniff(content: Column) -> Column:
@@ -34,10 +36,12 @@ def detect(heads: DataFrame, profiles: DataFrame) -> DataFrame:
     absent = {"title": "string", "valid_from": "date", "valid_to": "date"}
     p = profiles.select("layout_id", F.col("container"), "tokens", *(["patterns", "dates"] if {"patterns", "dates"} <= have else []), *[F.col(c) if c in have else F.lit(None).cast(kind).alias(c) for c, kind in absent.items()])
     needs = F.array_distinct(F.flatten(F.transform("tokens", lambda t: lookup.grams(F.lower(F.trim(t))))))
-    asked = lookup.asked(heads.select("doc_id", "container", "head"), F.lower("head"))
-    keyed = lookup.by_rarest(p.withColumn("needs", needs), asked, ["layout_id"])
+    p = p.withColumn("needs", needs)
+    asked = lookup.asked(heads.select("doc_id", "container", "head"), F.lower("head"), p)
+    # a handful; else each text would be sent out with each of its runs
+    keyed = F.broadcast(lookup.by_rarest(p, asked, ["layout_id"]))
     met = asked.join(keyed, ["container", "gram"]).filter(profiles_of.fits(F.col("head")))
-    if "patterns" in p.columns:
+    if "patterns" in met.columns:
         printed = {c: v for c, v in zip(("s_start", "s_end"), tabular.period_of(F.col("head")), strict=True)}
         met = met.withColumn("on", F.coalesce(printed["s_end"], printed["s_start"]))
     else:
@@ -57,7 +61,10 @@ def resolve_accounts(docs: DataFrame, accounts: DataFrame) -> DataFrame:
     lengths = sorted(r["n"] for r in ids.select(F.length("i").alias("n")).distinct().collect())
     cuts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("hay") - n + 1, F.lit(1))), lambda k: F.substring(F.col("hay"), k, F.lit(n)))
     runs = [cuts(n) for n in lengths]
-    cut = hay.withColumn("run", F.explode(F.array_distinct(F.flatten(F.array(*runs))) if runs else F.array().cast("array<string>")))
+    cut = hay.select("doc_id", "tier", F.explode(F.array_distinct(F.flatten(F.array(*runs))) if runs else F.array().cast("array<string>")).alias("run"))
+    # only runs that begin as some identifier does are sent out; of beginnings, letters and digits, there are 36 ** START at most
+    starts = ids.select(F.substring("i", 1, START).alias("start")).distinct()
+    cut = cut.join(F.broadcast(starts), F.substring("run", 1, START) == F.col("start"), "left_semi")
     hits = cut.join(ids, F.col("run") == F.col("i")).groupBy("doc_id").agg(*[f for k in (1, 2) for f in (F.countDistinct(F.when(F.col("tier") == k, F.col("account_id"))).alias(f"n{k}"), F.min(F.when(F.col("tier") == k, F.col("account_id"))).alias(f"a{k}"))])
     named = F.coalesce(squash(F.col("printed")), F.lit("")) != ""
     pick = F.when(named & (F.coalesce("n1", F.lit(0)) > 0), F.when(F.col("n1") == 1, F.col("a1"))).otherwise(F.when(F.col("n2") == 1, F.col("a2")))

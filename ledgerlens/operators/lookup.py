@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import money
+
 GRAM = 3
 
 
@@ -14,9 +16,17 @@ def grams(text: Column) -> Column:
     return F.when(F.length(text) >= GRAM, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def asked(texts: DataFrame, text: Column) -> DataFrame:
-    """``texts`` with a row for each of its ``gram``s, and one with an empty one."""
-    return texts.withColumn("gram", F.explode(F.concat(F.array(F.lit("")), grams(text))))
+def asked(texts: DataFrame, text: Column, needs: DataFrame | None = None) -> DataFrame:
+    """``texts`` with a row for each of its ``gram``s, and one with an empty one.
+
+    needs: rows with ``needs``, few enough for one array. Then only their grams are looked for in a text, which takes
+    far less work than to cut it into all of its own.
+    """
+    if needs is None:
+        return texts.withColumn("gram", F.explode(F.concat(F.array(F.lit("")), grams(text))))
+    few = needs.select(F.explode("needs").alias("g")).agg(F.collect_set("g").alias("few"))
+    found = money.bind(text, lambda t: F.filter("few", lambda g: F.contains(t, g)))
+    return texts.crossJoin(F.broadcast(few)).withColumn("gram", F.explode(F.concat(F.array(F.lit("")), found))).drop("few")
 
 
 def by_rarest(wanted: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
@@ -25,6 +35,7 @@ def by_rarest(wanted: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
     A row that needs nothing has the empty gram, which every text has.
     """
     pairs = wanted.select(*key, F.explode("needs").alias("gram"))
-    seen = texts.join(pairs.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # distinct runs of three letters: a small table however many rows want them, so texts' runs are counted where they are
+    seen = texts.join(F.broadcast(pairs.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     best = pairs.join(seen, "gram", "left").groupBy(*key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select(*key, "r.gram")
     return wanted.drop("needs").join(best, key, "left").withColumn("gram", F.coalesce("gram", F.lit("")))
