@@ -70,8 +70,8 @@ def csv_rows(read: DataFrame) -> DataFrame:
     return sheets.mapInArrow(rows, "doc_id string, row_no long, cells array<string>")
 
 
-def head_text(rows: DataFrame, count: int = 30) -> DataFrame:
-    """(doc_id, head): the first rows as text, cells by comma, rows by line; what layouts are detected by."""
-    top = rows.filter(F.col("row_no") <= count)
+def head_text(rows: DataFrame, count: int | None = 30) -> DataFrame:
+    """(doc_id, head): the first rows (None: all) as text, cells by comma, rows by line; what layouts are detected by is the first 30."""
+    top = rows if count is None else rows.filter(F.col("row_no") <= count)
     lines = F.array_sort(F.collect_list(F.struct("row_no", F.array_join("cells", ",").alias("raw"))))
     return top.groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda x: x["raw"]), "\n").alias("head"))

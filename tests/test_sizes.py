@@ -132,3 +132,10 @@ def test_texts_are_not_sent_out_with_their_runs(spark):
     assert {r["layout_id"] for r in found.collect()} == {"a"}
     want = {k: k if k < 100 and "7" not in str(k) else 777 if k >= 100 and "7" in str(k) else None for k in range(200)}
     assert {r["doc_id"]: r["account_id"] for r in own.collect()} == want
+
+
+def test_text_of_a_sheet_has_all_its_rows(spark, tmp_path):
+    """An account of each layout; 60 rows in a half-year, of which the last are told as well as the first."""
+    folder, con = orders(spark, tmp_path, [(k, k % 3, dt.date(1995, 7, 1) + dt.timedelta(days=k // 3)) for k in range(1, 181)])
+    said = dict(same(spark, con, folder, "head_text"))
+    assert len(said) == 3 and all(len(x.split("\n")) == 67 and x.endswith("\n ,\nTotal,1.00") for x in said.values())
